@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from skerry.llm import quality_classifier
+from skerry.llm import quality_classifier, sentencepiece_codec, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
+    "op2_sentencepiece_codec": sentencepiece_codec.query,
+    "op6_token_files": token_files.query,
 }
 
 ORACLES: dict[str, str] = {}
