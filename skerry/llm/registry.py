@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skerry.llm import quality_classifier, sentencepiece_codec, token_files
+from skerry.llm import decontamination, quality_classifier, sentencepiece_codec, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op2_sentencepiece_codec": sentencepiece_codec.query,
+    "op4_decontamination": decontamination.query,
     "op6_token_files": token_files.query,
 }
 
