@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from skerry.llm import decontamination, quality_classifier, sentencepiece_codec, token_files
+from skerry.llm import decontamination, quality_classifier, sentencepiece_codec, sharding, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op2_sentencepiece_codec": sentencepiece_codec.query,
     "op4_decontamination": decontamination.query,
+    "op5_sharding": sharding.query,
     "op6_token_files": token_files.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_sharding": sharding.oracle(),
+}
