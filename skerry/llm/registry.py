@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skerry.llm import decontamination, license_scan, quality_classifier, sentencepiece_codec, sharding, token_files
+from skerry.llm import decontamination, license_scan, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op2_sentencepiece_codec": sentencepiece_codec.query,
+    "op3_quality_rules": quality_rules.query,
     "op4_decontamination": decontamination.query,
     "op5_sharding": sharding.query,
     "op6_token_files": token_files.query,
