@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skerry.llm import decontamination, license_scan, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_files
+from skerry.llm import decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, sentencepiece_codec, sharding, token_files
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontamination.query,
     "op5_sharding": sharding.query,
     "op6_token_files": token_files.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op8_license_scan": license_scan.query,
 }
 
