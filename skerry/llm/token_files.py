@@ -2,16 +2,17 @@
 
 Documents are dealt into key ranges and sorted, so every task writes one part of the corpus in ascending doc_id order:
 
-    tokens-PPPPPP.u32    all ids of the part, little-endian unsigned 32-bit integers, documents end with end_id
+    tokens-PPPPPP.u16    all ids of the part, little-endian unsigned integers, 16-bit if every id of the vocabulary fits,
+                         else 32-bit (.u32); documents end with end_id
     offsets-PPPPPP.u64   rows + 1 little-endian unsigned 64-bit integers: where each document begins in the part
     keys-PPPPPP.i64      the documents' ids in the same order; a null id is the smallest integer
 
 A task writes under a name of its own attempt and renames, so a repeated or speculative attempt leaves the same whole
-files. The manifest has a row for each part (part, documents, tokens, first_token, first_document); its two bases are
+files. The manifest has a row for each part (part, width in bytes, documents, tokens, first_token, first_document); its two bases are
 prefix sums over the parts, so any document's global position is its part's base plus its own offset.
 
 Tokenisation works on words between white space, which the tokenizer's normaliser drops, so a word's ids never depend on
-its neighbours; they are kept in a bounded cache. Texts with separators that Python and the tokenizer disagree on are
+its neighbours, nor do those of its letters on marks after them; they are kept in a bounded cache. Texts with separators that Python and the tokenizer disagree on are
 encoded whole.
 
 Defined results: a null text is an empty one, so it has the end id alone; an empty table has no parts; repeated rows and
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -32,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import materialize, scratch_path, table
+from skerry.llm.common import materialize, new_id, scratch_path, table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 READ_DOCS = 20_000
 NULL_KEY = -(2**63)
 #: Separators for Python's split() that aren't white space for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
+#: ASCII marks that a tokenizer of words separates from letters before them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _filesystem(uri: str):
@@ -49,22 +54,36 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _letters(core: str) -> bool:
+    """Whether a word is letters and stays so when the tokenizer normalises it."""
+    return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
+
+
 class _Words(dict):
-    """word -> its ids as bytes."""
+    """word -> its ids as bytes. A full cache becomes the older generation, from which words still in use move back."""
 
-    def __init__(self, tokenizer: str) -> None:
+    def __init__(self, tokenizer: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.tokenizer, self.kind, self.older = Tokenizer.from_str(tokenizer), kind, {}
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.ids(word)
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(_MARKS)
+            if core == word and word.isascii():
+                core = word.lower()
+            if core != word and _letters(core):  # letters and marks after them are tokenised apart
+                ids = self[core] + self[word[len(core) :]] if len(core) < len(word) else self[core]
+            else:
+                ids = self.ids(word)
         if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
@@ -74,43 +93,63 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_words: dict[str, _Words] = {}
+
+
+def _encoder(job: str, tokenizer, kind: str) -> _Words:
+    """One encoder for all tasks that a Python worker runs for a job, so its cache stays warm."""
+    if job not in _words:
+        _words.clear()
+        _words[job] = _Words(tokenizer.value, kind)
+    return _words[job]
+
+
+def vocabulary_size(tokenizer_json: str) -> int:
+    """One more than the largest id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, parts: int | None = None) -> DataFrame:
     """Write the files of docs into folder, which tasks and driver share, and return the manifest."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = spark.sparkContext.broadcast(tokenizer_json)
-    end = np.array([end_id], "<u4").tobytes()
+    words, job = spark.sparkContext.broadcast(tokenizer_json), new_id()
+    wide = max(vocabulary_size(tokenizer_json), end_id + 1) > 2**16
+    kind, width, suffix = ("I", 4, "u32") if wide else ("H", 2, "u16")
+    end = array(kind, [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _filesystem(folder)
         task = TaskContext.get()
         part, own = task.partitionId(), f".{task.taskAttemptId()}"
         encoder, offsets, keys, at = None, [0], [], 0
-        names = {kind: f"{path}/{kind.split('.')[0]}-{part:06d}.{kind.split('.')[1]}" for kind in ("tokens.u32", "offsets.u64", "keys.i64")}
+        names = {k: f"{path}/{k.split('.')[0]}-{part:06d}.{k.split('.')[1]}" for k in (f"tokens.{suffix}", "offsets.u64", "keys.i64")}
         tokens = None
         for b in batches:
             if encoder is None:
                 fs.create_dir(path, recursive=True)
-                encoder, tokens = _Words(words.value), fs.open_output_stream(names["tokens.u32"] + own)
+                encoder, tokens = _encoder(job, words, kind), fs.open_output_stream(names[f"tokens.{suffix}"] + own)
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = encoder.encode(text.as_py() or "") + end
                 tokens.write(ids)
-                at += len(ids) // 4
+                at += len(ids) // width
                 offsets.append(at)
                 keys.append(NULL_KEY if key is None else key)
         if tokens is None:
             return
         tokens.close()
-        for kind, data in (("offsets.u64", np.array(offsets, "<u8")), ("keys.i64", np.array(keys, "<i8"))):
-            with fs.open_output_stream(names[kind] + own) as f:
+        for name, data in (("offsets.u64", np.array(offsets, "<u8")), ("keys.i64", np.array(keys, "<i8"))):
+            with fs.open_output_stream(names[name] + own) as f:
                 f.write(data.tobytes())
         for name in names.values():
             fs.move(name + own, name)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "documents": pa.array([len(keys)], pa.int64()), "tokens": pa.array([at], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "width": pa.array([width], pa.int32()), "documents": pa.array([len(keys)], pa.int64()), "tokens": pa.array([at], pa.int64())})
 
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    written = materialize(ordered.mapInArrow(run, "part int, documents long, tokens long"), "manifest")
+    written = materialize(ordered.mapInArrow(run, "part int, width int, documents long, tokens long"), "manifest")
     # one row a part: the window is over as many rows as there are parts
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumns({"first_token": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "first_document": F.coalesce(F.sum("documents").over(before), F.lit(0))})
@@ -128,25 +167,25 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, base in zip(b.column("part").to_pylist(), b.column("first_token").to_pylist(), strict=True):
-                ids, offsets, keys = mapped(f"tokens-{part:06d}.u32", "<u4"), mapped(f"offsets-{part:06d}.u64", "<u8").astype(np.int64), mapped(f"keys-{part:06d}.i64", "<i8")
+            for part, width, base in zip(*(b.column(c).to_pylist() for c in ("part", "width", "first_token")), strict=True):
+                ids, offsets, keys = mapped(f"tokens-{part:06d}.u{8 * width}", f"<u{width}"), mapped(f"offsets-{part:06d}.u64", "<u8").astype(np.int64), mapped(f"keys-{part:06d}.i64", "<i8")
                 for i in range(0, len(keys), READ_DOCS):
                     own, at = np.array(keys[i : i + READ_DOCS]), offsets[i : i + READ_DOCS + 1]
-                    sums = [zlib.crc32(ids[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+                    sums = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(at[:-1], at[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(own, pa.int64(), mask=own == NULL_KEY), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(sums, pa.int64()), pa.array(np.full(len(own), part, np.int32))],
                         ["doc_id", "start", "n_tokens", "ids_crc32", "part"],
                     )
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("part", "first_token").repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
+    return manifest.select("part", "width", "first_token").repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
 
 
-def tokens_of(folder: str, part: int, row: int) -> np.ndarray:
+def tokens_of(folder: str, part: int, row: int, width: int) -> np.ndarray:
     """The ids of one document, mapped from its part's files; for readers outside Spark."""
     path = _filesystem(folder)[1]
     at = np.memmap(f"{path}/offsets-{part:06d}.u64", "<u8", "r")[row : row + 2]
-    return np.memmap(f"{path}/tokens-{part:06d}.u32", "<u4", "r")[int(at[0]) : int(at[1])]
+    return np.memmap(f"{path}/tokens-{part:06d}.u{8 * width}", f"<u{width}", "r")[int(at[0]) : int(at[1])]
 
 
 def default_tokenizer() -> str:
