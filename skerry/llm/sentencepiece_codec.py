@@ -19,17 +19,19 @@ space there, and round_trip says so; a null doc_id passes through; repeated rows
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm.common import table
+from skerry.llm.common import new_id, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+PREFIX = 6
 OUT_IDS = 2_000_000
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -47,6 +49,7 @@ class Pieces:
         self.closed_marks = not any(MARK in p.lstrip(MARK) for p in self.by_text)
         self.ranks = all(float(s).is_integer() for s, _ in self.by_text.values()) if ranks is None else ranks
         self.joins: dict[tuple[str, str], bool] = {}
+        self.begun: dict[str, tuple[list, list, list]] = {}  # tables of common beginnings
         self.out = [p.encode() for p in pieces]
         for value, i in enumerate(byte_ids):
             self.out[i] = bytes([value])
@@ -91,7 +94,8 @@ def viterbi_stream(chars: Iterable[str], p: Pieces) -> Iterator[int]:
         at += 1
         tail = (tail + c)[-p.longest :]
         made: list[tuple] = []
-        for node in window:  # earliest first, so of equal scores the longest last piece stays
+        # earliest first, so of equal scores the longest last piece stays; by ranks one path at most survives, mostly a short piece
+        for node in reversed(window) if p.ranks else window:
             piece = tail[len(tail) - (at - node[1]) :]
             got = p.by_text.get(piece)
             if got is None and (len(piece) > 1 or node[1] != at - 1):
@@ -142,17 +146,52 @@ def _ids(node: tuple, root: tuple) -> list[int]:
     return [i for ids in reversed(out) for i in ids]
 
 
+def _short(text: str, p: Pieces) -> list[int]:
+    """viterbi_stream of a text no longer than its window, by merge ranks, as a plain table of the survivor at each boundary."""
+    known, joins = p.by_text, p.joins
+    begun = p.begun.get(text[:PREFIX])
+    last, back, ids = (begun[0][:], begun[1][:], begun[2][:]) if begun else ([""], [0], [()])
+    for end in range(len(last), len(text) + 1):
+        for start in range(end - 1, -1, -1):
+            piece = text[start:end]
+            if piece in known:
+                pair = (last[start], piece)
+                if joins[pair] if pair in joins else p.may_follow(*pair):
+                    ids.append((known[piece][1],))
+                    break
+            elif start == end - 1:  # never part of a longer piece or pair
+                ids.append(tuple(p.byte_ids[b] for b in piece.encode()))
+                break
+        last.append(piece)
+        back.append(start)
+        if end == PREFIX and not begun:
+            if len(p.begun) >= CACHE_WORDS // 4:
+                p.begun.clear()
+            p.begun[text[:PREFIX]] = (last[:], back[:], ids[:])
+    out, end = [], len(text)
+    while end:
+        out.append(ids[end])
+        end = back[end]
+    return [i for own in reversed(out) for i in own]
+
+
 class _Closed(dict):
-    """Ids (as little-endian 32-bit bytes) of pieces of text between known meeting points, found on first sight."""
+    """Ids (as little-endian 32-bit bytes) of pieces of text between known meeting points, found on first sight.
+
+    A full cache becomes the older generation, from which words still in use move back."""
 
     def __init__(self, pieces: Pieces, prefix: str) -> None:
-        self.pieces, self.prefix = pieces, prefix
+        self.pieces, self.prefix, self.older = pieces, prefix, {}
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = np.fromiter(viterbi_stream(self.prefix + text, self.pieces), np.int32).tobytes()
+        ids = self.older.get(text)
+        if ids is None:
+            whole = self.prefix + text
+            ids = array("i", _short(whole, self.pieces) if self.pieces.ranks and len(whole) <= self.pieces.longest else viterbi_stream(whole, self.pieces)).tobytes()
         if len(text) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
             self[text] = ids
         return ids
 
@@ -190,12 +229,24 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(job: str, vocabulary) -> Encoder:
+    """One encoder for all tasks that a Python worker runs for a job, so its cache stays warm."""
+    if job not in _encoders:
+        _encoders.clear()
+        _encoders[job] = Encoder(vocabulary.value)
+    return _encoders[job]
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_ids, ids and round_trip (the ids decode to the text) of every row; one pass, no shuffle."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_path))
+    job = new_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Encoder(vocabulary.value)
+        codec = _encoder(job, vocabulary)
         for b in batches:
             keys, texts = b.column("doc_id"), b.column("text")
             start, held, size = 0, [], 0
@@ -217,9 +268,10 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of rows that hold ids."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model_path))
+    job = new_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Encoder(vocabulary.value)
+        codec = _encoder(job, vocabulary)
         for b in batches:
             texts = [codec.decode(np.array(ids or [], np.int32)) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
