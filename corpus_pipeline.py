@@ -1,21 +1,57 @@
-"""A training-corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""A training-corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. A stage may delete the working
+tables of the stage before, as that one's result has been stored by then. All but the last return the columns of
+documents; the last returns the token ids of each text that is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skerry.llm import common, quality_classifier
+from skerry.llm import common, decontamination, jaccard_join, quality_classifier, sentencepiece_codec, suffix_dedup
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the quality classifier rejects go."""
     common.release(spark)
-    model = quality_classifier.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality_classifier.keep(docs, model)
+    return quality_classifier.keep(docs, quality_classifier.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: of documents that links join, the one with the smallest id stays."""
+    common.release(spark)
+    return jaccard_join.keep_one(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: passages of 50 words or more that stand in an earlier place are cut; texts left without a word go."""
+    common.release(spark)
+    return suffix_dedup.cut_repeats(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents that hold a test item, also an edited one, go."""
+    common.release(spark)
+    return decontamination.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: every text becomes the ids of its subword pieces."""
+    common.release(spark)
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.default_model())
 
-STAGES = [("quality", keep_quality)]
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("jaccard_join", keep_one_of_similar),
+    ("suffix_dedup", cut_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece_codec", encode),
+]
+
+#: SQL expresses neither trained models nor subword encoding; tests compare the stages with brute-force versions.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +62,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
-
-
-ORACLE_SQL = None
