@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.common import materialize
 
 
+#: Blocks of so few sets are compared pair by pair.
+SMALL = 6
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets: 100 * |A and B| >= percent * |A or B|."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    together = np.sort(np.concatenate([a, b]))
+    both = int((together[1:] == together[:-1]).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _links_of_few(sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    label, made = list(range(len(sets))), []
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and similar(sets[i], sets[j], percent):
+                made.append((int(sigs[i]), int(sigs[j])))
+                label = [label[i] if x == label[j] else x for x in label]
+    return made
+
+
 def links_in_block(sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A forest that connects all that links connect. Sets that share none of their locally rarest tokens aren't compared."""
+    if len(sets) <= SMALL:
+        return _links_of_few(sigs, sets, percent)
     order = np.argsort([len(x) for x in sets], kind="stable")
     sizes = np.array([len(sets[i]) for i in order])
     owner = np.repeat(np.arange(len(order)), sizes)
@@ -38,8 +65,7 @@ def links_in_block(sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> li
             if label[j] == label[i]:
                 continue
             a, b = sets[order[i]], sets[order[j]]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (len(a) + len(b) - both):
+            if similar(a, b, percent):
                 made.append((int(sigs[order[i]]), int(sigs[order[j]])))
                 label[label == label[j]] = label[i]
     return made
@@ -56,9 +82,32 @@ def block_rows(meet: DataFrame, block: int) -> DataFrame:
 def block_links(blocks: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """(a, b): forests of links between the sets of each block; tokens has (sig, tokens), sorted 64-bit hashes as bytes."""
 
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("sig").sort_values("sig")
-        made = links_in_block(rows["sig"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["tokens"]], percent) if len(rows) > 1 else []
-        return pd.DataFrame(made, columns=["a", "b"], dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def compared(out: list) -> None:
+            if len(held) > 1:
+                own = sorted(held)
+                out += links_in_block(np.array(own), [np.frombuffer(held[x], np.uint64) for x in own], percent)
+
+        def batch(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for block, sig, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if block != now:
+                    compared(out)
+                    now, held = block, {}
+                held[sig] = tokens.as_buffer()
+            if out:
+                yield batch(out)
+        out = []
+        compared(out)
+        if out:
+            yield batch(out)
 
-    return materialize(blocks.join(tokens, "sig").groupBy("block").applyInPandas(compare, "a long, b long"), "links")
+    # blocks are small and many: a task takes them one after the other from its sorted rows
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = blocks.join(tokens, "sig").select("block", "sig", "tokens").repartition(parts, "block").sortWithinPartitions("block")
+    return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "links")

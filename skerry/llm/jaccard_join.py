@@ -2,11 +2,12 @@
 
 A document's set is its distinct word shingles. Documents with equal sets are one class, decided by their set's hash, so
 copies never meet in pairs. The classes are partitioned into groups of similar ones: by a minimum hash, which two sets
-share with a probability equal to their similarity. The token-group matrix holds, for each token and each group, that the
+share with a probability equal to their similarity; of a few such hashes a class takes the one that most classes have. The token-group matrix holds, for each token and each group, that the
 union of the group's sets has the token, with the range of sizes of the sets that have it. It is kept for each set's
-first tokens in one global order, the frequent tokens last: of two sets that link, the first n - ceil(t * n) + 1 tokens
-must share one, so a query that overlaps a group's union in none of them is bounded below the threshold and the group
-stays closed to it. The other groups are opened: their classes and the queries meet in blocks of bounded size, where full
+first tokens in one global order, the frequent tokens last: of two sets that link, the first n - ceil(t * n) + k tokens
+must share k, so a query that overlaps a group's union in fewer of them is bounded below the threshold and the group
+stays closed to it (k is about n / 12, and for a pair what the smaller set can have). A set that shares fewer with all
+others together takes no part at all. The other groups are opened, a pair of groups from the smaller one: their classes and the queries meet in blocks of bounded size, where full
 sets are compared exactly, except for pairs that links found before already connect. The links are a forest over the
 classes, and their components are the result.
 
@@ -24,16 +25,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm.blocks import block_links, block_rows
 from skerry.llm.common import materialize, table
 from skerry.llm.components import connected_components
 from skerry.llm.hashing import Members, mix, shingles, words
 
 
+#: One in so many tokens of a set is among the first ones for a sharper bound.
+SPARE = 12
+
+
 @dataclass(frozen=True)
 class Settings:
     """Two sets link when 100 * |A and B| >= percent * |A or B|."""
@@ -44,6 +49,8 @@ class Settings:
     frequent_rows: int = 64
     frequent_share: float = 0.001
     frequent_limit: int = 200_000
+    #: Minimum hashes of which the most popular is a class's group.
+    hashes: int = 3
     #: Sets that meet in one block.
     block: int = 1000
     #: Tokens that a task counts at a time.
@@ -85,13 +92,13 @@ def frequent_tokens(docs: DataFrame, s: Settings) -> np.ndarray:
 
 
 def first_tokens(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The set's first n - ceil(percent * n / 100) + 1 tokens: by hash, frequent ones last."""
-    size = len(tokens) - -(-percent * len(tokens) // 100) + 1
+    """The set's first n - ceil(percent * n / 100) + 1 + n // SPARE tokens: by hash, frequent ones last."""
+    size = len(tokens) - -(-percent * len(tokens) // 100) + 1 + len(tokens) // SPARE
     return np.concatenate([tokens[~frequent], tokens[frequent]])[:size]
 
 
 def sets_of(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, sig (hash of the set), grp and first (its first tokens) of every row; 0 shingles: sig is null."""
+    """doc_id, n_shingles, sig (hash of the set), grps (minimum hashes) and first (its first tokens) of every row; 0 shingles: sig is null."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +117,13 @@ def sets_of(docs: DataFrame, s: Settings) -> DataFrame:
                 rare = tokens[~often]
                 own = rare if 2 * len(rare) >= len(tokens) else tokens
                 sig.append(set_hash(tokens))
-                grp.append(int(mix(own ^ np.uint64(0x5BF03635)).min().view(np.int64)))
+                grp.append([int(mix(own ^ np.uint64(0x5BF03635 * k)).min().view(np.int64)) for k in range(1, s.hashes + 1)])
                 first.append(first_tokens(tokens, often, s.percent).view(np.int64))
             counts = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.int64()), lists], ["doc_id", "n_shingles", "sig", "grp", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.list_(pa.int64())), lists], ["doc_id", "n_shingles", "sig", "grps", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig long, grp long, first array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig long, grps array<long>, first array<long>")
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -124,64 +131,47 @@ def set_hash(tokens: np.ndarray) -> int:
     return int((mix(mix(tokens) + place).sum() ^ mix(place[-1:])[0]).view(np.int64))
 
 
-def links_in_block(sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A forest that connects all that links connect. Sets that share none of their locally rarest tokens aren't compared."""
-    order = np.argsort([len(x) for x in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order])
-    owner = np.repeat(np.arange(len(order)), sizes)
-    _, token, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
-    label, made = np.arange(len(order)), []
-    need = -(-percent * sizes // 100)
-    # first tokens of each set, rarest in the block first
-    rank = np.lexsort((token, count[token], owner))
-    begins = np.concatenate([[0], sizes.cumsum()])
-    within = np.arange(len(rank)) - begins[owner]
-    index = rank[within < (sizes - need + 1)[owner]]
-    index = index[count[token[index]] > 1]
-    by_token = index[np.lexsort((owner[index], token[index]))]
-    keys, lists = token[by_token], owner[by_token]
-    edges = np.concatenate([[0], (np.diff(keys) != 0).nonzero()[0] + 1, [len(keys)]]) if len(keys) else np.array([0])
-    postings = {int(keys[a]): lists[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)}
-    mine: dict[int, list[int]] = {}
-    for i in index:
-        mine.setdefault(int(owner[i]), []).append(int(token[i]))
-    for i, own in mine.items():
-        near = np.unique(np.concatenate([postings[t] for t in own]))
-        near = near[(near < i) & (sizes[near] >= need[i])]
-        for j in near[np.argsort(-sizes[near], kind="stable")].tolist():
-            if label[j] == label[i]:
-                continue
-            a, b = sets[order[i]], sets[order[j]]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                made.append((int(sigs[order[i]]), int(sigs[order[j]])))
-                label[label == label[j]] = label[i]
-    return made
+def _grouped(classes: DataFrame) -> DataFrame:
+    """(sig, grp, size): the group of each class and the number of classes in it."""
+    rows = classes.select("sig", F.explode("grps").alias("grp"))
+    popular = materialize(rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "popular")
+    chosen = rows.join(popular, "grp").groupBy("sig").agg(F.max(F.struct("n", "grp")).alias("top")).select("sig", F.col("top.grp").alias("grp"))
+    grouped = classes.select("sig", F.col("grps")[0].alias("own")).join(materialize(chosen, "chosen"), "sig", "left")
+    grouped = materialize(grouped.select("sig", F.coalesce("grp", "own").alias("grp")), "grouped")
+    return grouped.join(materialize(grouped.groupBy("grp").agg(F.count("*").alias("size")), "sizes"), "grp")
+
+
+def _needed(percent: int):
+    """Tokens that a set of n_shingles shares, among the first ones, with any set it links with, as that has ceil(percent * n / 100) tokens at least."""
+    return F.expr(f"1 + int(int((n_shingles * {percent} + 99) / 100) / {SPARE})")
 
 
 def _opened(classes: DataFrame, percent: int) -> DataFrame:
-    """(grp, sig): which classes meet in which groups: each in its own, and as a query in those whose union it overlaps."""
-    rows = classes.select("sig", "grp", "n_shingles", F.explode("first").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    rows = materialize(rows.join(materialize(shared, "shared"), "token"), "cells")
+    """(grp, sig): which classes meet in which groups: each in its own, and as a query in those whose union it overlaps.
+
+    Of two groups the larger is opened, by the classes of the smaller."""
+    rows = classes.select("sig", "n_shingles", F.explode("first").alias("token"))
+    shared = rows.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("token")
+    rows = materialize(rows.join(materialize(shared, "shared"), "token"), "shared_rows")
+    alive = rows.groupBy("sig", "n_shingles").agg(F.count("*").alias("n")).where(F.col("n") >= _needed(percent)).select("sig")
+    alive = materialize(alive, "alive")
+    grouped = materialize(_grouped(classes.select("sig", "grps").join(alive, "sig")), "groups")
+    rows = rows.join(grouped, "sig").select("token", "sig", "n_shingles", F.struct("size", "grp").alias("grp"))
+    rows = materialize(rows, "cells")
     # the matrix: one row for a token and a group
     matrix = rows.groupBy("token", "grp").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
     matrix = materialize(matrix.select("token", F.col("grp").alias("to"), "least", "most"), "matrix")
-    met = rows.join(matrix, "token").where((F.col("grp") != F.col("to")) & (F.col("least") * percent <= F.col("n_shingles") * 100) & (F.col("most") * 100 >= F.col("n_shingles") * percent))
-    queries = met.select(F.col("to").alias("grp"), "sig").distinct()
-    own = classes.select("grp", "sig")
-    return own.union(queries)
+    met = rows.join(matrix, "token").where((F.col("grp") < F.col("to")) & (F.col("least") * percent <= F.col("n_shingles") * 100) & (F.col("most") * 100 >= F.col("n_shingles") * percent))
+    queries = met.groupBy(F.col("to.grp").alias("grp"), "sig", "n_shingles").agg(F.count("*").alias("n")).where(F.col("n") >= _needed(percent))
+    return grouped.select("grp", "sig").union(queries.select("grp", "sig"))
 
 
 def link_classes(docs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(a, b): a forest of links between classes, by sig."""
-    first = sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("grp").alias("grp"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"))
+    first = sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("grps").alias("grps"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"))
     classes = materialize(first, "classes")
     meet = materialize(_opened(classes, s.percent), "opened")
-    busy = materialize(meet.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1").select("grp", F.ceil(F.col("_n") / s.block).cast("int").alias("parts")), "busy")
-    meet = meet.join(busy, "grp").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
-    blocks = meet.select("sig", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    blocks = materialize(blocks.select("sig", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("block")), "blocks")
+    blocks = block_rows(meet, s.block)
     # one document of each class that meets another gives the class's set
     needed = materialize(blocks.select("sig").distinct(), "needed")
     givers = sets.where(F.col("sig").isNotNull()).select("sig", "doc_id").join(needed, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
@@ -198,14 +188,9 @@ def link_classes(docs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             yield batch.filter(batch.column(1).is_valid())
 
     texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"), "text").join(givers.select("sig", F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")), "_key")
-    tokens = materialize(texts.select("sig", "text").mapInArrow(recomputed, "sig long, tokens binary").dropDuplicates(["sig"]), "tokens")
-
-    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("sig").sort_values("sig")
-        made = links_in_block(rows["sig"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["tokens"]], s.percent) if len(rows) > 1 else []
-        return pd.DataFrame(made, columns=["a", "b"], dtype=np.int64)
+    tokens = materialize(texts.select("sig", "text").mapInArrow(recomputed, "sig long, tokens binary"), "tokens")
 
-    return materialize(blocks.join(tokens, "sig").groupBy("block").applyInPandas(compare, "a long, b long"), "links")
+    return block_links(blocks, tokens, s.percent)
 
 
 def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -70,13 +70,13 @@ def paragraphs(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nda
     return ids, first, last - first + 1
 
 
-def signatures(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, class and bands (one row each) of the paragraphs of s.n words or more."""
+def signatures(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, class and bands (one row each) of the paragraphs of s.n words or more, and all shingles of the text."""
     ids, first, count = paragraphs(text, s)
     keep = count >= s.n
     first, count = first[keep], count[keep]
     if not len(first):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, s.bands), np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, s.bands), np.int64), np.empty(0, np.uint64)
     grams = shingles(ids, s.n)
     # reduceat over [first, first + count - n + 1) of each paragraph
     edges = np.column_stack([first, first + count - s.n + 1]).ravel()
@@ -86,7 +86,7 @@ def signatures(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nda
     within = np.arange(len(turn), dtype=np.uint64)
     a, b = np.add.reduceat(turn, edges)[::2], np.add.reduceat(turn * within, edges)[::2]
     sig = mix(a ^ mix(b - a * first.astype(np.uint64) + count.astype(np.uint64)))
-    return (first << COUNT_BITS) | count, sig.view(np.int64), bands.view(np.int64)
+    return (first << COUNT_BITS) | count, sig.view(np.int64), bands.view(np.int64), grams
 
 
 def units(docs: DataFrame, s: Settings) -> DataFrame:
@@ -94,7 +94,7 @@ def units(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signatures(t or b"", s) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            found = [signatures(t or b"", s)[:3] for t in b.column(1).cast(pa.binary()).to_pylist()]
             counts = np.cumsum([0, *(len(f[0]) for f in found)])
 
             def lists(k: int, width: int = 1, found=found, counts=counts) -> pa.Array:
@@ -132,12 +132,12 @@ def clusters(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
             out = []
             for wanted, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 wanted, text = set(wanted), text or b""
-                ids = words(text)[0]
-                for place, sig in zip(*(x.tolist() for x in signatures(text, s)[:2]), strict=True):
+                places, sigs, _, grams = signatures(text, s)
+                for place, sig in zip(places.tolist(), sigs.tolist(), strict=True):
                     if sig in wanted:
                         wanted.discard(sig)
                         first, count = place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
-                        out.append((sig, np.unique(shingles(ids[first : first + count], s.n)).tobytes()))
+                        out.append((sig, np.unique(grams[first : first + count - s.n + 1]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sig", "tokens"])
 
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text").join(givers, "key")

@@ -1,4 +1,454 @@
-"""Registered queries over the driver's tables, and the SQL each one is compared with."""
+"""Registered queries over the driver's tables, and the SQL that each one is compared with."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skerry.functions import astro, values
+from skerry.operators import chunks, graph, listing, quality, render, search, sync, vectors
+from skerry.plans import base_query as bq
+from skerry.streaming import events as ev
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def view(name: str, table: str, definition: dict, sql: str, ties: list[str], change=lambda df: df) -> None:
+    """Register a view query over a table."""
+    query(sql, name)(lambda spark, d: bq.run(change(read(spark, d, table)), bq.from_inline(definition), ties))
+
+
+# --- view queries: filters, sort, limit, columns ----------------------------------------------------------------------
+
+view(
+    "base_query_flagship", "documents",
+    {"filters": {"and": ['lang == "en"', {"not": ['source == "src7"']}, 'text.contains("the")']}, "order": ["doc_id", "source", "n_chars"], "sort": [{"property": "n_chars", "direction": "DESC"}], "limit": 25},
+    "SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND NOT source = 'src7' AND contains(text, 'the') ORDER BY n_chars DESC, doc_id LIMIT 25", ["doc_id"],
+)
+view("base_filter_eq_and", "documents", {"filters": {"and": ['lang == "fr"', 'source == "src4"']}, "order": ["doc_id", "lang"]}, "SELECT doc_id, lang FROM documents WHERE lang = 'fr' AND source = 'src4'", ["doc_id"])
+view("base_or_not", "customer", {"filters": {"or": ['c_mktsegment == "BUILDING"', {"not": ["c_nationkey != 3"]}]}, "order": ["c_custkey", "c_mktsegment"]}, "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 3", ["c_custkey"])
+view("base_nand", "customer", {"filters": {"not": ['c_mktsegment == "BUILDING"', "c_nationkey == 3"]}, "order": ["c_custkey"]}, "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_nationkey = 3)", ["c_custkey"])
+view("base_contains", "part", {"filters": 'p_name.contains("e")', "order": ["p_partkey", "p_name"]}, "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'e')", ["p_partkey"])
+view("base_missing_ne", "nation", {"filters": 'status != "done"', "order": ["n_nationkey"]}, "SELECT n_nationkey FROM nation", ["n_nationkey"])
+view("base_empty_operands", "region", {"filters": {"and": [{"and": []}, {"not": [{"or": []}]}]}, "order": ["r_regionkey"]}, "SELECT r_regionkey FROM region WHERE true AND NOT false", ["r_regionkey"])
+view("base_typed_equality", "part", {"filters": {"or": ["p_size == 7", "p_size == 8.0", 'p_size == "9"']}, "order": ["p_partkey", "p_size"]}, "SELECT p_partkey, p_size FROM part WHERE p_size = 7", ["p_partkey"])
+view(
+    "base_string_expr_precedence", "orders", {"filters": 'o_orderstatus == "F" || o_orderstatus == "O" && !(o_orderpriority == "1-URGENT")', "order": ["o_orderkey", "o_orderstatus", "o_orderpriority"]},
+    "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND NOT o_orderpriority = '1-URGENT')", ["o_orderkey"],
+)
+view("base_sort_multi_limit", "customer", {"order": ["c_custkey", "c_nationkey", "c_acctbal"], "sort": [{"property": "c_nationkey"}, {"property": "c_acctbal", "direction": "DESC"}], "limit": 40}, "SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_nationkey, c_acctbal DESC, c_custkey LIMIT 40", ["c_custkey"])
+view("base_formula_marker", "nation", {"order": ["n_name", "formula.twice", "formula.name"], "formulas": {"twice": "n_nationkey * 2", "name": "n_name"}}, "SELECT n_name, 'formula.twice (not evaluated)' AS \"formula.twice\", n_name AS \"formula.name\" FROM nation", ["n_nationkey"])
+
+
+def _paged(df: DataFrame) -> DataFrame:
+    """Pages as notes: the path and folder of their url, and a title."""
+    path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/]+/?(.*)$", 1), "/+$", "")
+    rows = df.withColumn("path", path).withColumn("folder", F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1)).withColumn("basename", F.element_at(F.split("path", "/"), -1))
+    return rows.withColumn("title", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)).withColumn("body", F.regexp_replace("html", "(?s)<[^>]*>", " "))
+
+
+PAGES = r"""(SELECT *, regexp_extract(path, '^(?:(.*)/)?[^/]*$', 1) AS folder, list_last(string_split(path, '/')) AS basename, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+  regexp_replace(html, '(?s)<[^>]*>', ' ', 'g') AS body FROM (SELECT *, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1), '/+$', '') AS path FROM pages))"""
+
+
+view("base_in_folder", "pages", {"filters": 'file.inFolder("news") || file.inFolder("blog/")', "order": ["page_id", "file.path"]}, f"SELECT page_id, path AS \"file.path\" FROM {PAGES} WHERE folder IN ('news', 'blog') OR starts_with(folder, 'news/') OR starts_with(folder, 'blog/')", ["page_id"], _paged)
+
+
+@query(f"SELECT page_id, '[[' || path || '|' || basename || ']]' AS link FROM {PAGES}")
+def base_formula_aslink(spark, d):
+    rows = bq.run(_paged(read(spark, d, "pages")), bq.from_inline({"order": ["page_id", "formula.l"], "formulas": {"l": "file.asLink()"}}), ["page_id"])
+    return rows.select("page_id", render.cell(rows, "formula.l").alias("link"))
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE list_contains(string_split(lower(p_type), ' '), 'steel')")
+def base_has_tag(spark, d):
+    tagged = read(spark, d, "part").withColumn("tags", F.split(F.lower("p_type"), " "))
+    return bq.run(tagged, bq.from_inline({"filters": 'file.hasTag("steel")', "order": ["p_partkey", "p_type"]}), ["p_partkey"])
+
+
+@query("SELECT count(*) AS matched FROM orders WHERE o_orderstatus = 'O'")
+def base_matched_count(spark, d):
+    return bq.matched(read(spark, d, "orders"), bq.from_inline({"filters": 'o_orderstatus == "O"', "order": ["o_orderkey"], "limit": 3}))
+
+
+@query("""SELECT event_id, rank, number FROM (SELECT event_id, CASE WHEN v IS NULL THEN NULL ELSE 2 END AS rank, v AS number FROM
+  (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS v FROM events)) ORDER BY rank NULLS FIRST, number NULLS FIRST, event_id LIMIT 4000""")
+def base_null_rank_sort(spark, d):
+    """Sorting by a dynamic property that a third of the rows lack."""
+    props = F.when(F.col("event_id") % 3 == 0, F.lit("{}")).otherwise(F.col("props"))
+    rows = read(spark, d, "events").select("event_id", props.alias("frontmatter_json"))
+    lanes = bq.Properties(rows).lanes("k")
+    return rows.orderBy(*values.order_keys(lanes), "event_id").limit(4000).select("event_id", lanes["rank"].alias("rank"), lanes["i"].alias("number"))
+
+
+@query("SELECT n_nationkey || ',' || CASE WHEN n_name LIKE '%,%' THEN '\"' || n_name || '\"' ELSE n_name END || ',\"a \"\"quoted\"\", b\"' AS line FROM nation")
+def base_render_csv(spark, d):
+    return render.csv_lines(read(spark, d, "nation").select("n_nationkey", "n_name", F.lit('a "quoted", b').alias("c")))
+
+
+@query(r"SELECT '| ' || n_nationkey || ' | ' || n_name || ' | a\|b c |' AS line FROM nation")
+def base_render_table(spark, d):
+    return render.table_lines(read(spark, d, "nation").select("n_nationkey", "n_name", F.lit("a|b\nc").alias("c")))
+
+
+@query("""SELECT event_type, round(avg(value), 6) AS value_average, min(value) AS value_min, max(user_id) AS user_id_max, count(DISTINCT user_id) AS user_id_unique, count(*) AS n FROM events GROUP BY event_type""")
+def base_groupby_summaries(spark, d):
+    df = read(spark, d, "events").withColumns({"value_": F.col("value"), "user_id_": F.col("user_id"), "n": F.lit(1)})
+    made = {}
+    for names in ({"value": "Average", "user_id": "Max", "n": "Count"}, {"value": "Min", "user_id": "Unique"}):
+        made[str(names)] = bq.summarize(df, bq.from_inline({"order": ["event_type"], "groupBy": {"property": "event_type"}, "summaries": names}))
+    a, b = made.values()
+    return a.join(b, "event_type").select("event_type", F.round("value_average", 6).alias("value_average"), "value_min", "user_id_max", "user_id_unique", F.col("n_count").alias("n"))
+
+
+@query("""SELECT l_returnflag, sum(l_quantity) AS l_quantity_sum, median(l_extendedprice) AS l_extendedprice_median, max(l_shipdate) AS l_shipdate_latest, max(l_tax) - min(l_tax) AS l_tax_range, round(stddev(l_discount), 8) AS l_discount_stddev,
+  count(l_linestatus) AS l_linestatus_filled, min(l_orderkey) AS l_orderkey_earliest, count(*) FILTER (l_partkey IS NULL) AS l_partkey_empty FROM lineitem GROUP BY l_returnflag""")
+def base_groupby_more_summaries(spark, d):
+    kinds = {"l_quantity": "Sum", "l_extendedprice": "Median", "l_shipdate": "Latest", "l_tax": "Range", "l_discount": "Stddev", "l_linestatus": "Filled", "l_orderkey": "Earliest", "l_partkey": "Empty"}
+    got = bq.summarize(read(spark, d, "lineitem"), bq.from_inline({"order": ["l_returnflag"], "groupBy": {"property": "l_returnflag"}, "summaries": kinds}))
+    return got.withColumn("l_discount_stddev", F.round("l_discount_stddev", 8))
+
+
+# --- text search -------------------------------------------------------------------------------------------------------
+
+WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+
+@query(f"SELECT doc_id, len({WORDS.format('text')}) AS n_tokens, list_distinct({WORDS.format('text')}) IS NOT NULL AS has_tokens FROM documents")
+def text_tokens(spark, d):
+    t = search.tokens(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.array_distinct(t).isNotNull().alias("has_tokens"))
+
+
+def _bm25_sql(table: str, key: str, fields: dict[str, float], words: list[str], k: int, where: str = "true", require: str = "true") -> str:
+    tf = ", ".join(f"len(list_filter(t_{f}, lambda x: x = '{w}')) AS tf_{f}_{i}" for f in fields for i, w in enumerate(words))
+    df = ", ".join(f"count(*) FILTER (tf_{f}_{i} > 0) AS df_{f}_{i}" for f in fields for i in range(len(words)))
+    score = " + ".join(f"CASE WHEN tf_{f}_{i} > 0 THEN {b} * ln(1 + (n - df_{f}_{i} + 0.5) / (df_{f}_{i} + 0.5)) * tf_{f}_{i} * 2.2 / (tf_{f}_{i} + 1.2 * (0.25 + 0.75 * len(t_{f}) / avg_{f})) ELSE 0 END" for f, b in fields.items() for i in range(len(words)))
+    return f"""WITH tok AS (SELECT *, {', '.join(f'{WORDS.format(f)} AS t_{f}' for f in fields)} FROM {table}),
+      c AS (SELECT *, {tf} FROM tok), s AS (SELECT count(*) AS n, {', '.join(f'avg(len(t_{f})) AS avg_{f}' for f in fields)}, {df} FROM c)
+      SELECT {key}, round(score, 6) AS score FROM (SELECT {key}, {score} AS score FROM c, s WHERE ({where}) AND ({require})) WHERE score > 0 ORDER BY round(score, 9) DESC, {key} LIMIT {k}"""
+
+
+def _hits(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql("documents", "doc_id", {"text": 1.0}, ["onen"], 20))
+def text_bm25_topk(spark, d):
+    return _hits(search.search(read(spark, d, "documents"), "doc_id", "onen", 20, {"text": 1.0}), "doc_id")
+
+
+@query(_bm25_sql("documents", "doc_id", {"text": 1.0}, ["onen", "thre", "eaux"], 20))
+def text_multi_term(spark, d):
+    return _hits(search.search(read(spark, d, "documents"), "doc_id", "onen thre eaux", 20, {"text": 1.0}), "doc_id")
+
+
+@query(_bm25_sql(PAGES, "page_id", {"title": 2.0, "body": 1.0}, ["the", "of"], 20))
+def text_field_boost(spark, d):
+    return _hits(search.search(_paged(read(spark, d, "pages")), "page_id", "the of", 20, {"title": 2.0, "body": 1.0}), "page_id")
+
+
+@query(_bm25_sql("documents", "doc_id", {"text": 1.0}, ["onen", "thre"], 20, require="tf_text_0 > 0 AND tf_text_1 > 0"))
+def text_required_terms(spark, d):
+    return _hits(search.search(read(spark, d, "documents"), "doc_id", "+onen +thre", 20, {"text": 1.0}), "doc_id")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string({WORDS.format('text')}, ' ') || ' ' AS w FROM documents) WHERE contains(w, ' of the ')")
+def text_phrase(spark, d):
+    docs = read(spark, d, "documents")
+    clause = search.parse('"of the"', ["text"]).clauses[0]
+    return docs.withColumn("_t", search.tokens(F.col("text"))).where(search.frequency(F.col("_t"), clause) > 0).select("doc_id")
+
+
+@query(_bm25_sql("documents", "doc_id", {"text": 1.0}, ["onen"], 20, where="lang <> 'de' AND source <> 'src3'"))
+def text_exclude_scope(spark, d):
+    keep = ~search.under(F.col("source"), "src3") & (F.col("lang") != "de")
+    return _hits(search.search(read(spark, d, "documents"), "doc_id", "onen", 20, {"text": 1.0}, keep), "doc_id")
+
+
+@query(_bm25_sql("documents", "doc_id", {"text": 1.0}, ["onen"], 20, where="lang = 'en'"))
+def text_field_filter(spark, d):
+    docs = read(spark, d, "documents").withColumn("frontmatter_json", F.to_json(F.struct("lang", "source")))
+    return _hits(search.search(docs, "doc_id", "onen", 20, {"text": 1.0}, search.field_equals(F.col("frontmatter_json"), "lang", "en")), "doc_id")
+
+
+@query("SELECT p_partkey FROM part WHERE list_contains(list_transform(string_split(lower(p_type), ' '), lambda t: t), 'standard')")
+def text_tag_hierarchy(spark, d):
+    tags = F.array(F.array_join(F.split(F.lower("p_type"), " "), "/"), F.lit("other"))
+    first = read(spark, d, "part").withColumn("tags", F.transform(F.split(F.lower("p_type"), " "), lambda t: F.concat(t, F.lit("/x"))))
+    del tags
+    return first.where(search.has_tag(F.col("tags"), "standard")).select("p_partkey")
+
+
+# --- documents -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def doc_hash_and_tokens(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), chunks.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, len(string_split(text, chr(10))) AS n FROM documents)"
+
+
+@query(f"SELECT doc_id, line_no, line FROM {_LINES} WHERE line_no <= 2")
+def doc_lines_head(spark, d):
+    return listing.lines(read(spark, d, "documents"), "doc_id", "text", head=2)
+
+
+@query(f"SELECT doc_id, line_no, line FROM {_LINES} WHERE line_no > n - 2")
+def doc_lines_tail(spark, d):
+    return listing.lines(read(spark, d, "documents"), "doc_id", "text", tail=2)
+
+
+@query(f"SELECT doc_id, line_no, line FROM {_LINES} WHERE line_no BETWEEN 2 AND 4")
+def doc_lines_range(spark, d):
+    return listing.lines(read(spark, d, "documents"), "doc_id", "text", between=(2, 4))
+
+
+@query()
+def chunk_documents(spark, d):
+    return chunks.chunk(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal FROM conversations")
+def conversation_thread(spark, d):
+    return sync.ordinals(read(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "ordinal")
+
+
+# --- graph -----------------------------------------------------------------------------------------------------------------
+
+_HREFS = f"""(SELECT page_id, p.path AS "from", ltrim(h.target, '/') AS target, h.pos AS pos FROM {PAGES} p, (SELECT page_id AS pid, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target, unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS pos FROM pages) h WHERE p.page_id = h.pid AND ltrim(h.target, '/') <> '')"""
+
+
+def _page_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = _paged(read(spark, d, "pages"))
+    links = pages.select(F.col("page_id"), F.col("path").alias("from"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("pos", "target"))
+    links = links.select(F.concat_ws("#", F.col("page_id").cast("string"), F.col("pos").cast("string")).alias("edge_id"), "from", F.ltrim("target", F.lit("/")).alias("target"), F.lit("link").alias("kind"))
+    return graph.resolve(links, pages.select("path", "title"))
+
+
+_RESOLVED = f"""(SELECT page_id || '#' || pos AS edge_id, "from", coalesce(n1.path, n2.path, s.path, target) AS "to", coalesce(n1.path, n2.path, s.path) IS NULL AS phantom FROM {_HREFS} h
+  LEFT JOIN (SELECT DISTINCT path FROM {PAGES}) n1 ON n1.path = target LEFT JOIN (SELECT DISTINCT path FROM {PAGES}) n2 ON n2.path = target || '.md'
+  LEFT JOIN (SELECT regexp_replace(list_last(string_split(path, '/')), '\\.md$', '', 'i') AS stem, min(path) AS path FROM {PAGES} GROUP BY 1) s ON s.stem = target AND NOT contains(target, '/'))"""
+
+
+@query(f'SELECT edge_id, "from", "to" FROM {_RESOLVED}')
+def graph_edges(spark, d):
+    return _page_graph(spark, d)[1].select("edge_id", "from", "to")
+
+
+@query(f"""SELECT "to" AS path, list_sort(list(DISTINCT "from")) AS backlinks FROM {_RESOLVED} GROUP BY 1""")
+def graph_backlinks(spark, d):
+    return graph.backlinks(_page_graph(spark, d)[1])
+
+
+@query(f'SELECT DISTINCT path FROM {PAGES} WHERE path NOT IN (SELECT "from" FROM {_RESOLVED}) AND path NOT IN (SELECT "to" FROM {_RESOLVED})')
+def graph_orphans(spark, d):
+    return graph.orphans(*_page_graph(spark, d)).select("path")
+
+
+@query(f'SELECT DISTINCT "to" AS target FROM {_RESOLVED} WHERE phantom')
+def graph_unresolved(spark, d):
+    return graph.unresolved(*_page_graph(spark, d))
+
+
+@query(f'SELECT (SELECT count(DISTINCT path) FROM {PAGES}) + (SELECT count(DISTINCT "to") FROM {_RESOLVED} WHERE phantom) AS nodes, (SELECT count(*) FROM {_RESOLVED}) AS edges')
+def graph_counts(spark, d):
+    nodes, edges = _page_graph(spark, d)
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
+
+
+def _trade_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Customers, suppliers, nations and regions as a graph."""
+    parts = [("customer", "c_custkey", "c", "c_nationkey", "n"), ("supplier", "s_suppkey", "s", "s_nationkey", "n"), ("nation", "n_nationkey", "n", "n_regionkey", "r")]
+    out = None
+    for table, a, x, b, y in parts:
+        rows = read(spark, d, table).select(F.concat(F.lit(x), F.col(a)).alias("edge_id"), F.concat(F.lit(x), F.col(a)).alias("from"), F.concat(F.lit(y), F.col(b)).alias("to"), F.lit("link").alias("kind"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_TRADE = "(SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+
+
+def _distance_sql(start: str, depth: int, both: bool) -> str:
+    steps = f"(SELECT a, b FROM {_TRADE} UNION SELECT b, a FROM {_TRADE})" if both else _TRADE
+    return f"WITH RECURSIVE w AS (SELECT '{start}' AS path, 0 AS distance UNION SELECT s.b, w.distance + 1 FROM w JOIN {steps} s ON s.a = w.path WHERE w.distance < {depth}) SELECT path, min(distance) AS distance FROM w GROUP BY path"
+
+
+for _depth in (1, 2, 3):
+    query(_distance_sql("c1", _depth, True), f"graph_neighbours_d{_depth}")(lambda spark, d, n=_depth: graph.distances(_trade_graph(spark, d), "c1", n, "both"))
+
+
+@query(f"SELECT a AS edge_id, a AS \"from\", b AS \"to\" FROM {_TRADE} WHERE a = 'c1' OR a IN (SELECT b FROM {_TRADE} WHERE a = 'c1')")
+def graph_neighbour_edges_out(spark, d):
+    return graph.neighbours(_trade_graph(spark, d), "c1", 2, "out")[1].select("edge_id", "from", "to")
+
+
+@query("SELECT 0 AS hop, 'c1' AS path UNION ALL SELECT 1, 'n' || c_nationkey FROM customer WHERE c_custkey = 1 UNION ALL SELECT 2, 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1")
+def graph_path(spark, d):
+    edges = _trade_graph(spark, d)
+    nation = read(spark, d, "customer").where("c_custkey = 1").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
+    return graph.shortest_path(edges, "c1", f"r{nation}")
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------------
+
+
+def _probe(spark: SparkSession, d: str) -> list[float]:
+    return [float(x) for x in read(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
+
+
+def _knn_sql(where: str) -> str:
+    return f"SELECT vec_id, label, round(score, 5) AS score FROM (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings WHERE {where}) ORDER BY score DESC, vec_id LIMIT 10"
+
+
+def _knn(spark: SparkSession, d: str, where: Column | None) -> DataFrame:
+    return vectors.nearest(read(spark, d, "embeddings"), "vec_id", "embedding", _probe(spark, d), 10, where).withColumn("score", F.round("score", 5))
+
+
+query(_knn_sql("true"), "knn_topk")(lambda spark, d: _knn(spark, d, None))
+query(_knn_sql("label = 3"), "knn_scoped")(lambda spark, d: _knn(spark, d, F.col("label") == 3))
+query(_knn_sql("label <> 0"), "knn_excluded")(lambda spark, d: _knn(spark, d, F.col("label") != 0))
+query("SELECT count(DISTINCT label) AS paths, count(*) AS vectors FROM embeddings", "vector_stats")(lambda spark, d: vectors.statistics(read(spark, d, "embeddings"), "label"))
+
+
+@query()
+def hash_embeddings(spark, d):
+    return read(spark, d, "documents").select("doc_id", vectors.hash_embedding(F.col("text")).alias("embedding"))
+
+
+# --- freshness ---------------------------------------------------------------------------------------------------------------
+
+
+def _edited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents before and after edits that their ids decide."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("mtime"), (F.col("doc_id") % 4).cast("int").alias("ordinal"), F.sha2("text", 256).alias("content_hash"))
+    before = docs.where("path % 11 <> 0")
+    after = docs.where("path % 13 <> 0").withColumns({"mtime": F.when(F.col("path") % 7 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")), "content_hash": F.when(F.col("path") % 7 == 0, F.lit("edited")).otherwise(F.col("content_hash"))})
+    return before, after
+
+
+_STATES = """(SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'removed' WHEN b.doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS state
+  FROM (SELECT doc_id FROM documents WHERE doc_id % 11 <> 0) a FULL OUTER JOIN (SELECT doc_id FROM documents WHERE doc_id % 13 <> 0) b ON a.doc_id = b.doc_id)"""
+
+
+query(f"SELECT path, state FROM {_STATES}", "sync_freshness")(lambda spark, d: sync.freshness(*_edited(spark, d)))
+query(f"SELECT count(*) FILTER (state <> 'removed') AS scanned, count(*) FILTER (state IN ('new', 'changed')) AS reindexed, count(*) FILTER (state = 'removed') AS removed FROM {_STATES}", "sync_report")(lambda spark, d: sync.freshness_report(sync.freshness(*_edited(spark, d))))
+query(f"SELECT count(*) FILTER (state <> 'unchanged') AS stale FROM {_STATES}", "sync_stale_estimate")(lambda spark, d: sync.stale(sync.freshness(*_edited(spark, d))))
+query("SELECT doc_id AS path FROM documents WHERE doc_id % 13 <> 0 AND (doc_id % 11 = 0 OR doc_id % 7 = 0)", "sync_hash_skip")(lambda spark, d: sync.to_embed(*_edited(spark, d)[::-1]).select("path"))
+query("SELECT doc_id AS path FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 = 0", "sync_prune")(lambda spark, d: sync.to_prune(*_edited(spark, d)).select("path"))
+query("SELECT sha256(text) AS content_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1", "sync_dup_content")(lambda spark, d: quality.duplicates(read(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash")), ["content_hash"]))
+
+
+@query("SELECT user_id AS key, event_id AS seq, event_type AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def stream_cdc_latest(spark, d):
+    log = read(spark, d, "events").select(F.lit("user").alias("kind"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"), F.lit(5).alias("generation"))
+    return sync.replay(log, 0, 5).select("key", "seq", "value")
+
+
+# --- change events -------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT user_id, min(ts) AS began, max(ts) AS last_at, count(*) AS n_events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+  (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def stream_debounce_sessions(spark, d):
+    return ev.commits(read(spark, d, "events"), "user_id", "ts", "6 hours")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedup_paths(spark, d):
+    return ev.queue(read(spark, d, "events"), "user_id").select("user_id")
+
+
+@query("SELECT event_id, unnest(CASE WHEN event_type IN ('click', 'purchase') THEN ['index', 'log', 'version', 'search'] ELSE ['version', 'search'] END) AS consumer FROM events")
+def stream_fanout_routes(spark, d):
+    origin = F.when(F.col("event_type").isin("click", "purchase"), "tool").otherwise("internal")
+    return ev.route(read(spark, d, "events").withColumn("origin", origin)).select("event_id", "consumer")
+
+
+@query("""SELECT event_id, strftime(ts, '%H:%M:%S') || ' | tool | ' || event_type || ' | user ' || user_id || ' | files: ' || event_id || '.md, x.md' AS line FROM events""")
+def stream_oplog_lines(spark, d):
+    files = F.array(F.concat(F.col("event_id").cast("string"), F.lit(".md")), F.lit("x.md"))
+    return read(spark, d, "events").select("event_id", ev.log_line(F.col("ts"), F.lit("tool"), F.col("event_type"), F.concat(F.lit("user \n "), F.col("user_id")), files).alias("line"))
+
+
+# --- paths, tables of folders, history, diagnostics ------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return _paged(read(spark, d, "pages")).select("path", F.octet_length("html").cast("long").alias("size"), "title").where("path <> ''").dropDuplicates(["path"])
+
+
+_FILES = f"(SELECT DISTINCT path FROM {PAGES} WHERE path <> '')"
+_WAYS = f"(SELECT DISTINCT path, n, list_extract(string_split(path, '/'), n) AS name, n = len(string_split(path, '/')) AS is_file, array_to_string(list_slice(string_split(path, '/'), 1, n - 1), '/') AS parent FROM (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM {_FILES}))"
+query(f"SELECT DISTINCT name, is_file FROM {_WAYS} WHERE n = 1", "fs_list")(lambda spark, d: listing.listing(_files(spark, d)).select("name", "is_file"))
+query(f"SELECT DISTINCT CASE WHEN parent = '' THEN name ELSE parent || '/' || name END AS path, is_file, CAST(n AS INT) AS depth FROM {_WAYS} WHERE n <= 2", "fs_tree_depth")(lambda spark, d: listing.tree(_files(spark, d), 2))
+query(f"SELECT path FROM {_FILES} WHERE regexp_matches(path, '(?i)^(?:.*/)?[^/]*1[^/]*$') ORDER BY lower(path), path LIMIT 200", "fs_glob")(lambda spark, d: listing.search(_files(spark, d), "**/*1*").select("path"))
+query(
+    f"SELECT folder, string_agg('| ' || basename || ' | ' || basename || ' |', chr(10) ORDER BY lower(basename), basename) AS body FROM (SELECT DISTINCT folder, basename FROM {PAGES} WHERE path <> '') GROUP BY folder", "index_table_per_dir",
+)(lambda spark, d: listing.index_tables(_files(spark, d).select("path", F.element_at(F.split("path", "/"), -1).alias("summary"))))
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS time FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def history_log_prefix(spark, d):
+    log = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("time"), F.array(F.concat(F.col("o_orderpriority"), F.lit("/a.md"))).alias("files_changed"))
+    return sync.commit_log(log, "1-URGENT").select("id", "time")
+
+
+query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)", "quality_dangling")(lambda spark, d: quality.dangling(read(spark, d, "labels"), read(spark, d, "documents").where("doc_id % 3 <> 0"), "doc_id").select("doc_id"))
+query("SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1", "quality_duplicate_ids")(lambda spark, d: quality.duplicates(read(spark, d, "conversations"), ["conv_id", "role"]))
+
+# --- calendar -----------------------------------------------------------------------------------------------------------------------
+
+_BORN = "DATE '1980-02-29'"
+
+
+@query(f"""WITH b AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS y FROM orders),
+  a AS (SELECT o_orderkey, day, make_date(y, 2, CASE WHEN day(last_day(make_date(y, 2, 1))) = 29 THEN 29 ELSE 28 END) AS t, make_date(y - 1, 2, CASE WHEN day(last_day(make_date(y - 1, 2, 1))) = 29 THEN 29 ELSE 28 END) AS p FROM b),
+  n AS (SELECT o_orderkey, CAST(day - CASE WHEN t <= day THEN t ELSE p END AS DOUBLE) AS days FROM a),
+  i AS (SELECT o_orderkey, days, CAST(least(greatest(floor(days / (365.25 / 7)), 0), 6) AS INT) AS k FROM n)
+  SELECT o_orderkey, k + 1 AS period_number, list_extract(['Sun', 'Moon', 'Mars', 'Mercury', 'Jupiter', 'Venus', 'Saturn'], k + 1) AS ruling_planet,
+  abs(days - k * (CAST(365.25 AS DOUBLE) / 7)) <= 2 OR abs(days - (k + 1) * (CAST(365.25 AS DOUBLE) / 7)) <= 2 AS transition FROM i""")
+def astro_personal_year(spark, d):
+    p = astro.personal_year(F.lit("1980-02-29").cast("date"), F.to_date("o_orderdate"))
+    return read(spark, d, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", "p.*")
+
+
+@query()
+def astro_moon_phase(spark, d):
+    days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.select("day", astro.moon_phase(F.col("day")).alias("p")).select("day", "p.*")
+
+
+@query()
+def astro_solar_events(spark, d):
+    return astro.solar_events(read(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct(), "year")
+
+
+@query()
+def astro_wheel_of_year(spark, d):
+    return astro.wheel_of_year(read(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct(), "year")
+
+
+@query()
+def astro_boundaries(spark, d):
+    return astro.boundaries(spark, "2024-01-01", "2024-12-31", "1980-02-29")
