@@ -181,7 +181,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(has_base, F.regexp_instr(text, F.lit(base))).otherwise(0).alias("_first"),
         F.when(has_base, F.regexp_extract(text, "(?s)^(.*)" + base, 1)).alias("_before_last"),
         F.when(has_base, F.array_sort(F.filter(F.array(*(F.when(F.regexp_like(text, F.lit(whole(phrase(p)))), F.lit(v)) for p, v in BASE.items())), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>")).alias("_base"),
-        F.when(has_base, text).alias("_text"),
+        F.when(has_base, text).alias("_base_text"),  # not _text: lambdas would take it for their column
         found.alias("_found"),
     )
     some = F.col("n_base") > 0
@@ -190,7 +190,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         "n_base",
-        F.when(some, n_words(F.substring(F.col("_text"), F.lit(1), F.col("_first") - 1))).alias("first_word"),
+        F.when(some, n_words(F.substring(F.col("_base_text"), F.lit(1), F.col("_first") - 1))).alias("first_word"),
         F.when(some, n_words(F.col("_before_last"))).alias("last_word"),
         F.concat_ws(",", "_base").alias("base_labels"),
         F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(F.col("_base"), F.transform("_found", lambda x: x["label"]))))).alias("labels"),
