@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.common import materialize
+from skerry.llm.workers import tidy
 
 
 #: Blocks of so few sets are compared pair by pair.
@@ -79,8 +80,8 @@ def block_rows(meet: DataFrame, block: int) -> DataFrame:
     return materialize(blocks.select("sig", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("block")), "blocks")
 
 
-def block_links(blocks: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(a, b): forests of links between the sets of each block; tokens has (sig, tokens), sorted 64-bit hashes as bytes."""
+def block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): forests of links between the sets of each block; rows has (block, sig, tokens), tokens as sorted 64-bit hashes in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -108,6 +109,6 @@ def block_links(blocks: DataFrame, tokens: DataFrame, percent: int) -> DataFrame
             yield batch(out)
 
     # blocks are small and many: a task takes them one after the other from its sorted rows
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = blocks.join(tokens, "sig").select("block", "sig", "tokens").repartition(parts, "block").sortWithinPartitions("block")
-    return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("block", "sig", "tokens").repartition(parts, "block").sortWithinPartitions("block")
+    return materialize(rows.mapInArrow(tidy(run), "a long, b long").distinct(), "links")

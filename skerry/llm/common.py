@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows below which a lookup table is broadcast; beyond it the lookup is a shuffle join.
 BROADCAST_ROWS = 20_000
+#: The same for rows of two numbers, which take 16 bytes each.
+BROADCAST_KEYS = 200_000
 _scratch: list[str] = []
 
 
@@ -45,11 +47,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table made so far; only for callers that have stored all results built on them."""
-    jvm = spark._jvm
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+def made() -> int:
+    """How many scratch tables there are, as a mark for release()."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
+    """Delete the scratch tables between two marks, else all made so far; only once all results built on them are stored."""
+    gone = _scratch[first:end]
+    del _scratch[first:end]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.common import table
+from skerry.llm.workers import tidy
 
 CACHE_WORDS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -194,7 +195,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, s: Settings) -> Iterator[Se
             yield pa.RecordBatch.from_arrays([pa.array(test.members[seen].view(np.int64)), pa.array(total[seen])], ["gram", "n"])
 
         # as many rows as the block has n-grams
-        counts = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
+        counts = docs.select("text").mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
         yield Searcher(items, rare_seeds(items, {g % 2**64: n for g, n in counts}, s), s)
 
 
@@ -216,7 +217,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
                     columns = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "first_word", "last_word"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -232,7 +233,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
                 clean = [not sent.value.find(text) for text in b.column(at).cast(pa.binary()).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(tidy(run), docs.schema)
     return kept
 
 

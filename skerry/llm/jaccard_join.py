@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.blocks import block_links, block_rows
-from skerry.llm.common import materialize, table
+from skerry.llm.common import BROADCAST_KEYS, made, materialize, release, small_lookup, table
 from skerry.llm.components import connected_components
 from skerry.llm.hashing import Members, mix, shingles, words
+from skerry.llm.workers import tidy
 
 
 #: One in so many tokens of a set is among the first ones for a sharper bound.
@@ -82,7 +83,7 @@ def frequent_tokens(docs: DataFrame, s: Settings) -> np.ndarray:
         if held:
             yield counted()
 
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where(F.col("n") >= s.frequent_rows), "frequent")
     least = max(s.frequent_rows, int(s.frequent_share * docs.count()))
     while counts.where(F.col("n") >= least).count() > s.frequent_limit:
@@ -123,7 +124,7 @@ def sets_of(docs: DataFrame, s: Settings) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.list_(pa.int64())), lists], ["doc_id", "n_shingles", "sig", "grps", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig long, grps array<long>, first array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, sig long, grps array<long>, first array<long>")
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -170,27 +171,27 @@ def link_classes(docs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(a, b): a forest of links between classes, by sig."""
     first = sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("grps").alias("grps"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"))
     classes = materialize(first, "classes")
+    before = made()
     meet = materialize(_opened(classes, s.percent), "opened")
+    release(docs.sparkSession, before, made() - 1)  # all but the last
     blocks = block_rows(meet, s.block)
     # one document of each class that meets another gives the class's set
-    needed = materialize(blocks.select("sig").distinct(), "needed")
-    givers = sets.where(F.col("sig").isNotNull()).select("sig", "doc_id").join(needed, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    givers = materialize(givers, "givers")
+    needed = materialize(blocks.groupBy("sig").agg(F.collect_list("block").alias("blocks")), "needed")
+    givers = sets.where(F.col("sig").isNotNull()).select("sig", "doc_id").join(needed.select("sig"), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    givers = materialize(givers.join(needed, "sig"), "givers")
 
     def recomputed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted, out = b.column(0).to_pylist(), []
-            for sig, text in zip(wanted, b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for sig, blocks, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 tokens = token_set(text, s.n)
                 # documents that share an id but not the text don't give this class's set
-                out.append(tokens.tobytes() if len(tokens) and set_hash(tokens) == sig else None)
-            batch = pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["sig", "tokens"])
-            yield batch.filter(batch.column(1).is_valid())
+                if len(tokens) and set_hash(tokens) == sig:
+                    n = len(blocks)
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([sig] * n, pa.int64()), pa.array([tokens.tobytes()] * n, pa.binary())], ["block", "sig", "tokens"])
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"), "text").join(givers.select("sig", F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")), "_key")
-    tokens = materialize(texts.select("sig", "text").mapInArrow(recomputed, "sig long, tokens binary"), "tokens")
-
-    return block_links(blocks, tokens, s.percent)
+    null = F.lit(-(2**63))
+    texts = small_lookup(docs.select(F.coalesce("doc_id", null).alias("_key"), "text"), givers.select("sig", "blocks", F.coalesce("doc_id", null).alias("_key")), ["_key"], "inner", BROADCAST_KEYS)
+    return block_links(texts.select("sig", "blocks", "text").mapInArrow(tidy(recomputed), "block long, sig long, tokens binary"), s.percent)
 
 
 def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -215,7 +216,7 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     Rows that repeat that id stay with it, as do rows without an id."""
     found = join(docs, settings)
     gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    return small_lookup(docs, gone, ["doc_id"], "left_anti", BROADCAST_KEYS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

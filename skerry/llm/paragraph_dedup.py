@@ -29,6 +29,7 @@ from skerry.llm.blocks import block_links, block_rows
 from skerry.llm.common import materialize, table
 from skerry.llm.components import connected_components
 from skerry.llm.hashing import mix, shingles, words
+from skerry.llm.workers import tidy
 
 NULL_KEY = -(2**63)
 _ENDS = np.zeros(256, bool)
@@ -103,7 +104,7 @@ def units(docs: DataFrame, s: Settings) -> DataFrame:
 
             yield pa.RecordBatch.from_arrays([b.column(0), lists(0), lists(1), lists(2, s.bands)], ["key", "places", "sigs", "bands"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text").mapInArrow(run, "key long, places array<long>, sigs array<long>, bands array<long>")
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text").mapInArrow(tidy(run), "key long, places array<long>, sigs array<long>, bands array<long>")
 
 
 def _band_rows(stored: DataFrame, s: Settings) -> DataFrame:
@@ -141,8 +142,8 @@ def clusters(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sig", "tokens"])
 
     texts = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text").join(givers, "key")
-    tokens = materialize(texts.select("wanted", "text").mapInArrow(recomputed, "sig long, tokens binary"), "tokens")
-    labels = connected_components(block_links(blocks, tokens, s.percent)).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
+    tokens = materialize(texts.select("wanted", "text").mapInArrow(tidy(recomputed), "sig long, tokens binary"), "tokens")
+    labels = connected_components(block_links(blocks.join(tokens, "sig"), s.percent)).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
     known = materialize(twice.join(labels, "sig", "full_outer").select("sig", F.coalesce("cluster", "sig").alias("cluster")), "labels")
     return materialize(rows.join(known, "sig").distinct(), "members")
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.common import table
+from skerry.llm.workers import tidy
 
 NGRAM_MIN, NGRAM_MAX = 3, 4
 #: Words kept in a worker's feature cache before it starts afresh.
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
     """Every row's doc_id, held_out, score and predicted; one pass, no shuffle."""
-    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_scorer(docs, model), "doc_id long, held_out boolean, score double")
+    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(tidy(_scorer(docs, model)), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -169,7 +170,7 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.
             kept = [score_text(t or b"", known, bias) >= threshold for t in b.column(at).cast(pa.binary()).to_pylist()]
             yield b.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def _scorer(docs: DataFrame, model: tuple[np.ndarray, float]):

@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm.common import new_id, table
+from skerry.llm.workers import kept
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 PREFIX = 6
 OUT_IDS = 2_000_000
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -165,7 +166,7 @@ def _short(text: str, p: Pieces) -> list[int]:
         last.append(piece)
         back.append(start)
         if end == PREFIX and not begun:
-            if len(p.begun) >= CACHE_WORDS // 4:
+            if len(p.begun) >= CACHE_WORDS // 5:
                 p.begun.clear()
             p.begun[text[:PREFIX]] = (last[:], back[:], ids[:])
     out, end = [], len(text)
@@ -229,24 +230,13 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(job: str, vocabulary) -> Encoder:
-    """One encoder for all tasks that a Python worker runs for a job, so its cache stays warm."""
-    if job not in _encoders:
-        _encoders.clear()
-        _encoders[job] = Encoder(vocabulary.value)
-    return _encoders[job]
-
-
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_ids, ids and round_trip (the ids decode to the text) of every row; one pass, no shuffle."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_path))
     job = new_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _encoder(job, vocabulary)
+        codec = kept(job, lambda: Encoder(vocabulary.value))
         for b in batches:
             keys, texts = b.column("doc_id"), b.column("text")
             start, held, size = 0, [], 0
@@ -271,7 +261,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     job = new_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _encoder(job, vocabulary)
+        codec = kept(job, lambda: Encoder(vocabulary.value))
         for b in batches:
             texts = [codec.decode(np.array(ids or [], np.int32)) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import materialize, new_id, scratch_path, table
+from skerry.llm.workers import kept
 
 CACHE_WORDS = 500_000
 READ_DOCS = 20_000
@@ -93,17 +94,6 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_words: dict[str, _Words] = {}
-
-
-def _encoder(job: str, tokenizer, kind: str) -> _Words:
-    """One encoder for all tasks that a Python worker runs for a job, so its cache stays warm."""
-    if job not in _words:
-        _words.clear()
-        _words[job] = _Words(tokenizer.value, kind)
-    return _words[job]
-
-
 def vocabulary_size(tokenizer_json: str) -> int:
     """One more than the largest id."""
     from tokenizers import Tokenizer
@@ -130,7 +120,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, pa
         for b in batches:
             if encoder is None:
                 fs.create_dir(path, recursive=True)
-                encoder, tokens = _encoder(job, words, kind), fs.open_output_stream(names[f"tokens.{suffix}"] + own)
+                encoder, tokens = kept(job, lambda: _Words(words.value, kind)), fs.open_output_stream(names[f"tokens.{suffix}"] + own)
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = encoder.encode(text.as_py() or "") + end
                 tokens.write(ids)
