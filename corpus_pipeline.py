@@ -19,9 +19,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of documents that links join, the one with the smallest id stays."""
+    """Operator 7: of documents that links join, the one with the smallest id stays. Sets of five-word shingles link at 0.8."""
     common.release(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, jaccard_join.Settings(n=5, percent=80))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,13 @@ def test_every_stage_acts_and_keeps_the_columns(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"]: r["ids"] for r in h.rows(whole)} == {i: r["ids"] for i, r in encoded.items()}
     assert corpus_pipeline.ORACLE_SQL is None and whole.where(F.col("ids").isNull()).count() == 0
+
+
+def test_near_copies_of_five_word_shingles_go(spark):
+    words = h.prose(1, 100).split()
+    between = " ".join("edit" + w if i in (30, 70) else w for i, w in enumerate(words))
+    a, b = (h.shingle_set(t, 3) for t in (" ".join(words), between))
+    c, d = (h.shingle_set(t, 5) for t in (" ".join(words), between))
+    assert 100 * len(a & b) < 90 * len(a | b) and 100 * len(c & d) >= 80 * len(c | d)
+    kept = corpus_pipeline.keep_one_of_similar(spark, h.table(spark, [" ".join(words), between, h.prose(2, 100)]), "")
+    assert sorted(r["doc_id"] for r in h.rows(kept)) == [0, 2]
