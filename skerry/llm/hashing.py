@@ -14,7 +14,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number, and of its inverse."""
     global _powers
     if len(_powers[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
@@ -37,7 +38,7 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[1:-1] = ~_SPACE[raw]
     step = np.diff(inside)
     starts, ends = (step == 1).nonzero()[0], (step == -1).nonzero()[0]
-    forward, back = _powers_to(len(raw))
+    forward, back = powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * forward[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * back[starts]), starts, ends

@@ -1,22 +1,23 @@
 """Operator 10: repeated passages by a sparse suffix array.
 
-Words are runs without ASCII white space, the case of A-Z apart. Of all suffixes only those are retained that start at a
-minimiser: the position of the least k-gram hash in some window of w neighbouring ones. As this choice depends on the
-words in the window alone, two copies of a passage of min_words words retain the same positions, and one of them is
-followed by at least min_words - w + 1 words of the passage. Suffixes are ordered by a hash of that many first words, so
-equal beginnings become neighbours, in a distributed sort-merge rather than in one array. The earliest suffix of a run of
-equals, by doc_id and position, is the original; each other one is matched with it. Overlapping matches of a document are
-joined to a stretch, whatever their originals (in near copies of near copies these change often), and a stretch is extended
-to the left and the right word by word along its first and last match, by up to min_words words on each side (a longer match
-has further retained suffixes there). Extended stretches of min_words or more are repeats: each of their words stands in an
-earlier place within a match of at least min_words - window + 1 words, and every passage of min_words or more that one
-earlier place has is in one of them.
-
-A match's original is always the earlier one, so cutting all repeats leaves the first copy of every passage.
+Words are runs without ASCII white space, the case of A-Z apart. Every place that min_words words follow has an anchor: of
+the `window` k-grams from it, the last of those with the least hash. Only suffixes at anchors are retained. As the choice
+depends on the place's own min_words words alone, equal passages of min_words words have their anchors at the same word, and
+at least min_words - window + 1 words of the passage follow it: the anchor's key is a hash of so many words. Suffixes are
+brought into the order of their hashes, in which equal ones are neighbours, by a distributed sort rather than in one array.
+
+Among the suffixes of a key, those with equal surroundings (all passages of min_words words that have this anchor) are a
+class, and all but its earliest one repeat whole. The earliest suffixes of a key's classes are compared passage by passage:
+each passage of min_words words is put in order with the others of the key, and repeats where any earlier place has it, not
+only the key's first. So a word is in a repeat if and only if it is in a passage of min_words words that stands unbroken in
+one earlier place. Overlapping passages of a document are joined to one repeat, whose source is the earliest place of its
+first min_words words; what follows them may have another source.
+
+A source is always the earlier one, so cutting all repeats leaves the first copy of every passage.
 
 Defined results: null and short texts have no repeats; a passage that repeats within one document counts, its first place
-is the original; equal rows with one id are one document; other rows with one id are told apart by the words at each
-position; a null doc_id is one document too, ordered first; an empty table has no rows; extra columns are ignored.
+is the original; a document is a doc_id (null is one, ordered first) and a text, so equal rows with one id are one document and
+others with one id, or without, are told apart, ordered by a hash of the text; an empty table has no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import BROADCAST_KEYS, materialize, new_id, table
-from skerry.llm.hashing import mix, shingles, words
+from skerry.llm.common import BROADCAST_KEYS, materialize, new_id, small_lookup, table
+from skerry.llm.hashing import mix, powers, shingles, words
 from skerry.llm.workers import tidy
 
 NULL_KEY = -(2**63)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,8 @@ class Settings:
     min_words: int = 50
     k: int = 8
     window: int = 25
+    #: Classes of one key that meet in one place; the passages of more are dealt out by their hash.
+    classes: int = 1000
 
     @property
     def depth(self) -> int:
@@ -49,129 +51,168 @@ class Settings:
         return self.min_words - self.window + 1
 
 
-def suffix_keys(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """A hash of the `depth` words from each position."""
-    weights = np.cumprod(np.full(depth, _STEP))
-    return mix((mix(ids[at[:, None] + np.arange(depth)]) * weights).sum(axis=1, dtype=np.uint64)) if len(at) else np.empty(0, np.uint64)
+class Stretches:
+    """Hashes of stretches of words, from sums over all words before each."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        forward, self.back = powers(len(ids) + 1)
+        self.total = np.zeros(len(ids) + 1, np.uint64)
+        np.cumsum(mix(ids) * forward[: len(ids)], out=self.total[1:])
 
+    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[first]) * self.back[first])
 
-def retained(ids: np.ndarray, s: Settings) -> np.ndarray:
-    """Minimiser positions that `depth` words follow. Of a stretch of equal k-grams only the first can be one."""
+
+def anchors(ids: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The retained positions, and the first and the number of places whose anchor each is."""
     if len(ids) < s.min_words:
-        return np.empty(0, np.int64)
-    grams = shingles(ids, s.k)
-    grams[1:][grams[1:] == grams[:-1]] = np.uint64(2**64 - 1)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, s.window)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return at[at + s.depth <= len(ids)]
+        return (np.empty(0, np.int64),) * 3
+    windows = np.lib.stride_tricks.sliding_window_view(shingles(ids, s.k), s.window)[: len(ids) - s.min_words + 1]
+    last = np.arange(len(windows)) + s.window - 1 - windows[:, ::-1].argmin(axis=1)
+    return np.unique(last, return_index=True, return_counts=True)
+
 
+def _doc() -> list[Column]:
+    """What tells documents apart, in their order."""
+    return [F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc"), F.xxhash64("text").alias("txt")]
 
-def _key(name: str = "doc_id"):
-    return F.coalesce(name, F.lit(NULL_KEY))
+
+def _lists(values: list[np.ndarray], kind: type) -> pa.Array:
+    offsets = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values).astype(kind) if values else np.empty(0, kind)))
 
 
 def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc, at and key of every retained suffix, stored one row a document."""
+    """doc, txt and, of every retained suffix, at, key, whole (hash of its surroundings), before (words from their start) and places, stored one row a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places, keys = [], []
-            for text in b.column(1).cast(pa.binary()).to_pylist():
+            found = []
+            for text in b.column(2).cast(pa.binary()).to_pylist():
                 ids = words(text or b"")[0]
-                places.append(retained(ids, s))
-                keys.append(suffix_keys(ids, places[-1], s.depth).view(np.int64))
-            offsets = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(t) if x else np.empty(0, t))) for x, t in ((places, np.int32), (keys, np.int64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc", "at", "key"])
-
-    stored = materialize(docs.select(_key().alias("doc"), "text").mapInArrow(tidy(run), "doc long, at array<int>, key array<long>"), "suffixes")
-    return stored.select("doc", F.explode(F.arrays_zip("at", "key")).alias("x")).select("doc", "x.at", "x.key")
+                at, first, count = anchors(ids, s)
+                stretch = Stretches(ids)
+                whole = mix(stretch(first, first + count - 1 + s.min_words) + (at - first).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64))
+                found.append((at, stretch(at, at + s.depth).view(np.int64), whole.view(np.int64), at - first, count))
+            lists = [_lists([f[i] for f in found], t) for i, t in enumerate((np.int32, np.int64, np.int64, np.int8, np.int8))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc", "txt", "at", "key", "whole", "before", "places"])
 
+    schema = "doc long, txt long, at array<int>, key array<long>, whole array<long>, before array<byte>, places array<byte>"
+    stored = materialize(docs.select(*_doc(), "text").mapInArrow(tidy(run), schema), "suffixes")
+    return stored.select("doc", "txt", F.explode(F.arrays_zip("at", "key", "whole", "before", "places")).alias("x")).select("doc", "txt", "x.*")
 
-def _contexts(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """doc, at, after and words, as 32-bit hashes, of each distinct row of wanted (doc, at, key, after): the words before a suffix, or after its key's words.
 
-    A document has no more such rows than twice its retained suffixes, however many others match it."""
-    wanted = materialize(wanted.distinct(), "wanted")
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "key", "after")).alias("ends"))
+def _passages(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """slot, doc, txt, at (lists of places) and gram (hashes of their min_words words), for wanted rows (doc, txt, at, key, before, places, parts)."""
+    lists = wanted.groupBy("doc", "txt").agg(F.collect_list(F.struct("at", "key", "before", "places", "parts")).alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, rows in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ids, out = words(text or b"")[0], []
-                low = ids.astype(np.uint32)
+            for doc, txt, text, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+                ids = words(text or b"")[0]
+                stretch, slots, places, grams = Stretches(ids), [], [], []
                 for r in rows:
-                    first, last = r["at"], r["at"] + s.depth
-                    # rows with the same id and another text don't have this suffix here
-                    if last <= len(ids) and int(suffix_keys(ids, np.array([first]), s.depth).view(np.int64)[0]) == r["key"]:
-                        near = low[last : last + s.min_words] if r["after"] else low[max(0, first - s.min_words) : first]
-                        out.append((doc, first, r["after"], near.tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["doc", "at", "after", "words"])
+                    at = np.arange(r["at"] - r["before"], r["at"] - r["before"] + r["places"])
+                    gram, parts = stretch(at, at + s.min_words), r["parts"]
+                    part = gram % np.uint64(parts)
+                    for p in [0] if parts == 1 else np.unique(part).tolist():
+                        own = part == p
+                        slots.append(r["key"] if parts == 1 else int(mix(np.array([r["key"]]).view(np.uint64) + np.uint64(p)).view(np.int64)[0]))
+                        places.append(at[own])
+                        grams.append(gram[own].view(np.int64))
+                n = len(slots)
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([txt] * n, pa.int64()), _lists(places, np.int32), _lists(grams, np.int64)], ["slot", "doc", "txt", "at", "gram"])
 
     # the lists grow with the input, so they are never broadcast
-    texts = docs.select(_key().alias("doc"), "text").join(lists.hint("merge"), "doc").select("doc", "text", "ends")
-    return materialize(texts.mapInArrow(tidy(run), "doc long, at int, after boolean, words binary"), "contexts")
+    texts = docs.select(*_doc(), "text").join(lists.hint("merge"), ["doc", "txt"]).select("doc", "txt", "text", "ends")
+    return texts.mapInArrow(tidy(run), "slot long, doc long, txt long, at array<int>, gram array<long>")
 
 
-def _common(a: bytes, b: bytes, backwards: bool) -> int:
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    n = min(len(x), len(y))
-    same = (x[len(x) - n :] == y[len(y) - n :])[::-1] if backwards else x[:n] == y[:n]
-    return n if same.all() else int(same.argmin())
+SPAN = "doc long, txt long, first int, end int, source long, source_txt long, source_at int"
 
 
-def find_repeats(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, first_word, n_words, source_id and source_word of every repeat; the source is the earlier place of its first match."""
-    s = settings or Settings()
-    rows = suffixes(docs, s)
-    place = F.struct("doc", "at")
-    runs = rows.groupBy("key").agg(F.min(place).alias("original"), F.max(place).alias("_last")).where("original < _last").drop("_last")
-    equal = rows.join(materialize(runs, "runs"), "key").where(F.struct("doc", "at") != F.col("original"))
-    matched = materialize(equal.select("doc", "at", "key", "original").distinct(), "matched")
-    # matches that overlap are one stretch; a window holds the suffixes of one document
-    by_doc = Window.partitionBy("doc").orderBy("at", "key")
-    steps = matched.withColumn("_new", F.coalesce((F.col("at") - F.lag("at").over(by_doc) > s.depth).cast("int"), F.lit(1)))
-    steps = steps.withColumn("_stretch", F.sum("_new").over(by_doc))
-    match = F.struct("at", "key", "original")
-    joined = steps.groupBy("doc", "_stretch").agg(F.min(match).alias("low"), F.max(match).alias("high"))
-    joined = materialize(joined.withColumn("id", F.xxhash64("doc", "low.at", "low.key")).drop("_stretch"), "joined")
-    # what stands before its first and after its last match, here and in the earlier places
-    ends = {"own_left": ("doc", "low.at", "low.key", False), "other_left": ("low.original.doc", "low.original.at", "low.key", False), "own_right": ("doc", "high.at", "high.key", True), "other_right": ("high.original.doc", "high.original.at", "high.key", True)}
-    wanted = None
-    for doc, at, key, after in ends.values():
-        part = joined.select(F.col(doc).alias("doc"), F.col(at).alias("at"), F.col(key).alias("key"), F.lit(after).alias("after"))
-        wanted = part if wanted is None else wanted.union(part)
-    near = _contexts(docs, wanted, s)
-    sides = joined
-    for name, (doc, at, _, after) in ends.items():
-        own = near.where(F.col("after") == after).select(F.col("doc").alias("_d"), F.col("at").alias("_a"), F.col("words").alias(name))
-        sides = sides.join(own, (F.col(doc) == F.col("_d")) & (F.col(at) == F.col("_a"))).drop("_d", "_a")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(passages: DataFrame, s: Settings) -> DataFrame:
+    """SPAN rows of passages that an earlier place of their slot has; neighbouring ones are one row."""
+
+    def spans(t: pa.Table) -> pa.RecordBatch:
+        doc, txt = (t.column(x).to_numpy() for x in ("doc", "txt"))
+        lists = t.column("at").combine_chunks()
+        row = np.repeat(np.arange(len(doc)), lists.value_lengths().to_numpy())
+        at, gram = lists.flatten().to_numpy(), t.column("gram").combine_chunks().flatten().to_numpy()
+        order = np.argsort(gram, kind="stable")
+        begins = np.append(True, np.diff(gram[order]) != 0) if len(order) else np.empty(0, bool)
+        origin = np.empty(len(order), np.int64)
+        origin[order] = order[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
+        # repeated rows of one document are the same place
+        later = ((doc[row] != doc[row[origin]]) | (txt[row] != txt[row[origin]]) | (at != at[origin])).nonzero()[0]
+        new = np.append(True, (np.diff(later) != 1) | (np.diff(at[later]) != 1) | (np.diff(row[later]) != 0)) if len(later) else np.empty(0, bool)
+        low, high = later[new], later[np.append(new[1:], True)] if len(later) else later
+        out = [doc[row[low]], txt[row[low]], at[low], (at[high] + s.min_words).astype(np.int32), doc[row[origin[low]]], txt[row[origin[low]]], at[origin[low]]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc", "txt", "first", "end", "source", "source_txt", "source_at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            c = {name: b.column(name).to_pylist() for name in ends}
-            left = [_common(x, y, True) for x, y in zip(c["own_left"], c["other_left"], strict=True)]
-            right = [_common(x, y, False) for x, y in zip(c["own_right"], c["other_right"], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("id", "doc", "first", "last", "source", "source_at")), pa.array(left, pa.int32()), pa.array(right, pa.int32())], ["id", "doc", "first", "last", "source", "source_at", "left", "right"])
-
-    flat = sides.select("id", "doc", F.col("low.at").alias("first"), (F.col("high.at") + s.depth).alias("last"), F.col("low.original.doc").alias("source"), F.col("low.original.at").alias("source_at"), *ends)
-    grown = flat.mapInArrow(tidy(extend), "id long, doc long, first int, last int, source long, source_at int, left int, right int")
-    found = grown.groupBy("id", "doc", "first", "last", "source", "source_at").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    found = found.withColumn("n_words", F.col("last") - F.col("first") + F.col("left") + F.col("right")).where(F.col("n_words") >= s.min_words)
-    null = F.lit(NULL_KEY)
+            if not b.num_rows:
+                continue
+            slot = b.column(0).to_numpy()
+            cut = int(np.searchsorted(slot, slot[-1]))  # the last slot may go on
+            if cut or (held and held[-1].column(0)[-1].as_py() != slot[-1]):
+                yield spans(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield spans(pa.Table.from_batches(held))
+
+    parts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return passages.repartition(parts, "slot").sortWithinPartitions("slot", "doc", "txt", F.col("at")[0]).mapInArrow(tidy(run), SPAN)
+
+
+def find_spans(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc, txt, first, end and source, source_txt, source_at of every repeat."""
+    rows = suffixes(docs, s)
+    runs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
+    runs = materialize(runs.select("key", (F.col("low") < F.col("high")).alias("mixed")), "runs")
+    equal = materialize(rows.join(runs, "key"), "equal")
+    place = F.struct("doc", "txt", "at")
+    classes = equal.groupBy("key", "whole").agg(F.min(place).alias("original"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("places").alias("places"), F.first("mixed").alias("mixed"))
+    classes = materialize(classes, "classes")
+    copies = equal.join(classes.where("n > 1").select("key", "whole", "original"), ["key", "whole"]).where(place != F.col("original"))
+    first = F.col("at") - F.col("before")
+    copied = copies.select("doc", "txt", first.alias("first"), (first + F.col("places") + F.lit(s.min_words - 1)).alias("end"), F.col("original.doc").alias("source"), F.col("original.txt").alias("source_txt"), (F.col("original.at") - F.col("before")).alias("source_at"))
+    # of keys with several classes, the first of each class may share passages with an earlier one
+    mixed = classes.where("mixed")
+    large = materialize(mixed.groupBy("key").count().where(F.col("count") > s.classes).select("key", F.ceil(F.col("count") / s.classes).cast("int").alias("parts")), "large")
+    wanted = small_lookup(mixed.select("original.*", "key", "before", "places"), large, ["key"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    spans = materialize(copied.union(_compared(_passages(docs, wanted, s), s)), "spans")
+    # overlapping passages are one stretch; a window holds the spans of one document
+    by_doc = Window.partitionBy("doc", "txt").orderBy("first", "end")
+    ended = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    steps = spans.withColumn("_new", F.coalesce((F.col("first") >= ended).cast("int"), F.lit(1)))
+    steps = steps.withColumn("_stretch", F.sum("_new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.struct("first", "source", "source_txt", "source_at")
+    joined = steps.groupBy("doc", "txt", "_stretch").agg(F.min(start).alias("low"), F.max("end").alias("end"))
+    return joined.select("doc", "txt", "low.*", "end")
+
+
+def find_repeats(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """doc_id, first_word, n_words, source_id and source_word of every repeat; the source is the earliest place of its first min_words words."""
+    found, null = find_spans(docs, settings or Settings()), F.lit(NULL_KEY)
     return found.select(
-        F.nullif("doc", null).alias("doc_id"), (F.col("first") - F.col("left")).cast("long").alias("first_word"), F.col("n_words").cast("long"), F.nullif("source", null).alias("source_id"), (F.col("source_at") - F.col("left")).cast("long").alias("source_word")
+        F.nullif("doc", null).alias("doc_id"), F.col("first").cast("long").alias("first_word"), (F.col("end") - F.col("first")).cast("long").alias("n_words"), F.nullif("source", null).alias("source_id"), F.col("source_at").cast("long").alias("source_word")
     )
 
 
 def cut_repeats(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """docs with every repeat cut from text and n_chars set anew where it is a column; rows that lose all their words go."""
     own = f"_doc_{new_id()}"  # no column of docs
-    found = materialize(find_repeats(docs, settings).select(_key().alias(own), "first_word", "n_words"), "found")
-    spans = found.groupBy(own).agg(F.collect_list(F.struct("first_word", "n_words")).alias(f"{own}_spans"))
+    keys = [f"{own}_{k}" for k in ("id", "txt")]
+    found = find_spans(docs, settings or Settings()).select(F.col("doc").alias(keys[0]), F.col("txt").alias(keys[1]), F.col("first").alias("first_word"), (F.col("end") - F.col("first")).alias("n_words"))
+    found = materialize(found, "found")
+    spans = found.groupBy(*keys).agg(F.collect_list(F.struct("first_word", "n_words")).alias(f"{own}_spans"))
     few = found.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    joined = docs.withColumn(own, _key()).join(F.broadcast(spans) if few else spans, own, "left").drop(own)
+    keyed = docs.select("*", *(c.alias(k) for c, k in zip(_doc(), keys, strict=True)))
+    joined = keyed.join(F.broadcast(spans) if few else spans, keys, "left").drop(*keys)
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,42 @@ def test_suffix_repeats_cover_every_passage(spark):
     assert all(cut[i]["n_chars"] == len(cut[i]["text"]) for i in cut if cut[i]["text"])
 
 
+def _reported(spark, pairs):
+    got = {}
+    for r in h.rows(suffix_dedup.find_repeats(h.table(spark, pairs))):
+        assert r["n_words"] >= 50
+        got.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    return [got.get(i, set()) for i in range(len(pairs))]
+
+
+def test_suffix_repeats_equal_every_earlier_place(spark):
+    passage, one, two = h.prose(1, 70), h.prose(2, 45), h.prose(3, 45)
+    # the first place of many words has but a piece of the passage, the second one all of it
+    texts = [f"{h.prose(4, 20)} {' '.join(passage.split()[12:57])} {h.prose(5, 20)}", passage, f"{h.prose(6, 9)} {passage} {h.prose(7, 9)}"]
+    # phrases of two documents that meet in a third one are no passage
+    texts += [f"{h.prose(8, 20)} {one} {h.prose(9, 20)}", f"{h.prose(10, 20)} {two} {h.prose(11, 20)}", f"{one} {two}"]
+    texts += ["tick tock " * 60, "tick " * 90, "tock " + "tick " * 70, "tick tock " * 40 + "tick " * 60]
+    for k in range(4):
+        base = h.prose(20 + k, 300)
+        texts += [base, *(edited(base, 50 * k + i, 0.005 * i) for i in range(8))]
+    got = _reported(spark, texts)
+    assert got == _covered(texts, 50)
+    assert len(got[2]) == 70 and not got[5]
+    small = suffix_dedup.find_repeats(h.table(spark, texts), suffix_dedup.Settings(classes=2))  # passages dealt out by hash
+    assert sorted((r["doc_id"], r["first_word"], r["n_words"]) for r in h.rows(small)) == sorted((r["doc_id"], r["first_word"], r["n_words"]) for r in h.rows(suffix_dedup.find_repeats(h.table(spark, texts))))
+
+
+def test_cuts_go_by_row_not_by_id(spark):
+    passage = h.prose(1, 60)
+    for own in (None, 7):
+        clean = [h.prose(10 + k, 200) for k in range(4)]
+        rows = [(1, passage), (own, f"{h.prose(2, 100)} {passage} {h.prose(3, 40)}"), *((own, t) for t in clean)]
+        # without an id a document comes first
+        texts = [r["text"] for r in h.rows(suffix_dedup.cut_repeats(h.table(spark, rows)))]
+        assert set(clean) <= set(texts)
+        assert sum(passage in t for t in texts) == 1
+
+
 def test_suffix_repeats_of_odd_tables(spark):
     assert suffix_dedup.find_repeats(h.table(spark, ["x"]).limit(0)).count() == 0
     text = h.prose(1, 60)
