@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.blocks import block_links, block_rows
-from skerry.llm.common import BROADCAST_KEYS, made, materialize, release, small_lookup, table
+from skerry.llm.common import BROADCAST_KEYS, made, materialize, new_id, release, small_lookup, table
 from skerry.llm.components import connected_components
 from skerry.llm.hashing import Members, mix, shingles, words
 from skerry.llm.workers import tidy
@@ -99,14 +99,14 @@ def first_tokens(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
 
 
 def sets_of(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, sig (hash of the set), grps (minimum hashes) and first (its first tokens) of every row; 0 shingles: sig is null."""
+    """doc_id, txt (hash of the text), n_shingles, sig (hash of the set), grps (minimum hashes) and first (its first tokens) of every row; 0 shingles: sig is null."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Members(frequent.value)
         for b in batches:
             size, sig, grp, first = [], [], [], []
-            for text in b.column(1).cast(pa.binary()).to_pylist():
+            for text in b.column(2).cast(pa.binary()).to_pylist():
                 tokens = token_set(text, s.n)
                 size.append(len(tokens))
                 if not len(tokens):
@@ -122,9 +122,9 @@ def sets_of(docs: DataFrame, s: Settings) -> DataFrame:
                 first.append(first_tokens(tokens, often, s.percent).view(np.int64))
             counts = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.list_(pa.int64())), lists], ["doc_id", "n_shingles", "sig", "grps", "first"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(grp, pa.list_(pa.int64())), lists], ["doc_id", "txt", "n_shingles", "sig", "grps", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, sig long, grps array<long>, first array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("txt"), "text").mapInArrow(tidy(run), "doc_id long, txt long, n_shingles long, sig long, grps array<long>, first array<long>")
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -177,30 +177,35 @@ def link_classes(docs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     blocks = block_rows(meet, s.block)
     # one document of each class that meets another gives the class's set
     needed = materialize(blocks.groupBy("sig").agg(F.collect_list("block").alias("blocks")), "needed")
-    givers = sets.where(F.col("sig").isNotNull()).select("sig", "doc_id").join(needed.select("sig"), "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    givers = materialize(givers.join(needed, "sig"), "givers")
+    givers = sets.where(F.col("sig").isNotNull()).select("sig", "doc_id", "txt").join(needed.select("sig"), "sig").groupBy("sig").agg(F.min(F.struct("doc_id", "txt")).alias("row"))
+    givers = materialize(givers.join(needed, "sig").select("sig", "blocks", "row.*"), "givers")
 
     def recomputed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for sig, blocks, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 tokens = token_set(text, s.n)
-                # documents that share an id but not the text don't give this class's set
+                # texts whose hashes are equal by chance don't give this class's set
                 if len(tokens) and set_hash(tokens) == sig:
                     n = len(blocks)
                     yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([sig] * n, pa.int64()), pa.array([tokens.tobytes()] * n, pa.binary())], ["block", "sig", "tokens"])
 
     null = F.lit(-(2**63))
-    texts = small_lookup(docs.select(F.coalesce("doc_id", null).alias("_key"), "text"), givers.select("sig", "blocks", F.coalesce("doc_id", null).alias("_key")), ["_key"], "inner", BROADCAST_KEYS)
+    rows = docs.select(F.coalesce("doc_id", null).alias("_key"), F.xxhash64("text").alias("_txt"), "text")
+    texts = small_lookup(rows, givers.select("sig", "blocks", F.coalesce("doc_id", null).alias("_key"), F.col("txt").alias("_txt")), ["_key", "_txt"], "inner", BROADCAST_KEYS)
     return block_links(texts.select("sig", "blocks", "text").mapInArrow(tidy(recomputed), "block long, sig long, tokens binary"), s.percent)
 
 
-def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row, and sig, which rows of one class share."""
-    s = settings or Settings()
+def _labelled(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and sig and _label (a sig) of the classes that links join."""
     sets = materialize(sets_of(docs, s), "sets")
     links = link_classes(docs, sets, s)
     labels = connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("_label"))
-    labels = materialize(labels, "labels")
+    return sets, materialize(labels, "labels")
+
+
+def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row, and sig, which rows of one class share."""
+    sets, labels = _labelled(docs, settings or Settings())
     # the smallest id of each class, then of each component
     ids = materialize(sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("_least")), "ids")
     least = materialize(labels.join(ids, "sig").groupBy("_label").agg(F.min("_least").alias("_joint")), "joint")
@@ -211,12 +216,28 @@ def join(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows of docs, all their columns, without those that an earlier one stands for: the smallest id of each component stays.
-
-    Rows that repeat that id stay with it, as do rows without an id."""
-    found = join(docs, settings)
-    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return small_lookup(docs, gone, ["doc_id"], "left_anti", BROADCAST_KEYS)
+    """The rows of docs, all their columns, with one row of each component: that of the smallest id, without ids that of the smallest hash of the text.
+
+    Rows are told apart by id and text, so other texts under the id of a removed row stay; of rows equal in both one stays.
+    Rows without shingles are in no component and stay."""
+    sets, labels = _labelled(docs, settings or Settings())
+    own = f"_row_{new_id()}"  # no column of docs
+    keys = [f"{own}_{k}" for k in ("id", "txt")]
+    named = sets.where(F.col("sig").isNotNull()).select("sig", F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(-(2**63))).alias(keys[0]), F.col("txt").alias(keys[1]))
+    row = F.struct("_null", *keys)
+    # the first row of each class, then of each component
+    first = named.groupBy("sig").agg(F.min(row).alias("_own")).join(labels, "sig", "left")
+    first = materialize(first.withColumn("_label", F.coalesce("_label", "sig")), "first")
+    stays = materialize(first.groupBy("_label").agg(F.min("_own").alias("_stays")), "stays")
+    rows = named.join(first.join(stays, "_label").select("sig", "_stays"), "sig")
+    gone = materialize(rows.where(row != F.col("_stays")).select(*keys).distinct(), "gone")
+    again = materialize(rows.where(row == F.col("_stays")).groupBy(*keys).count().where("count > 1").select(*keys), "again")
+    left = docs.select("*", F.coalesce("doc_id", F.lit(-(2**63))).alias(keys[0]), F.xxhash64("text").alias(keys[1]))
+    left = small_lookup(left, gone, keys, "left_anti", BROADCAST_KEYS)
+    if again.limit(1).count():
+        once = small_lookup(left, again, keys, "left_semi", BROADCAST_KEYS).dropDuplicates(keys)
+        left = small_lookup(left, again, keys, "left_anti", BROADCAST_KEYS).union(once)
+    return left.drop(*keys)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

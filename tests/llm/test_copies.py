@@ -63,6 +63,16 @@ def test_jaccard_join_of_odd_tables(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in found) == [(-1, -1), (-1, 5), (5, 5), (5, 5), (7, 5)]
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    copied, lone, mine = h.prose(1, 80), [h.prose(10 + k, 80) for k in range(6)], h.prose(2, 80)
+    for settings in (None, jaccard_join.Settings(n=5, percent=80)):
+        rows = [(None, copied), (None, copied.upper()), (None, copied), (5, copied), *((5, t) for t in lone[:3]), (4, copied), (4, copied), *((None, t) for t in lone[3:]), (6, copied), (6, mine), (None, mine.upper()), (None, ""), (None, None)]
+        kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in h.rows(jaccard_join.keep_one(h.table(spark, rows), settings)))
+        assert kept == sorted([(4, copied), *((5, t) for t in lone[:3]), *((-1, t) for t in lone[3:]), (6, mine), (-1, ""), (-1, "")])
+    kept = h.rows(jaccard_join.keep_one(h.table(spark, [(None, copied), (None, copied.upper()), (None, copied), (None, lone[0])])))
+    assert len(kept) == 2 and lone[0] in {r["text"] for r in kept}
+
+
 def _covered(texts, min_words):
     """Words of each text inside a passage of min_words words that an earlier place has, and whether the place is the first."""
     seen, out = {}, []
