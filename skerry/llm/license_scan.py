@@ -1,7 +1,8 @@
 """Operator 8: licence detection by ordered signature rules.
 
 A rule is a regular expression with a label, a priority (smaller is stronger) and a keyword. Texts without any of a few
-gate strings, one of which every rule needs, are never matched; in the others a rule runs only if its keyword is there.
+gate strings and gate phrases, one of which every rule needs, are never matched; in the others a rule runs only if its
+keyword is there. Between the words of a gate phrase, as of a rule, any run of other characters may stand.
 All matches become intervals of characters. In order of their start, an interval inside a longer one is dropped, and of
 two that overlap in part the one with the stronger priority stays, the earlier of equals.
 
@@ -83,7 +84,7 @@ FAMILIES: dict[str, tuple[list[str], list[str]]] = {
     "tcl": (["tcl tk license", "tcl license"], ["TCL"]),
     "proprietary": (["proprietary license", "commercial license", "all rights reserved license"], []),
 }
-# Sentences of licence texts; each holds one of the gate strings.
+# Sentences of licence texts; each holds one of the gate strings or phrases.
 SENTENCES = {
     "mit": ["permission is hereby granted free of charge to any person obtaining a copy"],
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
@@ -94,7 +95,8 @@ SENTENCES = {
     "public-domain": ["released into the public domain", "dedicated to the public domain", "placed in the public domain", "is in the public domain"],
     "proprietary": ["copyright all rights reserved", "may not be copied without a license", "licensed for internal use only"],
 }
-GATES = ["licen", "spdx", "copyright", "creative commons", "cc by", "cc-by", "cc0", "public domain", "hereby granted", "redistribution"]
+GATES = ["licen", "spdx", "copyright", "redistribution"]
+GATE_PHRASES = ["creative commons", "cc by", "public domain", "hereby granted", "mit no attribution"]
 GRANTS = r"(?:licensed|released|distributed|available|provided|published|offered)" + GAP + "under" + GAP + "(?:the" + GAP + "(?:terms" + GAP + "of" + GAP + "(?:the" + GAP + ")?)?)?"
 WEIGHTS = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.85, 5: 0.7}
 
@@ -171,6 +173,9 @@ def scan(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for g in GATES:
         gate = gate | F.contains(low, F.lit(g))
+    for p in GATE_PHRASES:
+        # the first word alone is looked for before the expression runs
+        gate = gate | (F.contains(low, F.lit(p.split()[0])) & F.regexp_like(text, F.lit(whole(phrase(p)))))
     none = F.expr("cast(array() as array<struct<start:int,neg_end:int,priority:int,label:string>>)")
     runs = F.flatten(F.transform(F.filter(_rules_column(), lambda r: F.contains(low, r["key"])), lambda r: _intervals(text, r)))
     found = F.when(gate, let(runs, _resolved)).otherwise(none)

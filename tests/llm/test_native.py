@@ -94,3 +94,17 @@ def test_license_rules_resolve_overlaps(spark):
     assert [(x["label"], x["start"], x["end"]) for x in found[1]["detections"]] == [("mpl", 0, len(texts[1]))]
     assert found[2]["labels"] == "mit-0" and found[2]["score"] == 1.0 and found[3]["labels"] == "cc-by-sa"
     assert len(license_scan.rules()) > 300
+
+
+def test_license_rules_match_across_lines(spark):
+    plain = [r for names, _ in license_scan.FAMILIES.values() for r in names] + [x for own in license_scan.SENTENCES.values() for x in own]
+    texts = [gap.join(p.split()) for p in plain for gap in ("\n", "_", " \t*\n ")] + ["public servants own a domain", "CC\nby-lines", "accc by"]
+    wide = [(label, re.compile(rule.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010FFFF")), priority) for label, rule, priority, _ in license_scan.rules()]
+    found = {r["doc_id"]: r for r in h.rows(license_scan.scan(h.table(spark, texts)))}
+    for i, text in enumerate(texts):
+        # without a gate: the longest match from the start, the strongest of equals
+        own = [(m.start(), -m.end(), priority, label) for label, rule, priority in wide for m in rule.finditer(text)]
+        got = [(x["start"], -x["end"], x["label"]) for x in found[i]["detections"]]
+        assert bool(got) == bool(own), text
+        assert not own or got[0] == (min(own)[0], min(own)[1], min(own)[3]), text
+    assert sum(bool(found[i]["labels"]) for i in found) >= len(texts) - 3
