@@ -1,15 +1,17 @@
 """Operator 9: near-duplicate paragraphs across documents, by MinHash banding.
 
-A paragraph is a stretch of a line. It ends with the line, with a sentence of at least `sentence` words, with one in eight
-shorter sentences and with one in `anywhere` other words, chosen by a hash of the last two words. So where it ends depends
-only on the words near by, and a passage is cut alike wherever it stands, also inside a line. Paragraphs of equal words are one class. Each paragraph of five words or
-more has `bands` minimum hashes of its 5-word shingles, each a band of one row: at a similarity of 0.8 one of three agrees
-with a probability of 99.2 %, and as unlike paragraphs share no shingle, such short bands bring few false pairs. Classes
-that collide in a band meet in blocks of bounded size, where exact Jaccard similarity decides, and the components of the
-links are clusters. In each cluster the first paragraph, by doc_id and place, stays and the others are to be removed.
-
-A cluster counts where a document has at least `run` words of clustered paragraphs in a row (short ones may stand between), so that single short
-sentences, like a licence line, aren't reported.
+A paragraph is a line. Lines of several sentences are also cut into fragments, for passages inside lines: a fragment ends
+with the line, with a sentence of at least `sentence` words, with one in eight shorter sentences and with one in `anywhere`
+other words, chosen by a hash of the last two words. So where it ends depends only on the words near by, and a passage is
+cut alike wherever it stands. Lines and fragments of equal words are one class. Each of five words or more has bands of
+minimum hashes of its 5-word shingles: a fragment `bands` of one row, of which at a similarity of 0.8 one agrees with a
+probability of 99.2 %, a line that isn't one fragment `line_bands` of `line_rows` rows, 99.8 %, as unlike lines may share
+a passage. Classes that collide in a band meet in blocks of bounded size, where exact Jaccard similarity of the whole line
+or fragment decides, and the components of the links are clusters. In each cluster the first paragraph, by doc_id and
+place, stays and the others are to be removed. All clusters are reported, a fragment also where its line is.
+
+run is the number of words from the first to the last of clustered paragraphs in a row of their document (short ones may
+stand between): single short sentences, like a licence line, have a small one.
 
 Defined results: null and empty texts have no paragraphs; paragraphs under five words aren't examined; equal rows with
 one id are one document; a null doc_id is one document too, ordered first; an empty table has no rows; extra columns are ignored.
@@ -46,7 +48,8 @@ class Settings:
     sentence: int = 8
     #: One in so many words ends a paragraph where no sentence does.
     anywhere: int = 32
-    run: int = 25
+    line_bands: int = 9
+    line_rows: int = 3
     block: int = 1000
 
 
@@ -71,46 +74,82 @@ def paragraphs(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nda
     return ids, first, last - first + 1
 
 
-def signatures(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place, class and bands (one row each) of the paragraphs of s.n words or more, and all shingles of the text."""
+def lines(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each line that has words."""
+    ids, starts, ends = words(text)
+    if not len(ids):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    number = np.cumsum(np.frombuffer(text, np.uint8) == 10)
+    step = (1 << COUNT_BITS) - 1
+    last = np.append(number[starts[1:]] != number[ends[:-1] - 1], True).nonzero()[0]
+    if len(ids) > step:
+        last = np.union1d(last, np.arange(step - 1, len(ids), step))
+    first = np.concatenate([[0], last[:-1] + 1])
+    return first, last - first + 1
+
+
+def signatures(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Place and class of the fragments of s.n words or more and then of such lines of several fragments, their bands (flat), all shingles of the text, and the number of fragments."""
     ids, first, count = paragraphs(text, s)
     keep = count >= s.n
-    first, count = first[keep], count[keep]
+    line, n = lines(text, s)
+    own = _wide(first, count, line, n, s)
+    wide = line[own], n[own]
+    few = int(keep.sum())
+    first, count = np.concatenate([first[keep], wide[0]]), np.concatenate([count[keep], wide[1]])
     if not len(first):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, s.bands), np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), 0
     grams = shingles(ids, s.n)
     # reduceat over [first, first + count - n + 1) of each paragraph
     edges = np.column_stack([first, first + count - s.n + 1]).ravel()
-    bands = np.column_stack([mix(np.minimum.reduceat(np.append(mix(grams ^ np.uint64(0xA5A5 + k)), np.uint64(2**64 - 1)), edges)[::2] + np.uint64(k)) for k in range(s.bands)])
+
+    def least(k: int, edges: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(np.append(mix(grams ^ np.uint64(0xA5A5 + k)), np.uint64(2**64 - 1)), edges)[::2]
+
+    bands = [np.column_stack([mix(least(k, edges[: 2 * few]) + np.uint64(k)) for k in range(s.bands)]).ravel()] if few else []
+    if len(first) > few:
+        own = []
+        for k in range(s.line_bands):
+            band = np.full(len(first) - few, k + 1000, np.uint64)
+            for r in range(s.line_rows):
+                band = mix(band ^ least(k * s.line_rows + r, edges[2 * few :])) + np.uint64(r)
+            own.append(band)
+        bands.append(np.column_stack(own).ravel())
     # two sums over the paragraph's shingles, the second weighted by their place from its own start
     turn = np.append(mix(grams), np.uint64(0))
     within = np.arange(len(turn), dtype=np.uint64)
     a, b = np.add.reduceat(turn, edges)[::2], np.add.reduceat(turn * within, edges)[::2]
     sig = mix(a ^ mix(b - a * first.astype(np.uint64) + count.astype(np.uint64)))
-    return (first << COUNT_BITS) | count, sig.view(np.int64), bands.view(np.int64), grams
+    return (first << COUNT_BITS) | count, sig.view(np.int64), np.concatenate(bands).view(np.int64), grams, few
+
+
+def _wide(first: np.ndarray, count: np.ndarray, line: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
+    """Which lines have s.n words or more and aren't one fragment: every line begins with one."""
+    return (n >= s.n) & (count[np.searchsorted(first, line)] != n)
 
 
 def units(docs: DataFrame, s: Settings) -> DataFrame:
-    """key (doc_id, nulls as the smallest number), places, sigs and bands (flat) of every document, as arrays."""
+    """key (doc_id, nulls as the smallest number), places, sigs and bands (flat) of every document, as arrays, and its number of fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signatures(t or b"", s)[:3] for t in b.column(1).cast(pa.binary()).to_pylist()]
-            counts = np.cumsum([0, *(len(f[0]) for f in found)])
+            found = [(*f[:3], f[4]) for f in (signatures(t or b"", s) for t in b.column(1).cast(pa.binary()).to_pylist())]
 
-            def lists(k: int, width: int = 1, found=found, counts=counts) -> pa.Array:
-                flat = np.concatenate([f[k].ravel() for f in found]) if found else np.empty(0, np.int64)
-                return pa.ListArray.from_arrays(pa.array(counts * width, pa.int32()), pa.array(flat))
+            def lists(k: int, found=found) -> pa.Array:
+                flat = np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)
+                return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[k]) for f in found)]), pa.int32()), pa.array(flat))
 
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(0), lists(1), lists(2, s.bands)], ["key", "places", "sigs", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists(0), lists(1), lists(2), pa.array([f[3] for f in found], pa.int32())], ["key", "places", "sigs", "bands", "fragments"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text").mapInArrow(tidy(run), "key long, places array<long>, sigs array<long>, bands array<long>")
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text").mapInArrow(tidy(run), "key long, places array<long>, sigs array<long>, bands array<long>, fragments int")
 
 
 def _band_rows(stored: DataFrame, s: Settings) -> DataFrame:
     """(band, sig) for each paragraph and band."""
-    rows = stored.select("sigs", F.posexplode("bands").alias("_at", "band"))
-    return rows.select("band", F.get("sigs", (F.col("_at") / s.bands).cast("int")).alias("sig"))
+    rows = stored.select("sigs", "fragments", F.posexplode("bands").alias("_at", "band"))
+    beyond = F.col("_at") - F.col("fragments") * s.bands
+    at = F.when(beyond < 0, (F.col("_at") / s.bands).cast("int")).otherwise(F.col("fragments") + (beyond / s.line_bands).cast("int"))
+    return rows.select("band", F.get("sigs", at).alias("sig"))
 
 
 def clusters(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -133,7 +172,7 @@ def clusters(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
             out = []
             for wanted, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 wanted, text = set(wanted), text or b""
-                places, sigs, _, grams = signatures(text, s)
+                places, sigs, _, grams, _ = signatures(text, s)
                 for place, sig in zip(places.tolist(), sigs.tolist(), strict=True):
                     if sig in wanted:
                         wanted.discard(sig)
@@ -149,7 +188,7 @@ def clusters(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, first_word, n_words, cluster_doc, cluster_word (where its cluster begins) and removed, for each repeated paragraph."""
+    """doc_id, first_word, n_words, cluster_doc, cluster_word (where its cluster begins), removed and run, for each repeated paragraph."""
     s = settings or Settings()
     members = clusters(docs, s)
     first = materialize(members.groupBy("cluster").agg(F.min(F.struct("key", "place")).alias("kept")), "kept")
@@ -157,13 +196,16 @@ def find_repeats(docs: DataFrame, settings: Settings | None = None) -> DataFrame
         "key", F.expr(f"shiftright(place, {COUNT_BITS})").alias("first_word"), F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).alias("n_words"), "kept", (F.struct("key", "place") != F.col("kept")).alias("removed")
     )
     # runs of paragraphs that follow each other in their document, but for fewer than 2 * n words between
-    by_doc = Window.partitionBy("key").orderBy("first_word")
-    gap = F.coalesce(F.col("first_word") - F.lag(F.col("first_word") + F.col("n_words")).over(by_doc) >= 2 * s.n, F.lit(True))
-    runs = rows.withColumn("_gap", gap.cast("int")).withColumn("_run", F.sum("_gap").over(by_doc))
-    long = runs.withColumn("_words", F.sum("n_words").over(Window.partitionBy("key", "_run"))).where(F.col("_words") >= s.run)
+    by_doc = Window.partitionBy("key").orderBy("first_word", "n_words")
+    end = F.col("first_word") + F.col("n_words")
+    ended = F.max(end).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.withColumn("_gap", F.coalesce((F.col("first_word") - ended >= 2 * s.n).cast("int"), F.lit(1)))
+    runs = runs.withColumn("_run", F.sum("_gap").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("key", "_run")
+    runs = runs.withColumn("run", F.max(end).over(whole) - F.min("first_word").over(whole))
     null = F.lit(NULL_KEY)
-    return long.select(
-        F.nullif("key", null).alias("doc_id"), "first_word", "n_words", F.nullif(F.col("kept.key"), null).alias("cluster_doc"), F.expr(f"shiftright(kept.place, {COUNT_BITS})").alias("cluster_word"), "removed"
+    return runs.select(
+        F.nullif("key", null).alias("doc_id"), "first_word", "n_words", F.nullif(F.col("kept.key"), null).alias("cluster_doc"), F.expr(f"shiftright(kept.place, {COUNT_BITS})").alias("cluster_word"), "removed", "run"
     )
 
 

@@ -182,6 +182,24 @@ def test_edited_paragraphs_join_by_exact_jaccard(spark):
     assert {r["doc_id"] for r in found if r["removed"]} >= {3} and 2 not in {r["doc_id"] for r in found}
 
 
+def test_edited_lines_are_compared_whole(spark):
+    texts, pairs = [h.prose(900, 15), h.prose(901, 40), h.prose(900, 15)], []
+    for k in range(12):
+        # one edit in each of two of eight sentences, which alone are under 0.8
+        base = [h.prose(20 * k + j, 15) + "." for j in range(8)]
+        near = [edited(x, k, 0.01) if j in (1, 4) else x for j, x in enumerate(base)]
+        a, b = (h.shingle_set(" ".join(x), 5) for x in (base, near))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            pairs.append((len(texts), len(texts) + 1, 120))
+        texts += [f"{h.prose(500 + k, 30)}\n{' '.join(base)}\n{h.prose(600 + k, 20)}", f"{h.prose(700 + k, 20)}\n{' '.join(near)}"]
+    found = h.rows(paragraph_dedup.find_repeats(h.table(spark, texts)))
+    assert len(pairs) >= 8
+    for first, second, n in pairs:
+        assert [(r["cluster_doc"], r["cluster_word"], r["run"] >= n) for r in found if r["doc_id"] == second and r["n_words"] == n and r["removed"]] == [(first, 30, True)]
+    # a short copy is reported with its run
+    assert any((r["doc_id"], r["removed"]) == (2, True) and r["run"] <= 15 for r in found)
+
+
 def _best_score(item, passage):
     now, best = [0] * (len(passage) + 1), 0
     for w in item:
