@@ -1,10 +1,11 @@
 """Operator 2: SentencePiece encoding by a streaming Viterbi search, and decoding.
 
-The search walks over the characters and keeps a window of nodes no longer than the longest piece, as older nodes can no
-longer be extended. Whenever the backpointer paths of every node in the window meet in one boundary, the ids up to it are
-committed and forgotten, so memory doesn't depend on the text's length. Two kinds of boundary are known to be such
+The search walks over the characters and keeps a window of boundaries no longer than the longest piece, as no piece that
+begins before it can end later. Whenever the backpointer paths of every boundary in the window meet in one boundary, the
+ids up to it are committed and forgotten, so memory doesn't depend on the text's length. Two kinds of boundary are known to be such
 meeting points without a search: a space mark after another character (no piece has one inside) and either side of a
-character that no piece contains. The text between two of them is a closed search, so its ids are kept in a bounded cache.
+character that no piece contains. The text between two of them is a closed search of its own, which ends there; its ids are kept
+in a cache of a bounded number of bytes, which a task begins empty.
 
 What a path must do depends on the vocabulary. With piece scores (a unigram vocabulary) the highest total wins, and of
 equal ones the one whose last piece is longest, at every boundary. With merge ranks (a BPE vocabulary, whose scores only
@@ -18,6 +19,7 @@ space there, and round_trip says so; a null doc_id passes through; repeated rows
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -26,31 +28,71 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm.common import new_id, table
-from skerry.llm.workers import kept
+from skerry.llm.common import table
+from skerry.llm.workers import tidy
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 250_000
-PREFIX = 6
+#: What a task's caches may hold: bytes of ids of closed searches, answers on pairs of pieces, searches of common beginnings.
+CACHE_BYTES = 64_000_000
+ENTRY_BYTES = 200
+CACHE_PAIRS = 200_000
+BEGINNING, BEGINNINGS = 4, 12_000
 OUT_IDS = 2_000_000
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
+# Fixed values of the vocabulary file: it is a protocol buffer, whose field 2 holds the trainer's settings; there field 3
+# is the kind of model, 1 (the default) a unigram model and 2 merge ranks.
+UNIGRAM, BPE = 1, 2
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+        else:
+            size = varint() if kind == 2 else 8 if kind == 1 else 4
+            at += size
+            yield number, data[at - size : at]
+
+
+def model_kind(proto: bytes) -> int:
+    settings = next((v for k, v in _fields(proto) if k == 2), b"")
+    return next((v for k, v in _fields(settings) if k == 3), UNIGRAM)
+
+
 class Pieces:
     """A vocabulary: scored pieces, byte pieces, and what follows from them."""
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], plain: list[bool], ranks: bool | None = None) -> None:
-        """ranks: the scores are merge ranks; None: they are if all of them are whole numbers."""
-        self.by_text = {p: (s, i) for i, (p, s) in enumerate(zip(pieces, scores, strict=True)) if plain[i] and p}
-        self.byte_ids = byte_ids
-        self.longest = max(map(len, self.by_text))
-        self.unknown = min(s for s, _ in self.by_text.values()) - UNKNOWN_PENALTY
-        self.alphabet = set("".join(self.by_text))
-        self.closed_marks = not any(MARK in p.lstrip(MARK) for p in self.by_text)
-        self.ranks = all(float(s).is_integer() for s, _ in self.by_text.values()) if ranks is None else ranks
-        self.joins: dict[tuple[str, str], bool] = {}
-        self.begun: dict[str, tuple[list, list, list]] = {}  # tables of common beginnings
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], plain: list[bool], ranks: bool = False, unknown_id: int = 0) -> None:
+        """ranks: the scores are merge ranks."""
+        self.ids = {p: i for i, p in enumerate(pieces) if plain[i] and p}
+        self.pieces, self.scores, self.byte_ids, self.ranks, self.unknown_id = pieces, scores, byte_ids, ranks, unknown_id
+        self.longest = max(map(len, self.ids))
+        self.unknown = min(scores[i] for i in self.ids.values()) - UNKNOWN_PENALTY
+        self.alphabet = set("".join(self.ids))
+        self.endings = {p[i:] for p in self.ids for i in range(len(p))}
+        self.closed_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        # in place of an id: before a text, and of a character that is no piece
+        self.start, self.odd = len(pieces), len(pieces) + 1
+        self.joins: dict[int, bool] = {}
+        self.growth: dict[str, tuple[list[float], list[str], list[str]]] = {}
         self.out = [p.encode() for p in pieces]
         for value, i in enumerate(byte_ids):
             self.out[i] = bytes([value])
@@ -63,136 +105,208 @@ class Pieces:
         ids = range(m.get_piece_size())
         byte_ids = sorted((int(m.id_to_piece(i)[1:-1], 16), i) for i in ids if m.is_byte(i))
         plain = [not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) for i in ids]
-        return cls([m.id_to_piece(i) if plain[i] else "" for i in ids], [m.get_score(i) for i in ids], [i for _, i in byte_ids], plain)
+        return cls([m.id_to_piece(i) if plain[i] else "" for i in ids], [m.get_score(i) for i in ids], [i for _, i in byte_ids], plain, model_kind(m.serialized_model_proto()) == BPE, m.unk_id())
+
+    def spelled(self, c: str) -> tuple[int, ...]:
+        """Ids of a character that isn't a piece: of its bytes, or the unknown id."""
+        return tuple(self.byte_ids[b] for b in c.encode()) if self.byte_ids else (self.unknown_id,)
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text: the neighbours that form the piece of the best rank join first, the leftmost of equals."""
         parts = list(text)
-        while len(parts) > 1:
-            ranked = [(-self.by_text[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.by_text]
-            if not ranked:
-                break
-            i = min(ranked)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        while self._merge(parts) is not None:
+            pass
         return parts
 
+    def _merge(self, parts: list[str]) -> float | None:
+        """The next merge, done in place, and its rank."""
+        ranked = [(-self.scores[self.ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ids]
+        if not ranked:
+            return None
+        rank, i = min(ranked)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return rank
+
+    def grown(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """How merging makes a piece of its characters: each merge's rank and then infinity, and the first and the last part before it.
+
+        Of a text that merging doesn't make one piece of, the piece is missing at the end."""
+        got = self.growth.get(piece)
+        if got is None:
+            parts, ranks, first, last = list(piece), [], [], []
+            while not ranks or ranks[-1] < math.inf:
+                first.append(parts[0])
+                last.append(parts[-1])
+                rank = self._merge(parts)
+                ranks.append(math.inf if rank is None else rank)
+            got = ranks, first, last
+            if piece in self.ids:
+                self.growth[piece] = got
+        return got
+
     def may_follow(self, before: str, piece: str) -> bool:
-        """Whether merging keeps the two pieces apart and whole."""
-        got = self.joins.get((before, piece))
+        """Whether merging keeps the two pieces apart and whole.
+
+        Until a merge joins them across their boundary, each of the two grows as it does alone, and the next merge is the
+        better one of the two next ones, the left one of equals. So both are replayed, looking at each step whether the
+        parts at the boundary would join before that."""
+        own, first, _ = self.grown(piece)
+        if first[-1] != piece:
+            return False
+        left, _, last = self.grown(before) if before else ([math.inf], [], [""])
+        i = j = 0
+        while before:
+            across = self.ids.get(last[i] + first[j])
+            if across is not None and -self.scores[across] < left[i] and -self.scores[across] <= own[j]:
+                return False
+            if left[i] > own[j]:
+                j += 1
+            elif left[i] < math.inf:
+                i += 1
+            else:
+                break
+        return True
+
+    def keeps_apart(self, last: int, before: str, i: int) -> bool:
+        """may_follow of the piece i after the text `before`, whose id is `last`."""
+        key = last * len(self.pieces) + i
+        got = self.joins.get(key)
         if got is None:
-            if len(self.joins) >= CACHE_WORDS:
-                self.joins.clear()
-            got = self.joins[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            got = self.may_follow(before, self.pieces[i])
+            if last != self.odd:
+                if len(self.joins) >= CACHE_PAIRS:
+                    self.joins.clear()
+                self.joins[key] = got
         return got
 
 
-def viterbi_stream(chars: Iterable[str], p: Pieces) -> Iterator[int]:
-    """Ids of the best segmentation of a stream of characters, given out as soon as they are certain."""
-    # a node: (score, position, parent node or None, ids of the piece that leads here, that piece)
-    root = (0.0, 0, None, (), "")
-    window, tail, at = [root], "", 0
-    for c in chars:
-        at += 1
-        tail = (tail + c)[-p.longest :]
-        made: list[tuple] = []
-        # earliest first, so of equal scores the longest last piece stays; by ranks one path at most survives, mostly a short piece
-        for node in reversed(window) if p.ranks else window:
-            piece = tail[len(tail) - (at - node[1]) :]
-            got = p.by_text.get(piece)
-            if got is None and (len(piece) > 1 or node[1] != at - 1):
-                continue
-            if p.ranks and not p.may_follow(node[4], piece):
-                continue
-            score = node[0] + (p.unknown if got is None else got[0])
-            if p.ranks or not made or score > made[0][0]:
-                made = [(score, at, node, tuple(p.byte_ids[b] for b in c.encode()) if got is None else (got[1],), piece)]
-                if p.ranks:
+class Search:
+    """The Viterbi search over a stream of text, which comes in parts of any length.
+
+    text, last, back and gain are those of the window alone: its characters and, for each boundary between them, the id of
+    the best path's last piece, where that begins, and the path's score. opening is the piece before the window."""
+
+    def __init__(self, p: Pieces) -> None:
+        self.p, self.text, self.opening = p, "", ""
+        self.last, self.back, self.gain = [p.start], [0], [0.0]
+
+    def copy(self) -> Search:
+        out = Search(self.p)
+        out.text, out.opening, out.last, out.back, out.gain = self.text, self.opening, self.last[:], self.back[:], self.gain[:]
+        return out
+
+    def feed(self, part: str) -> list[int]:
+        """Go on with the text; returns the ids that no later text can change."""
+        done: list[int] = []
+        step, on = self.p.longest, self._by_ranks if self.p.ranks else self._by_scores
+        for i in range(0, len(part), step):
+            self.text += part[i : i + step]
+            on()
+            if len(self.text) >= 2 * step:
+                done += self._commit(self._meeting())
+        return done
+
+    def finish(self) -> list[int]:
+        """The other ids: at the end of the text the path to its last boundary is the best one."""
+        return self._commit(len(self.text))
+
+    def _by_ranks(self) -> None:
+        """The survivor at each new boundary by merge ranks; the first one met is the only one."""
+        p, text, last, back = self.p, self.text, self.last, self.back
+        ids, joins, endings, size = p.ids, p.joins, p.endings, len(p.pieces)
+        for end in range(len(last), len(text) + 1):
+            start = end
+            while start:
+                start -= 1
+                piece = text[start:end]
+                if piece in ids:
+                    own = ids[piece]
+                    key = last[start] * size + own
+                    if joins[key] if key in joins else p.keeps_apart(last[start], text[back[start] : start] if start else self.opening, own):
+                        break
+                elif piece not in endings:  # no piece ends so
+                    start, own = end - 1, p.odd
                     break
-        window = [n for n in window if at + 1 - n[1] <= p.longest] + made
-        if at % p.longest == 0:
-            meeting = _meeting(window)
-            if meeting is not root:
-                yield from _ids(meeting, root)
-                window, root = _rebased(window, meeting)
-    yield from _ids(window[-1], root)
-
-
-def _meeting(window: list) -> tuple:
-    """The latest node that every path back from the window passes."""
-    live = {id(n): n for n in window}
-    while len(live) > 1:
-        last = max(live.values(), key=lambda n: n[1])
-        del live[id(last)]
-        live[id(last[2])] = last[2]
-    return next(iter(live.values()))
-
-
-def _rebased(window: list, meeting: tuple) -> tuple[list, tuple]:
-    """The same nodes with nothing kept before the meeting point, scores counted from it; and the new root."""
-    made = {id(meeting): (0.0, meeting[1], None, (), meeting[4])}
-
-    def copy(n: tuple) -> tuple:
-        if id(n) not in made:
-            made[id(n)] = (n[0] - meeting[0], n[1], copy(n[2]), n[3], n[4])
-        return made[id(n)]
-
-    return [copy(n) for n in window], made[id(meeting)]
-
-
-def _ids(node: tuple, root: tuple) -> list[int]:
-    out = []
-    while node is not root:
-        out.append(node[3])
-        node = node[2]
-    return [i for ids in reversed(out) for i in ids]
-
-
-def _short(text: str, p: Pieces) -> list[int]:
-    """viterbi_stream of a text no longer than its window, by merge ranks, as a plain table of the survivor at each boundary."""
-    known, joins = p.by_text, p.joins
-    begun = p.begun.get(text[:PREFIX])
-    last, back, ids = (begun[0][:], begun[1][:], begun[2][:]) if begun else ([""], [0], [()])
-    for end in range(len(last), len(text) + 1):
-        for start in range(end - 1, -1, -1):
-            piece = text[start:end]
-            if piece in known:
-                pair = (last[start], piece)
-                if joins[pair] if pair in joins else p.may_follow(*pair):
-                    ids.append((known[piece][1],))
-                    break
-            elif start == end - 1:  # never part of a longer piece or pair
-                ids.append(tuple(p.byte_ids[b] for b in piece.encode()))
-                break
-        last.append(piece)
-        back.append(start)
-        if end == PREFIX and not begun:
-            if len(p.begun) >= CACHE_WORDS // 5:
-                p.begun.clear()
-            p.begun[text[:PREFIX]] = (last[:], back[:], ids[:])
-    out, end = [], len(text)
-    while end:
-        out.append(ids[end])
-        end = back[end]
-    return [i for own in reversed(out) for i in own]
+            else:
+                start, own = end - 1, p.odd
+            last.append(own)
+            back.append(start)
+
+    def _by_scores(self) -> None:
+        """The survivor at each new boundary by the sum of scores, of equal ones that of the longest last piece."""
+        p, text, last, back, gain = self.p, self.text, self.last, self.back, self.gain
+        for end in range(len(last), len(text) + 1):
+            start = end - 1
+            own = p.ids.get(text[start], p.odd)
+            best = gain[start] + (p.unknown if own == p.odd else p.scores[own])
+            for at in range(end - 2, max(-1, end - p.longest - 1), -1):
+                longer = p.ids.get(text[at:end])
+                if longer is not None and gain[at] + p.scores[longer] >= best:
+                    best, start, own = gain[at] + p.scores[longer], at, longer
+            last.append(own)
+            back.append(start)
+            gain.append(best)
+
+    def _meeting(self) -> int:
+        """The latest boundary that the paths of all boundaries pass from which a piece may yet begin."""
+        back, live = self.back, set(range(len(self.text) - self.p.longest + 1, len(self.text) + 1))
+        while len(live) > 1:
+            far = max(live)
+            live.remove(far)
+            live.add(back[far])
+        return live.pop()
+
+    def _commit(self, end: int) -> list[int]:
+        """Ids of the path to a boundary, which becomes the first one of the window."""
+        out, at = [], end
+        while at:
+            own = self.last[at]
+            if own == self.p.odd:
+                out += reversed(self.p.spelled(self.text[at - 1]))
+            else:
+                out.append(own)
+            at = self.back[at]
+        if end:
+            self.opening = self.text[self.back[end] : end]
+            self.text, self.last = self.text[end:], self.last[end:]
+            self.back = [max(0, b - end) for b in self.back[end:]]
+            self.gain = [g - self.gain[end] for g in self.gain[end:]]
+        out.reverse()
+        return out
+
+
+def viterbi_stream(parts: Iterable[str], p: Pieces) -> Iterator[int]:
+    """Ids of the best segmentation of a text that comes in parts, given out as soon as they are certain."""
+    search = Search(p)
+    for part in parts:
+        yield from search.feed(part)
+    yield from search.finish()
 
 
 class _Closed(dict):
-    """Ids (as little-endian 32-bit bytes) of pieces of text between known meeting points, found on first sight.
+    """Ids (as little-endian 32-bit bytes) of closed searches, kept until they take more than a bounded number of bytes.
 
-    A full cache becomes the older generation, from which words still in use move back."""
+    A search goes on from where another one of the same first characters was."""
 
-    def __init__(self, pieces: Pieces, prefix: str) -> None:
-        self.pieces, self.prefix, self.older = pieces, prefix, {}
+    def __init__(self, pieces: Pieces, prefix: str, room: int) -> None:
+        self.pieces, self.prefix, self.room, self.taken = pieces, prefix, room, 0
+        self.begun: dict[str, tuple[Search, list[int]]] = {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.older.get(text)
-        if ids is None:
-            whole = self.prefix + text
-            ids = array("i", _short(whole, self.pieces) if self.pieces.ranks and len(whole) <= self.pieces.longest else viterbi_stream(whole, self.pieces)).tobytes()
+        start = text[:BEGINNING]
+        if start not in self.begun:
+            if len(self.begun) >= BEGINNINGS:
+                self.begun.clear()
+            first = Search(self.pieces)
+            self.begun[start] = (first, first.feed(self.prefix + start))
+        first, done = self.begun[start]
+        search = first.copy()
+        ids = array("i", done + search.feed(text[BEGINNING:]) + search.finish()).tobytes()
         if len(text) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
+            self.taken += ENTRY_BYTES + 2 * len(text) + len(ids)
+            if self.taken > self.room:
                 self.clear()
+                self.taken = 0
             self[text] = ids
         return ids
 
@@ -202,7 +316,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.after_mark, self.bare = _Closed(pieces, MARK), _Closed(pieces, "")
+        self.after_mark, self.bare = _Closed(pieces, MARK, CACHE_BYTES), _Closed(pieces, "", CACHE_BYTES // 8)
         self.lines_closed = "\n" not in pieces.alphabet
         self.newline = np.array([pieces.byte_ids[10]], np.int32).tobytes() if pieces.byte_ids else b""
 
@@ -218,7 +332,7 @@ class Encoder:
         if not text:
             return np.empty(0, np.int32)
         if not self.pieces.closed_marks:
-            return np.fromiter(viterbi_stream(MARK + text.replace(" ", MARK), self.pieces), np.int32)
+            return np.fromiter(viterbi_stream([MARK + text.replace(" ", MARK)], self.pieces), np.int32)
         if not self.lines_closed or "\n" not in text:
             return np.frombuffer(self._line(text, True), np.int32)
         first, *rest = text.split("\n")
@@ -233,10 +347,9 @@ class Encoder:
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_ids, ids and round_trip (the ids decode to the text) of every row; one pass, no shuffle."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_path))
-    job = new_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept(job, lambda: Encoder(vocabulary.value))
+        codec = Encoder(vocabulary.value)
         for b in batches:
             keys, texts = b.column("doc_id"), b.column("text")
             start, held, size = 0, [], 0
@@ -252,21 +365,20 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys.slice(start, i + 1 - start), pa.array(counts), lists, pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids", "round_trip"])
                     start, held, size, same = i + 1, [], 0, []
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of rows that hold ids."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Pieces.load(model_path))
-    job = new_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = kept(job, lambda: Encoder(vocabulary.value))
+        codec = Encoder(vocabulary.value)
         for b in batches:
             texts = [codec.decode(np.array(ids or [], np.int32)) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def default_model() -> str:

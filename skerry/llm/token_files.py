@@ -12,8 +12,9 @@ files. The manifest has a row for each part (part, width in bytes, documents, to
 prefix sums over the parts, so any document's global position is its part's base plus its own offset.
 
 Tokenisation works on words between white space, which the tokenizer's normaliser drops, so a word's ids never depend on
-its neighbours, nor do those of its letters on marks after them; they are kept in a bounded cache. Texts with separators that Python and the tokenizer disagree on are
-encoded whole.
+its neighbours, nor do those of its letters on marks after them; they are kept in a cache of a bounded number of bytes.
+Texts with separators that Python and the tokenizer disagree on are encoded whole, and so is every text by a tokenizer of
+another normaliser or split.
 
 Defined results: a null text is an empty one, so it has the end id alone; an empty table has no parts; repeated rows and
 repeated ids are documents of their own, ordered by id and then by text; extra columns are ignored.
@@ -21,6 +22,7 @@ repeated ids are documents of their own, ordered by id and then by text; extra c
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -35,12 +37,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import materialize, new_id, scratch_path, table
-from skerry.llm.workers import kept
+from skerry.llm.common import materialize, scratch_path, table
+from skerry.llm.workers import tidy
 
-CACHE_WORDS = 500_000
+#: What a task's cache of words may hold, in bytes, of which an entry takes so many besides its word and ids.
+CACHE_BYTES, ENTRY_BYTES = 96_000_000, 160
 READ_DOCS = 20_000
 NULL_KEY = -(2**63)
+# The normaliser and the split into words, in the tokenizer's own form, under which a word's ids never depend on its neighbours.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Separators for Python's split() that aren't white space for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 #: ASCII marks that a tokenizer of words separates from letters before them.
@@ -61,37 +75,58 @@ def _letters(core: str) -> bool:
 
 
 class _Words(dict):
-    """word -> its ids as bytes. A full cache becomes the older generation, from which words still in use move back."""
+    """word -> its ids as bytes, until they take more than a bounded number of bytes."""
 
     def __init__(self, tokenizer: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.older = Tokenizer.from_str(tokenizer), kind, {}
+        self.tokenizer, self.kind, self.taken = Tokenizer.from_str(tokenizer), kind, 0
+        parts = json.loads(tokenizer)
+        self.by_words = all(parts.get(k) == v for k, v in BY_WORDS.items())
 
     def ids(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
+    def _encoded(self, words: list[str]) -> None:
+        """The ids of words, told apart by where in their joint text they come from."""
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        ids, at = np.array(got.ids, self.kind), np.array([x for x, _ in got.offsets], np.int64)
+        edges = np.searchsorted(at, starts)
+        for word, low, high in zip(words, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            self._put(word, ids[low:high].tobytes())
+
+    def _put(self, word: str, ids: bytes) -> None:
+        self.taken += ENTRY_BYTES + 2 * len(word) + len(ids)
+        self[word] = ids
+
+    def _learn(self, words: list[str]) -> None:
+        new, made = set(), []
+        for word in words:
             core = word.rstrip(_MARKS)
             if core == word and word.isascii():
                 core = word.lower()
             if core != word and _letters(core):  # letters and marks after them are tokenised apart
-                ids = self[core] + self[word[len(core) :]] if len(core) < len(word) else self[core]
+                parts = (core, word[len(core) :]) if len(core) < len(word) else (core,)
+                made.append((word, parts))
+                new.update(x for x in parts if x not in self)
             else:
-                ids = self.ids(word)
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+                new.add(word)
+        if new:
+            self._encoded(list(new))
+        for word, parts in made:
+            self._put(word, b"".join(map(self.__getitem__, parts)))
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.by_words or _ODD.search(text):
             return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if self.taken > CACHE_BYTES:
+            self.clear()
+            self.taken = 0
+        words = text.split()
+        if unknown := list({w for w in words if w not in self}):
+            self._learn(unknown)
+        return b"".join(map(self.__getitem__, words))
 
 
 def vocabulary_size(tokenizer_json: str) -> int:
@@ -105,7 +140,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, pa
     """Write the files of docs into folder, which tasks and driver share, and return the manifest."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words, job = spark.sparkContext.broadcast(tokenizer_json), new_id()
+    words = spark.sparkContext.broadcast(tokenizer_json)
     wide = max(vocabulary_size(tokenizer_json), end_id + 1) > 2**16
     kind, width, suffix = ("I", 4, "u32") if wide else ("H", 2, "u16")
     end = array(kind, [end_id]).tobytes()
@@ -120,7 +155,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, pa
         for b in batches:
             if encoder is None:
                 fs.create_dir(path, recursive=True)
-                encoder, tokens = kept(job, lambda: _Words(words.value, kind)), fs.open_output_stream(names[f"tokens.{suffix}"] + own)
+                encoder, tokens = _Words(words.value, kind), fs.open_output_stream(names[f"tokens.{suffix}"] + own)
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = encoder.encode(text.as_py() or "") + end
                 tokens.write(ids)
@@ -139,7 +174,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, pa
 
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    written = materialize(ordered.mapInArrow(run, "part int, width int, documents long, tokens long"), "manifest")
+    written = materialize(ordered.mapInArrow(tidy(run), "part int, width int, documents long, tokens long"), "manifest")
     # one row a part: the window is over as many rows as there are parts
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumns({"first_token": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "first_document": F.coalesce(F.sum("documents").over(before), F.lit(0))})
@@ -168,7 +203,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     )
 
     n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("part", "width", "first_token").repartition(n, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
+    return manifest.select("part", "width", "first_token").repartition(n, "part").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, part int")
 
 
 def tokens_of(folder: str, part: int, row: int, width: int) -> np.ndarray:

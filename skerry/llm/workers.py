@@ -1,28 +1,16 @@
-"""What a Python worker keeps from one task to the next, and how it gives memory back."""
+"""How a Python worker gives memory back between tasks: nothing is kept from one to the next."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pyarrow as pa
 
-_kept: dict[str, Any] = {}
-
-
-def kept(job: str, make: Callable[[], Any]) -> Any:
-    """One object for all tasks that this worker runs for a job, so its caches stay warm; other jobs' objects go."""
-    if job not in _kept:
-        free()
-        _kept[job] = make()
-    return _kept[job]
-
 
 def free() -> None:
-    """Let go what earlier jobs kept, and return unused memory to the system."""
-    _kept.clear()
+    """Return unused memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -32,11 +20,13 @@ def free() -> None:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow, in a worker that holds nothing of earlier jobs before and of this task after it."""
+    """run for mapInArrow, in a worker that gives back what earlier tasks have left and, also after an error, what this one took."""
 
     def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free()
-        yield from run(batches)
-        free()
+        try:
+            yield from run(batches)
+        finally:
+            free()
 
     return begun

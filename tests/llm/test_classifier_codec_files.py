@@ -64,8 +64,8 @@ def _best(text):
     best = [0.0] + [-1e9] * len(text)
     for end in range(1, len(text) + 1):
         for start in range(end):
-            got = TOY.by_text.get(text[start:end])
-            score = got[0] if got else TOY.unknown if end - start == 1 else None
+            got = TOY.ids.get(text[start:end])
+            score = TOY.scores[got] if got is not None else TOY.unknown if end - start == 1 else None
             if score is not None:
                 best[end] = max(best[end], best[start] + score)
     return best[-1]
@@ -79,30 +79,57 @@ def test_viterbi_stream_finds_the_best_total_and_keeps_a_short_window():
         total, i = 0.0, 0
         while i < len(ids):
             if ids[i] < 7:
-                total += next(s for s, k in TOY.by_text.values() if k == ids[i])
+                total += TOY.scores[ids[i]]
             else:
                 total += TOY.unknown
             i += 1
         assert abs(total - _best(text)) < 1e-6
-    stream = sentencepiece_codec.viterbi_stream(("a" if i % 3 else "b" for i in range(50_000)), TOY)
-    assert sum(1 for _ in stream) > 10_000
+        # the same in parts of any length
+        parts = [text[i : i + 3] for i in range(0, n, 3)]
+        assert list(sentencepiece_codec.viterbi_stream(parts, TOY)) == ids
+    search, done = sentencepiece_codec.Search(TOY), 0
+    for i in range(20_000):
+        done += len(search.feed("a" if i % 3 else "b"))
+        assert len(search.text) <= 4 * TOY.longest
+    assert done > 5_000
+
+
+def test_stream_by_ranks_equals_the_library_without_a_split_into_words():
+    import sentencepiece
+
+    path = sentencepiece_codec.default_model()
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Pieces.load(path)
+    assert pieces.ranks
+    text = h.prose(5, 2000) + " " + "naïve 漢字 😀 antidisestablishmentarianism" * 30 + "the" * 2000
+    search, ids, widest = sentencepiece_codec.Search(pieces), [], 0
+    for c in (sentencepiece_codec.MARK + text).replace(" ", sentencepiece_codec.MARK):
+        ids += search.feed(c)
+        widest = max(widest, len(search.text))
+    assert ids + search.finish() == library.encode(text) and widest <= 4 * pieces.longest
+
+
+def test_pairs_are_kept_apart_as_by_merging():
+    pieces, draw = sentencepiece_codec.Pieces.load(sentencepiece_codec.default_model()), np.random.default_rng(2)
+    known = list(pieces.ids)
+    for _ in range(20_000):
+        a, b = known[draw.integers(len(known))][-3:], known[draw.integers(len(known))][:4]
+        if a in pieces.ids and b in pieces.ids:
+            assert pieces.may_follow(a, b) == (pieces.merged(a + b) == [a, b])
 
 
 def test_codec_equals_the_library_and_round_trips(spark):
     import sentencepiece
 
-    texts = [*h.edge_texts(), "  two  spaces ", "line\nline\n\n end", "emoji 😀 and \t tab", " lead", "x" * 500]
+    texts = [*h.edge_texts(), "  two  spaces ", "line\nline\n\n end", "emoji 😀 and \t tab", " lead", "x" * 500, "a\u2581b \u2581"]
     path = sentencepiece_codec.default_model()
     encoded = sentencepiece_codec.encode(h.table(spark, texts, more=h.CLASHING), path)
     found = {r["doc_id"]: r for r in h.rows(encoded)}
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     for i, text in enumerate(texts):
-        if i != 3:
-            assert found[i]["ids"] == library.encode(text or ""), text
-        assert found[i]["n_ids"] == len(found[i]["ids"]) and found[i]["round_trip"]
-    assert found[3]["ids"][:2000] == library.encode(texts[3][:20_000])[:2000]
+        assert found[i]["ids"] == library.encode(text or ""), text
+        assert found[i]["n_ids"] == len(found[i]["ids"]) and found[i]["round_trip"] == ("\u2581" not in (text or ""))
     back = {r["doc_id"]: r["text"] for r in h.rows(sentencepiece_codec.decode(encoded, path))}
-    assert all(back[i] == (t or "") for i, t in enumerate(texts))
+    assert all(back[i] == (t or "").replace("\u2581", " ") for i, t in enumerate(texts))
     assert sentencepiece_codec.encode(h.table(spark, ["x"]).limit(0), path).count() == 0
 
 
@@ -130,3 +157,29 @@ def test_token_files_hold_what_the_tokenizer_gives(spark):
     assert token_files.tokens_of(folder, part["part"], 0, part["width"])[-1] == 1
     empty = scratch_path(spark, "test")
     assert token_files.read(token_files.write(docs.limit(0), empty, tokenizer), empty).count() == 0
+
+
+def test_another_tokenizer_encodes_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        tokenizer = f.read()
+    texts = ["two words  and   spaces", "x", None, " lead\nline"]
+    folder = scratch_path(spark, "test")
+    found = h.rows(token_files.read(token_files.write(h.table(spark, texts), folder, tokenizer, parts=2), folder))
+    plain = Tokenizer.from_str(tokenizer)
+    want = [zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for t in texts]
+    assert [r["ids_crc32"] for r in sorted(found, key=lambda r: r["doc_id"])] == want
+
+
+def test_word_caches_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 2_000)
+    words = token_files._Words(token_files.default_tokenizer(), "H")
+    text = h.prose(3, 2000)
+    parts = [text[i : i + 60] for i in range(0, len(text), 60)]
+    assert all(words.encode(x) == words.ids(x) and len(words) <= 50 for x in parts)
+    closed = sentencepiece_codec._Closed(sentencepiece_codec.Pieces.load(sentencepiece_codec.default_model()), sentencepiece_codec.MARK, 10_000)
+    for word in text.split():
+        closed[word]
+    assert len(closed) <= 50
