@@ -1,14 +1,18 @@
 """Operator 8: licence detection by ordered signature rules.
 
-A rule is a regular expression with a label, a priority (smaller is stronger) and a keyword. Texts without any of a few
-gate strings and gate phrases, one of which every rule needs, are never matched; in the others a rule runs only if its
-keyword is there. Between the words of a gate phrase, as of a rule, any run of other characters may stand.
-All matches become intervals of characters. In order of their start, an interval inside a longer one is dropped, and of
-two that overlap in part the one with the stronger priority stays, the earlier of equals.
+A text is read as its words, in lower case with two spaces between them, so that any run of other characters, a line's end
+or a comma, parts words alike. A rule (see license_rules) is a regular expression over such texts with a label, a priority
+(smaller is stronger) and a keyword, a word that all its matches hold. A text without any of the gates, parts of words of
+which every match of every rule holds one, is never matched; in the others a rule runs only if its keyword is there.
 
-Words are runs of ASCII digits, letters and all other code points from U+0080; matching ignores the case of A-Z alone.
-Apart from the rules, three base phrases are counted as runs of words. Only built-in expressions are used, within the row:
-no shuffle.
+All matches become intervals of the text. In the order of their priority, then of their length, the longest first, then of
+their start, an interval stays unless it overlaps one that stays: so a bare name inside a notice or inside a licence's
+sentence is suppressed, and what a suppressed interval would have suppressed is not.
+
+Words are runs of ASCII digits, letters and all other code points from U+0080; the case of A-Z alone doesn't count. Apart
+from the rules, three base phrases are counted as runs of words; their labels stay whatever the rules find. score is the
+weight of the strongest priority that stays, or that of a bare name where only base phrases are found. Only built-in
+expressions are used, within the row: no shuffle.
 
 Defined results: a null text is an empty one: no words, no labels, score 0; first_word and last_word are null without a
 base phrase; a null doc_id passes through; repeated rows are scanned each; extra columns are ignored.
@@ -16,193 +20,131 @@ base phrase; a null doc_id passes through; repeated rows are scanned each; extra
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.common import let, table
+from skerry.llm.license_rules import GATES, parsed
 
-W = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 GAP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+WEIGHTS = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8, 5: 0.6}
+INTERVALS = "array<struct<priority:int,neg_size:int,start:int,label:string>>"
+
 
-# Licence families with the names and identifiers they go by.
-FAMILIES: dict[str, tuple[list[str], list[str]]] = {
-    "mit": (["mit license", "mit licence", "expat license", "mit style license", "x11 license"], ["MIT", "X11"]),
-    "mit-0": (["mit no attribution", "mit no attribution license"], ["MIT-0"]),
-    "apache": (["apache license", "apache licence", "apache software license", "apache public license"], ["Apache-1.1", "Apache-2.0"]),
-    "gpl": (["general public license", "gnu general public license", "gnu public license", "gnu gpl license", "gpl license"], ["GPL-2.0", "GPL-3.0"]),
-    "lgpl": (["lesser general public license", "gnu lesser general public license", "library general public license", "lgpl license"], ["LGPL-2.1", "LGPL-3.0"]),
-    "agpl": (["affero general public license", "gnu affero general public license", "agpl license"], ["AGPL-3.0"]),
-    "gfdl": (["free documentation license", "gnu free documentation license", "gfdl license"], ["GFDL-1.3"]),
-    "bsd": (["bsd license", "bsd licence", "bsd style license", "berkeley software distribution license"], ["0BSD"]),
-    "bsd-2-clause": (["bsd 2 clause license", "simplified bsd license", "freebsd license", "two clause bsd license"], ["BSD-2-Clause"]),
-    "bsd-3-clause": (["bsd 3 clause license", "new bsd license", "modified bsd license", "three clause bsd license"], ["BSD-3-Clause"]),
-    "mpl": (["mozilla public license", "mozilla license", "mpl license"], ["MPL-1.1", "MPL-2.0"]),
-    "epl": (["eclipse public license", "eclipse license", "epl license"], ["EPL-1.0", "EPL-2.0"]),
-    "edl": (["eclipse distribution license"], []),
-    "cddl": (["common development and distribution license", "cddl license"], ["CDDL-1.0"]),
-    "cpl": (["common public license", "cpl license"], ["CPL-1.0"]),
-    "isc": (["isc license", "isc licence", "internet systems consortium license"], ["ISC"]),
-    "zlib": (["zlib license", "zlib libpng license"], ["Zlib"]),
-    "boost": (["boost software license", "boost license"], ["BSL-1.0"]),
-    "unlicense": (["the unlicense license", "unlicense license"], ["Unlicense"]),
-    "wtfpl": (["wtfpl license"], ["WTFPL"]),
-    "artistic": (["artistic license", "perl artistic license", "clarified artistic license"], ["Artistic-1.0", "Artistic-2.0"]),
-    "python": (["python software foundation license", "python license", "psf license"], ["PSF-2.0", "Python-2.0"]),
-    "php": (["php license"], ["PHP-3.01"]),
-    "ruby": (["ruby license"], ["Ruby"]),
-    "openssl": (["openssl license", "ssleay license"], ["OpenSSL"]),
-    "postgresql": (["postgresql license", "postgres license"], ["PostgreSQL"]),
-    "eupl": (["european union public license", "european union public licence", "eupl licence"], ["EUPL-1.2"]),
-    "cecill": (["cecill license", "cecill free software license agreement"], ["CECILL-2.1"]),
-    "ms-pl": (["microsoft public license", "ms pl license"], ["MS-PL"]),
-    "ms-rl": (["microsoft reciprocal license"], ["MS-RL"]),
-    "osl": (["open software license", "osl license"], ["OSL-3.0"]),
-    "afl": (["academic free license"], ["AFL-3.0"]),
-    "ofl": (["sil open font license", "open font license", "ofl license"], ["OFL-1.1"]),
-    "odbl": (["open database license", "odbl license"], ["ODbL-1.0"]),
-    "odc-by": (["open data commons attribution license"], ["ODC-By-1.0"]),
-    "pddl": (["public domain dedication and license"], ["PDDL-1.0"]),
-    "cc0": (["creative commons zero license", "cc0 license", "creative commons zero"], ["CC0-1.0"]),
-    "cc-by": (["creative commons attribution license", "creative commons attribution", "cc by license", "cc by"], ["CC-BY-4.0", "CC-BY-3.0"]),
-    "cc-by-sa": (["creative commons attribution sharealike license", "creative commons attribution sharealike", "creative commons attribution share alike", "cc by sa"], ["CC-BY-SA-4.0", "CC-BY-SA-3.0"]),
-    "cc-by-nc": (["creative commons attribution noncommercial license", "creative commons attribution noncommercial", "creative commons attribution non commercial", "cc by nc"], ["CC-BY-NC-4.0"]),
-    "cc-by-nd": (["creative commons attribution noderivatives", "creative commons attribution no derivatives", "cc by nd"], ["CC-BY-ND-4.0"]),
-    "cc-by-nc-sa": (["creative commons attribution noncommercial sharealike", "cc by nc sa"], ["CC-BY-NC-SA-4.0"]),
-    "cc-by-nc-nd": (["creative commons attribution noncommercial noderivatives", "cc by nc nd"], ["CC-BY-NC-ND-4.0"]),
-    "ncsa": (["university of illinois ncsa license", "ncsa license", "ncsa open source license"], ["NCSA"]),
-    "unicode": (["unicode license", "unicode terms of use license"], ["Unicode-DFS-2016"]),
-    "w3c": (["w3c license", "w3c software license", "w3c software notice and license"], ["W3C"]),
-    "blueoak": (["blue oak model license"], ["BlueOak-1.0.0"]),
-    "sspl": (["server side public license", "sspl license"], ["SSPL-1.0"]),
-    "busl": (["business source license", "bsl license"], ["BUSL-1.1"]),
-    "elastic": (["elastic license"], ["Elastic-2.0"]),
-    "openrail": (["openrail license", "open rail m license", "responsible ai license", "bigscience rail license"], ["OpenRAIL"]),
-    "llama": (["llama community license", "llama 2 community license", "llama 3 community license"], ["Llama-2"]),
-    "vim": (["vim license"], ["Vim"]),
-    "curl": (["curl license"], ["curl"]),
-    "tcl": (["tcl tk license", "tcl license"], ["TCL"]),
-    "proprietary": (["proprietary license", "commercial license", "all rights reserved license"], []),
-}
-# Sentences of licence texts; each holds one of the gate strings or phrases.
-SENTENCES = {
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
-    "gpl": ["license as published by the free software foundation either version"],
-    "apache": ["you may not use this file except in compliance with the license"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license"],
-    "public-domain": ["released into the public domain", "dedicated to the public domain", "placed in the public domain", "is in the public domain"],
-    "proprietary": ["copyright all rights reserved", "may not be copied without a license", "licensed for internal use only"],
-}
-GATES = ["licen", "spdx", "copyright", "redistribution"]
-GATE_PHRASES = ["creative commons", "cc by", "public domain", "hereby granted", "mit no attribution"]
-GRANTS = r"(?:licensed|released|distributed|available|provided|published|offered)" + GAP + "under" + GAP + "(?:the" + GAP + "(?:terms" + GAP + "of" + GAP + "(?:the" + GAP + ")?)?)?"
-WEIGHTS = {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.85, 5: 0.7}
-
-
-def phrase(words: str) -> str:
-    return GAP.join(words.split())
-
-
-def whole(pattern: str) -> str:
-    return f"(?i)(?<!{W})(?:{pattern})(?!{W})"
+def spaced(regex: str) -> str:
+    """An expression for texts of single spaces as one for double spaces, with a space at either end."""
+    return " " + regex.replace(" ?", "\0").replace(" ", "  ").replace("\0", "(?:  )?") + " "
 
 
 def rules() -> list[tuple[str, str, int, str]]:
-    """(label, regular expression, priority, keyword): identifiers, sentences, names with versions, grants, bare names."""
-    made = []
-    for label, (names, ids) in FAMILIES.items():
-        for spdx in ids:
-            made.append((label, whole("spdx-license-identifier:[ \\t]*" + spdx.replace(".", r"\.") + "(?:-only|-or-later)?"), 1, "spdx"))
-        for name in names:
-            key = max((w for w in name.split() if w not in ("license", "licence")), key=len)
-            version = "(?:" + GAP + "(?:version|v)?[ .]*[0-9]+(?:\\.[0-9]+)*)"
-            made.append((label, whole(phrase(name) + version), 3, key))
-            made.append((label, whole(GRANTS + phrase(name) + version + "?"), 4, key))
-            made.append((label, whole(phrase(name)), 5, key))
-    for label, sentences in SENTENCES.items():
-        made += [(label, whole(phrase(s)), 2, max(s.split(), key=len)) for s in sentences]
-    return made
-
-
-def _rules_column() -> Column:
-    return F.array(*(F.struct(F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(priority).alias("priority"), F.lit(key).alias("key")) for label, regex, priority, key in rules()))
+    """(label, expression over double spaces, priority, keyword)."""
+    return [(label, spaced(regex), priority, key) for label, regex, priority, key in parsed()]
+
+
+def _n_words(part: Column) -> Column:
+    """Words of a part of a text of double spaces, cut within such spaces."""
+    return F.floor((F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
 def _intervals(text: Column, rule: Column) -> Column:
-    """Start, end (as a negative number, for sorting), priority and label of each match of a rule."""
+    """Priority, size (as a negative number, for sorting), start and label of each match of a rule."""
     lengths = F.zip_with(
         F.split(text, rule["regex"]), F.regexp_extract_all(text, rule["regex"], F.lit(0)), lambda between, match: F.struct(F.length(between).alias("skip"), F.length(match).alias("size"))
     )
-    none = F.expr("cast(array() as array<struct<start:int,neg_end:int,priority:int,label:string>>)")
 
     def add(s: Column, x: Column) -> Column:
-        start, end = s["at"] + x["skip"], s["at"] + x["skip"] + x["size"]
-        found = F.struct(start.alias("start"), (-end).alias("neg_end"), rule["priority"].alias("priority"), rule["label"].alias("label"))
-        return F.when(x["size"].isNull(), s).otherwise(F.struct(end.alias("at"), F.concat(s["out"], F.array(found)).alias("out")))
+        found = F.struct(rule["priority"].alias("priority"), (-x["size"]).alias("neg_size"), (s["at"] + x["skip"]).alias("start"), rule["label"].alias("label"))
+        return F.when(x["size"].isNull(), s).otherwise(F.struct((s["at"] + x["skip"] + x["size"]).alias("at"), F.concat(s["out"], F.array(found)).alias("out")))
 
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast(INTERVALS).alias("out")), add, lambda s: s["out"])
 
 
 def _resolved(found: Column) -> Column:
-    """Intervals sorted by start, the longer and then the stronger first, without those that an earlier or stronger one suppresses."""
+    """Sorted intervals without those that overlap one that stays."""
 
     def add(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when((F.size(kept) == 0) | (x["start"] >= -last["neg_end"]), F.concat(kept, F.array(x)))
-            .when(x["neg_end"] >= last["neg_end"], kept)
-            .when(x["priority"] < last["priority"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x)))
-            .otherwise(kept)
-        )
+        hit = F.exists(kept, lambda k: (k["start"] < x["start"] - x["neg_size"]) & (x["start"] < k["start"] - k["neg_size"]))
+        return F.when(hit, kept).otherwise(F.concat(kept, F.array(x)))
 
-    return F.aggregate(F.sort_array(found), F.expr("cast(array() as array<struct<start:int,neg_end:int,priority:int,label:string>>)"), add)
-
-
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(W + "+")).cast("long")
+    return F.aggregate(F.sort_array(found), F.array().cast(INTERVALS), add)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections of every document."""
-    base = whole("|".join(phrase(p) for p in BASE))
-    text, low = F.col("_text"), F.col("_low")
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_low", F.lower("_text"))
-    has_base = F.contains(low, F.lit("license"))
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(low, F.lit(g))
-    for p in GATE_PHRASES:
-        # the first word alone is looked for before the expression runs
-        gate = gate | (F.contains(low, F.lit(p.split()[0])) & F.regexp_like(text, F.lit(whole(phrase(p)))))
-    none = F.expr("cast(array() as array<struct<start:int,neg_end:int,priority:int,label:string>>)")
-    runs = F.flatten(F.transform(F.filter(_rules_column(), lambda r: F.contains(low, r["key"])), lambda r: _intervals(text, r)))
-    found = F.when(gate, let(runs, _resolved)).otherwise(none)
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and detections (label and words from and to) of every document."""
+    plain = F.regexp_replace(F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" ")), GAP, " ")
+    rows = docs.select("doc_id", plain.alias("_plain")).withColumn("_low", F.lower("_plain"))
+    gate = functools.reduce(operator.or_, (F.contains("_low", F.lit(g)) for g in GATES))
     rows = rows.select(
         "doc_id",
-        n_words(text).alias("n_words"),
-        F.when(has_base, F.regexp_count(text, F.lit(base))).otherwise(0).cast("long").alias("n_base"),
-        F.when(has_base, F.regexp_instr(text, F.lit(base))).otherwise(0).alias("_first"),
-        F.when(has_base, F.regexp_extract(text, "(?s)^(.*)" + base, 1)).alias("_before_last"),
-        F.when(has_base, F.array_sort(F.filter(F.array(*(F.when(F.regexp_like(text, F.lit(whole(phrase(p)))), F.lit(v)) for p, v in BASE.items())), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>")).alias("_base"),
-        F.when(has_base, text).alias("_base_text"),  # not _text: lambdas would take it for their column
-        found.alias("_found"),
+        (F.length("_plain") - F.length(F.replace("_plain", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"),
+        F.when(gate, F.replace(F.translate("_plain", UPPER, LOWER), F.lit(" "), F.lit("  "))).otherwise("").alias("_words"),
     )
-    some = F.col("n_base") > 0
+    words = F.col("_words")
+    # the parts between a base phrase's places, if it has any
+    cut = {p: F.when(F.contains(words, F.lit(spaced(p))), F.split(words, spaced(p))) for p in BASE}
+    all_rules = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(priority).alias("priority"), F.lit(key).alias("key")) for label, regex, priority, key in rules()))
+    runs = F.flatten(F.transform(F.filter(all_rules, lambda r: F.contains(words, r["key"])), lambda r: _intervals(words, r)))
+    found = F.when(words != "", let(runs, _resolved)).otherwise(F.array().cast(INTERVALS))
+    rows = rows.select("doc_id", "n_words", "_words", *(c.alias(f"_{v}") for (p, v), c in zip(BASE.items(), cut.values(), strict=True)), found.alias("_found"))
+    parts = {p: F.col(f"_{v}") for p, v in BASE.items()}
+    n_base = functools.reduce(operator.add, (F.coalesce(F.size(x) - 1, F.lit(0)) for x in parts.values()))
+    first = F.least(*(_n_words(x[0]) for x in parts.values()))
+    last = F.greatest(*(F.col("n_words") - _n_words(F.element_at(x, -1)) - len(p.split()) for p, x in parts.items()))
+    base = F.array_compact(F.array(*(F.when(parts[p].isNotNull(), F.lit(v)) for p, v in BASE.items())))
     weight = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))
+    before = lambda x: _n_words(F.substring(F.col("_words"), F.lit(1), x["start"]))
+    inside = lambda x: _n_words(F.substring(F.col("_words"), x["start"] + 1, -x["neg_size"]))
     return rows.select(
         "doc_id",
         "n_words",
-        "n_base",
-        F.when(some, n_words(F.substring(F.col("_base_text"), F.lit(1), F.col("_first") - 1))).alias("first_word"),
-        F.when(some, n_words(F.col("_before_last"))).alias("last_word"),
-        F.concat_ws(",", "_base").alias("base_labels"),
-        F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(F.col("_base"), F.transform("_found", lambda x: x["label"]))))).alias("labels"),
-        F.coalesce(F.array_max(F.transform("_found", lambda x: weight[x["priority"]])), F.when(some, F.lit(WEIGHTS[5])), F.lit(0.0)).alias("score"),
-        F.transform("_found", lambda x: F.struct(x["start"].alias("start"), (-x["neg_end"]).alias("end"), x["label"].alias("label"))).alias("detections"),
+        n_base.cast("long").alias("n_base"),
+        first.alias("first_word"),
+        last.alias("last_word"),
+        F.concat_ws(",", F.array_sort(base)).alias("base_labels"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(base, F.transform("_found", lambda x: x["label"]))))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("_found", lambda x: weight[x["priority"]])), F.when(n_base > 0, F.lit(WEIGHTS[5])), F.lit(0.0)).alias("score"),
+        F.transform("_found", lambda x: F.struct(x["label"].alias("label"), before(x).alias("first_word"), (before(x) + inside(x)).alias("end_word"))).alias("detections"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+def oracle() -> str:
+    """The same in SQL: the rules as a table, each text's matches numbered in order, and a recursion that keeps or suppresses one after the other."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table_of = ", ".join(f"({quoted(label)}, {quoted(regex)}, {priority}, {quoted(key)})" for label, regex, priority, key in rules())
+    gap = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+    count = "CAST(floor((length({0}) - length(replace({0}, ' ', ''))) / 2) AS BIGINT)"
+    cuts = ", ".join(f"CASE WHEN contains(words, {quoted(spaced(p))}) THEN string_split(words, {quoted(spaced(p))}) END AS p_{v}" for p, v in BASE.items())
+    n_base = " + ".join(f"coalesce(len(p_{v}) - 1, 0)" for v in BASE.values())
+    first = ", ".join(count.format(f"p_{v}[1]") for v in BASE.values())
+    last = ", ".join(f"n_words - {count.format(f'p_{v}[-1]')} - {len(p.split())}" for p, v in BASE.items())
+    base = "list_filter([" + ", ".join(f"CASE WHEN p_{v} IS NOT NULL THEN '{v}' END" for v in BASE.values()) + "], lambda x: x IS NOT NULL)"
+    weight = "CASE p " + " ".join(f"WHEN {k} THEN {v}" for k, v in WEIGHTS.items()) + " END"
+    return f"""
+WITH RECURSIVE rules(label, regex, priority, key) AS (VALUES {table_of}),
+t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_replace(' ' || coalesce(text, '') || ' ', '{gap}', ' ', 'g') AS plain FROM documents),
+d AS (SELECT rid, doc_id, CAST(length(plain) - length(replace(plain, ' ', '')) - 1 AS BIGINT) AS n_words, replace(translate(plain, '{UPPER}', '{LOWER}'), ' ', '  ') AS words FROM t),
+b AS (SELECT *, {cuts} FROM d),
+h AS (SELECT rid, label, priority, regexp_extract_all(words, regex) AS hits, string_split_regex(words, regex) AS parts FROM d JOIN rules ON contains(words, key) WHERE regexp_matches(words, regex)),
+i AS (SELECT rid, label, priority, unnest(range(1, len(hits) + 1)) AS n, hits, parts FROM h),
+s AS (SELECT rid, label, priority, length(hits[n]) AS size, coalesce(list_sum(list_transform(parts[1:n], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:n - 1], lambda x: length(x))), 0) AS start FROM i),
+o AS (SELECT rid, label, priority, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, row_number() OVER (PARTITION BY rid ORDER BY priority, size DESC, start, label) AS k FROM s),
+r AS (
+  SELECT rid, 0::BIGINT AS k, CAST([] AS STRUCT(label VARCHAR, priority INTEGER, start BIGINT, stop BIGINT)[]) AS kept FROM (SELECT DISTINCT rid FROM o)
+  UNION ALL
+  SELECT r.rid, o.k, CASE WHEN len(list_filter(r.kept, lambda x: x.start < o.stop AND o.start < x.stop)) > 0 THEN r.kept
+    ELSE list_append(r.kept, CAST({{'label': o.label, 'priority': o.priority, 'start': o.start, 'stop': o.stop}} AS STRUCT(label VARCHAR, priority INTEGER, start BIGINT, stop BIGINT))) END
+  FROM r JOIN o ON o.rid = r.rid AND o.k = r.k + 1
+),
+f AS (SELECT rid, arg_max(kept, k) AS kept FROM r GROUP BY rid),
+x AS (SELECT b.*, {base} AS base, coalesce(list_distinct(list_transform(kept, lambda x: x.label)), []) AS own, list_min(list_transform(kept, lambda x: x.priority)) AS p FROM b LEFT JOIN f USING (rid))
+SELECT doc_id, n_words, CAST({n_base} AS BIGINT) AS n_base, least({first}) AS first_word, greatest({last}) AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels, CAST(coalesce({weight}, CASE WHEN {n_base} > 0 THEN {WEIGHTS[5]} END, 0.0) AS DOUBLE) AS score FROM x"""

@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_sharding": sharding.oracle(),
+    "op8_license_scan": license_scan.oracle(),
 }
