@@ -14,6 +14,8 @@ BROADCAST_ROWS = 20_000
 #: The same for rows of two numbers, which take 16 bytes each.
 BROADCAST_KEYS = 200_000
 _scratch: list[str] = []
+#: Temporary folders of sessions in local mode, by application.
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="skerry-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="skerry-shared-")
+        _local[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
