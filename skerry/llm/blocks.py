@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.common import materialize
+from skerry.llm.components import connected_components
 from skerry.llm.workers import tidy
 
-
+#: (block, sig, tokens as sorted 64-bit hashes in bytes) for rows (sig, block).
+Sets = Callable[[DataFrame], DataFrame]
 #: Blocks of so few sets are compared pair by pair.
 SMALL = 6
 
@@ -72,12 +74,76 @@ def links_in_block(sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> li
     return made
 
 
-def block_rows(meet: DataFrame, block: int) -> DataFrame:
-    """(sig, block) for groups given as (grp, sig): a group of one has none; one larger than a block is cut into parts, every two of which meet."""
-    busy = materialize(meet.groupBy("grp").agg(F.count("*").alias("_n")).where("_n > 1").select("grp", F.ceil(F.col("_n") / block).cast("int").alias("parts")), "busy")
-    meet = meet.join(busy, "grp").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
-    blocks = meet.select("sig", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return materialize(blocks.select("sig", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("block")), "blocks")
+def meeting(meet: DataFrame) -> DataFrame:
+    """(grp, sig, n), stored, for groups given as (grp, sig): those of n >= 2 members."""
+    busy = materialize(meet.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), "busy")
+    return materialize(meet.join(busy, "grp"), "meet")
+
+
+def _parts(n: str, block: int) -> Column:
+    return F.ceil(F.col(n) / block).cast("int")
+
+
+def _own(parts: str) -> Column:
+    return F.pmod(F.xxhash64("sig"), F.col(parts)).cast("int")
+
+
+def _across(rows: DataFrame, block: int) -> DataFrame:
+    """(sig, block) for members (grp, sig, rest) of groups: each of the rest meets all, in parts of bounded size."""
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"), F.count_if("rest").alias("few")).where("n > 1 and few > 0")
+    rows = rows.join(materialize(sizes.select("grp", _parts("n", block).alias("parts"), _parts("few", block).alias("lanes")), "parts"), "grp")
+    parts, lanes = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("lanes") - 1)
+    every = rows.select("grp", "sig", _own("parts").alias("part"), F.explode(lanes).alias("lane"))
+    rest = rows.where("rest").select("grp", "sig", F.explode(parts).alias("part"), _own("lanes").alias("lane"))
+    return every.union(rest).select("sig", F.xxhash64("grp", "part", "lane").alias("block")).distinct()
+
+
+def _rarest_first(rows: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """(grp, sig, rest) for members of groups, dealt out by the first tokens of each set, the rarest of its group first.
+
+    Of two sets that link, the first n - ceil(percent * n / 100) + 1 tokens share one."""
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for sig, tokens in zip(b.column("sig").to_pylist(), b.column("tokens"), strict=True):
+                own = np.frombuffer(tokens.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), sig)), pa.array(own)], ["sig", "token"])
+
+    members = rows.select("sig").distinct().withColumn("block", F.col("sig"))
+    tokens = rows.join(materialize(sets(members).select("sig", "tokens").mapInArrow(tidy(exploded), "sig long, token long"), "tokens"), "sig")
+    often = materialize(tokens.groupBy("grp", "token").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    counted = tokens.join(often, ["grp", "token"], "left").groupBy("grp", "sig", "rest")
+    # one row's list is as long as its set
+    ordered = counted.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("x"))
+    size = F.size("x") - F.expr(f"int((size(x) * {percent} + 99) / 100)") + 1
+    first = ordered.select("grp", "sig", "rest", F.explode(F.slice("x", F.lit(1), size)).alias("x")).where("x.n > 1")
+    return materialize(first.select(F.xxhash64("grp", "x.token").alias("grp"), "sig", "rest"), "dealt")
+
+
+def group_links(rows: DataFrame, sets: Sets, percent: int, block: int) -> DataFrame:
+    """(a, b): a forest for each block of the links between the members of each group; rows are those of meeting().
+
+    A group of up to `block` members is one block. Of a larger one, parts of that size each meet its first part. Where that
+    joins all its members, as with many near copies of one text, it is done. Else the members outside the largest joint
+    class, the rest, must still meet all others: they are dealt out by the rarest tokens of their sets, and only those that
+    share one meet, again in parts of bounded size. sets gives (block, sig, tokens) for rows (sig, block)."""
+    rows = rows.withColumn("parts", _parts("n", block))
+    rows = rows.withColumn("own", _own("parts"))
+    small = rows.where("parts = 1").select("sig", F.xxhash64("grp", F.lit(0)).alias("block"))
+    large = materialize(rows.where("parts > 1"), "large")
+    star = large.select("sig", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))).alias("part"), "grp")
+    links = block_links(sets(materialize(small.union(star.select("sig", F.xxhash64("grp", "part").alias("block"))), "blocks")), percent)
+    if large.isEmpty():
+        return links
+    labels = connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("label"))
+    large = materialize(large.select("grp", "sig").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled")
+    sizes = large.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    top = materialize(sizes.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("grp", "top.label"), "top")
+    if top.isEmpty():
+        return links
+    open_ = materialize(large.join(top.withColumnRenamed("label", "top"), "grp").select("grp", "sig", (F.col("label") != F.col("top")).alias("rest")), "open")
+    blocks = materialize(_across(_rarest_first(open_, sets, percent), block), "blocks")
+    return links.union(block_links(sets(blocks), percent))
 
 
 def block_links(rows: DataFrame, percent: int) -> DataFrame:

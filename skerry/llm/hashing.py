@@ -11,6 +11,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLACES = 64
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -29,8 +30,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _drawn(cell: np.ndarray) -> np.ndarray:
+    """A number for each byte at each place of a word, as if drawn at random."""
+    return mix(mix(cell.astype(np.uint64) + _R) ^ _M2)
+
+
+_TABLE = _drawn(np.arange(_PLACES * 256))
+
+
 def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and byte after the last of each run without ASCII white space; the case of A-Z doesn't count."""
+    """Hash, first byte and byte after the last of each run without ASCII white space; the case of A-Z doesn't count.
+
+    A word's hash is the sum of the numbers drawn for its bytes at their places, so that two words, whatever their length
+    and pattern, have the same one by chance only."""
     raw = np.frombuffer(text, np.uint8)
     if not len(raw):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -38,10 +50,16 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[1:-1] = ~_SPACE[raw]
     step = np.diff(inside)
     starts, ends = (step == 1).nonzero()[0], (step == -1).nonzero()[0]
-    forward, back = powers(len(raw))
+    begin = np.zeros(len(raw), np.int64)
+    begin[starts] = starts
+    cell = ((np.arange(len(raw)) - np.maximum.accumulate(begin)) << 8) | _LOWER[raw]
+    drawn = _TABLE[np.minimum(cell, len(_TABLE) - 1)]
+    far = (cell >= len(_TABLE)).nonzero()[0]
+    if len(far):
+        drawn[far] = _drawn(cell[far])
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * forward[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * back[starts]), starts, ends
+    np.cumsum(drawn, out=total[1:])
+    return mix(total[ends] - total[starts]), starts, ends
 
 
 def shingles(ids: np.ndarray, n: int) -> np.ndarray:

@@ -8,8 +8,8 @@ first tokens in one global order, the frequent tokens last: of two sets that lin
 must share k, so a query that overlaps a group's union in fewer of them is bounded below the threshold and the group
 stays closed to it (k is about n / 12, and for a pair what the smaller set can have). A set that shares fewer with all
 others together takes no part at all. The other groups are opened, a pair of groups from the smaller one: their classes and the queries meet in blocks of bounded size, where full
-sets are compared exactly, except for pairs that links found before already connect. The links are a forest over the
-classes, and their components are the result.
+sets are compared exactly, except for pairs that links found before already connect (of a group that is larger than a
+block, see blocks.group_links). The links are a forest over the classes, and their components are the result.
 
 Frequent tokens are those that many documents share; they come last in the order, so passages found everywhere don't
 bring unlike documents together. They are counted over all documents; the order affects only the work, not the result.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.blocks import block_links, block_rows
+from skerry.llm.blocks import group_links, meeting
 from skerry.llm.common import BROADCAST_KEYS, made, materialize, new_id, release, small_lookup, table
 from skerry.llm.components import connected_components
 from skerry.llm.hashing import Members, mix, shingles, words
@@ -38,6 +38,8 @@ from skerry.llm.workers import tidy
 
 #: One in so many tokens of a set is among the first ones for a sharper bound.
 SPARE = 12
+#: Blocks in one row that asks for a set, and rows of such lists below which they are broadcast: some 10 MB.
+LIST, BROADCAST_LISTS = 16, 50_000
 
 
 @dataclass(frozen=True)
@@ -169,16 +171,12 @@ def _opened(classes: DataFrame, percent: int) -> DataFrame:
 
 def link_classes(docs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(a, b): a forest of links between classes, by sig."""
-    first = sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("grps").alias("grps"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"))
-    classes = materialize(first, "classes")
+    row = F.struct("doc_id", "txt")
+    one = sets.where(F.col("sig").isNotNull()).groupBy("sig")
+    classes = materialize(one.agg(F.first("grps").alias("grps"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"), F.min(row).alias("row")), "classes")
     before = made()
     meet = materialize(_opened(classes, s.percent), "opened")
     release(docs.sparkSession, before, made() - 1)  # all but the last
-    blocks = block_rows(meet, s.block)
-    # one document of each class that meets another gives the class's set
-    needed = materialize(blocks.groupBy("sig").agg(F.collect_list("block").alias("blocks")), "needed")
-    givers = sets.where(F.col("sig").isNotNull()).select("sig", "doc_id", "txt").join(needed.select("sig"), "sig").groupBy("sig").agg(F.min(F.struct("doc_id", "txt")).alias("row"))
-    givers = materialize(givers.join(needed, "sig").select("sig", "blocks", "row.*"), "givers")
 
     def recomputed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,9 +188,18 @@ def link_classes(docs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([sig] * n, pa.int64()), pa.array([tokens.tobytes()] * n, pa.binary())], ["block", "sig", "tokens"])
 
     null = F.lit(-(2**63))
-    rows = docs.select(F.coalesce("doc_id", null).alias("_key"), F.xxhash64("text").alias("_txt"), "text")
-    texts = small_lookup(rows, givers.select("sig", "blocks", F.coalesce("doc_id", null).alias("_key"), F.col("txt").alias("_txt")), ["_key", "_txt"], "inner", BROADCAST_KEYS)
-    return block_links(texts.select("sig", "blocks", "text").mapInArrow(tidy(recomputed), "block long, sig long, tokens binary"), s.percent)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """One row of each class gives the class's set, to LIST blocks at a time."""
+        lists = wanted.groupBy("sig").agg(F.collect_list("block").alias("blocks"))
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size("blocks") - 1) / LIST).cast("int")), lambda k: F.slice("blocks", k * LIST + 1, F.lit(LIST)))
+        givers = lists.select("sig", F.explode(some).alias("blocks")).join(classes.select("sig", "row.*"), "sig")
+        givers = materialize(givers.select("sig", "blocks", F.coalesce("doc_id", null).alias("_key"), F.col("txt").alias("_txt")), "givers")
+        rows = docs.select(F.coalesce("doc_id", null).alias("_key"), F.xxhash64("text").alias("_txt"), "text")
+        texts = small_lookup(rows, givers, ["_key", "_txt"], "inner", BROADCAST_LISTS)
+        return texts.select("sig", "blocks", "text").mapInArrow(tidy(recomputed), "block long, sig long, tokens binary")
+
+    return group_links(meeting(meet), sets_of, s.percent, s.block)
 
 
 def _labelled(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:

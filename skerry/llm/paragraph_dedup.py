@@ -1,20 +1,24 @@
 """Operator 9: near-duplicate paragraphs across documents, by MinHash banding.
 
-A paragraph is a line. Lines of several sentences are also cut into fragments, for passages inside lines: a fragment ends
-with the line, with a sentence of at least `sentence` words, with one in eight shorter sentences and with one in `anywhere`
-other words, chosen by a hash of the last two words. So where it ends depends only on the words near by, and a passage is
-cut alike wherever it stands. Lines and fragments of equal words are one class. Each of five words or more has bands of
-minimum hashes of its 5-word shingles: a fragment `bands` of one row, of which at a similarity of 0.8 one agrees with a
-probability of 99.2 %, a line that isn't one fragment `line_bands` of `line_rows` rows, 99.8 %, as unlike lines may share
-a passage. Classes that collide in a band meet in blocks of bounded size, where exact Jaccard similarity of the whole line
-or fragment decides, and the components of the links are clusters. In each cluster the first paragraph, by doc_id and
-place, stays and the others are to be removed. All clusters are reported, a fragment also where its line is.
-
-run is the number of words from the first to the last of clustered paragraphs in a row of their document (short ones may
-stand between): single short sentences, like a licence line, have a small one.
-
-Defined results: null and empty texts have no paragraphs; paragraphs under five words aren't examined; equal rows with
-one id are one document; a null doc_id is one document too, ordered first; an empty table has no rows; extra columns are ignored.
+A paragraph is a line, and also a block of lines without an empty one between, of `min_words` words or more; shorter lines
+are compared as parts of their block. For passages inside lines, lines of several sentences are also cut into fragments:
+a fragment ends with the line, with a sentence of at least `sentence` words, with one in eight shorter sentences and with
+one in `anywhere` other words, chosen by a hash of the last two words. So where it ends depends only on the words near by,
+and a passage is cut alike wherever it stands. Paragraphs and fragments of equal words are one class. Each class has bands
+of minimum hashes of its 5-word shingles: one that is a single fragment `bands` of one row, of which at a similarity of 0.8
+one agrees with a probability of 99.2 %; another paragraph `line_bands` of `line_rows` rows, 99.8 %, as unlike lines may
+share a passage. Classes that collide in a band meet in blocks of bounded size, where exact Jaccard similarity of the whole
+paragraph or fragment decides, and the components of the links are clusters. In each cluster the first paragraph, by
+document and place, stays and the others are to be removed.
+
+A cluster counts if it has paragraphs of two documents or more. Its paragraphs are all reported; its fragments are where
+they make up a passage: `run`, the words from the first to the last of clustered paragraphs and fragments in a row of
+their document (short ones may stand between), is `passage` or more. A shorter sentence that is common to texts is neither
+a paragraph nor a passage. Lower settings of min_words (from n on) and passage report such ones too.
+
+Defined results: null and empty texts have no paragraphs; a document is a doc_id (null is one, ordered first) and a text, so
+equal rows with one id are one document and others with one id, or without, are told apart; an empty table has no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.blocks import block_links, block_rows
+from skerry.llm.blocks import group_links, meeting
 from skerry.llm.common import materialize, table
 from skerry.llm.components import connected_components
 from skerry.llm.hashing import mix, shingles, words
@@ -36,14 +40,17 @@ from skerry.llm.workers import tidy
 NULL_KEY = -(2**63)
 _ENDS = np.zeros(256, bool)
 _ENDS[[33, 46, 63]] = True
-#: A paragraph's place: its first word in the upper bits and its number of words in these lower ones.
+#: A place: the first word in the upper bits, the number of words in so many lower ones, and whether it is a paragraph in the last.
 COUNT_BITS = 20
+FEWER = (1 << COUNT_BITS) - 1
 
 
 @dataclass(frozen=True)
 class Settings:
     n: int = 5
     percent: int = 80
+    min_words: int = 15
+    passage: int = 25
     bands: int = 3
     sentence: int = 8
     #: One in so many words ends a paragraph where no sentence does.
@@ -65,83 +72,89 @@ def paragraphs(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nda
     near = mix(ids ^ mix(np.append(ids[:1], ids[:-1])))  # of a word and the one before it
     cut = closes | (near % np.uint64(s.anywhere) == 0)
     cut[stop] |= (np.diff(stop, prepend=-1) >= s.sentence) | (near[stop] % np.uint64(8) == 0)
-    last = cut.nonzero()[0]
-    # one beyond any real sentence is cut, so that a place fits its bits
-    step = (1 << COUNT_BITS) - 1
-    if len(ids) > step:
-        last = np.union1d(last, np.arange(step - 1, len(ids), step))
+    return ids, *_ranges(cut.nonzero()[0], len(ids))
+
+
+def _ranges(last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each range, from their last words; one beyond any real paragraph is cut, so that a place fits its bits."""
+    if n > FEWER:
+        last = np.union1d(last, np.arange(FEWER - 1, n, FEWER))
     first = np.concatenate([[0], last[:-1] + 1])
-    return ids, first, last - first + 1
+    return first, last - first + 1
 
 
-def lines(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """First word and number of words of each line that has words."""
+def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each line that has words, and of each block of several such lines."""
     ids, starts, ends = words(text)
     if not len(ids):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     number = np.cumsum(np.frombuffer(text, np.uint8) == 10)
-    step = (1 << COUNT_BITS) - 1
-    last = np.append(number[starts[1:]] != number[ends[:-1] - 1], True).nonzero()[0]
-    if len(ids) > step:
-        last = np.union1d(last, np.arange(step - 1, len(ids), step))
-    first = np.concatenate([[0], last[:-1] + 1])
-    return first, last - first + 1
+    steps = number[starts[1:]] - number[ends[:-1] - 1]
+    found = [np.column_stack(_ranges(np.append(steps >= least, True).nonzero()[0], len(ids))) for least in (1, 2)]
+    return tuple(np.unique(np.concatenate(found), axis=0).T)
 
 
 def signatures(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Place and class of the fragments of s.n words or more and then of such lines of several fragments, their bands (flat), all shingles of the text, and the number of fragments."""
+    """Place and class of the fragments of s.n words or more and then of other paragraphs, their bands (flat), all shingles of the text, and the number of fragments."""
     ids, first, count = paragraphs(text, s)
+    line, size = lines(text)
+    long = size >= max(s.min_words, s.n)
+    line, size = line[long], size[long]
+    # a paragraph that is one fragment is marked; every line begins with a fragment
+    at = np.searchsorted(first, line)
+    single = count[at] == size if len(line) else np.empty(0, bool)
+    marked = np.zeros(len(first), np.int64)
+    marked[at[single]] = 1
     keep = count >= s.n
-    line, n = lines(text, s)
-    own = _wide(first, count, line, n, s)
-    wide = line[own], n[own]
     few = int(keep.sum())
-    first, count = np.concatenate([first[keep], wide[0]]), np.concatenate([count[keep], wide[1]])
+    first, count, marked = np.concatenate([first[keep], line[~single]]), np.concatenate([count[keep], size[~single]]), np.concatenate([marked[keep], np.ones(int((~single).sum()), np.int64)])
     if not len(first):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), 0
     grams = shingles(ids, s.n)
-    # reduceat over [first, first + count - n + 1) of each paragraph
-    edges = np.column_stack([first, first + count - s.n + 1]).ravel()
+
+    def edges(a: int, b: int) -> np.ndarray:
+        """For reduceat over [first, first + count - n + 1) of each of a range of places, which may overlap."""
+        return np.column_stack([first[a:b], first[a:b] + count[a:b] - s.n + 1]).ravel()
 
     def least(k: int, edges: np.ndarray) -> np.ndarray:
         return np.minimum.reduceat(np.append(mix(grams ^ np.uint64(0xA5A5 + k)), np.uint64(2**64 - 1)), edges)[::2]
 
-    bands = [np.column_stack([mix(least(k, edges[: 2 * few]) + np.uint64(k)) for k in range(s.bands)]).ravel()] if few else []
+    bands = [np.column_stack([mix(least(k, edges(0, few)) + np.uint64(k)) for k in range(s.bands)]).ravel()] if few else []
     if len(first) > few:
         own = []
         for k in range(s.line_bands):
             band = np.full(len(first) - few, k + 1000, np.uint64)
             for r in range(s.line_rows):
-                band = mix(band ^ least(k * s.line_rows + r, edges[2 * few :])) + np.uint64(r)
+                band = mix(band ^ least(k * s.line_rows + r, edges(few, len(first)))) + np.uint64(r)
             own.append(band)
         bands.append(np.column_stack(own).ravel())
     # two sums over the paragraph's shingles, the second weighted by their place from its own start
     turn = np.append(mix(grams), np.uint64(0))
     within = np.arange(len(turn), dtype=np.uint64)
-    a, b = np.add.reduceat(turn, edges)[::2], np.add.reduceat(turn * within, edges)[::2]
+    a, b = (np.add.reduceat(x, edges(0, len(first)))[::2] for x in (turn, turn * within))
     sig = mix(a ^ mix(b - a * first.astype(np.uint64) + count.astype(np.uint64)))
-    return (first << COUNT_BITS) | count, sig.view(np.int64), np.concatenate(bands).view(np.int64), grams, few
+    return (first << (COUNT_BITS + 1)) | (count << 1) | marked, sig.view(np.int64), np.concatenate(bands).view(np.int64), grams, few
 
 
-def _wide(first: np.ndarray, count: np.ndarray, line: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
-    """Which lines have s.n words or more and aren't one fragment: every line begins with one."""
-    return (n >= s.n) & (count[np.searchsorted(first, line)] != n)
+def _doc() -> list[Column]:
+    """What tells documents apart, in their order."""
+    return [F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), F.xxhash64("text").alias("txt")]
 
 
 def units(docs: DataFrame, s: Settings) -> DataFrame:
-    """key (doc_id, nulls as the smallest number), places, sigs and bands (flat) of every document, as arrays, and its number of fragments."""
+    """key (doc_id, nulls as the smallest number), txt, places, sigs and bands (flat) of every document, as arrays, and its number of fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(*f[:3], f[4]) for f in (signatures(t or b"", s) for t in b.column(1).cast(pa.binary()).to_pylist())]
+            found = [(*f[:3], f[4]) for f in (signatures(t or b"", s) for t in b.column(2).cast(pa.binary()).to_pylist())]
 
             def lists(k: int, found=found) -> pa.Array:
                 flat = np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64)
                 return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f[k]) for f in found)]), pa.int32()), pa.array(flat))
 
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(0), lists(1), lists(2), pa.array([f[3] for f in found], pa.int32())], ["key", "places", "sigs", "bands", "fragments"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(0), lists(1), lists(2), pa.array([f[3] for f in found], pa.int32())], ["key", "txt", "places", "sigs", "bands", "fragments"])
 
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text").mapInArrow(tidy(run), "key long, places array<long>, sigs array<long>, bands array<long>, fragments int")
+    return docs.select(*_doc(), "text").mapInArrow(tidy(run), "key long, txt long, places array<long>, sigs array<long>, bands array<long>, fragments int")
 
 
 def _band_rows(stored: DataFrame, s: Settings) -> DataFrame:
@@ -153,19 +166,18 @@ def _band_rows(stored: DataFrame, s: Settings) -> DataFrame:
 
 
 def clusters(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """key, place, sig and cluster (a sig) of every paragraph whose cluster has another paragraph."""
+    """key, txt, place, sig and cluster (a sig) of every paragraph or fragment whose cluster has another one."""
     s = settings or Settings()
     stored = materialize(units(docs, s), "units")
     # classes that occur twice, and bands that two classes share
-    rows = stored.select("key", F.explode(F.arrays_zip("places", "sigs")).alias("u")).select("key", F.col("u.places").alias("place"), F.col("u.sigs").alias("sig"))
-    at = F.struct("key", "place")
+    rows = stored.select("key", "txt", F.explode(F.arrays_zip("places", "sigs")).alias("u")).select("key", "txt", F.col("u.places").alias("place"), F.col("u.sigs").alias("sig"))
+    at = F.struct("key", "txt", "place")
     twice = materialize(rows.groupBy("sig").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low < high").select("sig"), "twice")
     bands = _band_rows(stored, s)
     shared = materialize(bands.groupBy("band").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("band"), "bands")
-    meet = materialize(bands.join(shared, "band").distinct().select(F.col("band").alias("grp"), "sig"), "meet")
-    blocks = block_rows(meet, s.block)
-    needed = materialize(blocks.select("sig").distinct(), "needed")
-    givers = materialize(rows.join(needed, "sig").groupBy("sig").agg(F.min(at).alias("at")).groupBy("at.key").agg(F.collect_list("sig").alias("wanted")), "givers")
+    meet = meeting(materialize(bands.join(shared, "band").distinct().select(F.col("band").alias("grp"), "sig"), "banded"))
+    needed = materialize(meet.select("sig").distinct(), "needed")
+    givers = materialize(rows.join(needed, "sig").groupBy("sig").agg(F.min(at).alias("at")).groupBy("at.key", "at.txt").agg(F.collect_list("sig").alias("wanted")), "givers")
 
     def recomputed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,36 +188,39 @@ def clusters(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
                 for place, sig in zip(places.tolist(), sigs.tolist(), strict=True):
                     if sig in wanted:
                         wanted.discard(sig)
-                        first, count = place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
+                        first, count = place >> (COUNT_BITS + 1), place >> 1 & FEWER
                         out.append((sig, np.unique(grams[first : first + count - s.n + 1]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["sig", "tokens"])
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text").join(givers, "key")
-    tokens = materialize(texts.select("wanted", "text").mapInArrow(tidy(recomputed), "sig long, tokens binary"), "tokens")
-    labels = connected_components(block_links(blocks.join(tokens, "sig"), s.percent)).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
+    texts = docs.select(*_doc(), "text").join(givers, ["key", "txt"])
+    tokens = materialize(texts.select("wanted", "text").mapInArrow(tidy(recomputed), "sig long, tokens binary").dropDuplicates(["sig"]), "tokens")
+    links = group_links(meet, lambda wanted: wanted.join(tokens, "sig").select("block", "sig", "tokens"), s.percent, s.block)
+    labels = connected_components(links).select(F.col("node").alias("sig"), F.col("component").alias("cluster"))
     known = materialize(twice.join(labels, "sig", "full_outer").select("sig", F.coalesce("cluster", "sig").alias("cluster")), "labels")
     return materialize(rows.join(known, "sig").distinct(), "members")
 
 
 def find_repeats(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, first_word, n_words, cluster_doc, cluster_word (where its cluster begins), removed and run, for each repeated paragraph."""
+    """doc_id, first_word, n_words, paragraph (else a fragment), cluster_doc, cluster_word (where its cluster begins), removed and run, for each repeated paragraph and fragment of a passage."""
     s = settings or Settings()
     members = clusters(docs, s)
-    first = materialize(members.groupBy("cluster").agg(F.min(F.struct("key", "place")).alias("kept")), "kept")
+    doc, at = F.struct("key", "txt"), F.struct("key", "txt", "place")
+    first = members.groupBy("cluster").agg(F.min(at).alias("kept"), (F.min(doc) < F.max(doc)).alias("across"))
+    first = materialize(first.where("across").drop("across"), "kept")
     rows = members.join(first, "cluster").select(
-        "key", F.expr(f"shiftright(place, {COUNT_BITS})").alias("first_word"), F.col("place").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).alias("n_words"), "kept", (F.struct("key", "place") != F.col("kept")).alias("removed")
+        "key", "txt", F.expr(f"shiftright(place, {COUNT_BITS + 1})").alias("first_word"), F.expr(f"shiftright(place, 1) & {FEWER}").alias("n_words"), F.expr("place & 1 = 1").alias("paragraph"), "kept", (at != F.col("kept")).alias("removed")
     )
     # runs of paragraphs that follow each other in their document, but for fewer than 2 * n words between
-    by_doc = Window.partitionBy("key").orderBy("first_word", "n_words")
+    by_doc = Window.partitionBy("key", "txt").orderBy("first_word", "n_words")
     end = F.col("first_word") + F.col("n_words")
     ended = F.max(end).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = rows.withColumn("_gap", F.coalesce((F.col("first_word") - ended >= 2 * s.n).cast("int"), F.lit(1)))
     runs = runs.withColumn("_run", F.sum("_gap").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("key", "_run")
-    runs = runs.withColumn("run", F.max(end).over(whole) - F.min("first_word").over(whole))
+    whole = Window.partitionBy("key", "txt", "_run")
+    runs = runs.withColumn("run", F.max(end).over(whole) - F.min("first_word").over(whole)).where(F.col("paragraph") | (F.col("run") >= s.passage))
     null = F.lit(NULL_KEY)
     return runs.select(
-        F.nullif("key", null).alias("doc_id"), "first_word", "n_words", F.nullif(F.col("kept.key"), null).alias("cluster_doc"), F.expr(f"shiftright(kept.place, {COUNT_BITS})").alias("cluster_word"), "removed", "run"
+        F.nullif("key", null).alias("doc_id"), "first_word", "n_words", "paragraph", F.nullif(F.col("kept.key"), null).alias("cluster_doc"), F.expr(f"shiftright(kept.place, {COUNT_BITS + 1})").alias("cluster_word"), "removed", "run"
     )
 
 

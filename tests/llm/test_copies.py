@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from skerry.llm import blocks, decontamination, jaccard_join, paragraph_dedup, suffix_dedup
+from skerry.llm import blocks, decontamination, hashing, jaccard_join, paragraph_dedup, suffix_dedup
 from skerry.llm.components import connected_components
 from tests.llm import helpers as h
 
@@ -36,6 +36,36 @@ def test_blocks_connect_what_all_pairs_connect():
     assert h.components(80, got) == h.components(80, pairs) and len(got) < len(pairs)
 
 
+def test_large_groups_link_what_all_pairs_link(spark):
+    draw = np.random.default_rng(7)
+    common, sets = draw.integers(0, 2**60, 3, dtype=np.uint64), []
+    for k in range(3):  # near copies, some chained, and sets that share but a few tokens with all others
+        base = draw.integers(0, 2**60, 60, dtype=np.uint64)
+        for i in range(25):
+            base = base.copy()
+            base[draw.integers(0, 60, 1 if k else 2)] = draw.integers(0, 2**60)
+            sets.append(np.unique(np.concatenate([common, base])))
+    sets += [np.unique(np.concatenate([common, draw.integers(0, 2**60, 12, dtype=np.uint64)])) for _ in range(40)]
+    n = len(sets)
+    pairs = [(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
+    tokens = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "sig long, tokens binary").cache()
+    meet = spark.createDataFrame([(g, i) for g in (1, 2) for i in range(n) if g == 1 or i < 5], "grp long, sig long")
+    for block in (1000, 7):
+        links = blocks.group_links(blocks.meeting(meet), lambda wanted: wanted.join(tokens, "sig").select("block", "sig", "tokens"), 90, block)
+        assert h.components(n, [(r["a"], r["b"]) for r in h.rows(links)]) == h.components(n, pairs)
+
+
+def test_word_hashes_tell_long_patterned_words_apart():
+    one, two = "a", "b"
+    for _ in range(12):  # equal for every polynomial modulo 2**64
+        one, two = one + two, two + one
+    got = hashing.words(f"{one} {two} {one.upper()} x{one} ab ba {'q' * 63} {'q' * 64} {'q' * 65}".encode())[0].tolist()
+    assert got[0] == got[2] and len(set(got)) == 8
+    draw = random.Random(5)
+    made = {"".join(draw.choice("ab") for _ in range(draw.randrange(1, 90))) for _ in range(5000)}
+    assert len(set(hashing.words(" ".join(made).encode())[0].tolist())) == len(made)
+
+
 def _jaccard(texts, n, percent):
     sets = [h.shingle_set(t, n) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
@@ -196,8 +226,41 @@ def test_edited_lines_are_compared_whole(spark):
     assert len(pairs) >= 8
     for first, second, n in pairs:
         assert [(r["cluster_doc"], r["cluster_word"], r["run"] >= n) for r in found if r["doc_id"] == second and r["n_words"] == n and r["removed"]] == [(first, 30, True)]
-    # a short copy is reported with its run
-    assert any((r["doc_id"], r["removed"]) == (2, True) and r["run"] <= 15 for r in found)
+    # of a short copy, 15 words are a paragraph, fewer are none
+    assert any((r["doc_id"], r["removed"], r["paragraph"]) == (2, True, True) and r["run"] <= 15 for r in found)
+
+
+def test_near_copies_of_paragraphs_are_recalled(spark):
+    """Against all pairs of lines: of copies with a Jaccard similarity of 0.8 or more, and of exact ones of 15 words on."""
+    texts, want = [], []
+    for k in range(160):
+        words = (15, 20, 24, 40, 60, 100)[k % 6]
+        base = h.prose(2000 + k, words)
+        near = base if words < 40 else edited(base, k, 0.0100001 * (1 + k // 6 % 2))
+        a, b = h.shingle_set(base, 5), h.shingle_set(near, 5)
+        if 100 * len(a & b) >= 80 * len(a | b):
+            want.append((len(texts), len(texts) + 1))
+        texts += [f"{h.prose(4000 + k, 30)}\n\n{base}\n\n{h.prose(5000 + k, 30)}", f"{h.prose(6000 + k, 25)}\n \n{near}\n\n{h.prose(7000 + k, 40)}"]
+    found = {(r["cluster_doc"], r["doc_id"]) for r in h.rows(paragraph_dedup.find_repeats(h.table(spark, texts))) if r["removed"] and r["paragraph"]}
+    assert len(want) > 120 and len(found & set(want)) >= 0.98 * len(want) and {b // 2 for _, b in found} <= {a // 2 for a, _ in want}
+
+
+def test_blocks_of_lines_are_paragraphs(spark):
+    lines = [h.prose(30 + k, 8) for k in range(12)]
+    near = [edited(x, 1, 0.1) if k == 5 else x for k, x in enumerate(lines)]
+    texts = ["\n".join(lines) + "\n\n" + h.prose(1, 40), h.prose(2, 40) + "\n\n" + "\n".join(near), h.prose(3, 40)]
+    found = [(r["cluster_doc"], r["cluster_word"], r["first_word"], r["n_words"]) for r in h.rows(paragraph_dedup.find_repeats(h.table(spark, texts))) if r["doc_id"] == 1 and r["paragraph"]]
+    assert found == [(0, 0, 40, 96)]
+
+
+def test_paragraphs_of_odd_tables(spark):
+    text = h.prose(1, 30)
+    # within one document it isn't across documents; equal rows with one id are one document
+    alone = [(1, f"{text}\n\n{text}"), (2, h.prose(2, 30)), (2, h.prose(2, 30)), (3, None), (None, "")]
+    assert paragraph_dedup.find_repeats(h.table(spark, alone, more=h.CLASHING)).count() == 0
+    rows = [(None, f"{h.prose(3, 20)}\n{text}"), (None, f"{h.prose(4, 20)}\n{text}"), (7, text), (7, text), (7, h.prose(5, 30))]
+    found = sorted(((r["doc_id"] or -1, r["first_word"], r["removed"]) for r in h.rows(paragraph_dedup.find_repeats(h.table(spark, rows))) if r["paragraph"] and r["n_words"] == 30))
+    assert [(a, b) for a, b, _ in found] == [(-1, 20), (-1, 20), (7, 0)] and [x for *_, x in found].count(False) == 1 and found[2][2]
 
 
 def _best_score(item, passage):
