@@ -73,8 +73,11 @@ def document_features(text: bytes, mask: int, cache: dict[bytes, tuple[int, np.n
     return np.unique(np.concatenate([*(x[1] for x in known), _pairs(ids, mask)]), return_counts=True)
 
 
-def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
-    """SGD on averaged vectors with a softmax output; returns the difference of the classes' logits per bucket, and the bias."""
+def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, output layer and bias by SGD on averaged vectors with a softmax output.
+
+    A document's gradient of a vector is its bucket's share of the document's features times that of the average. The step
+    along it is normalised by the sum of squared shares, so that one step moves the average alike for short and long texts."""
     mask, rng = (1 << s.bits) - 1, np.random.default_rng(s.seed)
     vectors = (rng.random((1 << s.bits, s.dim), np.float32) - 0.5) / s.dim
     out, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
@@ -88,16 +91,23 @@ def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarr
             done += 1
             share = (counts / max(1, counts.sum())).astype(np.float32)
             hidden = share @ vectors[buckets] if len(buckets) else np.zeros(s.dim, np.float32)
-            z = out @ hidden + bias
-            p = np.exp(z - z.max())
-            error = p / p.sum()
+            error = softmax(out @ hidden + bias)
             error[labels[i]] -= 1
             back = out.T @ error
             out -= rate * np.outer(error, hidden)
             bias -= rate * error * 0.1
             if len(buckets):
-                # each vector moves by its share of the gradient, scaled up by the number of features as in averaged bags
-                vectors[buckets] -= rate * np.minimum(counts, 8).astype(np.float32)[:, None] * back * np.float32(0.2)
+                vectors[buckets] -= np.float32(rate / (share @ share)) * share[:, None] * back
+    return vectors, out, bias
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max())
+    return p / p.sum()
+
+
+def folded(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, float]:
+    """What scoring needs of a model: the difference of the classes' logits per bucket, and of the biases."""
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -147,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     rows = labelled_sample(docs, labels, s).toPandas().sort_values(["doc_id", "text"]) if s.sample_rows else None
     if rows is None or not len(rows):
         return np.zeros(1 << s.bits, np.float32), 0.0
-    return train([(t or "").encode() for t in rows["text"]], rows["quality"].to_numpy(np.int64), s)
+    return folded(*train([(t or "").encode() for t in rows["text"]], rows["quality"].to_numpy(np.int64), s))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:

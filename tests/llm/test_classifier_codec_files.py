@@ -35,10 +35,51 @@ def test_classifier_learns_nothing_from_the_held_out_fold(spark):
     assert np.array_equal(a[0], b[0]) and a[1] == b[1]
 
 
+def test_scores_are_those_of_a_forward_pass():
+    s = quality_classifier.Settings(bits=12, epochs=2)
+    texts = [h.prose(i, 5 + 40 * i).encode() for i in range(12)] + [b"", b"same same same", "ünï 漢字".encode()]
+    vectors, out, bias = quality_classifier.train(texts, np.arange(len(texts)) % 2, s)
+    known, shift = quality_classifier._Scores(quality_classifier.folded(vectors, out, bias)[0]), float(bias[1] - bias[0])
+    for text in texts:
+        buckets, counts = quality_classifier.document_features(text, (1 << s.bits) - 1, {})
+        hidden = counts @ vectors[buckets] / max(1, counts.sum()) if len(buckets) else np.zeros(s.dim)
+        assert abs(quality_classifier.score_text(text, known, shift) - quality_classifier.softmax(out @ hidden + bias)[1]) < 1e-5
+
+
+def test_a_step_follows_the_gradient_of_the_loss():
+    s = quality_classifier.Settings(bits=10, epochs=1, dim=4)
+    texts, labels = [b"one two two three", b"four five"], np.array([1, 0])
+    vectors, out, bias = quality_classifier.train(texts * 20, np.tile(labels, 20), s)
+    for text, label in zip(texts, labels, strict=True):
+        buckets, counts = quality_classifier.document_features(text, (1 << s.bits) - 1, {})
+        share = counts / counts.sum()
+
+        def loss(v, share=share, buckets=buckets, label=label):
+            return -np.log(quality_classifier.softmax(out @ (share @ v[buckets]) + bias)[label])
+
+        error = quality_classifier.softmax(out @ (share @ vectors[buckets]) + bias)
+        error[label] -= 1
+        wide = vectors.astype(np.float64)
+        for k in range(0, len(buckets), 5):
+            moved = wide.copy()
+            moved[buckets[k], 0] += 1e-5
+            assert abs((loss(moved) - loss(wide)) / 1e-5 - share[k] * (out.T @ error)[0]) < 1e-4
+
+
+def test_labels_and_ids_of_odd_kinds(spark):
+    docs, labels = _labelled(spark, 60)
+    more = spark.createDataFrame([(0, 0, 0), (1, None, 0), (2, 7, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(docs, labels.union(more))
+    # the smallest of conflicting labels counts; null, other labels and null ids are ignored
+    assert np.array_equal(model[0], quality_classifier.fit(docs, labels.selectExpr("doc_id", "if(doc_id = 0, 0, quality) AS quality", "toxic"))[0])
+    found = h.rows(quality_classifier.score(h.table(spark, [(None, "x"), (None, None)]), (np.zeros(1 << 18, np.float32), float(np.log(0.7 / 0.3)))))
+    assert all(not r["held_out"] and r["predicted"] == (r["score"] >= 0.7) for r in found) and abs(found[0]["score"] - 0.7) < 1e-9
+
+
 def test_classifier_scores_odd_rows(spark):
     docs, labels = _labelled(spark, 40)
     model = quality_classifier.fit(docs, labels)
-    odd = h.table(spark, [*h.edge_texts(), (None, "good1 fine")], more=h.CLASHING.replace("held_out", "").replace("score", ""))
+    odd = h.table(spark, [*h.edge_texts(), (None, "good1 fine")], more=h.CLASHING)
     found = h.rows(quality_classifier.score(odd, model))
     assert len(found) == 9 and all(0 <= r["score"] <= 1 for r in found)
     assert len({r["score"] for r in found if r["doc_id"] in (0, 1, 2)}) == 1
