@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: The same for rows of two numbers, which take 16 bytes each.
 BROADCAST_KEYS = 200_000
-_scratch: list[str] = []
+#: Scratch tables by scope.
+_scratch: dict[str, list[str]] = {}
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="")
 #: Temporary folders of sessions in local mode, by application.
 _local: dict[str, str] = {}
 
@@ -38,12 +42,29 @@ def new_id() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, remembered for release()."""
+    """A new path in the shared folder, remembered under the present scope."""
     path = f"{shared_dir(spark)}/skerry-{name}-{new_id()}"
-    _scratch.append(path)
+    _scratch.setdefault(_scope.get(), []).append(path)
     return path
 
 
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables made inside belong to this scope, which release() can delete; those of other scopes, which other lazy results may read, stay."""
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete the scratch tables of a scope; only once all results built on them are stored."""
+    for gone in _scratch.pop(name, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(gone)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
@@ -51,20 +72,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def made() -> int:
-    """How many scratch tables there are, as a mark for release()."""
-    return len(_scratch)
-
-
-def release(spark: SparkSession, first: int = 0, end: int | None = None) -> None:
-    """Delete the scratch tables between two marks, else all made so far; only once all results built on them are stored."""
-    gone = _scratch[first:end]
-    del _scratch[first:end]
-    for name in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body applied to a value that is computed once per row, inside one native expression."""
     return F.transform(F.array(value), body)[0]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.blocks import group_links, meeting
-from skerry.llm.common import BROADCAST_KEYS, made, materialize, new_id, release, small_lookup, table
+from skerry.llm.common import BROADCAST_KEYS, materialize, new_id, release, scope, small_lookup, table
 from skerry.llm.components import connected_components
 from skerry.llm.hashing import Members, mix, shingles, words
 from skerry.llm.workers import tidy
@@ -174,9 +174,11 @@ def link_classes(docs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     row = F.struct("doc_id", "txt")
     one = sets.where(F.col("sig").isNotNull()).groupBy("sig")
     classes = materialize(one.agg(F.first("grps").alias("grps"), F.first("n_shingles").alias("n_shingles"), F.first("first").alias("first"), F.min(row).alias("row")), "classes")
-    before = made()
-    meet = materialize(_opened(classes, s.percent), "opened")
-    release(docs.sparkSession, before, made() - 1)  # all but the last
+    own = new_id()
+    with scope(own):
+        opened = _opened(classes, s.percent)
+    meet = materialize(opened, "opened")
+    release(docs.sparkSession, own)
 
     def recomputed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
