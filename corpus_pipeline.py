@@ -7,39 +7,52 @@ documents; the last returns the token ids of each text that is left.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm import common, decontamination, jaccard_join, quality_classifier, sentencepiece_codec, suffix_dedup
 
+SCOPE = "corpus_pipeline"
+
+
+@contextlib.contextmanager
+def _fresh(spark: SparkSession) -> Iterator[None]:
+    """The stages' own scope for working tables; those of the stage before are deleted."""
+    common.release(spark, SCOPE)
+    with common.scope(SCOPE):
+        yield
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the quality classifier rejects go."""
-    common.release(spark)
-    return quality_classifier.keep(docs, quality_classifier.fit(docs, common.table(spark, sf_dir, "labels")))
+    with _fresh(spark):
+        return quality_classifier.keep(docs, quality_classifier.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of documents that links join, the one with the smallest id stays. Sets of five-word shingles link at 0.8."""
-    common.release(spark)
-    return jaccard_join.keep_one(docs, jaccard_join.Settings(n=5, percent=80))
+    with _fresh(spark):
+        return jaccard_join.keep_one(docs, jaccard_join.Settings(n=5, percent=80))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: passages of 50 words or more that stand in an earlier place are cut; texts left without a word go."""
-    common.release(spark)
-    return suffix_dedup.cut_repeats(docs)
+    with _fresh(spark):
+        return suffix_dedup.cut_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that hold a test item, also an edited one, go."""
-    common.release(spark)
-    return decontamination.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+    with _fresh(spark):
+        return decontamination.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: every text becomes the ids of its subword pieces."""
-    common.release(spark)
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.default_model())
+    with _fresh(spark):
+        return sentencepiece_codec.encode(docs, sentencepiece_codec.default_model())
 
 
 STAGES = [
