@@ -3,18 +3,24 @@
 Words are runs without ASCII white space. Base rules reject a text of fewer than 10 words, or one where words in repeated
 5-word windows are over 20 % of all. Of the texts that pass, a vector of four transformed statistics is tested against
 its pool: log words, log mean word length, log symbols per 1000 word characters, log of repeated words and lines per 100.
-Each pool (language and source; the language's small sources together) has a robust centre and scatter: the half-way
-start is by medians and median deviations, then each concentration step takes the three quarters of the pool that are
-nearest by Mahalanobis distance and computes their mean and covariance again, which never raises the determinant. The
-final scatter is made consistent for normal data, and vectors beyond a high quantile of chi-squared go.
+
+Each pool, a language and source, has a robust centre and scatter. From three starts (medians with median deviations, mean
+with covariance, medians with the correlations of squashed values) concentration steps take the three quarters of the
+pool's rows that are nearest by Mahalanobis distance and compute their mean and covariance again, until no determinant
+falls any more; of the starts the least determinant stays. Rows in the last bin of distances that belongs to the three
+quarters in part all count in that part, so the weights always add up to it. The scatter is made consistent for normal
+data. Then a pool of n rows is drawn to the estimate of its language, made alike, as if that had `prior` rows, and the
+language to all rows: a pool of any size has an estimate, which is all but its own once it has many rows. Vectors beyond a
+high quantile of chi-squared go.
 
 Vectors are whole numbers (thousandths), so sums of squares are exact and don't depend on how rows are dealt out; medians
-and quantiles are over such numbers, of which there are a bounded number however many rows a pool has. A floor on each
-variance keeps statistics that are constant in a pool from rejecting what differs by a trifle.
+are over such numbers, and distances are ordered in bins of 0.05 %, of which there are a bounded number however many rows a
+pool has. A floor on each variance keeps statistics that are constant in a pool from rejecting what differs by a trifle.
 
-Only built-in expressions are used; the text is read once, and the steps work on a stored table of a few numbers a row.
-Defined results: a null text has no words and fails the base rules; null language and source form a pool like others; a
-pool of fewer than `min_rows` keeps all its rows; repeated rows count each; an empty table has no rows; extra columns are ignored.
+Only built-in expressions are used; the text is read once, and each step is one aggregation of a stored table of a few
+numbers a row, with map-side combining.
+Defined results: a null text has no words and fails the base rules; null language and source form a pool like others, with
+empty ones; repeated rows count each; an empty table has no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import let, materialize, small_lookup, table
@@ -33,9 +39,12 @@ SCALE = 1000
 
 @dataclass(frozen=True)
 class Settings:
-    min_rows: int = 50
     share: float = 0.75
-    steps: int = 3
+    #: Rows for which an estimate one level up counts.
+    prior: int = 50
+    #: Concentration steps end when no logarithm of a determinant falls by more than this, or after so many.
+    least: float = 1e-4
+    steps: int = 40
     #: Share of normal data beyond the cutoff; tiny, as the statistics' tails are heavier than normal ones.
     tail: float = 1e-20
     #: Least standard deviation of each statistic, in thousandths.
@@ -132,47 +141,120 @@ def distance(mean: str = "m") -> Column:
     return total
 
 
-#: Distances as whole numbers of a bounded range, for exact quantiles.
+#: Distances as whole numbers of a bounded range.
 def _binned(d: Column) -> Column:
-    return F.floor(200 * F.ln(1 + d)).cast("long")
+    return F.floor(2000 * F.ln(1 + d)).cast("long")
+
+
+KEY = ["level", "lang", "source"]
+X = range(1, DIMS + 1)
+PAIRS = [(i, j) for i in X for j in range(1, i + 1)]
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """Each row in the pool of all rows, in that of its language and in that of its language and source."""
+    none = F.lit("")
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), a.alias("lang"), b.alias("source")) for k, a, b in ((0, none, none), (1, F.col("lang"), none), (2, F.col("lang"), F.col("source")))))
+    return rows.select(F.explode(levels).alias("_k"), *(f"x{i}" for i in X)).select("_k.*", *(f"x{i}" for i in X))
+
+
+def _factored(rows: DataFrame) -> DataFrame:
+    """rows with c11..c44 and, of that matrix, the Cholesky factor l11..l44 and the logarithm of the determinant."""
+    for name, value in _cholesky({(i, j): F.col(f"c{i}{j}") for i, j in PAIRS}):
+        rows = rows.withColumn(name, value)
+    logdet = 2 * F.ln(F.col("l11"))
+    for i in X[1:]:
+        logdet = logdet + 2 * F.ln(F.col(f"l{i}{i}"))
+    return rows.withColumn("logdet", logdet)
+
+
+def _estimate(rows: DataFrame, keys: list[str], s: Settings, factor: float) -> DataFrame:
+    """keys, m1..m4, c11..c44, l11..l44 and logdet from the sums w, s1..s4 and s11..s44."""
+    rows = rows.withColumns({f"m{i}": F.col(f"s{i}") / F.col("w") for i in X})
+    cov = {f"c{i}{j}": factor * (F.col(f"s{i}{j}") / F.col("w") - F.col(f"m{i}") * F.col(f"m{j}")) + (float(s.floors[i - 1] ** 2) if i == j else 0.0) for i, j in PAIRS}
+    return _factored(rows.withColumns(cov)).select(*keys, *(f"m{i}" for i in X), *cov, *(f"l{i}{j}" for i, j in PAIRS), "logdet")
+
 
+def _sums(values: list[Column]) -> list[Column]:
+    return [*(F.sum(v).alias(f"s{i}") for i, v in enumerate(values, 1)), *(F.sum(values[i - 1] * values[j - 1]).alias(f"s{i}{j}") for i, j in PAIRS)]
 
-KEY = ["lang", "pool"]
+
+def _starts(rows: DataFrame, s: Settings) -> DataFrame:
+    """Three estimates of each pool, start 0 to 2, and its number n of rows."""
+    x = [F.col(f"x{i}") for i in X]
+    medians = materialize(rows.groupBy(KEY).agg(F.count("*").alias("n"), *(F.expr(f"percentile(x{i}, 0.5)").alias(f"m{i}") for i in X)), "medians")
+    spread = small_lookup(rows, medians, KEY, "inner").groupBy(*KEY, "n", *(f"m{i}" for i in X)).agg(*(F.expr(f"percentile(abs(x{i} - m{i}), 0.5)").alias(f"d{i}") for i in X))
+    scaled = {f"d{i}": F.greatest(1.4826 * F.col(f"d{i}"), F.lit(float(s.floors[i - 1]))) for i in X}
+    spread = materialize(spread.withColumns(scaled), "spread")
+    middle = [*KEY, "n", *(f"m{i}" for i in X)]
+    plain = _factored(spread.withColumns({f"c{i}{j}": F.col(f"d{i}") ** 2 if i == j else F.lit(0.0) for i, j in PAIRS})).withColumn("start", F.lit(0))
+    whole = _estimate(rows.groupBy(KEY).agg(F.count("*").alias("n"), F.count("*").cast("double").alias("w"), *_sums(x)), [*KEY, "n"], s, 1.0).withColumn("start", F.lit(1))
+    squashed = small_lookup(rows, spread, KEY, "inner").select(*middle, *(f"d{i}" for i in X), *(F.tanh((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"y{i}") for i in X))
+    sums = squashed.groupBy(*middle, *(f"d{i}" for i in X)).agg(*_sums([F.col(f"y{i}") for i in X]))
+    # a tenth of the identity keeps the correlations of few rows regular
+    spare = {(i, j): F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") ** 2 + (0.1 if i == j else 0.0) for i, j in PAIRS}
+    tanh = _factored(sums.withColumns({f"c{i}{j}": F.col(f"d{i}") * F.col(f"d{j}") * spare[i, j] / F.sqrt(spare[i, i] * spare[j, j]) for i, j in PAIRS})).withColumn("start", F.lit(2))
+    names = [*KEY, "start", "n", *(f"m{i}" for i in X), *(f"c{i}{j}" for i, j in PAIRS), *(f"l{i}{j}" for i, j in PAIRS), "logdet"]
+    return plain.select(names).union(whole.select(names)).union(tanh.select(names))
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, s: Settings, factor: float) -> DataFrame:
+    """One concentration step of every start."""
+    keys = [*KEY, "start", "n"]
+    near = small_lookup(rows, now.select(*keys, *(f"m{i}" for i in X), *(f"l{i}{j}" for i, j in PAIRS)), KEY, "inner").withColumn("_q", _binned(distance()))
+    bins = near.groupBy(*keys, "_q").agg(F.count("*").alias("c"), *_sums([F.col(f"x{i}") for i in X]))
+    # over the bins of one pool
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.least(F.lit(1.0), (F.ceil(s.share * F.col("n")) - before) / F.col("c"))
+    names = [f"s{i}" for i in X] + [f"s{i}{j}" for i, j in PAIRS]
+    full = F.col("w") == 1.0
+
+    def weighted(c: str) -> Column:
+        # whole bins add up exactly, and one bin at most counts in part
+        return F.coalesce(F.sum(F.when(full, F.col(c))), F.lit(0)) + F.coalesce(F.sum(F.when(~full, F.col("w") * F.col(c))), F.lit(0.0))
+
+    taken = bins.withColumn("w", part).where("w > 0").groupBy(*keys)
+    sums = taken.agg(F.ceil(s.share * F.max("n")).cast("double").alias("w"), *(weighted(c).alias(c) for c in names))
+    return _estimate(sums, keys, s, factor)
 
 
 def estimates(rows: DataFrame, s: Settings) -> DataFrame:
-    """Centre m1..m4 and Cholesky factor l11..l44 of each pool of at least s.min_rows vectors."""
-    medians = rows.groupBy(KEY).agg(F.count("*").alias("rows"), *(F.expr(f"percentile(x{i}, 0.5)").alias(f"m{i}") for i in range(1, DIMS + 1))).where(F.col("rows") >= s.min_rows)
-    medians = materialize(medians, "medians")
-    spread = small_lookup(rows, medians, KEY, "inner").groupBy(KEY).agg(
-        *(F.first(f"m{i}").alias(f"m{i}") for i in range(1, DIMS + 1)), *(F.expr(f"percentile(abs(x{i} - m{i}), 0.5)").alias(f"d{i}") for i in range(1, DIMS + 1))
-    )
-    start = {f"l{i}{j}": (F.greatest(1.4826 * F.col(f"d{i}"), F.lit(float(s.floors[i - 1]))) if i == j else F.lit(0.0)) for i in range(1, DIMS + 1) for j in range(1, i + 1)}
-    now = materialize(spread.withColumns(start).drop(*(f"d{i}" for i in range(1, DIMS + 1))), "start")
+    """n, m1..m4, c11..c44 and l11..l44 of each pool of every level, by the best of the starts; not yet drawn to others."""
+    rows = _levels(rows)
     factor = s.share / (1 - chi2_tail(chi2_bound(1 - s.share, DIMS), DIMS + 2))
-    for _ in range(s.steps):
-        near = small_lookup(rows, now, KEY, "inner").withColumn("_q", _binned(distance()))
-        bounds = materialize(near.groupBy(KEY).agg(F.expr(f"percentile_disc({s.share}) WITHIN GROUP (ORDER BY _q)").cast("long").alias("_bound")), "bounds")
-        core = small_lookup(near, bounds, KEY, "inner").where(F.col("_q") <= F.col("_bound"))
-        pairs = [(i, j) for i in range(1, DIMS + 1) for j in range(1, i + 1)]
-        sums = core.groupBy(KEY).agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(1, DIMS + 1)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in pairs))
-        now = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(1, DIMS + 1)})
-        cov = {(i, j): factor * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + (float(s.floors[i - 1] ** 2) if i == j else 0.0) for i, j in pairs}
-        for name, value in _cholesky(cov):
-            now = now.withColumn(name, value)
-        now = materialize(now.select(*KEY, *(f"m{i}" for i in range(1, DIMS + 1)), *(f"l{i}{j}" for i, j in pairs)), "estimates")
-    return now
+    now = materialize(_starts(rows, s), "starts")
+    for k in range(s.steps):
+        new = materialize(_concentrated(rows, now, s, factor), "estimates")
+        falls = now.select(*KEY, "start", F.col("logdet").alias("_old")).join(new, [*KEY, "start"]).where(F.col("_old") - F.col("logdet") > s.least)
+        # a start isn't yet the estimate of three quarters of the rows
+        done = k and falls.isEmpty()
+        now = new
+        if done:
+            break
+    rest = [c for c in now.columns if c not in KEY]
+    return materialize(now.groupBy(KEY).agg(F.min_by(F.struct(*rest), F.struct("logdet", "start")).alias("_b")).select(*KEY, "_b.*"), "best")
+
+
+def drawn(found: DataFrame, s: Settings) -> DataFrame:
+    """(lang, source) and the estimate of each pool, drawn to that of its language, and that to the one of all rows."""
+    values = [f"m{i}" for i in X] + [f"c{i}{j}" for i, j in PAIRS]
+
+    def joined(own: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
+        up = above.select(*on, *(F.col(v).alias(f"_{v}") for v in values))
+        both = small_lookup(own, up, on) if on else own.crossJoin(F.broadcast(up))  # one row
+        return both.withColumns({v: (F.col("n") * F.col(v) + s.prior * F.col(f"_{v}")) / (F.col("n") + s.prior) for v in values}).drop(*(f"_{v}" for v in values))
+
+    level = [found.where(F.col("level") == k).drop("level") for k in range(3)]
+    langs = materialize(joined(level[1].drop("source"), level[0].drop("lang", "source"), []), "languages")
+    return materialize(_factored(joined(level[2], langs, ["lang"])).select("lang", "source", *(f"m{i}" for i in X), *(f"l{i}{j}" for i, j in PAIRS)), "pools")
 
 
 def judge(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and distance (squared Mahalanobis; null where it isn't tested) of every row."""
     s = settings or Settings()
     rows = materialize(statistics(docs), "statistics")
-    sizes = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg((F.count("*") >= s.min_rows).alias("_own"))
-    sizes = materialize(sizes, "sizes")
-    rows = small_lookup(rows, sizes, ["lang", "source"]).withColumn("pool", F.when(F.coalesce("_own", F.lit(False)), F.concat(F.lit("="), "source")).otherwise(F.lit("")))
-    found = estimates(rows.where(~F.col("base_failed")).select(*KEY, *(f"x{i}" for i in range(1, DIMS + 1))), s)
-    out = small_lookup(rows, found, KEY).withColumn("distance", distance())
+    found = drawn(estimates(rows.where(~F.col("base_failed")).select("lang", "source", *(f"x{i}" for i in X)), s), s)
+    out = small_lookup(rows, found, ["lang", "source"]).withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_bound(s.tail, DIMS))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance", 3).alias("distance"))
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skerry.llm import license_rules, license_scan, quality_rules, sharding
@@ -31,14 +32,78 @@ def test_quality_rules_count_like_a_plain_version(spark):
     assert quality_rules.judge(h.table(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_quality_rules_reject_outliers_of_a_pool_only(spark):
+def _mcd(x, s, starts):
+    """Best (logdet, mean, covariance) by concentration steps in plain numpy."""
+    n, floors = len(x), np.diag(np.array(s.floors, float) ** 2)
+    h, factor = int(np.ceil(s.share * n)), s.share / (1 - quality_rules.chi2_tail(quality_rules.chi2_bound(1 - s.share, 4), 6))
+    best = None
+    for mean, cov in starts:
+        for _ in range(60):
+            q = np.floor(2000 * np.log1p(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)))
+            order = np.argsort(q, kind="stable")
+            bound = q[order[h - 1]]
+            w = (q < bound) + (q == bound) * (h - (q < bound).sum()) / (q == bound).sum()
+            mean = w @ x / h
+            cov = factor * (np.einsum("i,ij,ik->jk", w, x, x) / h - np.outer(mean, mean)) + floors
+        got = (np.linalg.slogdet(cov)[1], mean, cov)
+        best = got if best is None or got[0] < best[0] else best
+    return best
+
+
+def _vectors(texts):
+    out = []
+    for t in texts:
+        b = _base(t)
+        n, c = b["n_words"], b["word_chars"]
+        out.append([int(np.floor(1000 * v + 0.5)) for v in (np.log(n), np.log(c / n), np.log(1 + 1000 * b["n_symbols"] / c), np.log(1 + 100 * (b["n_repeat_words"] + 10 * b["n_dup_lines"]) / n))])
+    return np.array(out, float)
+
+
+def test_estimates_equal_a_plain_version_and_reach_the_least_determinant(spark):
+    draw, texts, pools = random.Random(8), [], []
+    for i in range(330):
+        pools.append(("en", "big") if i < 200 else ("en", None) if i < 300 else ("de", "few"))
+        size = draw.choice((20, 60, 200))
+        odd = i % 9 == 0
+        texts.append(" ".join(("#" * draw.randrange(4) if odd else "") + "x" * draw.randrange(2, 30 if odd else 9) + str(k) for k in range(size * (3 if odd else 1))) + ("\nsame line\nsame line" if i % 7 == 0 else ""))
+    docs = spark.createDataFrame([(i, t, *p) for i, (t, p) in enumerate(zip(texts, pools, strict=True))], "doc_id long, text string, lang string, source string")
+    s, x, rng = quality_rules.Settings(), _vectors(texts), np.random.default_rng(4)
+
+    def plain(own):
+        n, starts = len(own), []
+        for _ in range(60):  # small random subsets, as many as find the least determinant surely
+            some = own[rng.choice(n, min(n, 6), replace=False)]
+            starts.append((some.mean(0), np.cov(some.T) + np.diag(np.array(s.floors, float) ** 2)))
+        return _mcd(own, s, starts)
+
+    groups = {(0, "", ""): range(330), (1, "en", ""): range(300), (1, "de", ""): range(300, 330), (2, "en", "big"): range(200), (2, "en", ""): range(200, 300), (2, "de", "few"): range(300, 330)}
+    stat = quality_rules.statistics(docs).where("not base_failed").select("lang", "source", "x1", "x2", "x3", "x4")
+    got = {(r["level"], r["lang"], r["source"]): r for r in h.rows(quality_rules.estimates(stat, s))}
+    want = {}
+    for k, own in groups.items():
+        logdet, mean, cov = want[k] = plain(x[list(own)])
+        assert abs(got[k]["logdet"] - logdet) < 0.02 and np.allclose([got[k][f"m{i}"] for i in range(1, 5)], mean, rtol=0.02, atol=5), k
+    found = {r["doc_id"]: r for r in h.rows(quality_rules.judge(docs))}
+    for key, own in list(groups.items())[3:]:
+        near = lambda k, above: tuple((len(groups[k]) * a + s.prior * b) / (len(groups[k]) + s.prior) for a, b in zip(want[k][1:], above, strict=True))
+        mean, cov = near(key, near((1, key[1], ""), want[0, "", ""][1:]))
+        for i in own:
+            d = (x[i] - mean) @ np.linalg.inv(cov) @ (x[i] - mean)
+            assert abs(found[i]["distance"] - d) <= 0.03 * d + 0.1 and found[i]["kept"] == (found[i]["distance"] <= quality_rules.chi2_bound(s.tail, 4) + 1e-3)
+
+
+def test_quality_rules_reject_outliers_of_pools_of_any_size(spark):
     usual = [h.prose(i, 150 + i) for i in range(120)]
     odd = " ".join(f"{c * 60}{i}" for i, c in enumerate("abcdefghij" * 30))
-    docs = h.table(spark, [*usual, odd]).withColumn("source", F.when(F.col("doc_id") == 3, None).otherwise(F.col("source")))
+    docs = h.table(spark, [*usual, odd]).withColumn("source", F.when(F.col("doc_id") % 40 == 3, None).otherwise(F.col("source")))
     found = {r["doc_id"]: r["kept"] for r in h.rows(quality_rules.judge(docs))}
     assert not found[120] and all(found[i] for i in range(120))
-    alone = {r["doc_id"]: r["kept"] for r in h.rows(quality_rules.judge(h.table(spark, [*usual[:20], odd])))}
-    assert all(alone.values())
+    few = {r["doc_id"]: r["kept"] for r in h.rows(quality_rules.judge(h.table(spark, [*usual[:20], odd])))}
+    assert not few[20] and all(few[i] for i in range(20))
+    # equal rows, and one row alone
+    assert all(r["kept"] for r in h.rows(quality_rules.judge(h.table(spark, [usual[0]] * 30)))) and h.rows(quality_rules.judge(h.table(spark, usual[:1])))[0]["kept"]
+    nulls = h.table(spark, [usual[0], (None, usual[1]), None]).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(str(r["kept"]) for r in h.rows(quality_rules.judge(nulls))) == ["False", "True", "True"]
 
 
 def test_cut_off_has_its_share_beyond_it():
