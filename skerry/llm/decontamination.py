@@ -5,10 +5,10 @@ every n-gram of the test items over all documents. In each run of `window` neigh
 is a seed, so a common phrase seeds only where nothing rarer stands near, and every copied stretch of n + window - 1 words
 has a seed however often it occurs. A second pass looks for the seeds in whole texts, and the passage around each hit is
 aligned with the item; (score / best possible score) >= min_similarity is a leak, which edits, gaps and inserted words
-lower step by step.
+lower step by step. The alignment holds two rows of scores, so its memory is that of the passage alone.
 
-Items are taken in blocks of a bounded number of words, each one sent to the tasks, with both passes for every block; the
-documents are never shuffled or collected.
+Items are taken in blocks of at most `block_words` words, each one sent to the tasks with its seeds, of which it has no more
+than words; both passes are made for every block. The documents are never shuffled or collected.
 
 Defined results: null and empty texts leak nothing; items without n words have no seed and match nothing; repeated
 documents are reported each; repeated items each give their row, equal rows of them once; null ids pass through; extra columns are ignored.
@@ -88,26 +88,35 @@ class Filter:
         return at
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment of two word sequences: its score and the passage's words from first to after the last."""
+def _rows(item: np.ndarray, passage: np.ndarray, least: int | None) -> Iterator[np.ndarray]:
+    """Row by row, the scores of alignments that end with this word of the item and each of the passage.
+
+    With least 0 they begin anywhere; with None at the beginning of both. Only two rows are held."""
     ramp = np.arange(len(passage) + 1, dtype=np.int64) * -GAP
-    rows = np.zeros((len(item) + 1, len(passage) + 1), np.int64)
-    for i, w in enumerate(item, 1):
-        row = rows[i]
-        row[1:] = rows[i - 1, :-1] + np.where(passage == w, MATCH, MISMATCH)
-        np.maximum(row, rows[i - 1] + GAP, out=row)
-        np.maximum(row, 0, out=row)
-        row[:] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = np.unravel_index(rows.argmax(), rows.shape)
-    best, end = int(rows[i, j]), int(j)
-    while i and j and rows[i, j] > 0:
-        if rows[i, j] == rows[i - 1, j - 1] + (MATCH if passage[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, int(j), end
+    above = np.zeros(len(passage) + 1, np.int64) if least == 0 else -ramp
+    for w in item:
+        row = above + GAP
+        np.maximum(row[1:], above[:-1] + np.where(passage == w, MATCH, MISMATCH), out=row[1:])
+        if least is not None:
+            np.maximum(row, least, out=row)
+        above = np.maximum.accumulate(row + ramp) - ramp
+        yield above
+
+
+def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment of two word sequences: its score and the passage's words from first to after the last; the first end and the shortest passage of equal ones."""
+    best, rows, end = 0, 0, 0
+    for i, row in enumerate(_rows(item, passage, 0), 1):
+        j = int(row.argmax())
+        if row[j] > best:
+            best, rows, end = int(row[j]), i, j
+    # the same backwards from that end gives the beginning
+    size = end
+    for row in _rows(item[:rows][::-1], passage[:end][::-1], None):
+        hit = (row[: size + 1] == best).nonzero()[0]
+        if len(hit):
+            size = int(hit[0])
+    return best, end - size, end
 
 
 class Searcher:
