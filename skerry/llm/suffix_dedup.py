@@ -42,7 +42,7 @@ class Settings:
     min_words: int = 50
     k: int = 8
     window: int = 25
-    #: Classes of one key that meet in one place; the passages of more are dealt out by their hash.
+    #: Classes of one key that meet in one place, the passages of more being dealt out by their hash; and places of a class in one list.
     classes: int = 1000
 
     @property
@@ -172,14 +172,17 @@ def find_spans(docs: DataFrame, s: Settings) -> DataFrame:
     """doc, txt, first, end and source, source_txt, source_at of every repeat."""
     rows = suffixes(docs, s)
     runs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    runs = materialize(runs.select("key", (F.col("low") < F.col("high")).alias("mixed")), "runs")
-    equal = materialize(rows.join(runs, "key"), "equal")
-    place = F.struct("doc", "txt", "at")
-    classes = equal.groupBy("key", "whole").agg(F.min(place).alias("original"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("places").alias("places"), F.first("mixed").alias("mixed"))
+    runs = materialize(runs.select("key", (F.col("low") < F.col("high")).alias("mixed"), F.ceil(F.col("n") / s.classes).cast("int").alias("lanes")), "runs")
+    # places of a class stand in lists, of a frequent one in several, so that joins are of classes and not of places
+    place, none = F.struct("doc", "txt", "at"), F.lit(0)
+    lane = F.when(F.col("lanes") > 1, F.pmod(F.xxhash64("doc", "txt", "at"), F.col("lanes"))).otherwise(none)
+    lists = rows.join(runs, "key").groupBy("key", "whole", "before", "places", "mixed", lane.alias("lane")).agg(F.collect_list(place).alias("list"), F.min(place).alias("low"))
+    lists = materialize(lists, "equal")
+    classes = lists.groupBy("key", "whole").agg(F.min("low").alias("original"), F.sum(F.size("list")).alias("n"), F.first("before").alias("before"), F.first("places").alias("places"), F.first("mixed").alias("mixed"))
     classes = materialize(classes, "classes")
-    copies = equal.join(classes.where("n > 1").select("key", "whole", "original"), ["key", "whole"]).where(place != F.col("original"))
-    first = F.col("at") - F.col("before")
-    copied = copies.select("doc", "txt", first.alias("first"), (first + F.col("places") + F.lit(s.min_words - 1)).alias("end"), F.col("original.doc").alias("source"), F.col("original.txt").alias("source_txt"), (F.col("original.at") - F.col("before")).alias("source_at"))
+    copies = lists.join(classes.where("n > 1").select("key", "whole", "original"), ["key", "whole"]).select("before", "places", "original", F.explode("list").alias("x")).where(F.col("x") != F.col("original"))
+    first = F.col("x.at") - F.col("before")
+    copied = copies.select("x.doc", "x.txt", first.alias("first"), (first + F.col("places") + F.lit(s.min_words - 1)).alias("end"), F.col("original.doc").alias("source"), F.col("original.txt").alias("source_txt"), (F.col("original.at") - F.col("before")).alias("source_at"))
     # of keys with several classes, the first of each class may share passages with an earlier one
     mixed = classes.where("mixed")
     large = materialize(mixed.groupBy("key").count().where(F.col("count") > s.classes).select("key", F.ceil(F.col("count") / s.classes).cast("int").alias("parts")), "large")
