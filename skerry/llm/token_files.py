@@ -37,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import materialize, scratch_path, table
-from skerry.llm.workers import tidy
+from skerry.llm.common import materialize, new_id, scratch_path, table
+from skerry.llm.workers import kept, tidy
 
-#: What a task's cache of words may hold, in bytes, of which an entry takes so many besides its word and ids.
+#: What a worker's cache of words may hold, in bytes, of which an entry takes so many besides its word and ids.
 CACHE_BYTES, ENTRY_BYTES = 96_000_000, 160
 READ_DOCS = 20_000
 NULL_KEY = -(2**63)
@@ -140,7 +140,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, pa
     """Write the files of docs into folder, which tasks and driver share, and return the manifest."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = spark.sparkContext.broadcast(tokenizer_json)
+    words, job = spark.sparkContext.broadcast(tokenizer_json), new_id()
     wide = max(vocabulary_size(tokenizer_json), end_id + 1) > 2**16
     kind, width, suffix = ("I", 4, "u32") if wide else ("H", 2, "u16")
     end = array(kind, [end_id]).tobytes()
@@ -155,7 +155,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, pa
         for b in batches:
             if encoder is None:
                 fs.create_dir(path, recursive=True)
-                encoder, tokens = _Words(words.value, kind), fs.open_output_stream(names[f"tokens.{suffix}"] + own)
+                encoder, tokens = kept(job, lambda: _Words(words.value, kind)), fs.open_output_stream(names[f"tokens.{suffix}"] + own)
             for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = encoder.encode(text.as_py() or "") + end
                 tokens.write(ids)
@@ -174,7 +174,7 @@ def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, pa
 
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    written = materialize(ordered.mapInArrow(tidy(run), "part int, width int, documents long, tokens long"), "manifest")
+    written = materialize(ordered.mapInArrow(run, "part int, width int, documents long, tokens long"), "manifest")
     # one row a part: the window is over as many rows as there are parts
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumns({"first_token": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "first_document": F.coalesce(F.sum("documents").over(before), F.lit(0))})

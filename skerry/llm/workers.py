@@ -1,4 +1,4 @@
-"""How a Python worker gives memory back between tasks: nothing is kept from one to the next."""
+"""How a Python worker gives memory back between tasks, and the one bounded thing that it may keep for the next of its job."""
 
 from __future__ import annotations
 
@@ -8,9 +8,22 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+_kept: dict[str, object] = {}
+
+
+def kept(job: str, make: Callable[[], object]) -> object:
+    """An object of bounded size for all tasks of a job that this worker runs, so that its cache stays warm.
+
+    A task of another job drops it, and Spark ends workers that are idle for a minute."""
+    if job not in _kept:
+        free()
+        _kept[job] = make()
+    return _kept[job]
+
 
 def free() -> None:
-    """Return unused memory to the system."""
+    """Drop what an earlier job kept, and return unused memory to the system."""
+    _kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
