@@ -1,7 +1,7 @@
 """Dynamically typed values as a struct of lanes, so that equality, order and text are plain column expressions.
 
 rank: null = the property is missing, 0 null, 1 boolean, 2 number, 3 string, 4 array, 5 object. A whole number is in i,
-any other in d, which keeps 12 apart from 12.0.
+any other in d, which keeps 12 apart from 12.0. arr has the text of all elements of an array, strings those that are strings.
 """
 
 from __future__ import annotations
@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, types as T
 from pyspark.sql import functions as F
 
-LANES = "struct<rank:int,b:boolean,i:bigint,d:double,s:string,arr:array<string>,json:string>"
+LANES = "struct<rank:int,b:boolean,i:bigint,d:double,s:string,arr:array<string>,strings:array<string>,json:string>"
 
 
 def lanes(**given: Column) -> Column:
-    kinds = {"rank": "int", "b": "boolean", "i": "bigint", "d": "double", "s": "string", "arr": "array<string>", "json": "string"}
+    kinds = {"rank": "int", "b": "boolean", "i": "bigint", "d": "double", "s": "string", "arr": "array<string>", "strings": "array<string>", "json": "string"}
     return F.struct(*(given.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()))
 
 
@@ -31,7 +31,8 @@ def of_column(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
         return lanes(rank=null.otherwise(2), d=value)
     if isinstance(kind, T.ArrayType):
-        return lanes(rank=null.otherwise(4), arr=value.cast("array<string>"), json=F.to_json(value))
+        texts = value.cast("array<string>")
+        return lanes(rank=null.otherwise(4), arr=texts, strings=texts if isinstance(kind.elementType, T.StringType) else F.lit(None), json=F.to_json(value))
     if isinstance(kind, (T.StructType, T.MapType)):
         return lanes(rank=null.otherwise(5), json=F.to_json(value))
     return lanes(rank=null.otherwise(3), s=value.cast("string"))
@@ -59,6 +60,7 @@ def of_json(document: Column, key: str) -> Column:
         d=F.when((rank == 2) & ~whole, F.try_variant_get(value, "$", "double")),
         s=F.when(rank == 3, text),
         arr=F.when(rank == 4, F.try_variant_get(value, "$", "array<string>")),
+        strings=F.when(rank == 4, F.transform(F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))),
         json=F.when(rank >= 4, F.to_json(value)),
     )
 
@@ -77,8 +79,8 @@ def equals(value: Column, literal: object) -> Column:
 
 
 def contains(value: Column, text: str) -> Column:
-    """Substring of a string, element of an array, else false."""
-    inside = F.when(value["rank"] == 3, F.contains(value["s"], F.lit(text))).when(value["rank"] == 4, F.array_contains(value["arr"], text))
+    """Substring of a string, an element of an array that is this string, else false."""
+    inside = F.when(value["rank"] == 3, F.contains(value["s"], F.lit(text))).when(value["rank"] == 4, F.array_contains(value["strings"], text))
     return F.coalesce(inside, F.lit(False))
 
 

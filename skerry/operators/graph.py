@@ -1,7 +1,8 @@
-"""The link graph: resolution of links to notes, neighbours, backlinks, shortest paths, orphans and phantoms.
+"""The link graph: resolution of links to notes, neighbours, backlinks, shortest paths, orphans and phantoms, and its upkeep.
 
 nodes(path, title, phantom) and edges(edge_id, from, to, kind) are DataFrames; parallel edges are kept. Expansions are
-joins with a frontier, a bounded number of rounds, so each level is one shuffle of the frontier and its edges.
+joins with a frontier; each level's is written once into the shared folder, so no level computes those before again and a
+plan is as long as one level's.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry import store
 from skerry.errors import EngineError
 
 DIRECTIONS = ("out", "in", "both")
@@ -57,25 +59,31 @@ def _reach(edges: DataFrame, direction: str) -> DataFrame:
     return out if direction == "out" else back if direction == "in" else out.union(back)
 
 
-def distances(edges: DataFrame, start: str, depth: int = 1, direction: str = "both") -> DataFrame:
+def require(edges: DataFrame, path: str, nodes: DataFrame | None = None) -> None:
+    """An error unless the graph has this node: among nodes, or without these at an edge."""
+    known = edges.where((F.col("from") == path) | (F.col("to") == path)) if nodes is None else nodes.where(F.col("path") == path)
+    if known.isEmpty():
+        raise EngineError("path/not-found", f"{path} is not in the graph")
+
+
+def distances(edges: DataFrame, start: str, depth: int = 1, direction: str = "both", nodes: DataFrame | None = None) -> DataFrame:
     """(path, distance) of every node within depth steps."""
-    if not 1 <= depth <= 4:
-        raise EngineError("index/invalid-depth", "depth is between 1 and 4")
-    if direction not in DIRECTIONS:
-        raise EngineError("index/invalid-direction", direction)
-    steps = _reach(edges, direction).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "path string, distance int")
-    front = seen
+    if not 1 <= depth <= 4 or direction not in DIRECTIONS:
+        raise EngineError("index/invalid-query", f"depth {depth} is not between 1 and 4, or {direction} is no direction")
+    require(edges, start, nodes)
+    spark, steps = edges.sparkSession, _reach(edges, direction)
+    path = store.new_path(spark, "near")
+    seen = front = store.added(spark.createDataFrame([(start, 0)], "path string, distance int"), path)
     for d in range(1, depth + 1):
         new = front.join(steps, front["path"] == steps["a"]).select(F.col("b").alias("path")).distinct().join(seen.select("path"), "path", "left_anti")
-        front = new.select("path", F.lit(d).alias("distance"))
-        seen = seen.unionByName(front)
+        seen = store.added(new.select("path", F.lit(d).alias("distance")), path)
+        front = seen.where(F.col("distance") == d)
     return seen
 
 
-def neighbours(edges: DataFrame, start: str, depth: int = 1, direction: str = "both") -> tuple[DataFrame, DataFrame]:
+def neighbours(edges: DataFrame, start: str, depth: int = 1, direction: str = "both", nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes with their distance, edges): an edge belongs if it leaves a node nearer than depth in the direction."""
-    near = distances(edges, start, depth, direction)
+    near = distances(edges, start, depth, direction, nodes)
     inner = near.where(F.col("distance") < depth).select("path")
     by_from = edges.join(inner, F.col("from") == F.col("path"), "left_semi")
     by_to = edges.join(inner, F.col("to") == F.col("path"), "left_semi")
@@ -83,24 +91,66 @@ def neighbours(edges: DataFrame, start: str, depth: int = 1, direction: str = "b
     return near.orderBy("path"), kept.orderBy("from", "to", "kind")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, direction: str = "out", max_hops: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str, direction: str = "out", nodes: DataFrame | None = None) -> DataFrame:
     """(hop, path) from start to goal, of equal ones the one that visits lexicographically smaller notes first; empty if there is none.
 
-    A round for each hop. Each node of the frontier carries its trail, and as arrays compare element by element, the
-    smallest trail is the one to keep. The loop asks for one row a round."""
-    spark = edges.sparkSession
-    none = spark.createDataFrame([], "hop int, path string")
-    steps = _reach(edges, direction).distinct()
-    front = spark.createDataFrame([(start, [start])], "path string, trail array<string>")
-    seen = front.select("path")
-    for _ in range(max_hops + 1):
-        front = front.persist()
+    A round for each hop, as many as the path has. Each node of the frontier carries its trail, and as arrays compare
+    element by element, the smallest trail is the one to keep. The loop asks for one row a round."""
+    require(edges, start, nodes)
+    require(edges, goal, nodes)
+    spark, steps = edges.sparkSession, _reach(edges, direction)
+    path, hop, found = store.new_path(spark, "trails"), 0, []
+    seen = store.added(spark.createDataFrame([(start, [start], 0)], "path string, trail array<string>, hop int"), path)
+    while True:
+        front = seen.where(F.col("hop") == hop)
         if front.isEmpty():
-            return none
-        found = front.where(F.col("path") == goal)
-        if not found.isEmpty():
-            return found.select(F.posexplode("trail").alias("hop", "path"))
-        new = front.join(steps, front["path"] == steps["a"]).select(F.col("b").alias("path"), "trail").join(seen, "path", "left_anti")
-        front = new.groupBy("path").agg(F.min("trail").alias("trail")).select("path", F.concat("trail", F.array("path")).alias("trail"))
-        seen = seen.union(front.select("path"))
-    raise EngineError("index/path-too-long", f"no path within {max_hops} hops")
+            break
+        if found := front.where(F.col("path") == goal).select("trail").collect():  # one row
+            break
+        new = front.join(steps, front["path"] == steps["a"]).select(F.col("b").alias("path"), "trail").join(seen.select("path"), "path", "left_anti")
+        hop += 1
+        seen = store.added(new.groupBy("path").agg(F.min("trail").alias("trail")).select("path", F.concat("trail", F.array("path")).alias("trail"), F.lit(hop).alias("hop")), path)
+    store.remove(spark, path)
+    return spark.createDataFrame(list(enumerate(found[0]["trail"])) if found else [], "hop int, path string")
+
+
+def upsert(nodes: DataFrame, edges: DataFrame, notes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph after notes(path, title) are new or changed, with all their links(edge_id, from, target, kind).
+
+    Their outgoing edges are replaced, a phantom that is a note now becomes one in place, and phantoms to which no edge
+    leads are dropped."""
+    real = nodes.where("not phantom").select("path", "title").join(notes, "path", "left_anti").unionByName(notes.select("path", "title"))
+    made, new = resolve(links, real)
+    edges = edges.join(notes.select(F.col("path").alias("from")), "from", "left_anti").select("edge_id", "from", "to", "kind").unionByName(new)
+    phantoms = nodes.where("phantom").unionByName(made.where("phantom")).dropDuplicates(["path"]).join(real, "path", "left_anti")
+    return real.select("path", "title", F.lit(False).alias("phantom")).unionByName(_linked(phantoms, edges)), edges
+
+
+def remove(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph after notes gone(path) are deleted: those to which edges of others lead become phantoms, titled by their path."""
+    edges = edges.join(gone.select(F.col("path").alias("from")), "from", "left_anti").select("edge_id", "from", "to", "kind")
+    dead = gone.select("path").distinct().withColumn("_gone", F.lit(True))
+    marked = nodes.join(dead, "path", "left").withColumn("_gone", F.col("_gone").isNotNull())
+    marked = marked.select("path", F.when(F.col("_gone"), F.col("path")).otherwise(F.col("title")).alias("title"), (F.col("phantom") | F.col("_gone")).alias("phantom"))
+    return marked.where("not phantom").unionByName(_linked(marked.where("phantom"), edges)), edges
+
+
+def _linked(phantoms: DataFrame, edges: DataFrame) -> DataFrame:
+    return phantoms.join(edges.select(F.col("to").alias("path")), "path", "left_semi").select("path", "title", "phantom")
+
+
+def resolve_reading(links: DataFrame, files: DataFrame) -> DataFrame:
+    """links(from, target) with resolved, by the rule for reading a note, which differs from the graph's.
+
+    Case doesn't count; without an extension .md is added; a target without a slash is a file of this name in any folder.
+    Absolute targets and those with a backslash, a colon or a step to a parent folder are never resolved."""
+    target = F.col("target")
+    invalid = target.rlike(r"^/|[\\:]|(^|/)\.\.(/|$)") | (target == "")
+    name = F.element_at(F.split(target, "/"), -1)
+    full = F.lower(F.when(name.rlike(r"[^.]\.[^.]*$"), target).otherwise(F.concat(target, F.lit(".md"))))
+    rows = links.withColumn("_full", full).withColumn("_valid", ~invalid)
+    whole = files.select(F.lower("path").alias("_full")).distinct().withColumn("_whole", F.lit(True))
+    named = files.select(F.lower(F.element_at(F.split("path", "/"), -1)).alias("_full")).distinct().withColumn("_named", F.lit(True))
+    rows = rows.join(whole, "_full", "left").join(named, "_full", "left")
+    found = F.col("_valid") & (F.col("_whole").isNotNull() | (F.col("_named").isNotNull() & ~F.col("_full").contains("/")))
+    return rows.withColumn("resolved", found).select(*links.columns, "resolved")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from skerry.errors import EngineError
 
-HIDDEN = [".git", ".git/**", ".contextos", ".contextos/**"]
+#: Folders of version control and of the engine itself.
+HIDDEN = [".git", ".git/**", ".skerry", ".skerry/**"]
 
 
 def glob_regex(pattern: str) -> str:
@@ -96,6 +97,50 @@ def index_tables(files: DataFrame, summaries: DataFrame | None = None) -> DataFr
     return rows.groupBy("folder").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["row"]), "\n").alias("body"))
 
 
+#: Marks between which an index file's table is managed; a file of another engine may have its own.
+MARKERS = ("<!-- skerry:index:begin -->", "<!-- skerry:index:end -->")
+AUTO = " <!-- auto -->"
+
+
+def managed_indexes(entries_: DataFrame, existing: DataFrame, markers: tuple[str, str] = MARKERS) -> DataFrame:
+    """(folder, text, state) of every folder's index after entries(folder, name, is_file, summary), where existing(folder, text) may have one.
+
+    The table stands between the markers. A summary that a person wrote there stays, one marked as automatic is made anew.
+    A text without markers gets the table at its end; one whose markers are out of order or repeated is left, as invalid.
+    state is created, updated, unchanged or invalid."""
+    begin, end = markers
+    cut = F.split("text", F.concat(F.lit("\\Q"), F.lit(begin), F.lit("\\E")))
+    rest = F.split(F.element_at(cut, -1), F.concat(F.lit("\\Q"), F.lit(end), F.lit("\\E")))
+    ends = F.size(F.split("text", F.concat(F.lit("\\Q"), F.lit(end), F.lit("\\E")))) - 1
+    begins = F.size(cut) - 1
+    old = existing.select("folder", "text", begins.alias("_b"), ends.alias("_e"), cut[0].alias("_before"), rest[0].alias("_table"), F.get(rest, 1).alias("_after"), F.size(rest).alias("_r"))
+    old = old.withColumn("_valid", ((F.col("_b") == 0) & (F.col("_e") == 0)) | ((F.col("_b") == 1) & (F.col("_e") == 1) & (F.col("_r") == 2)))
+    # summaries of persons, by name: | name | summary |
+    row = F.transform(F.regexp_extract_all("_table", F.lit(r"(?m)^\| .* \|$"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, r"^\| \[?\[?([^|\]]*?)\]?\]? \| ", 1).alias("name"), F.regexp_extract(x, r"^\| [^|]* \| (.*) \|$", 1).alias("kept")))
+    kept = old.where("_valid AND _b = 1").select("folder", F.explode(row).alias("x")).select("folder", "x.*").where(~F.col("kept").endswith(AUTO.strip()) & (F.col("kept") != "") & ~F.col("name").isin("Name", "---"))
+    rows = entries_.join(kept.dropDuplicates(["folder", "name"]), ["folder", "name"], "left")
+    clean = F.replace(F.trim(F.regexp_replace(F.coalesce("summary", F.lit("")), r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), "name", F.lit(" | "), F.coalesce("kept", F.concat(clean, F.lit(AUTO))), F.lit(" |"))
+    tables = rows.select("folder", F.struct("is_file", F.lower("name").alias("low"), "name", line.alias("row")).alias("e")).groupBy("folder")
+    table = tables.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["row"]), "\n").alias("_rows"))  # the entries of one folder
+    table = table.select("folder", F.concat(F.lit(f"{begin}\n| Name | Summary |\n| --- | --- |\n"), "_rows", F.lit(f"\n{end}")).alias("_block"))
+    both = table.join(old, "folder", "left")
+    fresh = F.concat(F.lit("## Contents\n\n"), "_block", F.lit("\n"))
+    text = (
+        F.when(F.col("text").isNull(), fresh)
+        .when(~F.col("_valid"), F.col("text"))
+        .when(F.col("_b") == 0, F.concat(F.regexp_replace("text", r"\n?\z", "\n"), F.lit("\n"), fresh))
+        .otherwise(F.concat("_before", "_block", "_after"))
+    )
+    state = F.when(F.col("text").isNull(), "created").when(~F.col("_valid"), "invalid").when(text == F.col("text"), "unchanged").otherwise("updated")
+    return both.select("folder", text.alias("text"), state.alias("state"))
+
+
+def rebuild_report(indexes: DataFrame) -> DataFrame:
+    """One row of counters of managed_indexes()."""
+    return indexes.agg(F.count("*").alias("directories_scanned"), *(F.count_if(F.col("state") == x).alias(x) for x in ("created", "updated", "unchanged", "invalid")))
+
+
 def slugs(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
     """(key, order, slug): lower case, other characters than letters and digits become -, repetitions within a key get -1, -2, ..."""
     base = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")

@@ -7,6 +7,7 @@ Invalid filters, sort keys and columns are errors at once, before any row is rea
 
 from __future__ import annotations
 
+import ast
 import math
 import re
 from dataclasses import dataclass, field
@@ -62,10 +63,10 @@ def from_document(document: dict, view: str | None = None) -> Definition:
 def from_inline(given: dict) -> Definition:
     columns = list(given.get("order") or (given.get("properties") or {}).keys())
     if not columns:
-        raise EngineError("query/base-no-columns", "neither order nor properties name a column")
+        raise EngineError("query/base-query-no-columns", "neither order nor properties name a column")
     limit = given.get("limit")
     if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
-        raise EngineError("query/base-malformed", "limit is a positive whole number")
+        raise EngineError("query/base-query-malformed", "limit is a positive whole number")
     group = given.get("groupBy")
     return Definition(
         filters=[] if given.get("filters") is None else [given["filters"]],
@@ -81,7 +82,7 @@ def from_inline(given: dict) -> Definition:
 def _key(given: dict) -> tuple[str, bool]:
     direction = given.get("direction", "ASC")
     if "property" not in given or direction not in ("ASC", "DESC"):
-        raise EngineError("query/base-malformed", f"not a sort key: {given}")
+        raise EngineError("query/base-query-malformed", f"not a sort key: {given}")
     return given["property"], direction == "DESC"
 
 
@@ -94,12 +95,12 @@ class Properties:
     def raw(self, name: str) -> str:
         """The column of a file property."""
         if name not in FILE_PROPERTIES:
-            raise EngineError("query/base-unsupported-file-property", f"file.{name}")
+            raise EngineError("query/base-query-unsupported-file-property", f"file.{name}")
         return {"properties": "frontmatter_json"}.get(name, name)
 
     def lanes(self, name: str) -> Column:
         if name.startswith("formula."):
-            raise EngineError("query/base-formula-reference", f"{name} can't be used here")
+            raise EngineError("query/base-query-formula-reference", f"{name} can't be used here")
         if name.startswith("file."):
             column = self.raw(name[5:])
             return V.of_column(F.col(f"`{column}`"), self.kinds[column]) if column in self.kinds else V.missing()
@@ -116,7 +117,7 @@ def compile_filter(node: object, p: Properties) -> Column:
     if node is None:
         return F.lit(True)
     if isinstance(node, str):
-        return _Expression(node, p).column()
+        return compile_text(node, p)
     if isinstance(node, dict) and node:
         kind, operands = next(iter(node.items()))
         parts = [compile_filter(x, p) for x in (operands if isinstance(operands, list) else [operands])]
@@ -126,7 +127,7 @@ def compile_filter(node: object, p: Properties) -> Column:
             return _any(parts)
         if kind == "not":
             return ~_all(parts)  # of an empty list: false
-    raise EngineError("query/base-malformed", f"not a filter: {node!r}")
+    raise EngineError("query/base-query-malformed", f"not a filter: {node!r}")
 
 
 def _all(parts: list[Column]) -> Column:
@@ -143,104 +144,79 @@ def _any(parts: list[Column]) -> Column:
     return out
 
 
-class _Expression:
-    """`!` binds before `&&`, and that before `||`; parentheses group."""
-
-    def __init__(self, text: str, p: Properties) -> None:
-        self.text, self.at, self.p = text, 0, p
-
-    def column(self) -> Column:
-        out = self._any_of()
-        self._space()
-        if self.at < len(self.text):
-            raise EngineError("query/base-unsupported-filter", f"unexpected {self.text[self.at :]!r}")
-        return out
-
-    def _space(self) -> None:
-        while self.at < len(self.text) and self.text[self.at].isspace():
-            self.at += 1
-
-    def _take(self, token: str) -> bool:
-        self._space()
-        if self.text.startswith(token, self.at) and not (token == "!" and self.text.startswith("!=", self.at)):
-            self.at += len(token)
-            return True
-        return False
-
-    def _any_of(self) -> Column:
-        parts = [self._all_of()]
-        while self._take("||"):
-            parts.append(self._all_of())
-        return parts[0] if len(parts) == 1 else _any(parts)
-
-    def _all_of(self) -> Column:
-        parts = [self._unary()]
-        while self._take("&&"):
-            parts.append(self._unary())
-        return parts[0] if len(parts) == 1 else _all(parts)
-
-    def _unary(self) -> Column:
-        if self._take("!"):
-            return ~self._unary()
-        if self._take("("):
-            out = self._any_of()
-            if not self._take(")"):
-                raise EngineError("query/base-malformed", "missing )")
-            return out
-        return leaf(self._leaf(), self.p)
-
-    def _leaf(self) -> str:
-        """Up to the next operator or closing parenthesis outside quotes and inner parentheses."""
-        start, depth, quote = self.at, 0, ""
-        while self.at < len(self.text):
-            c = self.text[self.at]
-            if quote:
-                quote = "" if c == quote else quote
-            elif c in "'\"":
-                quote = c
-            elif c == "(":
-                depth += 1
-            elif c == ")":
-                if not depth:
-                    break
-                depth -= 1
-            elif not depth and self.text[self.at : self.at + 2] in ("&&", "||"):
-                break
-            self.at += 1
-        return self.text[start : self.at].strip()
-
-
-_CALL = re.compile(r"(?s)^(.*?)\.contains\((.*)\)$")
-_FILE_CALL = re.compile(r"(?s)^file\.(hasTag|inFolder)\((.*)\)$")
+# What a text filter is made of: operators and parentheses, and leaves, in which quotes and the parentheses of calls hide them.
+_QUOTED = r"""(?:"[^"]*"|'[^']*')"""
+_PIECES = re.compile(rf"""(?P<operator>&&|\|\||!(?!=)|[()])|(?P<leaf>(?:{_QUOTED}|(?<=\w)\((?:{_QUOTED}|[^()])*\)|&(?!&)|\|(?!\|)|!=|[^()&|!])+)""")
+_OPERATORS = {"&&": " & ", "||": " | ", "!": " ~ ", "(": "(", ")": ")"}
+
+
+def compile_text(text: str, p: Properties) -> Column:
+    """A filter given as text. `!` binds before `&&`, and that before `||`, as ~, & and | do in Python, whose grammar reads the text."""
+    leaves: list[Column] = []
+    skeleton = ""
+    for piece in _PIECES.finditer(text):
+        if piece["operator"]:
+            skeleton += _OPERATORS[piece["operator"]]
+        elif piece["leaf"].strip():
+            skeleton += f"f{len(leaves)}"
+            leaves.append(leaf(piece["leaf"].strip(), p))
+    try:
+        return _folded(ast.parse(skeleton.strip(), mode="eval").body, leaves)
+    except SyntaxError:
+        raise EngineError("query/base-query-unsupported-filter", text) from None
+
+
+def _folded(node: ast.expr, leaves: list[Column]) -> Column:
+    match node:
+        case ast.Name(id=name):
+            return leaves[int(name[1:])]
+        case ast.UnaryOp(op=ast.Invert(), operand=x):
+            return ~_folded(x, leaves)
+        case ast.BinOp(left=x, op=ast.BitAnd(), right=y):
+            return _folded(x, leaves) & _folded(y, leaves)
+        case ast.BinOp(left=x, op=ast.BitOr(), right=y):
+            return _folded(x, leaves) | _folded(y, leaves)
+    raise SyntaxError(ast.dump(node))
+
+
+_LEAF = re.compile(
+    r"""(?sx)
+    file\.(?P<call>hasTag|inFolder)\((?P<argument>.*)\)
+    | (?P<inside>[^()"'=!]+)\.contains\((?P<part>.*)\)
+    | (?P<name>[^()"'=!]+)(?P<sign>[!=]=)(?P<value>.*)
+    """
+)
 
 
 def leaf(text: str, p: Properties) -> Column:
-    if m := _FILE_CALL.match(text):
-        argument = _string(m[2])
-        if m[1] == "hasTag":
-            return F.coalesce(F.array_contains(F.col("tags"), argument), F.lit(False)) if "tags" in p.kinds else F.lit(False)
-        folder = argument.rstrip("/")
-        return F.coalesce((F.col("folder") == folder) | F.col("folder").startswith(folder + "/"), F.lit(False)) if "folder" in p.kinds else F.lit(False)
-    if m := _CALL.match(text):
-        return V.contains(p.lanes(_name(m[1])), _string(m[2]))
-    for operator in ("!=", "=="):
-        name, found, rest = text.partition(operator)
-        if found:
-            same = V.equals(p.lanes(_name(name)), literal(rest.strip()))
-            return same if operator == "==" else ~same
-    raise EngineError("query/base-unsupported-filter", text)
+    """A comparison, or one of the calls contains, file.hasTag and file.inFolder."""
+    found = _LEAF.fullmatch(text)
+    if found is None:
+        raise EngineError("query/base-query-unsupported-filter", text)
+    if found["sign"]:
+        same = V.equals(p.lanes(_name(found["name"])), literal(found["value"].strip()))
+        return same if found["sign"] == "==" else ~same
+    if found["inside"]:
+        return V.contains(p.lanes(_name(found["inside"])), _string(found["part"]))
+    argument = _string(found["argument"])
+    column = {"hasTag": "tags", "inFolder": "folder"}[found["call"]]
+    if column not in p.kinds:
+        return F.lit(False)
+    folder = argument.rstrip("/")
+    held = F.array_contains("tags", argument) if column == "tags" else (F.col("folder") == folder) | F.col("folder").startswith(folder + "/")
+    return F.coalesce(held, F.lit(False))
 
 
 def _name(text: str) -> str:
     if not re.fullmatch(r"[\w.\- ]+", text.strip()):
-        raise EngineError("query/base-unsupported-filter", f"not a property: {text!r}")
+        raise EngineError("query/base-query-unsupported-filter", f"not a property: {text!r}")
     return text.strip()
 
 
 def _string(text: str) -> str:
     got = literal(text.strip())
     if not isinstance(got, str):
-        raise EngineError("query/base-unsupported-filter", f"not a string: {text!r}")
+        raise EngineError("query/base-query-unsupported-filter", f"not a string: {text!r}")
     return got
 
 
@@ -257,7 +233,7 @@ def literal(text: str) -> object:
             return int(text)
         number = float(text)
     except ValueError:
-        raise EngineError("query/base-unsupported-filter", f"not a literal: {text!r}") from None
+        raise EngineError("query/base-query-unsupported-filter", f"not a literal: {text!r}") from None
     return number if math.isfinite(number) else None
 
 

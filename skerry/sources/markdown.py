@@ -11,7 +11,7 @@ from skerry.errors import EngineError
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 _TAG = re.compile(r"(?:(?<=\s)|^)#([\w/-]+)")
-_CODE = re.compile(r"(`+)(?!`).*?(?<!`)\1(?!`)")
+_CODE = re.compile(r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)")
 
 
 def _loader():
@@ -107,25 +107,25 @@ def title(head: dict, heads: list[str], path: str) -> str:
     return heads[0] if heads else re.sub(r"[-_]", " ", re.sub(r"(?i)\.md$", "", path.rsplit("/", 1)[-1]))
 
 
-def sections(text: str) -> list[tuple[list[str], str]]:
-    """(headings above, trimmed text) of each part between headings that has any."""
-    out, trail, body, fenced = [], [], [], False
+_FENCED = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[^\n]*$|\Z)")
+_HEADINGS = re.compile(r"(?m)^[ \t]*(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
 
-    def close() -> None:
-        if held := "\n".join(body).strip():
-            out.append(([t for _, t in trail], held))
-        body.clear()
 
-    for line in text.splitlines():
-        if _FENCE.match(line):
-            fenced = not fenced
-        elif not fenced and (m := _HEADING.match(line.strip())):
-            close()
-            trail[:] = [x for x in trail if x[0] < len(m[1])] + [(len(m[1]), m[2])]
-            continue
-        body.append(line)
-    close()
-    return out
+def masked(text: str) -> str:
+    """A text of the same length with blanks in place of fenced code, its lines and their places unchanged."""
+    return _FENCED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def sections(text: str) -> list[tuple[list[str], str]]:
+    """(headings above, trimmed text) of each part between headings that has any."""
+    text = re.sub(r"\r\n?", "\n", text)
+    heads = [(m.start(), m.end(), len(m[1]), m[2]) for m in _HEADINGS.finditer(masked(text))]
+    trails = [[]]
+    for _, _, level, name in heads:
+        trails.append([x for x in trails[-1] if x[0] < level] + [(level, name)])
+    begins, ends = [0, *(x[1] for x in heads)], [*(x[0] for x in heads), len(text)]
+    parts = [([name for _, name in trail], text[a:b].strip()) for trail, a, b in zip(trails, begins, ends, strict=True)]
+    return [(trail, body) for trail, body in parts if body]
 
 
 @dataclass(frozen=True)

@@ -1,11 +1,12 @@
 """A Python data source for directories of Markdown notes.
 
-    spark.dataSource.register(VaultSource)
+    register(spark)
     notes = spark.read.format("vault").load("/vaults/home")
 
 Spark's own file sources skip names that begin with _ or ., and replace invalid UTF-8 instead of skipping the file, so
-the listing is done here: the driver lists paths, tasks read and parse their share of them. Filters on path and folder
-narrow the listing; Spark applies them again. The folder must be reachable under one path by driver and executors; for
+the listing is done here: the driver lists paths, tasks read and parse their share of them. The option folder narrows the
+listing. Filters aren't pushed down: Spark keeps one reader for a DataFrame, so those of one query would narrow the others
+on it. The folder must be reachable under one path by driver and executors; for
 other stores load raw texts with Spark and use parse_notes().
 """
 
@@ -16,20 +17,22 @@ import hashlib
 import os
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skerry.errors import EngineError
 from skerry.sources import markdown
 
-EXCLUDED = [".git", ".contextos"]
+EXCLUDED = [".git", ".skerry"]
 SCHEMA = (
     "path string, name string, basename string, ext string, folder string, size bigint, ctime string, mtime string, modified timestamp, raw string, body string, "
     "frontmatter_json string, fm_error string, tags array<string>, links array<string>, embeds array<string>, title string, headings array<string>, content_hash string"
 )
 COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "timestamp": pa.timestamp("us", "UTC"), "array<string>": pa.list_(pa.string())}
+ROWS = pa.schema([(name, ARROW[kind]) for name, kind in (part.split() for part in SCHEMA.split(", "))])
 
 
 def excluded(path: str, prefixes: list[str]) -> bool:
@@ -66,16 +69,21 @@ def parse_note(path: str, content: bytes, created: float | None = None, changed:
 def parse_notes(files: DataFrame) -> DataFrame:
     """Notes from files(path, content binary), wherever Spark read them; a map in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [parse_note(p, bytes(c)) for p, c in zip(b["path"], b["content"], strict=True)]
-            yield pd.DataFrame([r for r in rows if r], columns=COLUMNS)
+            found = [parse_note(p, c) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist([r for r in found if r], ROWS)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session."""
+    spark.dataSource.register(VaultSource)
 
 
 class VaultSource(DataSource):
-    """Options: path (the root), exclude (comma-separated prefixes), batch (files a task, 500)."""
+    """Options: path (the root), folder (below it, to read no other), exclude (comma-separated prefixes, besides those always excluded), batch (files a task, 500)."""
 
     @classmethod
     def name(cls) -> str:
@@ -91,25 +99,15 @@ class VaultSource(DataSource):
 class VaultReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"]
-        self.exclude = [p for p in options.get("exclude", ",".join(EXCLUDED)).split(",") if p]
+        self.exclude = [*EXCLUDED, *(p for p in options.get("exclude", "").split(",") if p)]
         self.batch = int(options.get("batch", 500))
-        self.below: list[str] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Folders that an equality or prefix on path or folder implies; all filters stay with Spark."""
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("path",):
-                self.below.append(str(f.value).rpartition("/")[0])
-            elif isinstance(f, EqualTo) and f.attribute == ("folder",):
-                self.below.append(str(f.value))
-            elif isinstance(f, StringStartsWith) and f.attribute in (("path",), ("folder",)):
-                self.below.append(str(f.value).rpartition("/")[0])
-            yield f
+        self.folder = options.get("folder", "").strip("/")
+        if ".." in self.folder.split("/"):
+            raise EngineError("path/outside-root", self.folder)
 
     def partitions(self) -> list[InputPartition]:
-        start = max((b for b in self.below if ".." not in b.split("/")), key=len, default="")
         found = []
-        for folder, inner, names in os.walk(os.path.join(self.root, start)):
+        for folder, inner, names in os.walk(os.path.join(self.root, self.folder)):
             own = os.path.relpath(folder, self.root).replace(os.sep, "/")
             own = "" if own == "." else own + "/"
             inner[:] = sorted(d for d in inner if not excluded(own + d, self.exclude))
@@ -117,7 +115,8 @@ class VaultReader(DataSourceReader):
         found.sort()
         return [InputPartition(found[i : i + self.batch]) for i in range(0, len(found), self.batch)] or [InputPartition([])]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        found = []
         for path in partition.value:
             full = os.path.join(self.root, path)
             try:
@@ -127,20 +126,25 @@ class VaultReader(DataSourceReader):
             except OSError:
                 continue
             if row := parse_note(path, content, stat.st_ctime, stat.st_mtime):
-                yield tuple(row[c] for c in COLUMNS)
+                found.append(row)
+            if len(found) >= 100:
+                yield pa.RecordBatch.from_pylist(found, ROWS)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_pylist(found, ROWS)
 
 
 def out_links(notes: DataFrame, text: str = "raw") -> DataFrame:
     """(edge_id, from, target, kind) of every link in the whole file, for the graph; notes with a bad link have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, raw in zip(b["path"], b[text], strict=True):
+            found = []
+            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(f"{path}#{x.pos}", path, x.target, "embed" if x.embed else "link") for x in markdown.links(raw or "")]
+                    found += [(f"{path}#{x.pos}", path, x.target, "embed" if x.embed else "link") for x in markdown.links(raw or "")]
                 except EngineError:
                     continue
-            yield pd.DataFrame(rows, columns=["edge_id", "from", "target", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(4)], ["edge_id", "from", "target", "kind"])
 
-    return notes.select("path", F.col(text)).mapInPandas(run, "edge_id string, `from` string, target string, kind string")
+    return notes.select("path", F.col(text)).mapInArrow(run, "edge_id string, `from` string, target string, kind string")
