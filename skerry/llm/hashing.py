@@ -9,8 +9,9 @@ _R_INVERSE = np.uint64(pow(int(_R), -1, 2**64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD = np.ones(256, np.int8)
+_WORD[[9, 10, 11, 12, 13, 32]] = 0
+_numbers = np.arange(1 << 16, dtype=np.int64)
 _PLACES = 64
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
@@ -47,21 +48,35 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(raw):
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[raw]
+    np.take(_WORD, raw, out=inside[1:-1])
     step = np.diff(inside)
     starts, ends = (step == 1).nonzero()[0], (step == -1).nonzero()[0]
-    begin = np.zeros(len(raw), np.int64)
-    begin[starts] = starts
-    cell = ((np.arange(len(raw)) - np.maximum.accumulate(begin)) << 8) | _LOWER[raw]
-    drawn = _TABLE[np.minimum(cell, len(_TABLE) - 1)]
-    far = (cell >= len(_TABLE)).nonzero()[0]
-    if len(far):
+    if not len(starts):
+        return np.empty(0, np.uint64), starts, ends
+    # the place of each byte in its word, times 256, plus the byte
+    cell = np.zeros(len(raw), np.int64)
+    cell[starts] = starts
+    np.maximum.accumulate(cell, out=cell)
+    np.subtract(_counted(len(raw)), cell, out=cell)
+    np.left_shift(cell, 8, out=cell)
+    np.bitwise_or(cell, _LOWER[raw], out=cell)
+    drawn = _TABLE.take(cell, mode="clip")
+    if (ends - starts).max() > _PLACES:
+        far = (cell >= len(_TABLE)).nonzero()[0]
         drawn[far] = _drawn(cell[far])
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(drawn, out=total[1:])
     return mix(total[ends] - total[starts]), starts, ends
 
 
+def _counted(n: int) -> np.ndarray:
+    """0 to n - 1, kept for later calls."""
+    global _numbers
+    if len(_numbers) < n:
+        _numbers = np.arange(1 << (n - 1).bit_length(), dtype=np.int64)
+    return _numbers[:n]
+
+
 def shingles(ids: np.ndarray, n: int) -> np.ndarray:
     """A hash of every n neighbouring words, in order; of fewer words, one hash of them all; of none, none."""
     if not len(ids):

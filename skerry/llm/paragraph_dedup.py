@@ -1,12 +1,12 @@
 """Operator 9: near-duplicate paragraphs across documents, by MinHash banding.
 
-A paragraph is a line, and also a block of lines without an empty one between, of `min_words` words or more; shorter lines
-are compared as parts of their block. For passages inside lines, lines of several sentences are also cut into fragments:
+A paragraph is a line of `min_words` words or more, or a block of shorter lines in a row without an empty one between that
+has so many. For passages inside lines, lines of several sentences are also cut into fragments:
 a fragment ends with the line, with a sentence of at least `sentence` words, with one in eight shorter sentences and with
 one in `anywhere` other words, chosen by a hash of the last two words. So where it ends depends only on the words near by,
 and a passage is cut alike wherever it stands. Paragraphs and fragments of equal words are one class. Each class has bands
 of minimum hashes of its 5-word shingles: one that is a single fragment `bands` of one row, of which at a similarity of 0.8
-one agrees with a probability of 99.2 %; another paragraph `line_bands` of `line_rows` rows, 99.8 %, as unlike lines may
+one agrees with a probability of 99.2 %; another paragraph `line_bands` of `line_rows` rows, 99.4 %, as unlike lines may
 share a passage. Classes that collide in a band meet in blocks of bounded size, where exact Jaccard similarity of the whole
 paragraph or fragment decides, and the components of the links are clusters. In each cluster the first paragraph, by
 document and place, stays and the others are to be removed.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.blocks import group_links, meeting
-from skerry.llm.common import materialize, table
+from skerry.llm.common import materialize, new_id, release, scope, table
 from skerry.llm.components import connected_components
 from skerry.llm.hashing import mix, shingles, words
 from skerry.llm.workers import tidy
@@ -55,24 +55,21 @@ class Settings:
     sentence: int = 8
     #: One in so many words ends a paragraph where no sentence does.
     anywhere: int = 32
-    line_bands: int = 9
-    line_rows: int = 3
+    line_bands: int = 5
+    line_rows: int = 2
     block: int = 1000
 
 
-def paragraphs(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a text, and the first word and number of words of each of its paragraphs."""
-    ids, starts, ends = words(text)
-    if not len(ids):
-        return ids, starts, ends
+def fragments(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each fragment of a text with these words."""
     raw = np.frombuffer(text, np.uint8)
-    lines = np.cumsum(raw == 10)
-    closes = np.append(lines[starts[1:]] != lines[ends[:-1] - 1], True)
+    number = np.cumsum(raw == 10)
+    closes = np.append(number[starts[1:]] != number[ends[:-1] - 1], True)
     stop = (_ENDS[raw[ends - 1]] | closes).nonzero()[0]
     near = mix(ids ^ mix(np.append(ids[:1], ids[:-1])))  # of a word and the one before it
     cut = closes | (near % np.uint64(s.anywhere) == 0)
     cut[stop] |= (np.diff(stop, prepend=-1) >= s.sentence) | (near[stop] % np.uint64(8) == 0)
-    return ids, *_ranges(cut.nonzero()[0], len(ids))
+    return _ranges(cut.nonzero()[0], len(ids))
 
 
 def _ranges(last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,21 +80,28 @@ def _ranges(last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return first, last - first + 1
 
 
-def lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First word and number of words of each line that has words, and of each block of several such lines."""
-    ids, starts, ends = words(text)
-    if not len(ids):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+def lines(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of each line of `least` words or more, and of each block of shorter lines in a row without an empty one between."""
     number = np.cumsum(np.frombuffer(text, np.uint8) == 10)
-    steps = number[starts[1:]] - number[ends[:-1] - 1]
-    found = [np.column_stack(_ranges(np.append(steps >= least, True).nonzero()[0], len(ids))) for least in (1, 2)]
-    return tuple(np.unique(np.concatenate(found), axis=0).T)
+    steps = np.append(number[starts[1:]] - number[ends[:-1] - 1], 2)
+    last = (steps > 0).nonzero()[0]
+    short = np.diff(last, prepend=-1) < least
+    # a line's end ends a paragraph, but between two short lines of a block
+    inside = short & np.append(short[1:], False) & (steps[last] == 1)
+    return _ranges(last[~inside], len(ids))
+
+
+# Odd numbers: a shingle's hash times one of them is another hash of it.
+_TURNS = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
 def signatures(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Place and class of the fragments of s.n words or more and then of other paragraphs, their bands (flat), all shingles of the text, and the number of fragments."""
-    ids, first, count = paragraphs(text, s)
-    line, size = lines(text)
+    ids, starts, ends = words(text)
+    if not len(ids):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), 0
+    first, count = fragments(ids, starts, ends, text, s)
+    line, size = lines(ids, starts, ends, text, s.min_words)
     long = size >= max(s.min_words, s.n)
     line, size = line[long], size[long]
     # a paragraph that is one fragment is marked; every line begins with a fragment
@@ -116,20 +120,21 @@ def signatures(text: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray, np.nda
         """For reduceat over [first, first + count - n + 1) of each of a range of places, which may overlap."""
         return np.column_stack([first[a:b], first[a:b] + count[a:b] - s.n + 1]).ravel()
 
-    def least(k: int, edges: np.ndarray) -> np.ndarray:
-        return np.minimum.reduceat(np.append(mix(grams ^ np.uint64(0xA5A5 + k)), np.uint64(2**64 - 1)), edges)[::2]
+    turn = np.append(mix(grams), np.uint64(0))
+
+    def least(rows: int, edges: np.ndarray) -> np.ndarray:
+        """Minimum hashes of each place, a row for each of so many; a bounded number of hashes at a time."""
+        step = max(1, 1_000_000 // len(turn))
+        return np.concatenate([np.minimum.reduceat(turn * _TURNS[k : min(rows, k + step), None], edges, axis=1)[:, ::2] for k in range(0, rows, step)])
 
-    bands = [np.column_stack([mix(least(k, edges(0, few)) + np.uint64(k)) for k in range(s.bands)]).ravel()] if few else []
+    bands = [mix(least(s.bands, edges(0, few)) + np.arange(s.bands, dtype=np.uint64)[:, None]).T.ravel()] if few else []
     if len(first) > few:
-        own = []
-        for k in range(s.line_bands):
-            band = np.full(len(first) - few, k + 1000, np.uint64)
-            for r in range(s.line_rows):
-                band = mix(band ^ least(k * s.line_rows + r, edges(few, len(first)))) + np.uint64(r)
-            own.append(band)
-        bands.append(np.column_stack(own).ravel())
+        wide = least(s.line_bands * s.line_rows, edges(few, len(first))).reshape(s.line_bands, s.line_rows, -1)
+        band = np.arange(1000, 1000 + s.line_bands, dtype=np.uint64)[:, None]
+        for r in range(s.line_rows):
+            band = mix(band ^ wide[:, r]) + np.uint64(r)
+        bands.append(band.T.ravel())
     # two sums over the paragraph's shingles, the second weighted by their place from its own start
-    turn = np.append(mix(grams), np.uint64(0))
     within = np.arange(len(turn), dtype=np.uint64)
     a, b = (np.add.reduceat(x, edges(0, len(first)))[::2] for x in (turn, turn * within))
     sig = mix(a ^ mix(b - a * first.astype(np.uint64) + count.astype(np.uint64)))
@@ -174,8 +179,12 @@ def clusters(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     at = F.struct("key", "txt", "place")
     twice = materialize(rows.groupBy("sig").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low < high").select("sig"), "twice")
     bands = _band_rows(stored, s)
-    shared = materialize(bands.groupBy("band").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("band"), "bands")
-    meet = meeting(materialize(bands.join(shared, "band").distinct().select(F.col("band").alias("grp"), "sig"), "banded"))
+    own = new_id()
+    with scope(own):
+        shared = materialize(bands.groupBy("band").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("band"), "bands")
+        banded = materialize(bands.join(shared, "band").distinct().select(F.col("band").alias("grp"), "sig"), "banded")
+    meet = meeting(banded)
+    release(docs.sparkSession, own)
     needed = materialize(meet.select("sig").distinct(), "needed")
     givers = materialize(rows.join(needed, "sig").groupBy("sig").agg(F.min(at).alias("at")).groupBy("at.key", "at.txt").agg(F.collect_list("sig").alias("wanted")), "givers")
 

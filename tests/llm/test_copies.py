@@ -181,7 +181,7 @@ def test_suffix_repeats_of_odd_tables(spark):
 
 
 def pieces(text):
-    _, begin, count = paragraph_dedup.paragraphs(text.encode(), paragraph_dedup.Settings())
+    begin, count = paragraph_dedup.fragments(*hashing.words(text.encode()), text.encode(), paragraph_dedup.Settings())
     return {tuple(h.words(text)[a : a + n]) for a, n in zip(begin, count, strict=True) if n >= 5}
 
 
