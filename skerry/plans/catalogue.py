@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.functions import astro, values
-from skerry.operators import chunks, graph, listing, quality, render, search, sync, vectors
+from skerry import store
+from skerry.functions import astro, transforms, values
+from skerry.operators import chunks, files, graph, listing, quality, render, search, semantic, sync, vectors
 from skerry.plans import base_query as bq
 from skerry.streaming import events as ev
 
@@ -68,7 +69,7 @@ PAGES = r"""(SELECT *, regexp_extract(path, '^(?:(.*)/)?[^/]*$', 1) AS folder, l
   regexp_replace(html, '(?s)<[^>]*>', ' ', 'g') AS body FROM (SELECT *, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1), '/+$', '') AS path FROM pages))"""
 
 
-view("base_in_folder", "pages", {"filters": 'file.inFolder("news") || file.inFolder("blog/")', "order": ["page_id", "file.path"]}, f"SELECT page_id, path AS \"file.path\" FROM {PAGES} WHERE folder IN ('news', 'blog') OR starts_with(folder, 'news/') OR starts_with(folder, 'blog/')", ["page_id"], _paged)
+view("base_in_folder", "pages", {"filters": 'file.inFolder("en") || file.inFolder("fr/")', "order": ["page_id", "file.path"]}, f"SELECT page_id, path AS \"file.path\" FROM {PAGES} WHERE folder IN ('en', 'fr') OR starts_with(folder, 'en/') OR starts_with(folder, 'fr/')", ["page_id"], _paged)
 
 
 @query(f"SELECT page_id, '[[' || path || '|' || basename || ']]' AS link FROM {PAGES}")
@@ -89,13 +90,13 @@ def base_matched_count(spark, d):
 
 
 @query("""SELECT event_id, rank, number FROM (SELECT event_id, CASE WHEN v IS NULL THEN NULL ELSE 2 END AS rank, v AS number FROM
-  (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS v FROM events)) ORDER BY rank NULLS FIRST, number NULLS FIRST, event_id LIMIT 4000""")
+  (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS v FROM events)) ORDER BY rank NULLS FIRST, number NULLS FIRST, event_id""")
 def base_null_rank_sort(spark, d):
     """Sorting by a dynamic property that a third of the rows lack."""
     props = F.when(F.col("event_id") % 3 == 0, F.lit("{}")).otherwise(F.col("props"))
     rows = read(spark, d, "events").select("event_id", props.alias("frontmatter_json"))
     lanes = bq.Properties(rows).lanes("k")
-    return rows.orderBy(*values.order_keys(lanes), "event_id").limit(4000).select("event_id", lanes["rank"].alias("rank"), lanes["i"].alias("number"))
+    return rows.orderBy(*values.order_keys(lanes), "event_id").select("event_id", lanes["rank"].alias("rank"), lanes["i"].alias("number"))
 
 
 @query("SELECT n_nationkey || ',' || CASE WHEN n_name LIKE '%,%' THEN '\"' || n_name || '\"' ELSE n_name END || ',\"a \"\"quoted\"\", b\"' AS line FROM nation")
@@ -131,10 +132,10 @@ def base_groupby_more_summaries(spark, d):
 WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
-@query(f"SELECT doc_id, len({WORDS.format('text')}) AS n_tokens, list_distinct({WORDS.format('text')}) IS NOT NULL AS has_tokens FROM documents")
+@query(f"SELECT doc_id, len({WORDS.format('text')}) AS n_tokens, len(list_distinct({WORDS.format('text')})) AS n_distinct FROM documents")
 def text_tokens(spark, d):
     t = search.tokens(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.array_distinct(t).isNotNull().alias("has_tokens"))
+    return read(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
 def _bm25_sql(table: str, key: str, fields: dict[str, float], words: list[str], k: int, where: str = "true", require: str = "true") -> str:
@@ -189,12 +190,31 @@ def text_field_filter(spark, d):
     return _hits(search.search(docs, "doc_id", "onen", 20, {"text": 1.0}, search.field_equals(F.col("frontmatter_json"), "lang", "en")), "doc_id")
 
 
-@query("SELECT p_partkey FROM part WHERE list_contains(list_transform(string_split(lower(p_type), ' '), lambda t: t), 'standard')")
+@query("""SELECT p_partkey FROM (SELECT *, lower(p_brand) || '/' || replace(lower(p_type), ' ', '/') AS tag FROM part) WHERE tag = 'brand#1' OR starts_with(tag, 'brand#1/') OR tag = 'brand#13/small' OR starts_with(tag, 'brand#13/small/')""")
 def text_tag_hierarchy(spark, d):
-    tags = F.array(F.array_join(F.split(F.lower("p_type"), " "), "/"), F.lit("other"))
-    first = read(spark, d, "part").withColumn("tags", F.transform(F.split(F.lower("p_type"), " "), lambda t: F.concat(t, F.lit("/x"))))
-    del tags
-    return first.where(search.has_tag(F.col("tags"), "standard")).select("p_partkey")
+    """Tags like brand#13/small: a shorter one matches those below it, whole segments only."""
+    tag = F.concat(F.lower("p_brand"), F.lit("/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")))
+    tagged = read(spark, d, "part").withColumn("tags", F.array(F.lit("other"), tag))
+    return tagged.where(search.has_tag(F.col("tags"), "brand#1") | search.has_tag(F.col("tags"), "brand#13/small")).select("p_partkey")
+
+
+@query(_bm25_sql("documents", "doc_id", {"text": 1.0}, ["onen", "thre"], 20))
+def text_stored_index(spark, d):
+    """The same as a scan, from postings that are stored once."""
+    folder = store.new_path(spark, "index")
+    search.build(read(spark, d, "documents"), folder, "doc_id", F.crc32(F.col("text").cast("binary")).cast("string"), ["text"])
+    return _hits(search.search_index(spark, folder, "doc_id", "onen thre", 20, {"text": 1.0}), "doc_id")
+
+
+@query(_bm25_sql("(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'onen onen' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)", "doc_id", {"text": 1.0}, ["onen"], 20))
+def text_refreshed_index(spark, d):
+    """An index brought up to date after rows went and texts changed."""
+    docs, old, new = read(spark, d, "documents").select("doc_id", "text"), store.new_path(spark, "index"), store.new_path(spark, "index")
+    now = docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, "onen onen").otherwise(F.col("text")))
+    stamp = F.crc32(F.col("text").cast("binary")).cast("string")
+    search.build(docs, old, "doc_id", stamp, ["text"])
+    search.refresh(now, old, new, "doc_id", stamp, ["text"])
+    return _hits(search.search_index(spark, new, "doc_id", "onen", 20, {"text": 1.0}), "doc_id")
 
 
 # --- documents -----------------------------------------------------------------------------------------------------------
@@ -331,9 +351,44 @@ query(_knn_sql("label <> 0"), "knn_excluded")(lambda spark, d: _knn(spark, d, F.
 query("SELECT count(DISTINCT label) AS paths, count(*) AS vectors FROM embeddings", "vector_stats")(lambda spark, d: vectors.statistics(read(spark, d, "embeddings"), "label"))
 
 
-@query()
+def _hash_sql(text: str) -> str:
+    part = lambda i, at: f"CAST('0x' || substring(sha256(encode({text}) || unhex('{i:02x}{'0' * 14}')), {at}, 2) AS INTEGER)"
+    return "[" + ", ".join(f"CAST(({part(i, 1)} + {part(i, 3)} * 256) / 65535.0 * 2 - 1 AS FLOAT)" for i in range(16)) + "]"
+
+
+@query(f"SELECT doc_id, round(list_sum(e), 4) AS total, round(e[1], 5) AS first, round(e[16], 5) AS last FROM (SELECT doc_id, {_hash_sql('text')} AS e FROM documents)")
 def hash_embeddings(spark, d):
-    return read(spark, d, "documents").select("doc_id", vectors.hash_embedding(F.col("text")).alias("embedding"))
+    e = read(spark, d, "documents").select("doc_id", vectors.hash_embedding(F.col("text")).alias("e"))
+    return e.select("doc_id", F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.element_at("e", 1).cast("double"), 5).alias("first"), F.round(F.element_at("e", 16).cast("double"), 5).alias("last"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as chunks of notes."""
+    rows = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("int").alias("ordinal"), "text").dropDuplicates(["path", "ordinal"])
+    return rows.where("text IS NOT NULL").select("path", "ordinal", F.array(F.lit("H")).alias("heading_context"), "text", F.sha2("text", 256).alias("content_hash"))
+
+
+_TURNS = "(SELECT CAST(conv_id AS VARCHAR) AS path, CAST(turn AS INTEGER) AS ordinal, any_value(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"""SELECT path, ordinal, round(score, 5) AS score FROM (SELECT path, ordinal, list_cosine_similarity(CAST({_hash_sql('text')} AS DOUBLE[]), CAST({_hash_sql("'hello there'")} AS DOUBLE[])) AS score FROM {_TURNS})
+  ORDER BY score DESC, path LIMIT 12""")
+def semantic_query(spark, d):
+    turns = _turns(spark, d)
+    hits = semantic.query(semantic.embed(turns), turns.withColumn("text", F.concat_ws("|", "ordinal", "text")), "hello there", 12)
+    return hits.select("path", F.split("text", r"\|")[0].cast("int").alias("ordinal"), F.round("score", 5).alias("score"))
+
+
+@query(f"""SELECT count(DISTINCT path) AS paths_scanned, count(*) FILTER (ordinal % 3 = 0) AS embedded, count(*) FILTER (ordinal % 3 <> 0) AS skipped, 0 AS failed FROM {_TURNS}""")
+def semantic_rebuild_report(spark, d):
+    turns = _turns(spark, d)
+    return semantic.refresh(semantic.embed(turns.where("ordinal % 3 <> 0")), turns)[1]
+
+
+@query("SELECT count(*) FILTER (doc_id % 11 <> 0) AS documents, count(*) FILTER (doc_id % 11 = 0 AND doc_id % 13 <> 0 OR doc_id % 11 <> 0 AND (doc_id % 13 = 0 OR doc_id % 7 = 0)) AS stale_estimate, max(n_chars) FILTER (doc_id % 11 <> 0) AS last_build FROM documents")
+def semantic_index_status(spark, d):
+    before, after = _edited(spark, d)
+    return semantic.status(before.withColumn("indexed_at", F.col("mtime")), after)
 
 
 # --- freshness ---------------------------------------------------------------------------------------------------------------
@@ -433,22 +488,229 @@ def astro_personal_year(spark, d):
     return read(spark, d, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", "p.*")
 
 
-@query()
-def astro_moon_phase(spark, d):
-    days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return days.select("day", astro.moon_phase(F.col("day")).alias("p")).select("day", "p.*")
+def _trig(name: str, degrees: str) -> str:
+    return f"{name}(radians({degrees}))"
 
 
-@query()
+def _delta_t_sql(y: str) -> str:
+    t, u = f"({y} - 2000)", f"(({y} - 1820) / 100.0)"
+    return f"""CASE WHEN {y} BETWEEN 2005 AND 2049 THEN 62.92 + 0.32217 * {t} + 0.005589 * {t} * {t} WHEN {y} BETWEEN 1986 AND 2004 THEN 63.86 + 0.3345 * {t} - 0.060374 * {t} * {t} + 0.0017275 * {t} * {t} * {t}
+      WHEN {y} BETWEEN 1961 AND 1985 THEN 45.45 + 1.067 * ({y} - 1975) - ({y} - 1975) * ({y} - 1975) / 260.0 WHEN {y} BETWEEN 1900 AND 1960 THEN 29.07 + 0.407 * ({y} - 1950) - ({y} - 1950) * ({y} - 1950) / 233.0 ELSE -20 + 32 * {u} * {u} END"""
+
+
+def _season_sql(i: int) -> str:
+    """A table of (year, seconds since 1970 of one season's beginning)."""
+    c = [f"CAST({x} AS DOUBLE)" for x in astro.SEASONS[i]]
+    y = "((year - 2000) / 1000.0)"
+    jde = f"((({c[4]} * {y} + {c[3]}) * {y} + {c[2]}) * {y} + {c[1]}) * {y} + {c[0]}"
+    total = " + ".join(f"{a} * {_trig('cos', f'{b0} + {c0} * t')}" for a, b0, c0 in astro.TERMS)
+    return f"""(SELECT year, CAST(round((jd - 2440587.5) * 86400 - ({_delta_t_sql('year')})) AS BIGINT) AS seconds FROM (SELECT year, j + 0.00001 * ({total}) / (1 + 0.0334 * {_trig('cos', 'w')} + 0.0007 * {_trig('cos', '2 * w')}) AS jd
+      FROM (SELECT *, 35999.373 * t - 2.47 AS w FROM (SELECT *, (j - 2451545.0) / 36525 AS t FROM (SELECT year, {jde} AS j FROM (SELECT DISTINCT CAST(year(o_orderdate) AS DOUBLE) AS year FROM orders))))))"""
+
+
+@query(" UNION ALL ".join(f"SELECT CAST(year AS INTEGER) AS year, '{name}' AS event, seconds FROM {_season_sql(i)}" for i, name in enumerate(astro.EVENTS)))
 def astro_solar_events(spark, d):
-    return astro.solar_events(read(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct(), "year")
+    found = astro.solar_events(read(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct(), "year")
+    return found.select("year", "event", F.unix_seconds("instant").alias("seconds"))
 
 
-@query()
+_FIXED_DAYS = {0: "02-01", 2: "05-01", 4: "08-01", 6: "10-31"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT year, '{name}' AS name, 'Checkpoint' AS role, CAST(epoch(CAST(year || '-{_FIXED_DAYS[i]}' AS TIMESTAMP)) AS BIGINT) AS seconds FROM (SELECT DISTINCT year(o_orderdate) AS year FROM orders)" if i in _FIXED_DAYS
+        else f"SELECT CAST(year AS BIGINT) AS year, '{name}' AS name, 'Boundary' AS role, seconds FROM {_season_sql(i // 2)}"
+        for i, name in enumerate(astro.WHEEL)
+    )
+)
 def astro_wheel_of_year(spark, d):
-    return astro.wheel_of_year(read(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct(), "year")
+    found = astro.wheel_of_year(read(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct(), "year")
+    return found.select("year", "name", "role", (F.unix_date(F.to_date("instant")).cast("long") * 86400 + F.hour("instant") * 3600 + F.minute("instant") * 60 + F.second("instant")).alias("seconds"))
+
+
+@query(f"""SELECT day, round((1 + {_trig('cos', f"180 - d - 6.289 * {_trig('sin', 'mp')} + 2.100 * {_trig('sin', 'm')} - 1.274 * {_trig('sin', '2 * d - mp')} - 0.658 * {_trig('sin', '2 * d')} - 0.214 * {_trig('sin', '2 * mp')} - 0.110 * {_trig('sin', 'd')}")}) / 2, 9) AS illumination
+  FROM (SELECT *, 297.8501921 + 445267.1114034 * t AS d, 357.5291092 + 35999.0502909 * t AS m, 134.9633964 + 477198.8675055 * t AS mp FROM (SELECT day, (day - DATE '1970-01-01' + CAST(2440587.5 AS DOUBLE) - 2451545.0) / 36525 AS t FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)))""")
+def astro_moon_illumination(spark, d):
+    days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.select("day", F.round(astro.moon_phase(F.col("day"))["illumination_fraction"], 9).alias("illumination"))
+
+
+@query()
+def astro_moon_phase(spark, d):
+    days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.select("day", astro.moon_phase(F.col("day")).alias("p")).select("day", "p.*")
 
 
 @query()
 def astro_boundaries(spark, d):
     return astro.boundaries(spark, "2024-01-01", "2024-12-31", "1980-02-29")
+
+
+# --- contents of files, edits -------------------------------------------------------------------------------------------------------
+
+
+def _contents(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as files by their url's path, with the larger of texts of one path."""
+    rows = _paged(read(spark, d, "pages")).where("path <> ''")
+    return rows.groupBy("path").agg(F.max("html").alias("text")).withColumn("content", F.col("text").cast("binary"))
+
+
+_CONTENTS = f"(SELECT path, max(html) AS text FROM {PAGES} WHERE path <> '' GROUP BY path)"
+_EXT = "regexp_extract(path, '[^/.][^/]*\\.([^./]+)$', 1)"
+
+
+query(f"SELECT path, 'file' AS kind, CAST(strlen(text) AS BIGINT) AS size, CASE WHEN strlen(text) <= 8000 THEN sha256(text) END AS sha256 FROM {_CONTENTS}", "fs_info")(lambda spark, d: files.info(_contents(spark, d), 8000).drop("modified"))
+query(
+    f"SELECT path, CASE WHEN {_EXT} IN ('html', 'htm') THEN 'text/html' ELSE 'text/plain' END AS mime, CAST(strlen(text) AS BIGINT) AS size, true AS is_text, CASE WHEN strlen(text) > 8000 THEN 'io/too-large' END AS error FROM {_CONTENTS}", "fs_attachments",
+)(lambda spark, d: files.attachments(_contents(spark, d), 8000).drop("content"))
+query(
+    f"""SELECT r.path, n, CASE WHEN strlen(text) <= 9000 THEN md5(text) END AS digest, CASE WHEN text IS NULL AND r.path IN ('en', 'fr') THEN 'path/not-file' WHEN text IS NULL THEN 'path/not-found' WHEN strlen(text) > 9000 THEN 'io/too-large' END AS error
+    FROM (SELECT n, CASE WHEN n % 10 = 0 THEN 'none/' || n WHEN n % 10 = 1 THEN 'fr' ELSE path END AS path FROM (SELECT path, row_number() OVER (ORDER BY path) AS n FROM {_CONTENTS})) r LEFT JOIN {_CONTENTS} c ON c.path = r.path""", "fs_read_many",
+)(lambda spark, d: files.read_many(_requests(_contents(spark, d)), _contents(spark, d), 9000).select("path", "n", F.md5("text").alias("digest"), "error"))
+
+
+def _requests(contents: DataFrame) -> DataFrame:
+    rows = contents.select("path", F.row_number().over(Window.orderBy("path")).alias("n"))  # as many as a request's paths
+    return rows.select("n", F.when(F.col("n") % 10 == 0, F.concat(F.lit("none/"), F.col("n"))).when(F.col("n") % 10 == 1, "fr").otherwise(F.col("path")).alias("path"))
+
+
+def _resources(spark: SparkSession, d: str) -> DataFrame:
+    sized = _contents(spark, d).select(F.split("path", "/")[0].alias("vault"), "path", F.octet_length("content").alias("size"))
+    return files.resources(sized, ["**/*.html", "en/*"])
+
+
+_ALLOWED = f"(SELECT string_split(path, '/')[1] AS vault, path, strlen(text) AS size FROM {_CONTENTS} WHERE regexp_matches(path, '(?i)^(?:.*/)?[^/]*\\.html$') OR regexp_matches(path, '(?i)^en/[^/]*$'))"
+query(f"SELECT path, CASE WHEN {_EXT} IN ('html', 'htm') THEN 'text/html' ELSE 'application/octet-stream' END AS mime, CAST(size AS BIGINT) AS size FROM {_ALLOWED}", "fs_resources")(lambda spark, d: _resources(spark, d).select("path", "mime", "size"))
+query(f"SELECT vault, count(*) AS resources FROM {_ALLOWED} GROUP BY vault", "fs_resource_counts")(lambda spark, d: files.resource_counts(_resources(spark, d)))
+
+
+@query("SELECT c_custkey AS path, CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 6 = 0 THEN '# Log' || chr(10) ELSE c_mktsegment END || c_name WHEN c_custkey % 6 = 3 THEN '' ELSE c_mktsegment END AS text FROM customer")
+def edit_append(spark, d):
+    rows = read(spark, d, "customer")
+    texts = rows.select(F.col("c_custkey").alias("path"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("text"))
+    return files.append(texts, rows.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path"), F.col("c_name").alias("addition")), "# Log\n")
+
+
+_TIMES = "(length(p_name) - length(replace(p_name, 'an', ''))) / 2"
+
+
+@query(f"SELECT p_partkey AS path, CASE WHEN {_TIMES} = 1 THEN replace(p_name, 'an', 'AN') || '' ELSE p_name END AS text, CASE WHEN {_TIMES} = 0 THEN 'edit/not-found at 1' WHEN {_TIMES} > 1 THEN 'edit/ambiguous at 1' END AS error FROM part")
+def edit_exact(spark, d):
+    texts = read(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("text"))
+    return files.exact_edits(texts, texts.select("path", F.lit(1).alias("seq"), F.lit("an").alias("old_text"), F.lit("AN").alias("new_text")))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS path, CASE WHEN c_custkey % 5 = 0 THEN 'added' WHEN c_custkey % 7 = 0 THEN 'removed' ELSE 'changed' END AS status, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN 1 ELSE 2 END AS changed_lines FROM customer WHERE (c_custkey % 5 = 0) <> (c_custkey % 7 = 0) OR (c_custkey % 35 <> 0 AND c_custkey % 3 = 0)")
+def edit_diff(spark, d):
+    rows, key = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_name").alias("text"), "c_custkey"), F.col("c_custkey")
+    after = rows.where(key % 7 != 0).withColumn("text", F.when(key % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    patch = files.diff(rows.where(key % 5 != 0), after)
+    return patch.select("path", "status", F.size(F.filter(F.split("patch", "\n"), lambda x: x.rlike(r"^[+-](?![+-]{2} )"))).alias("changed_lines"))
+
+
+@query("""SELECT s_suppkey AS path, '---' || chr(10) || 'type: "note"' || chr(10) || 'title: "' || s_name || '"' || chr(10) || 'entity: "personal"' || chr(10) || 'status: "' || CASE WHEN s_suppkey % 2 = 0 THEN 'done' ELSE 'new' END || '"' || chr(10)
+  || 'created: "2024-01-02"' || chr(10) || 'updated: "2024-01-02"' || chr(10) || 'tags: []' || chr(10) || 'aliases: []' || CASE WHEN s_suppkey % 2 = 0 THEN chr(10) || 'nation: ' || s_nationkey ELSE '' END || chr(10) || '---' || chr(10) || s_name AS text FROM supplier""")
+def note_create(spark, d):
+    own = F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("status"), F.lit('"done"'), F.lit("nation"), F.col("s_nationkey").cast("string")))
+    rows = read(spark, d, "supplier").select(F.col("s_suppkey").alias("path"), F.col("s_name").alias("title"), F.col("s_name").alias("content"), own.alias("overrides"))
+    return files.new_notes(rows, F.lit("2024-01-02")).select("path", "text")
+
+
+@query(f"""SELECT folder, n AS rows, 'created' AS state FROM (SELECT folder, count(*) AS n FROM (SELECT DISTINCT folder, basename FROM {PAGES} WHERE path <> '') GROUP BY folder)""")
+def index_managed(spark, d):
+    made = _indexes(spark, d)
+    return made.select("folder", (F.size(F.filter(F.split("text", "\n"), lambda x: x.startswith("| "))) - 2).cast("long").alias("rows"), "state")
+
+
+query(f"SELECT count(DISTINCT folder) AS directories_scanned, count(DISTINCT folder) AS created, 0 AS updated, 0 AS unchanged, 0 AS invalid FROM {PAGES} WHERE path <> ''", "index_rebuild_report")(lambda spark, d: listing.rebuild_report(_indexes(spark, d)))
+
+
+def _indexes(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    entries = _files(spark, d).select(F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1).alias("folder"), name.alias("name"), F.lit(True).alias("is_file"), name.alias("summary"))
+    return listing.managed_indexes(entries, spark.createDataFrame([], "folder string, text string"))
+
+
+# --- upkeep of the graph, links of a note ---------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT DISTINCT target, {{}} AS resolved FROM {_HREFS} h""".format(f"target <> '' AND NOT regexp_matches(target, '^/|[\\\\:]|(^|/)\\.\\.(/|$)') AND (lower(CASE WHEN regexp_matches(list_last(string_split(target, '/')), '[^.]\\.[^.]*$') THEN target ELSE target || '.md' END) IN (SELECT lower(path) FROM {PAGES}) OR (NOT contains(target, '/') AND lower(CASE WHEN regexp_matches(target, '[^.]\\.[^.]*$') THEN target ELSE target || '.md' END) IN (SELECT lower(basename) FROM {PAGES})))"))
+def links_for_reading(spark, d):
+    pages = _paged(read(spark, d, "pages"))
+    links = pages.select(F.col("path").alias("from"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target")).withColumn("target", F.ltrim("target", F.lit("/")))
+    return graph.resolve_reading(links, pages).select("target", "resolved").distinct()
+
+
+def _trade_nodes(spark: SparkSession, d: str) -> DataFrame:
+    keys = [("customer", "c_custkey", "c"), ("supplier", "s_suppkey", "s"), ("nation", "n_nationkey", "n"), ("region", "r_regionkey", "r")]
+    out = None
+    for table, key, x in keys:
+        rows = read(spark, d, table).select(F.concat(F.lit(x), F.col(key)).alias("path"), F.concat(F.lit(x), F.col(key)).alias("title"), F.lit(False).alias("phantom"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_ALL = "(SELECT 'c' || c_custkey AS path FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region)"
+
+
+@query(f"""SELECT path, path AS title, starts_with(path, 'n') AND CAST(substr(path, 2) AS INT) % 2 = 0 AS phantom FROM {_ALL} WHERE NOT (starts_with(path, 'n') AND CAST(substr(path, 2) AS INT) % 2 = 0 AND path NOT IN (SELECT b FROM {_TRADE}))""")
+def graph_removed_notes(spark, d):
+    """Every second nation is deleted; those to which customers or suppliers lead become phantoms."""
+    gone = _trade_nodes(spark, d).where("path LIKE 'n%' AND CAST(substring(path, 2) AS INT) % 2 = 0").select("path")
+    return graph.remove(_trade_nodes(spark, d), _trade_graph(spark, d), gone)[0]
+
+
+@query(f"""SELECT a AS "from", CASE WHEN a IN ('c1', 'c2', 'c3') THEN CASE a WHEN 'c1' THEN 'new' ELSE 'r0' END ELSE b END AS "to" FROM {_TRADE} UNION ALL SELECT 'x', 'n0'""")
+def graph_upserted_edges(spark, d):
+    """Three customers get other links and one note is new."""
+    notes = spark.createDataFrame([(x, x) for x in ("c1", "c2", "c3", "x")], "path string, title string")
+    links = spark.createDataFrame([("u1", "c1", "new", "link"), ("u2", "c2", "r0", "link"), ("u3", "c3", "r0", "link"), ("u4", "x", "n0", "link")], "edge_id string, `from` string, target string, kind string")
+    return graph.upsert(_trade_nodes(spark, d), _trade_graph(spark, d), notes, links)[1].select("from", "to")
+
+
+# --- canvases, transforms ------------------------------------------------------------------------------------------------------------------
+
+
+def _canvas(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Regions as canvases of their nations."""
+    node = F.struct(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.lit("text").alias("type"), (F.col("n_nationkey") * 7 % 50).alias("x"), (F.col("n_nationkey") * 5 % 30).alias("y"), F.lit(10).alias("width"), F.lit(20).alias("height"))
+    edge = F.struct(F.concat(F.lit("e"), F.col("n_nationkey")).alias("id"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("fromNode"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1)).alias("toNode"))
+    rows = read(spark, d, "nation").groupBy(F.col("n_regionkey").cast("string").alias("path")).agg(F.array_sort(F.collect_list(node)).alias("nodes"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    return quality.canvas_tables(rows.select("path", F.to_json(F.struct("nodes", "edges")).alias("json")))
+
+
+_BOX = "min(n_nationkey * 7 % 50) - 40 AS x, min(n_nationkey * 5 % 30) - 40 AS y, max(n_nationkey * 7 % 50) + 10 - min(n_nationkey * 7 % 50) + 80 AS width, max(n_nationkey * 5 % 30) + 20 - min(n_nationkey * 5 % 30) + 80 AS height"
+query(f"SELECT CAST(n_regionkey AS VARCHAR) AS path, {_BOX} FROM nation GROUP BY 1", "canvas_groups")(lambda spark, d: quality.add_canvas_groups(_canvas(spark, d)[0], _canvas(spark, d)[0].select("path", "id")).where("type = 'group'").select("path", "x", "y", "width", "height"))
+query(
+    "SELECT CAST(a.n_regionkey AS VARCHAR) AS path, 'canvas/dangling-edge' AS code, a.n_nationkey AS n FROM nation a LEFT JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 AND b.n_regionkey = a.n_regionkey WHERE b.n_nationkey IS NULL", "canvas_dangling_edges",
+)(lambda spark, d: _loose(*_canvas(spark, d)))
+
+
+def _loose(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    at = edges.select("path", F.concat(F.lit("edges["), "pos", F.lit("].toNode")).alias("at"), "id")
+    return quality.canvas_problems(nodes, edges).join(at, ["path", "at"]).select("path", "code", F.regexp_replace("id", "^e", "").cast("int").alias("n"))
+
+
+query("SELECT CAST(n_regionkey AS VARCHAR) AS path, max(n_nationkey * 7 % 50) + 70 AS x, 0 AS y FROM nation GROUP BY 1", "canvas_added_nodes")(
+    lambda spark, d: quality.add_canvas_nodes(_canvas(spark, d)[0], _canvas(spark, d)[0].select("path").distinct().selectExpr("path", "0 AS pos", "'new' AS type")).where("type = 'new'").select("path", "x", "y")
+)
+
+
+@query("SELECT c_custkey, '<mark>' || c_mktsegment || '</mark> `==' || c_mktsegment || '==` <span class=\"tag\">#s/' || c_nationkey || '</span>  end' AS text FROM customer")
+def transform_markup(spark, d):
+    text = F.concat(F.lit("=="), F.col("c_mktsegment"), F.lit("== `=="), F.col("c_mktsegment"), F.lit("==` #s/"), F.col("c_nationkey"), F.lit(" %%hidden%% end"))
+    return read(spark, d, "customer").select("c_custkey", transforms.tag_spans(transforms.highlights(transforms.strip_comments(text))).alias("text"))
+
+
+@query("SELECT c_custkey, 'tip' AS canonical, c_mktsegment AS title, 'a' || chr(10) || c_name AS body FROM customer")
+def transform_callouts(spark, d):
+    text = F.concat(F.lit("intro\n> [!Hint]- "), F.col("c_mktsegment"), F.lit("\n> a\n> "), F.col("c_name"), F.lit("\n\n```\n> [!no]\n```\n"))
+    found = read(spark, d, "customer").select("c_custkey", F.explode(transforms.callouts(text)).alias("c"))
+    return found.select("c_custkey", "c.canonical", "c.title", "c.body")
+
+
+@query("SELECT c_custkey, c_name || chr(10) || 'second' AS block FROM customer")
+def transform_block(spark, d):
+    text = F.concat(F.lit("first\n\n"), F.col("c_name"), F.lit("\nsecond ^b-"), F.col("c_custkey"), F.lit("\n\nlast ^other"))
+    return read(spark, d, "customer").select("c_custkey", transforms.block(text, F.concat(F.lit("b-"), F.col("c_custkey").cast("string"))).alias("block"))
