@@ -45,8 +45,9 @@ def matches(path: Column, patterns: list[str]) -> Column:
 
 
 def search(files: DataFrame, pattern: str, exclude: list[str] | None = None, limit: int = 200) -> DataFrame:
-    """Paths that match, whatever their case, in order of lower(path), without excluded and hidden ones."""
-    keep = matches(F.col("path"), [pattern]) & ~matches(F.col("path"), [*HIDDEN, *(exclude or [])])
+    """Paths that match, whatever their case, in order of lower(path), without excluded and hidden ones; what names a folder excludes all below it."""
+    gone = [x for p in exclude or [] for x in (p, p.rstrip("/") + "/**")]
+    keep = matches(F.col("path"), [pattern]) & ~matches(F.col("path"), [*HIDDEN, *gone])
     return files.where(keep).orderBy(F.lower("path"), "path").limit(limit)
 
 

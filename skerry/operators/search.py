@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from skerry.errors import EngineError
 from skerry.functions import values as V
+from skerry.functions.transforms import FENCE
 
 K1, B = 1.2, 0.75
+LONG = 40
 BOOSTS = {"title": 2.0, "headings": 1.5, "body": 1.0}
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits, in order, of fewer than LONG bytes."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) < LONG))
 
 
 @dataclass
@@ -86,11 +88,14 @@ def has_tag(tags: Column, tag: str) -> Column:
 
 
 def field_equals(document: Column, key: str, value: object) -> Column:
-    """A frontmatter field equals a scalar."""
+    """A frontmatter field, or with a dotted key one inside another, equals a scalar or is an array with this string."""
     if value is None or isinstance(value, (list, dict)):
         raise EngineError("index/invalid-query", f"{key} must be compared with a scalar")
-    lanes = V.of_json(document, key)
-    inside = F.array_contains(lanes["arr"], str(value)) if isinstance(value, str) else F.lit(False)
+    *above, last = key.split(".")
+    for name in above:
+        document = V.of_json(document, name)["json"]
+    lanes = V.of_json(document, last)
+    inside = F.array_contains(lanes["strings"], value) if isinstance(value, str) else F.lit(False)
     return V.equals(lanes, value) | F.coalesce(inside, F.lit(False))
 
 
@@ -187,8 +192,25 @@ def search_index(spark: SparkSession, folder: str, key: str, query: str, k: int
 
 
 def snippet(text: Column, words: list[str], size: int = 240) -> Column:
-    """The passage of at most `size` characters around the first match, with the query's words marked; else the text's start."""
-    pattern = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}])"
-    at = F.regexp_instr(text, F.lit(pattern))
-    around = F.substring(text, F.greatest(at - size // 4, F.lit(1)), F.lit(size))
-    return F.when(at > 0, F.regexp_replace(around, pattern, "<b>$1</b>")).otherwise(F.substring(text, 1, 160))
+    """The fragment of at most `size` characters with most matches, the first of equals, marked and after the heading above it; without a match the first 160 characters."""
+    pattern = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}])"
+    lengths = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda between, match: F.struct(F.length(between).alias("skip"), F.length(match).alias("size")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,end:int>>").alias("out"))
+
+    def add(s: Column, x: Column) -> Column:
+        at, end = s["at"] + x["skip"], s["at"] + x["skip"] + x["size"]
+        return F.when(x["size"].isNull(), s).otherwise(F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("at"), end.alias("end")))).alias("out")))
+
+    def best(hits: Column) -> Column:
+        """Where the fragment begins: a quarter of its size before the hit after which most others fit."""
+        scored = F.transform(hits, lambda x: F.struct(F.size(F.filter(hits, lambda y: (y["at"] >= x["at"]) & (y["end"] <= x["at"] + size * 3 // 4))).alias("n"), (-x["at"]).alias("neg_at")))
+        return F.greatest(-F.array_max(scored)["neg_at"] - size // 4, F.lit(0))
+
+    def shown(at: Column) -> Column:
+        marked = F.regexp_replace(F.substring(text, at + 1, F.lit(size)), "(" + pattern + ")", "<b>$1</b>")
+        above = F.regexp_extract_all(F.regexp_replace(F.substring(text, F.lit(1), at + 1), FENCE, ""), F.lit(r"(?m)^[ \t]*#{1,6}[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$"), F.lit(1))
+        return F.concat(F.coalesce(F.concat(F.try_element_at(above, F.lit(-1)), F.lit(" › ")), F.lit("")), marked)
+
+    hits = F.aggregate(lengths, start, add, lambda s: s["out"])
+    found = F.transform(F.array(hits), lambda x: F.when(F.size(x) > 0, best(x)))[0]
+    return F.transform(F.array(found), lambda at: F.when(at.isNull(), F.substring(F.trim(text), 1, 160)).otherwise(shown(at)))[0]

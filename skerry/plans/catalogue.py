@@ -129,7 +129,7 @@ def base_groupby_more_summaries(spark, d):
 
 # --- text search -------------------------------------------------------------------------------------------------------
 
-WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '' AND strlen(t) < 40)"
 
 
 @query(f"SELECT doc_id, len({WORDS.format('text')}) AS n_tokens, len(list_distinct({WORDS.format('text')})) AS n_distinct FROM documents")
@@ -456,6 +456,17 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 _FILES = f"(SELECT DISTINCT path FROM {PAGES} WHERE path <> '')"
 _WAYS = f"(SELECT DISTINCT path, n, list_extract(string_split(path, '/'), n) AS name, n = len(string_split(path, '/')) AS is_file, array_to_string(list_slice(string_split(path, '/'), 1, n - 1), '/') AS parent FROM (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM {_FILES}))"
 query(f"SELECT DISTINCT name, is_file FROM {_WAYS} WHERE n = 1", "fs_list")(lambda spark, d: listing.listing(_files(spark, d)).select("name", "is_file"))
+query(
+    f"SELECT w.name, w.is_file, sum(s.size) AS size FROM (SELECT DISTINCT path, name, is_file FROM {_WAYS} WHERE n = 1) w JOIN (SELECT path, any_value(size) AS size FROM (SELECT path, strlen(html) AS size, row_number() OVER (PARTITION BY path) AS r FROM {PAGES}) GROUP BY path HAVING count(DISTINCT size) = 1) s USING (path) GROUP BY ALL", "fs_list_sizes",
+)(lambda spark, d: listing.listing(_sized_once(spark, d), by_size=True))
+
+
+def _sized_once(spark: SparkSession, d: str) -> DataFrame:
+    """Paths all whose pages have one size."""
+    rows = _paged(read(spark, d, "pages")).where("path <> ''").groupBy("path").agg(F.min(F.octet_length("html")).alias("size"), F.max(F.octet_length("html")).alias("_most"))
+    return rows.where("size = _most").drop("_most")
+
+
 query(f"SELECT DISTINCT CASE WHEN parent = '' THEN name ELSE parent || '/' || name END AS path, is_file, CAST(n AS INT) AS depth FROM {_WAYS} WHERE n <= 2", "fs_tree_depth")(lambda spark, d: listing.tree(_files(spark, d), 2))
 query(f"SELECT path FROM {_FILES} WHERE regexp_matches(path, '(?i)^(?:.*/)?[^/]*1[^/]*$') ORDER BY lower(path), path LIMIT 200", "fs_glob")(lambda spark, d: listing.search(_files(spark, d), "**/*1*").select("path"))
 query(
