@@ -45,3 +45,39 @@ def test_near_copies_of_five_word_shingles_go(spark):
     assert 100 * len(a & b) < 90 * len(a | b) and 100 * len(c & d) >= 80 * len(c | d)
     kept = corpus_pipeline.keep_one_of_similar(spark, h.table(spark, [" ".join(words), between, h.prose(2, 100)]), "")
     assert sorted(r["doc_id"] for r in h.rows(kept)) == [0, 2]
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    spark.createDataFrame([(1, h.prose(1, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = [" ".join([f"fine{i % 7}", f"good{i % 5}"] * 20) + " " + h.prose(100 + i, 60) for i in range(60)]
+    rows = [*((i, good[i] if i % 2 else "junk junk buy " * 20 + h.prose(300 + i, 9)) for i in range(60))]
+    # without an id, under one id, repeated rows, without a text
+    rows += [(None, good[1]), (None, good[50] + " more"), (7, good[52]), (7, good[52]), (7, good[7]), (None, None), (8, ""), (9, None)]
+    docs = h.table(spark, rows, more=h.CLASHING)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert now.columns == docs.columns
+        left = [(r["doc_id"], r["text"]) for r in h.rows(now)]
+        if name == "jaccard_join":
+            assert (1, good[1]) in left and (None, good[1]) not in left and left.count((7, good[52])) == 1 and left.count((7, good[7])) == 1 and (None, good[50] + " more") in left
+    encoded = h.rows(corpus_pipeline.encode(spark, now, str(tmp_path)))
+    assert len(encoded) == now.count() and {r["n_ids"] for r in encoded if not r["ids"]} <= {0}
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert corpus_pipeline.encode(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_results_outlive_the_stages_of_a_pipeline(spark):
+    """A lazy result of another query is still there after a stage has released its own tables."""
+    from skerry.llm import sharding
+
+    lazy = sharding.shard(h.table(spark, [h.prose(i, 9) for i in range(20)]), shards=4)
+    corpus_pipeline.keep_one_of_similar(spark, h.table(spark, ["a b c d e f", "x y z"]), "").count()
+    corpus_pipeline.cut_repeated_passages(spark, h.table(spark, ["a b c d e f", "x y z"]), "").count()
+    assert lazy.count() == 20
