@@ -1,8 +1,12 @@
 """A training-corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. A stage may delete the working
-tables of the stage before, as that one's result has been stored by then. All but the last return the columns of
-documents; the last returns the token ids of each text that is left.
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. A stage deletes the working tables
+of the stage before, as that one's result has been stored by then, and no others. All but the last return the columns of
+documents, also further ones that documents may have; the last returns the token ids of each text that is left.
+
+Defined results: an empty table stays one. Rows without an id, and different texts under one id, are rows of their own in
+every stage. A null or an empty text is scored like any other; if it is kept, it has no copies, repeats or leaks, and its
+ids are an empty list.
 """
 
 from __future__ import annotations
@@ -26,31 +30,35 @@ def _fresh(spark: SparkSession) -> Iterator[None]:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents that the quality classifier rejects go."""
+    """Operator 1: documents that the quality classifier rejects, by a score under 0.7, go. Without usable labels every score is 0.5, so all go."""
     with _fresh(spark):
         return quality_classifier.keep(docs, quality_classifier.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of documents that links join, the one with the smallest id stays. Sets of five-word shingles link at 0.8."""
+    """Operator 7: of rows that links join, the one with the smallest id stays, without ids that of the smallest hash of its text.
+
+    Sets of five-word shingles link at 0.8. Texts without a word are in no group and stay."""
     with _fresh(spark):
         return jaccard_join.keep_one(docs, jaccard_join.Settings(n=5, percent=80))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: passages of 50 words or more that stand in an earlier place are cut; texts left without a word go."""
+    """Operator 10: passages of 50 words or more that stand in an earlier place are cut; texts that this leaves without a word go.
+
+    Other texts, null and empty ones among them, stay as they are; n_chars is counted anew where a text has changed."""
     with _fresh(spark):
         return suffix_dedup.cut_repeats(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that hold a test item, also an edited one, go."""
+    """Operator 4: documents that hold a test item, also an edited one, go. With an empty benchmark all stay."""
     with _fresh(spark):
         return decontamination.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: every text becomes the ids of its subword pieces."""
+    """Operator 2: every text becomes the ids of its subword pieces, a null one an empty list."""
     with _fresh(spark):
         return sentencepiece_codec.encode(docs, sentencepiece_codec.default_model())
 
