@@ -43,6 +43,8 @@ from skerry.llm.workers import kept, tidy
 #: What a worker's cache of words may hold, in bytes, of which an entry takes so many besides its word and ids.
 CACHE_BYTES, ENTRY_BYTES = 96_000_000, 160
 READ_DOCS = 20_000
+#: Bytes of one part; and a size from which an estimate is none (some plans have no statistics).
+PART_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 60
 NULL_KEY = -(2**63)
 # The normaliser and the split into words, in the tokenizer's own form, under which a word's ids never depend on its neighbours.
 BY_WORDS = {
@@ -136,10 +138,17 @@ def vocabulary_size(tokenizer_json: str) -> int:
     return max(Tokenizer.from_str(tokenizer_json).get_vocab(with_added_tokens=True).values()) + 1
 
 
+def _parts(docs: DataFrame) -> int:
+    """Parts of some PART_BYTES of stored text, and as many as shuffles have at least; the planner's own estimate needs no pass."""
+    size = int(str(docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, size // PART_BYTES + 1) if size < UNKNOWN_BYTES else least
+
+
 def write(docs: DataFrame, folder: str, tokenizer_json: str, end_id: int = 1, parts: int | None = None) -> DataFrame:
     """Write the files of docs into folder, which tasks and driver share, and return the manifest."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or _parts(docs)
     words, job = spark.sparkContext.broadcast(tokenizer_json), new_id()
     wide = max(vocabulary_size(tokenizer_json), end_id + 1) > 2**16
     kind, width, suffix = ("I", 4, "u32") if wide else ("H", 2, "u16")
