@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm.common import table
-from skerry.llm.workers import tidy
+from skerry.llm.workers import free, tidy
 
 NGRAM_MIN, NGRAM_MAX = 3, 4
 #: Words kept in a worker's feature cache before it starts afresh.
 CACHE_WORDS = 400_000
+#: The same of the driver while it trains.
+TRAIN_WORDS = 20_000
 SAME = zlib.crc32(b"\x00 same word again")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -61,16 +63,19 @@ def _pairs(ids: np.ndarray, mask: int) -> np.ndarray:
 
 
 def document_features(text: bytes, mask: int, cache: dict[bytes, tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a document and how often each occurs."""
+    """Distinct buckets of a document and how often each occurs, in few bytes, as training holds all of its sample."""
     words = text.split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.empty(0, np.int32), np.empty(0, np.uint16)
+    if len(cache) > TRAIN_WORDS:
+        cache.clear()
     for w in set(words):
         if w not in cache:
-            cache[w] = (zlib.crc32(w), np.array(word_features(w, mask), np.int64))
+            cache[w] = (zlib.crc32(w), np.array(word_features(w, mask), np.int32))
     known = [cache[w] for w in words]
     ids = np.array([x[0] for x in known], np.uint64)
-    return np.unique(np.concatenate([*(x[1] for x in known), _pairs(ids, mask)]), return_counts=True)
+    buckets, counts = np.unique(np.concatenate([*(x[1] for x in known), _pairs(ids, mask).astype(np.int32)]), return_counts=True)
+    return buckets, counts.astype(np.uint16 if counts.max() < 2**16 else np.uint32)
 
 
 def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,13 +88,14 @@ def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarr
     out, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
     cache: dict = {}
     docs = [document_features(t, mask, cache) for t in texts]
+    cache.clear()
     steps, done = max(1, s.epochs * len(docs)), 0
     for _ in range(s.epochs):
         for i in rng.permutation(len(docs)):
             buckets, counts = docs[i]
             rate = s.rate * (1 - done / steps)
             done += 1
-            share = (counts / max(1, counts.sum())).astype(np.float32)
+            share = (counts / max(1, int(counts.sum()))).astype(np.float32)
             hidden = share @ vectors[buckets] if len(buckets) else np.zeros(s.dim, np.float32)
             error = softmax(out @ hidden + bias)
             error[labels[i]] -= 1
@@ -157,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     rows = labelled_sample(docs, labels, s).toPandas().sort_values(["doc_id", "text"]) if s.sample_rows else None
     if rows is None or not len(rows):
         return np.zeros(1 << s.bits, np.float32), 0.0
-    return folded(*train([(t or "").encode() for t in rows["text"]], rows["quality"].to_numpy(np.int64), s))
+    model = folded(*train([(t or "").encode() for t in rows["text"]], rows["quality"].to_numpy(np.int64), s))
+    free()  # the sample's features
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
