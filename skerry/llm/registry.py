@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from skerry.llm import decontamination, jaccard_join, license_scan, paragraph_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, suffix_dedup, token_files
+from skerry.llm import (
+    decontamination,
+    jaccard_join,
+    license_scan,
+    paragraph_dedup,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    sharding,
+    suffix_dedup,
+    token_alignment,
+    token_files,
+)
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_paragraph_dedup": paragraph_dedup.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_token_alignment": token_alignment.query,
 }
 
 ORACLES: dict[str, str] = {
