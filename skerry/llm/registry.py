@@ -11,6 +11,7 @@ from skerry.llm import (
     quality_rules,
     sentencepiece_codec,
     sharding,
+    spelling_variants,
     suffix_dedup,
     token_alignment,
     token_files,
@@ -28,9 +29,11 @@ QUERIES = {
     "op9_paragraph_dedup": paragraph_dedup.query,
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_token_alignment": token_alignment.query,
+    "op13_spelling_variants": spelling_variants.query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_sharding": sharding.oracle(),
     "op8_license_scan": license_scan.oracle(),
+    "op13_spelling_variants": spelling_variants.oracle(),
 }
