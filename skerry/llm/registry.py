@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skerry.llm import (
     decontamination,
+    edit_fingerprints,
     jaccard_join,
     license_scan,
     paragraph_dedup,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_paragraph_dedup": paragraph_dedup.query,
     "op10_suffix_dedup": suffix_dedup.query,
     "op11_token_alignment": token_alignment.query,
+    "op12_edit_fingerprints": edit_fingerprints.query,
     "op13_spelling_variants": spelling_variants.query,
 }
 
