@@ -11,7 +11,8 @@ from skerry.errors import EngineError
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 _TAG = re.compile(r"(?:(?<=\s)|^)#([\w/-]+)")
-_CODE = re.compile(r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)")
+#: Code in a line: from a run of ticks to the next run of as many, or, where none follows, to the line's end.
+_CODE = re.compile(r"(?P<ticks>`+)(?!`)(?:[^\n]*?(?<!`)(?P=ticks)(?!`)|[^\n]*)")
 
 
 def _loader():
@@ -91,7 +92,7 @@ def tags(head: dict, body: str) -> list[str]:
     own = given if isinstance(given, list) else [given] if isinstance(given, str) else []
     found = [str(t).strip().lstrip("#") for t in own if isinstance(t, str)]
     for line in _prose(body):
-        found += _TAG.findall(_CODE.sub("", line))
+        found += _TAG.findall(_CODE.sub("`", line))
     return list(dict.fromkeys(t for t in found if valid_tag(t)))
 
 
@@ -138,32 +139,23 @@ class Link:
     pos: int
 
 
+#: What stands in prose besides letters, in the order in which one hides the others: code, a comment up to its second mark
+#: (whose code may hold marks of its own), a character after a backslash, a link, and the beginning of an unclosed one.
+_MARKUP = re.compile(rf"""(?x)
+    {_CODE.pattern}
+  | %%(?:{_CODE.pattern.replace("ticks", "inner")}|[^%`]|%(?!%))*(?:%%|\Z)
+  | \\[^\n]?
+  | (?P<embed>!?)\[\[(?P<link>[^\n]*?)\]\]
+  | (?P<open>!?\[\[)
+""")
+
+
 def links(text: str) -> list[Link]:
     """Every [[target#heading|display]] and ![[embed]] outside code and %% comments; an unclosed or empty one is an error."""
-    out, fenced, comment, offset = [], False, False, 0
-    for line in text.split("\n"):
-        if _FENCE.match(line):
-            fenced = not fenced
-        elif not fenced:
-            plain = _CODE.sub(lambda m: " " * len(m[0]), line)
-            at = 0
-            while at < len(plain):
-                if plain.startswith("%%", at):
-                    comment, at = not comment, at + 2
-                elif comment:
-                    at += 1
-                elif plain[at] == "\\":
-                    at += 2
-                elif plain.startswith("[[", at):
-                    end = plain.find("]]", at + 2)
-                    if end < 0:
-                        raise EngineError("format/markdown", "a link isn't closed")
-                    out.append(_link(plain[at + 2 : end], at > 0 and plain[at - 1] == "!", offset + at))
-                    at = end + 2
-                else:
-                    at += 1
-        offset += len(line) + 1
-    return out
+    found = list(_MARKUP.finditer(masked(text)))
+    if any(m["open"] for m in found):
+        raise EngineError("format/markdown", "a link isn't closed")
+    return [_link(m["link"], m["embed"] == "!", m.end("embed")) for m in found if m["link"] is not None]
 
 
 def _link(inner: str, embed: bool, pos: int) -> Link:

@@ -127,6 +127,12 @@ def test_markdown():
     assert markdown.headings(body) == ["First #", "Second"] and markdown.title(head, [], "p.md") == "My Note"
     found = markdown.links(body)
     assert [(x.target, x.heading, x.block, x.display, x.embed) for x in found] == [("Other", "Head", None, "shown", False), ("pic.png", None, None, None, True), ("", None, "block", None, False)]
+    targets = lambda text: [(x.target, x.embed, x.pos) for x in markdown.links(text)]
+    assert targets("a ` [[x]]\n[[y]]") == [("y", False, 10)] and targets("a ` [[x") == [] and targets("``a ` [[x]]`` ![[y]]") == [("y", True, 15)]
+    assert targets("[[a`b]] `[[c]]` [[d]]") == [("a`b", False, 0), ("d", False, 16)] and targets("\\[[no]] \\![[yes]] \\` [[z]]") == [("yes", False, 10), ("z", False, 21)]
+    assert targets("%% [[no]] \n [[no %% [[yes]] %%`%%` [[no") == [("yes", False, 20)] and targets("%% ` %%\n[[no]] %% [[yes]]") == [("yes", False, 18)]
+    assert targets("```\n[[no]] %%\n```\n[[a]]\n~~~\n[[open") == [("a", False, 18)]
+    assert markdown.tags({}, "a ` #no\n#yes `x`#no `#no` #too") == ["yes", "too"]
     assert code(markdown.links, "[[open") == code(markdown.links, "[[ ]]") == "format/markdown"
     assert code(markdown.frontmatter, "---\na: 1") == code(markdown.frontmatter, "---\n[\n---\n") == code(markdown.frontmatter, "---\n- a\n---\n") == "format/frontmatter"
     assert markdown.merge_frontmatter({"a": 1, "b": {"c": 1, "d": 2}}, {"a": None, "b": {"c": None}, "e": [1]}, "now") == {"b": {"d": 2}, "e": [1], "updated": "now"}
