@@ -1,9 +1,8 @@
-"""Ranked text search with BM25 over the fields of a table, by a scan or by a stored index.
+"""Ranked text search with BM25 over the fields of a table, by a scan; text_index has the stored index.
 
 search() makes two scans and needs no index: the first one gathers the statistics of the query's terms (one row), the
 second scores and keeps the top k. Only term counts of the query are computed, inside the row, so nothing is shuffled but
-the k best of each task. For many queries build() stores postings, dealt out by a hash of their term, with each row's
-field lengths; search_index() reads the files of the query's terms alone, and refresh() brings an index up to date.
+the k best of each task.
 """
 
 from __future__ import annotations
@@ -106,18 +105,18 @@ def search(df: DataFrame, key: str, query: str, k: int = 20, boosts: dict[str, f
     boosts = boosts or {c: w for c, w in BOOSTS.items() if c in df.columns}
     q = parse(query, list(boosts))
     split = df.select("*", *(tokens(F.col(f)).alias(f"_t_{f}") for f in boosts))
-    counted, used = [F.size(f"_t_{f}").alias(f"_n_{f}") for f in boosts], _used(q, boosts)
-    counted += [frequency(F.col(f"_t_{f}"), clause).alias(f"_tf_{i}_{f}") for i, f, clause in used]
+    counted, used_ = [F.size(f"_t_{f}").alias(f"_n_{f}") for f in boosts], used(q, boosts)
+    counted += [frequency(F.col(f"_t_{f}"), clause).alias(f"_tf_{i}_{f}") for i, f, clause in used_]
     rows = split.select(*df.columns, *counted)
-    stats = rows.agg(F.count("*").alias("_rows"), *(F.avg(f"_n_{f}").alias(f"_avg_{f}") for f in boosts), *(F.count_if(F.col(f"_tf_{i}_{f}") > 0).alias(f"_df_{i}_{f}") for i, f, _ in used))
-    return _best(rows if where is None else rows.where(where), stats, q, used, boosts, df.columns, key, k)
+    stats = rows.agg(F.count("*").alias("_rows"), *(F.avg(f"_n_{f}").alias(f"_avg_{f}") for f in boosts), *(F.count_if(F.col(f"_tf_{i}_{f}") > 0).alias(f"_df_{i}_{f}") for i, f, _ in used_))
+    return best(rows if where is None else rows.where(where), stats, q, used_, boosts, df.columns, key, k)
 
 
-def _used(q: Query, boosts: dict[str, float]) -> list[tuple[int, str, Clause]]:
+def used(q: Query, boosts: dict[str, float]) -> list[tuple[int, str, Clause]]:
     return [(i, f, clause) for i, clause in enumerate(q.clauses) for f in (boosts if clause.field is None else [clause.field])]
 
 
-def _best(rows: DataFrame, stats: DataFrame, q: Query, used: list, boosts: dict[str, float], columns: list[str], key: str, k: int) -> DataFrame:
+def best(rows: DataFrame, stats: DataFrame, q: Query, used: list, boosts: dict[str, float], columns: list[str], key: str, k: int) -> DataFrame:
     """The k best of rows, which have _n_<field> and _tf_<clause>_<field>, by one row of statistics."""
     scored = rows.crossJoin(F.broadcast(stats))
     score, found = F.lit(0.0), {i: F.lit(False) for i in range(len(q.clauses))}
@@ -134,63 +133,6 @@ def _best(rows: DataFrame, stats: DataFrame, q: Query, used: list, boosts: dict[
     return scored.where(keep).select(*columns, score.alias("score")).orderBy(F.desc("score"), key).limit(max(k, 1))
 
 
-def _less(places: Column, n: int) -> Column:
-    return F.transform(places, lambda x: x - n)
-
-
-def postings(df: DataFrame, key: str, stamp: Column, fields: list[str], buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(key, field, term, at, bucket) of every term of every field, with its places, and (key, stamp, n_<field>) of every row."""
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in fields))
-    words = df.select(key, F.explode(parts).alias("p")).select(key, "p.field", F.posexplode("p.words").alias("at", "term"))
-    terms = words.groupBy(key, "field", "term").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    lengths = df.select(key, stamp.alias("stamp"), *(F.size(tokens(F.col(f))).alias(f"n_{f}") for f in fields))
-    return terms.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), lengths
-
-
-def build(df: DataFrame, folder: str, key: str, stamp: Column, fields: list[str], buckets: int = 64) -> None:
-    """Store an index of df in a new folder: postings a folder for each bucket of terms, and the rows' lengths and stamps."""
-    terms, lengths = postings(df, key, stamp, fields, buckets)
-    terms.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    lengths.write.parquet(f"{folder}/rows")
-
-
-def refresh(df: DataFrame, old: str, new: str, key: str, stamp: Column, fields: list[str], buckets: int = 64) -> None:
-    """Store the index of df in a new folder, reading again only rows that are new or have another stamp than in the old one."""
-    spark, now = df.sparkSession, df.withColumn("_stamp", stamp)
-    stored, terms = spark.read.parquet(f"{old}/rows"), spark.read.parquet(f"{old}/postings")
-    kept = stored.join(now.select(key, F.col("_stamp").alias("stamp")), [key, "stamp"], "left_semi")
-    changed = now.join(kept.select(key), key, "left_anti")
-    more, lengths = postings(changed, key, F.col("_stamp"), fields, buckets)
-    whole = terms.join(kept.select(key), key, "left_semi").select(more.columns).unionByName(more)
-    whole.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{new}/postings")
-    kept.select(lengths.columns).unionByName(lengths).write.parquet(f"{new}/rows")
-
-
-def search_index(spark: SparkSession, folder: str, key: str, query: str, k: int = 20, boosts: dict[str, float] | None = None, buckets: int = 64) -> DataFrame:
-    """The k best rows of an index: key and score. Only the buckets of the query's words are read, and of them only these words."""
-    boosts = boosts or BOOSTS
-    q = parse(query, list(boosts))
-    words = sorted({w for c in q.clauses for w in c.words})
-    wanted = spark.createDataFrame([(w,) for w in words], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).collect()  # as many as the query has words
-    found = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin([r.bucket for r in wanted]) & F.col("term").isin(words))
-    lengths = spark.read.parquet(f"{folder}/rows")
-    used = _used(q, boosts)
-    at = found.groupBy(key).agg(*(F.max(F.when((F.col("field") == f) & (F.col("term") == w), F.col("at"))).alias(f"_at_{f}_{n}") for f in boosts for n, w in enumerate(words)))
-
-    def places(clause: Clause, f: str) -> Column:
-        """Places where the clause's words stand in a row."""
-        first, *rest = (F.coalesce(F.col(f"_at_{f}_{words.index(w)}"), F.array().cast("array<int>")) for w in clause.words)
-        for n, other in enumerate(rest, 1):
-            first = F.array_intersect(first, _less(other, n))
-        return first
-
-    rows = at.select(key, *(F.size(places(clause, f)).alias(f"_tf_{i}_{f}") for i, f, clause in used))
-    counts = rows.agg(*(F.count_if(F.col(f"_tf_{i}_{f}") > 0).alias(f"_df_{i}_{f}") for i, f, _ in used))
-    stats = lengths.agg(F.count("*").alias("_rows"), *(F.avg(f"n_{f}").alias(f"_avg_{f}") for f in boosts)).crossJoin(counts)  # one row each
-    rows = rows.join(lengths.select(key, *(F.col(f"n_{f}").alias(f"_n_{f}") for f in boosts)), key)
-    return _best(rows, stats, q, used, boosts, [key], key, k)
-
-
 def snippet(text: Column, words: list[str], size: int = 240) -> Column:
     """The fragment of at most `size` characters with most matches, the first of equals, marked and after the heading above it; without a match the first 160 characters."""
     pattern = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}])"

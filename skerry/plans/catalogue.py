@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skerry import store
 from skerry.functions import astro, transforms, values
 from skerry.operators import chunks, files, graph, listing, quality, render, search, semantic, sync, vectors
+from skerry.operators.text_index import TextIndex
 from skerry.plans import base_query as bq
 from skerry.streaming import events as ev
 
@@ -198,23 +199,59 @@ def text_tag_hierarchy(spark, d):
     return tagged.where(search.has_tag(F.col("tags"), "brand#1") | search.has_tag(F.col("tags"), "brand#13/small")).select("p_partkey")
 
 
+def _indexed(spark: SparkSession, rows: DataFrame) -> TextIndex:
+    """A new index of doc_id and text, with the checksum of a text as its stamp."""
+    index = TextIndex(spark, store.new_path(spark, "index"), "doc_id", ["text"])
+    index.upsert(rows, _stamp())
+    return index
+
+
+def _stamp() -> Column:
+    return F.crc32(F.col("text").cast("binary")).cast("string")
+
+
+_LATER = """(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'onen onen' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+def _later(docs: DataFrame) -> DataFrame:
+    """Documents after a fifth of them went and a seventh of the texts changed."""
+    return docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, "onen onen").otherwise(F.col("text"))).select("doc_id", "text")
+
+
 @query(_bm25_sql("documents", "doc_id", {"text": 1.0}, ["onen", "thre"], 20))
 def text_stored_index(spark, d):
-    """The same as a scan, from postings that are stored once."""
-    folder = store.new_path(spark, "index")
-    search.build(read(spark, d, "documents"), folder, "doc_id", F.crc32(F.col("text").cast("binary")).cast("string"), ["text"])
-    return _hits(search.search_index(spark, folder, "doc_id", "onen thre", 20, {"text": 1.0}), "doc_id")
+    """The same as a scan, from postings that are stored once; of these only levels that can hold a hit are read."""
+    return _hits(_indexed(spark, read(spark, d, "documents")).query("onen thre", 20, {"text": 1.0}), "doc_id")
 
 
-@query(_bm25_sql("(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'onen onen' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)", "doc_id", {"text": 1.0}, ["onen"], 20))
+@query(_bm25_sql(_LATER, "doc_id", {"text": 1.0}, ["onen"], 20))
 def text_refreshed_index(spark, d):
-    """An index brought up to date after rows went and texts changed."""
-    docs, old, new = read(spark, d, "documents").select("doc_id", "text"), store.new_path(spark, "index"), store.new_path(spark, "index")
-    now = docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, "onen onen").otherwise(F.col("text")))
-    stamp = F.crc32(F.col("text").cast("binary")).cast("string")
-    search.build(docs, old, "doc_id", stamp, ["text"])
-    search.refresh(now, old, new, "doc_id", stamp, ["text"])
-    return _hits(search.search_index(spark, new, "doc_id", "onen", 20, {"text": 1.0}), "doc_id")
+    """An index brought up to date after rows went and texts changed: a segment each for what changed and what went."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    index = _indexed(spark, docs)
+    index.refresh(_later(docs), _stamp())
+    return _hits(index.query("onen", 20, {"text": 1.0}), "doc_id")
+
+
+@query(_bm25_sql(_LATER, "doc_id", {"text": 1.0}, ["onen", "eaux"], 20))
+def text_upserted_segments(spark, d):
+    """Texts replaced by key in three updates, rows removed, and the later segments joined into one."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    index, now = _indexed(spark, docs.where("doc_id % 3 <> 0")), _later(docs)
+    index.upsert(docs.where("doc_id % 3 = 0"), _stamp())
+    index.upsert(now.where("doc_id % 7 = 0"), _stamp())
+    index.remove(docs.where("doc_id % 5 = 0").select("doc_id"))
+    index.compact(keep=1)
+    return _hits(index.query("onen eaux", 20, {"text": 1.0}), "doc_id")
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({WORDS.format('text')}) AS term FROM {_LATER}) GROUP BY term")
+def text_index_dictionary(spark, d):
+    """How many live rows have each term, from the dictionaries of all segments."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    index = _indexed(spark, docs)
+    index.refresh(_later(docs), _stamp())
+    return index.dictionary().select("term", "df")
 
 
 # --- documents -----------------------------------------------------------------------------------------------------------

@@ -35,3 +35,10 @@ def added(df: DataFrame, path: str) -> DataFrame:
 def remove(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder has, sorted; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in files.listStatus(folder)) if files.exists(folder) else []
