@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import table
+from skerry.llm.common import materialize, table
 from skerry.llm.workers import free, tidy
 
 NGRAM_MIN, NGRAM_MAX = 3, 4
 #: Words kept in a worker's feature cache before it starts afresh.
 CACHE_WORDS = 400_000
-#: The same of the driver while it trains.
+#: The same while the sample's features are made.
 TRAIN_WORDS = 20_000
 SAME = zlib.crc32(b"\x00 same word again")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -35,9 +35,10 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows bounds the labelled documents that training reads; everything else scores all rows."""
+    """sample_rows and sample_bytes (of features) bound what training reads of the labelled documents; everything else scores all rows."""
 
     sample_rows: int = 4000
+    sample_bytes: int = 64 << 20
     bits: int = 18
     dim: int = 8
     epochs: int = 5
@@ -83,12 +84,15 @@ def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarr
 
     A document's gradient of a vector is its bucket's share of the document's features times that of the average. The step
     along it is normalised by the sum of squared shares, so that one step moves the average alike for short and long texts."""
-    mask, rng = (1 << s.bits) - 1, np.random.default_rng(s.seed)
+    cache: dict = {}
+    return descend([document_features(t, (1 << s.bits) - 1, cache) for t in texts], labels, s)
+
+
+def descend(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """train() for documents given as their distinct buckets and counts."""
+    rng = np.random.default_rng(s.seed)
     vectors = (rng.random((1 << s.bits, s.dim), np.float32) - 0.5) / s.dim
     out, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
-    cache: dict = {}
-    docs = [document_features(t, mask, cache) for t in texts]
-    cache.clear()
     steps, done = max(1, s.epochs * len(docs)), 0
     for _ in range(s.epochs):
         for i in rng.permutation(len(docs)):
@@ -107,6 +111,10 @@ def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarr
     return vectors, out, bias
 
 
+def _small(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint16) if not len(counts) or counts.max() < 2**16 else counts
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max())
     return p / p.sum()
@@ -147,11 +155,23 @@ def score_text(text: bytes, known: _Scores, bias: float) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """At most s.sample_rows labelled rows outside the held-out fold, chosen by a hash of the id, with their whole texts."""
+    """(doc_id, text_hash, quality, buckets, counts) of at most s.sample_rows labelled rows outside the held-out fold, chosen by a hash of the id.
+
+    Tasks make the features of whole texts, so that no text leaves them; stored, as the driver asks for sizes first."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        for b in batches:
+            found = [document_features(t or b"", (1 << s.bits) - 1, cache) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            parts = [pa.array([x.tobytes() for x in part], pa.binary()) for part in ([f[0].astype(np.int32) for f in found], [f[1].astype(np.uint32) for f in found])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("quality"), *parts], ["doc_id", "text_hash", "quality", "buckets", "counts"])
+
     # broadcast is bounded by sample_rows; repeated ids in docs are cut back to that bound as well
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(s.sample_rows)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text_hash", "quality", "text")
+    made = rows.mapInArrow(tidy(run), "doc_id long, text_hash long, quality int, buckets binary, counts binary")
+    return materialize(made.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(s.sample_rows), "sample")
 
 
 def held_out():
@@ -160,10 +180,20 @@ def held_out():
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> tuple[np.ndarray, float]:
     s = settings or Settings()
-    rows = labelled_sample(docs, labels, s).toPandas().sort_values(["doc_id", "text"]) if s.sample_rows else None
-    if rows is None or not len(rows):
+    if not s.sample_rows:
+        return np.zeros(1 << s.bits, np.float32), 0.0
+    sample = labelled_sample(docs, labels, s).withColumn("place", F.xxhash64("doc_id"))
+    sizes = sample.select("place", "doc_id", "text_hash", (F.length("buckets") + F.length("counts")).alias("size")).toPandas().sort_values(["place", "doc_id", "text_hash"])  # at most sample_rows
+    sizes = sizes[sizes["size"].cumsum() <= s.sample_bytes]
+    if not len(sizes):
         return np.zeros(1 << s.bits, np.float32), 0.0
-    model = folded(*train([(t or "").encode() for t in rows["text"]], rows["quality"].to_numpy(np.int64), s))
+    last = tuple(int(sizes.iloc[-1][c]) for c in ("place", "doc_id", "text_hash"))
+    within = F.struct("place", "doc_id", "text_hash") <= F.struct(*(F.lit(x).cast("long").alias(c) for x, c in zip(last, ("place", "doc_id", "text_hash"), strict=True)))
+    rows = sample.where(within).select("doc_id", "text_hash", "quality", "buckets", "counts").toPandas().sort_values(["doc_id", "text_hash"])
+    features = [(np.frombuffer(b, np.int32), _small(np.frombuffer(c, np.uint32))) for b, c in zip(rows["buckets"], rows["counts"], strict=True)]
+    labels_ = rows["quality"].to_numpy(np.int64)
+    del rows
+    model = folded(*descend(features, labels_, s))
     free()  # the sample's features
     return model
 

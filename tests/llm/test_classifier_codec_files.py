@@ -224,3 +224,18 @@ def test_word_caches_are_bounded(monkeypatch):
     for word in text.split():
         closed[word]
     assert len(closed) <= 50
+
+
+def test_training_reads_features_up_to_a_bound_of_bytes(spark):
+    docs = h.table(spark, [h.prose(k, 50) for k in range(40)] + [h.prose(99, 60_000)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(41)], "doc_id long, quality int, toxic int")
+    s = quality_classifier.Settings()
+    sample = quality_classifier.labelled_sample(docs, labels, s).collect()
+    assert 20 < len(sample) < 41 and all(len(r["buckets"]) == len(r["counts"]) for r in sample)
+    assert not any(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in sample)
+    for r in sample[:5]:
+        buckets, counts = quality_classifier.document_features(h.prose(r["doc_id"], 50).encode(), (1 << s.bits) - 1, {}) if r["doc_id"] < 40 else (np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["counts"], np.uint32))
+        assert np.array_equal(buckets, np.frombuffer(r["buckets"], np.int32)) and np.array_equal(counts, np.frombuffer(r["counts"], np.uint32))
+    few = quality_classifier.fit(docs, labels, quality_classifier.Settings(sample_bytes=40_000))
+    none = quality_classifier.fit(docs, labels, quality_classifier.Settings(sample_bytes=10))
+    assert few[0].any() and not none[0].any() and not np.array_equal(few[0], quality_classifier.fit(docs, labels)[0])
