@@ -41,7 +41,7 @@ from skerry.llm.common import materialize, new_id, scratch_path, table
 from skerry.llm.workers import kept, tidy
 
 #: What a worker's cache of words may hold, in bytes, of which an entry takes so many besides its word and ids.
-CACHE_BYTES, ENTRY_BYTES = 96_000_000, 160
+CACHE_BYTES, ENTRY_BYTES = 160_000_000, 160
 READ_DOCS = 20_000
 #: Bytes of one part; and a size from which an estimate is none (some plans have no statistics).
 PART_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 60
