@@ -12,9 +12,9 @@ Likeness is the share of equal samples, less what unlike characters agree on by
 Banding hashes a few sampled places into each band. near_documents() compares only texts that share a band, and verifies
 them by all their samples; groups of any size are compared in blocks of bounded size.
 
-Texts are walked once, in the task that reads them in the order of their ids: a fingerprint needs no other state than the place
-and the samples so far, so an edited text goes on from where the walk of its beginning stood. The first and last row of
-every part of the order are finished in a second, small step.
+Texts are walked once, in the task that reads them in the order of their ids, many side by side; the walk over an edited
+text goes on from where that over its beginning stood. The first and last row of every part of the order are finished in a
+second, small step.
 
 Defined results: a null text is an empty one, whose fingerprint has no samples; two texts without samples are alike (1),
 one without is unlike any other (0). Rows are documents of their own, those of one id in the order of their text's hash
@@ -42,10 +42,15 @@ from skerry.llm.components import connected_components
 from skerry.llm.hashing import mix
 from skerry.llm.workers import tidy
 
-#: Places after which the drawn bits repeat; kinds of characters that are told apart; values of a sample.
-PERIOD, KINDS, VALUES = 1 << 12, 256, 16
-#: What stands for places after the end; characters walked at once.
-NONE, CHUNK = 255, 1 << 20
+#: Places after which the drawn bits repeat; kinds of characters that walks tell apart; values of a sample.
+PERIOD, KINDS, VALUES = 1 << 10, 16, 16
+#: Characters that a walk takes in one step, and the longest stay at one.
+STRIDE, STAY = 3, 80
+#: Documents whose walks go side by side have so many characters in all; where at most FEW are left, each goes on alone.
+TOGETHER, FEW = 4_000_000, 48
+#: What stands for places after the end.
+NONE = 255
+_DIGIT = np.frombuffer(b"0123456789abcdef", np.uint8)
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_bands int, next_bands int"
 #: How a row leaves the ordered pass: finished; the last of its part, without a next; a copy of the first of its part.
 DONE, LAST, FIRST = 0, 1, 2
@@ -82,12 +87,55 @@ def _chosen_half(level: int, block: np.ndarray) -> np.ndarray:
     return (mix(mix(block.astype(np.uint64) + np.uint64(1)) ^ np.uint64(level)) & np.uint64(1)).astype(np.int64)
 
 
-def codes(text: str) -> bytes:
-    """The kind of each character: those below 256 for themselves, the rest by a hash."""
+@functools.cache
+def _chosen_of_two(level: int, n: int) -> np.ndarray:
+    """For the first n blocks of a level, the number of the half whose place it keeps."""
+    block = np.arange(n)
+    return 2 * block + _chosen_half(level, block)
+
+
+def codes(text: str) -> np.ndarray:
+    """The kind of each character, by a hash of its number."""
     point = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    if text.isascii():
-        return point.astype(np.uint8).tobytes()
-    return np.where(point < KINDS, point, mix(point.astype(np.uint64)) % np.uint64(KINDS)).astype(np.uint8).tobytes()
+    return _KIND[point] if text.isascii() else np.where(point < len(_KIND), _KIND[np.minimum(point, len(_KIND) - 1)], (mix(point.astype(np.uint64)) % np.uint64(KINDS)).astype(np.uint8))
+
+
+_KIND = (mix(np.arange(256, dtype=np.uint64)) % np.uint64(KINDS)).astype(np.uint8)
+
+
+@dataclass
+class Trail:
+    """Where walk w was before every stride of a text, and after the last whole one."""
+
+    walker: Walker
+    w: int
+    kinds: np.ndarray
+    at: np.ndarray
+
+    def place(self, n: int) -> int:
+        """Where it is after n characters."""
+        stay, now = self.walker.stay[self.w], int(self.at[n // STRIDE])
+        for kind in self.kinds[n - n % STRIDE : n].tolist():
+            now += int(stay[kind, now & (PERIOD - 1)])
+        return now
+
+    def samples(self, level: int, n: int | None = None) -> np.ndarray:
+        """The samples of its first n characters, all if None is given."""
+        n = len(self.kinds) if n is None else n
+        start, end, stay = int(self.at[0]), self.place(n), self.walker.stay[self.w]
+        first, last = start >> level, (end >> level) + 1
+        kept = _kept_places(level, 1 << last.bit_length())[first:last]
+        kept = kept[(kept >= start) & (kept < end)]
+        # the stride that holds each place, and within it the character
+        stride = np.searchsorted(self.at, kept, "right") - 1
+        here, index = self.at[stride], stride * STRIDE
+        kind = self.kinds[index]
+        for _ in range(STRIDE - 1):
+            further = here + stay[kind, here & (PERIOD - 1)]
+            on = kept >= further
+            here, index = np.where(on, further, here), index + on
+            kind = self.kinds[index]
+        return self.walker.value[self.w, kind, kept & (PERIOD - 1)]
 
 
 @dataclass(frozen=True)
@@ -97,15 +145,14 @@ class Fingerprint:
 
     def text(self) -> str:
         """Level and length of a walk's samples, then the samples, each a hexadecimal digit."""
-        return ".".join([f"{self.level:x}", *("".join(["0123456789abcdef"[v] for v in x.tolist()]) for x in self.samples)])
+        return ".".join([f"{self.level:x}", *(_DIGIT[x].tobytes().decode() for x in self.samples)])
 
     def at_level(self, level: int) -> list[np.ndarray]:
         out = list(self.samples)
         for x in range(self.level + 1, level + 1):
             for w, own in enumerate(out):
                 own = np.append(own, np.uint8(NONE))
-                block = np.arange(len(own) // 2)
-                out[w] = own[2 * block + _chosen_half(x, block)]
+                out[w] = own[_chosen_of_two(x, 1 << len(own).bit_length())[: len(own) // 2]]
         return out
 
 
@@ -117,10 +164,23 @@ class Walker:
         bit = (_drawn(s.walks * KINDS * PERIOD, s.seed) & np.uint64(1)).reshape(s.walks, KINDS, PERIOD).astype(bool)
         stay, now = np.zeros(bit.shape, np.uint8), np.ones(bit.shape[:2], np.int64)
         for p in range(2 * PERIOD - 1, -1, -1):  # round twice, as the first round begins at an open end
-            now = np.where(bit[:, :, p % PERIOD], 1, np.minimum(now + 1, 255))
+            now = np.where(bit[:, :, p % PERIOD], 1, np.minimum(now + 1, STAY))
             stay[:, :, p % PERIOD] = now
-        self.stay = [[row.tobytes() for row in walk] for walk in stay]
+        self.stay = stay
+        self.strides = np.stack([self._strides(walk) for walk in stay])
         self.value = (_drawn(bit.size, s.seed + 1) % np.uint64(VALUES)).astype(np.uint8).reshape(bit.shape)
+        self.pick = (_drawn(s.bands * s.width, s.seed + 2) % np.uint64(s.samples * s.walks)).astype(np.int64).reshape(s.bands, s.width)
+        self.drawn = _drawn(256, s.seed + 4)  # of a sample in a band
+        self.factor = _drawn(s.bands * s.width, s.seed + 3).reshape(s.bands, s.width) | np.uint64(1)
+
+    @staticmethod
+    def _strides(stay: np.ndarray) -> np.ndarray:
+        """For each STRIDE kinds in a row and each place: how far the walk goes over them."""
+        places, total = np.arange(PERIOD), np.zeros((1, PERIOD), np.int64)
+        for _ in range(STRIDE):
+            more = stay[:, (places + total) & (PERIOD - 1)]  # kind, kinds before, place
+            total = (total[:, None, :] + np.moveaxis(more, 0, 1)).reshape(-1, PERIOD)
+        return total.astype(np.uint8)
 
     def level(self, n: int) -> int:
         """Texts of n characters fill some 2 n places."""
@@ -129,47 +189,49 @@ class Walker:
             level += 1
         return level
 
-    def walk(self, w: int, text: bytes, level: int, place: int) -> tuple[int, np.ndarray]:
-        """Walk w over characters from a place on; the place after them, and the samples between."""
-        stay, out = self.stay[w], []
-        step = lambda at, c: at + stay[c][at & (PERIOD - 1)]
-        for i in range(0, len(text), CHUNK):
-            part = text[i : i + CHUNK]
-            at = np.fromiter(accumulate(part, step, initial=place), np.int64, len(part) + 1)
-            blocks_ = np.arange(place >> level, (int(at[-1]) >> level) + 1)
-            kept = _kept_places(level, 1 << int(blocks_[-1] + 1).bit_length())[blocks_]
-            kept = kept[(kept >= place) & (kept < at[-1])]
-            kind = np.frombuffer(part, np.uint8)[np.searchsorted(at, kept, "right") - 1]
-            out.append(self.value[w, kind, kept & (PERIOD - 1)])
-            place = int(at[-1])
-        return place, np.concatenate(out) if out else np.empty(0, np.uint8)
-
-    def go_on(self, begun: list[tuple[int, np.ndarray]], text: bytes, level: int) -> list[tuple[int, np.ndarray]]:
-        """All walks from where they stand, over more characters."""
-        further = [self.walk(w, text, level, place) for w, (place, _) in enumerate(begun)]
-        return [(place, np.concatenate([before, new])) for (_, before), (place, new) in zip(begun, further, strict=True)]
-
-    def begin(self, text: bytes, level: int) -> list[tuple[int, np.ndarray]]:
-        return self.go_on([(0, np.empty(0, np.uint8))] * self.s.walks, text, level)
+    def walk(self, kinds: list[np.ndarray], walks: np.ndarray, places: np.ndarray) -> list[Trail]:
+        """Walks over texts from given places on, side by side: one step takes a stride of every text that is left."""
+        n = np.array([len(x) // STRIDE for x in kinds], np.int64)
+        taken = np.concatenate([x[: STRIDE * k] for x, k in zip(kinds, n.tolist(), strict=True)]).reshape(-1, STRIDE).astype(np.int32) if len(n) else np.empty((0, STRIDE), np.int32)
+        packed = (taken[:, 0] * KINDS + taken[:, 1]) * KINDS + taken[:, 2]
+        begin = np.concatenate([[0], n.cumsum()])
+        at = np.empty(begin[-1] + len(n), np.int64)
+        order = np.argsort(-n, kind="stable")
+        left = np.cumsum(np.bincount(n)[::-1])[::-1] if len(n) else n  # texts of at least so many strides
+        table, row = self.strides.reshape(-1), walks[order] * KINDS**STRIDE
+        source, target, now = begin[:-1][order], (begin[:-1] + np.arange(len(n)))[order], places[order].astype(np.int64)
+        step, active = 0, len(n)
+        at[target] = now
+        while step + 1 < len(left) and left[step + 1] > FEW:
+            active = int(left[step + 1])
+            here = now[:active]
+            here += table[(row[:active] + packed[source[:active] + step]) * PERIOD + (here & (PERIOD - 1))]
+            step += 1
+            at[target[:active] + step] = here
+        for k in np.flatnonzero(n[order] > step).tolist():
+            rows = self.strides[walks[order[k]]]
+            one = lambda place, c, rows=rows: place + int(rows[c, place & (PERIOD - 1)])
+            own = accumulate(packed[source[k] + step : source[k] + n[order[k]]].tolist(), one, initial=int(now[k]))
+            at[target[k] + step : target[k] + n[order[k]] + 1] = np.fromiter(own, np.int64)
+        starts = (begin + np.arange(len(begin))).tolist()
+        return [Trail(self, int(w), x, at[a:b]) for w, x, a, b in zip(walks.tolist(), kinds, starts[:-1], starts[1:], strict=True)]
+
+    def trails(self, texts: list[np.ndarray]) -> list[list[Trail]]:
+        """All walks over each text."""
+        many = [x for x in texts for _ in range(self.s.walks)]
+        found = self.walk(many, np.tile(np.arange(self.s.walks), len(texts)), np.zeros(len(many), np.int64))
+        return [found[i : i + self.s.walks] for i in range(0, len(found), self.s.walks)]
 
     def fingerprint(self, text: str) -> Fingerprint:
         level = self.level(len(text))
-        return Fingerprint(level, tuple(x for _, x in self.begin(codes(text), level)))
+        return Fingerprint(level, tuple(t.samples(level) for t in self.trails([codes(text)])[0]))
 
     def bands(self, f: Fingerprint, level: int) -> np.ndarray:
         """A hash for each band of the samples at a level; places after the end count as a value of their own."""
-        s = self.s
-        out = np.zeros(s.bands, np.uint64)
-        pick = (_drawn(s.bands * s.width, s.seed + 2) % np.uint64(s.samples)).astype(np.int64).reshape(s.bands, s.width)
+        padded = np.full((self.s.walks, self.s.samples), NONE, np.uint8)
         for w, own in enumerate(f.at_level(level)):
-            padded = np.full(max(s.samples, len(own)), NONE, np.uint8)
-            padded[: len(own)] = own
-            rows = pick[w :: s.walks]
-            h = np.full(len(rows), w * 64 + level, np.uint64)
-            for k in range(s.width):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + padded[rows[:, k]] + np.uint64(1))
-            out[w :: s.walks] = h
-        return mix(out ^ _drawn(s.bands, s.seed + 3))
+            padded[w, : len(own)] = own[: self.s.samples]
+        return (self.drawn[padded.reshape(-1)[self.pick]] * self.factor).sum(axis=1, dtype=np.uint64) + np.uint64(level)
 
     def common_bands(self, a: Fingerprint, b: Fingerprint) -> int:
         level = max(a.level, b.level)
@@ -187,29 +249,28 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     return min(1.0, best)
 
 
-class _Document:
-    """A text in the order of ids, walked up to the end of its first half and then to its own end."""
-
-    def __init__(self, walker: Walker, doc_id: int | None, text: str) -> None:
-        self.walker, self.doc_id, self.text = walker, doc_id, text
-        self.keep = len(text) - len(text) // 2
-        self.level = walker.level(len(text))
-        own = codes(text)
-        self.half = walker.begin(own[: self.keep], self.level)
-        self.print = Fingerprint(self.level, tuple(x for _, x in walker.go_on(self.half, own[self.keep :], self.level)))
-
-    def result(self, next_: _Document) -> tuple:
-        more = next_.text[: len(self.text) // 2]
-        edited = self.text[: self.keep] + more
-        if edited == self.text:
-            changed = self.print
-        elif self.walker.level(len(edited)) == self.level:
-            changed = Fingerprint(self.level, tuple(x for _, x in self.walker.go_on(self.half, codes(more), self.level)))
-        else:
-            changed = self.walker.fingerprint(edited)
-        likes = likeness(self.print, changed), likeness(self.print, next_.print)
-        bands = self.walker.common_bands(self.print, changed), self.walker.common_bands(self.print, next_.print)
-        return (self.doc_id, len(self.text), hashlib.sha256(edited.encode()).hexdigest(), self.print.text(), changed.text(), *likes, *bands)
+def _results(walker: Walker, rows: list[tuple[int | None, str]], nexts: list[str]) -> list[tuple]:
+    """A result for each (doc_id, text) and the text after it."""
+    s = walker.s
+    texts = list(dict.fromkeys([t for _, t in rows] + nexts))
+    number, kinds = {t: i for i, t in enumerate(texts)}, [codes(t) for t in texts]
+    trails = walker.trails(kinds)
+    prints = [Fingerprint(level, tuple(t.samples(level) for t in own)) for own, level in ((own, walker.level(len(t))) for own, t in zip(trails, texts, strict=True))]
+    pairs = list(dict.fromkeys(zip((number[t] for _, t in rows), map(number.__getitem__, nexts), strict=True)))
+    keep = [len(texts[a]) - len(texts[a]) // 2 for a, _ in pairs]
+    # the walk over an edited text goes on from where that over its beginning stood
+    tails = [kinds[b][: len(texts[a]) // 2] for a, b in pairs for _ in range(s.walks)]
+    stood = np.array([trails[a][w].place(n) for (a, _), n in zip(pairs, keep, strict=True) for w in range(s.walks)], np.int64)
+    ends = walker.walk(tails, np.tile(np.arange(s.walks), len(pairs)), stood)
+    found = {}
+    for i, ((a, b), n) in enumerate(zip(pairs, keep, strict=True)):
+        edited = texts[a][:n] + texts[b][: len(texts[a]) // 2]
+        level = walker.level(len(edited))
+        changed = Fingerprint(level, tuple(np.concatenate([trails[a][w].samples(level, n), ends[i * s.walks + w].samples(level)]) for w in range(s.walks)))
+        likes = likeness(prints[a], changed), likeness(prints[a], prints[b])
+        bands = walker.common_bands(prints[a], changed), walker.common_bands(prints[a], prints[b])
+        found[a, b] = (len(texts[a]), hashlib.sha256(edited.encode()).hexdigest(), prints[a].text(), changed.text(), *likes, *bands)
+    return [(doc_id, *found[number[t], number[x]]) for (doc_id, t), x in zip(rows, nexts, strict=True)]
 
 
 _FIELDS = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edited_bands", pa.int32()), ("next_bands", pa.int32())]
@@ -226,32 +287,33 @@ def with_edits(docs: DataFrame, settings: Settings | None = None, parts: int | N
     nothing = (None,) * len(_FIELDS[1:])
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker, part, before, out, size = Walker(s), TaskContext.get().partitionId(), None, [], 0
+        walker, part, held, size = Walker(s), TaskContext.get().partitionId(), [], 0
+
+        def done() -> pa.RecordBatch:
+            rows = [(*r, DONE, part, None) for r in _results(walker, held[:-1], [t for _, t in held[1:]])]
+            del held[:-1]
+            return _batch(rows, _FIELDS + _MORE)
+
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                if before is None:
-                    out.append((doc_id, *nothing, FIRST, part, text))
-                    now = _Document(walker, doc_id, text)
-                else:
-                    now = _Document(walker, doc_id, text) if text != before.text else before
-                    out.append((*before.result(now), DONE, part, None))
-                    if now is before:  # an equal text needs no other walk
-                        now = _renamed(before, doc_id)
-                before = now
-                if len(out) > 1000:
-                    yield _batch(out, _FIELDS + _MORE)
-                    out = []
-        if before is not None:
-            out.append((before.doc_id, *nothing, LAST, part, before.text))
-        if out:
-            yield _batch(out, _FIELDS + _MORE)
+                if not held:
+                    yield _batch([(doc_id, *nothing, FIRST, part, text)], _FIELDS + _MORE)
+                held.append((doc_id, text))
+                size += len(text) + 100
+                if size > TOGETHER and len(held) > 1:
+                    yield done()
+                    size = len(text)
+        if len(held) > 1:
+            yield done()
+        if held:
+            yield _batch([(held[0][0], *nothing, LAST, part, held[0][1])], _FIELDS + _MORE)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker = Walker(s)
         for batch in batches:
             for doc_id, text, next_text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
-                yield _batch([_Document(walker, doc_id, text).result(_Document(walker, None, next_text))], _FIELDS)
+                yield _batch(_results(walker, [(doc_id, text)], [next_text]), _FIELDS)
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     # rows equal in both may lie in several parts, as a number drawn for each row parts them
@@ -268,12 +330,6 @@ def with_edits(docs: DataFrame, settings: Settings | None = None, parts: int | N
     return stored.where(F.col("kind") == DONE).select([name for name, _ in _FIELDS]).union(open_.select("doc_id", "text", "next_text").mapInArrow(tidy(joined), RESULT))
 
 
-def _renamed(document: _Document, doc_id: int | None) -> _Document:
-    other = object.__new__(_Document)
-    other.__dict__ = document.__dict__ | {"doc_id": doc_id}
-    return other
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -293,6 +349,7 @@ def near_documents(docs: DataFrame, settings: Settings | None = None) -> DataFra
         walker = Walker(s)
         for batch in batches:
             out = []
+            # one text at a time, as a batch may have any number of characters
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 f = walker.fingerprint(text.as_py())
                 for level in (f.level, f.level + 1):
