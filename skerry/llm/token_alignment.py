@@ -14,6 +14,10 @@ Defined results: a null or an empty text, and one that either side can't give ba
 an empty digest. Rows are documents of their own, also with equal or null ids. Texts of more than `piece` characters are
 encoded in pieces, cut at a single space between ASCII letters, where neither side has a token across. Other columns are
 ignored; an empty table gives none.
+
+Tokens never go on from a letter or mark over a space. So the ids of the parts between spaces are kept, in a cache of a bounded
+number of bytes, and the library is asked for the parts of a text that aren't known, all together. The bytes of a part's
+tokens are compared with the part's when it is learned.
 """
 
 from __future__ import annotations
@@ -30,14 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm.common import scratch_path, table
+from skerry.llm.common import new_id, scratch_path, table
 from skerry.llm.workers import kept, tidy
 
 EVENTS = "row long, at long, side int, doc_id long, n int, data binary"
 ALIGNED = "row long, last boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, size int, pairs binary, times binary"
 #: Rows of one output batch; pairs that a task sums up before it hands them on.
 OUT_ROWS, SUM_PAIRS = 2000, 4_000_000
+#: What a side's cache of parts may hold in bytes, of which an entry takes so many besides its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 64_000_000, 160
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+_WIDE = re.compile(r"\s\s|^\s|\s\Z")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -55,20 +62,57 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Side:
-    """One tokenizer in a worker: the ids of a text, and the bytes of every id."""
+class Side(dict):
+    """One tokenizer in a worker: the bytes of every id, and part -> its ids, as far as they are known."""
+
+    #: Where a text may be cut into parts: at a space that the pattern matches; a part's tokens begin with it.
+    cut = re.compile("(?<=\\S) (?=\\S)")
 
     def __init__(self, file: bytes) -> None:
         raise NotImplementedError
 
     def ids(self, text: str) -> list[int]:
+        """The ids of a space and the text, from the library."""
         raise NotImplementedError
 
+    def sized(self) -> None:
+        self.lengths, self.taken, self.changed = np.array([len(x) for x in self.bytes], np.int64), 0, set()
+
+    def same(self, ids: np.ndarray, part: str) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == b" " + part.encode()
+
+    def _learn(self, parts: list[str]) -> None:
+        """The ids of parts, told apart by where their bytes end in their joint text."""
+        ids = np.array(self.ids(" ".join(parts)), np.uint32)
+        ends, edges = self.lengths[ids].cumsum(), np.cumsum([1 + len(p.encode()) for p in parts])
+        last = np.searchsorted(ends, edges)
+        apart = last[-1] < len(ends) and np.array_equal(ends[last], edges)
+        bounds = zip([0, *(last[:-1] + 1).tolist()], (last + 1).tolist(), strict=True)
+        for part, (low, high) in zip(parts, bounds, strict=True):
+            own = ids[low:high] if apart else np.array(self.ids(part), np.uint32)  # else the library changes a text
+            if not self.same(own, part):
+                self.changed.add(part)
+            self.taken += ENTRY_BYTES + 2 * len(part) + own.nbytes
+            self[part] = own.tobytes()
+
     def encode(self, text: str, piece: int) -> np.ndarray | None:
         """The ids of a text, None if their bytes aren't those of a space and the text."""
-        ids = [np.array(self.ids(x), np.uint32) for x in pieces(text, piece)]
-        ids = ids[0] if len(ids) == 1 else np.concatenate(ids)
-        return ids if b"".join([self.bytes[i] for i in ids.tolist()]) == b" " + text.encode() else None
+        if "\u180e" in text:  # a space to some
+            ids = np.array(self.ids(text), np.uint32)
+            return ids if self.same(ids, text) else None
+        if self.taken > CACHE_BYTES:
+            self.clear()
+            self.sized()
+        out = []
+        for whole in pieces(text, piece):
+            # a space between two others than white space, the faster way where all spaces are such
+            parts = self.cut.split(whole) if _WIDE.search(whole) else whole.split(" ")
+            if unknown := list({p for p in parts if p not in self}):
+                self._learn(unknown)
+            if self.changed and not self.changed.isdisjoint(parts):
+                return None
+            out += map(self.__getitem__, parts)
+        return np.frombuffer(b"".join(out), np.uint32)
 
 
 def pieces(text: str, size: int) -> Iterator[str]:
@@ -96,6 +140,7 @@ class ByteLevel(Side):
         self.bytes = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        self.sized()
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
@@ -110,26 +155,30 @@ class Pieces(Side):
         self.model = SentencePieceProcessor(model_proto=file)
         tokens = [self.model.id_to_piece(i) for i in range(len(self.model))]
         self.bytes = [bytes([int(_BYTE.fullmatch(t)[1], 16)]) if self.model.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(tokens)]
+        self.sized()
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    """Numbers in few bytes: all their first bytes, all their second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def events(docs: DataFrame, a: tuple[type[Side], bytes], b: tuple[type[Side], bytes], s: Settings) -> DataFrame:
     """The end events of both sides, a row for each window and side; a document without tokens has one row without events."""
-    files = docs.sparkSession.sparkContext.broadcast((a[1], b[1]))
+    files, job = docs.sparkSession.sparkContext.broadcast((a[1], b[1])), new_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [kind(file) for kind, file in zip((a[0], b[0]), files.value, strict=True)]
-        lengths = [np.array([len(x) for x in side.bytes], np.int64) for side in sides]
+        sides = kept(job, lambda: [kind(file) for kind, file in zip((a[0], b[0]), files.value, strict=True)])
         row, out = TaskContext.get().partitionId() << 40, []
 
         def add(doc_id: int | None, text: str | None) -> None:
@@ -138,12 +187,13 @@ def events(docs: DataFrame, a: tuple[type[Side], bytes], b: tuple[type[Side], by
                 out.append((row, 0, 0, doc_id, 0, b""))
                 return
             for side, ids in enumerate(both):
-                ends = lengths[side][ids].cumsum()
+                ends = sides[side].lengths[ids].cumsum()
                 window = ends // s.window
                 edges = np.flatnonzero(np.diff(window, prepend=-1, append=-1))
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     at = int(window[x]) * s.window
-                    out.append((row, at, side, doc_id, y - x, _packed(np.concatenate([ids[x:y], (ends[x:y] - at).astype(np.uint32)]))))
+                    # ends as differences, the first from the window's beginning
+                    out.append((row, at, side, doc_id, y - x, _packed(np.concatenate([ids[x:y], np.diff(ends[x:y], prepend=at).astype(np.uint32)]))))
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -155,7 +205,7 @@ def events(docs: DataFrame, a: tuple[type[Side], bytes], b: tuple[type[Side], by
         if out:
             yield _batch(out, EVENTS)
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), EVENTS)
+    return docs.select("doc_id", "text").mapInArrow(run, EVENTS)
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -164,44 +214,49 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
 
-class _Digits(list):
-    """Of ids 0, 1, ...: each one's decimal digits after the mark that stands before it, three marks an id."""
-
-    def __init__(self, n: int) -> None:
-        super().__init__(mark + str(i) for i in range(n) for mark in ",|;")
+def _digits(n: int) -> np.ndarray:
+    """Of ids 0, 1, ...: each one's decimal digits after the mark that stands before it, three marks an id, padded with zero bytes."""
+    return np.array([mark + str(i) for i in range(n) for mark in ",|;"], "S")
 
 
 class Machine:
     """The state of the sweep within a document: tokens since the last joint end, and what is known of the document."""
 
-    def __init__(self, row: int, doc_id: int | None, digits: _Digits) -> None:
+    def __init__(self, row: int, doc_id: int | None, digits: np.ndarray) -> None:
         self.row, self.doc_id, self.digits = row, doc_id, digits
         self.open = [np.empty(0, np.uint32), np.empty(0, np.uint32)]
         self.n, self.groups, self.hash, self.begun = [0, 0], 0, hashlib.sha256(), False
 
     def step(self, ids: list[np.ndarray], ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Takes the events of one window; the linked pairs of ids in it, and how often each is linked."""
-        joint, *at = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        marked = [np.zeros(1 + int(max(e[-1] if len(e) else 0 for e in ends)), bool) for _ in ends]
+        for mark, e in zip(marked, ends, strict=True):
+            mark[e] = True
+        at = [np.flatnonzero(marked[1 - side][ends[side]]) for side in (0, 1)]
         for side in (0, 1):
             self.n[side] += len(ids[side])
-        if not len(joint):
+        if not len(at[0]):
             self.open = [np.concatenate([x, y]) for x, y in zip(self.open, ids, strict=True)]
             return np.empty(0, np.uint64), np.empty(0, np.uint32)
         linked = [x[i] for x, i in zip(ids, at, strict=True)]
-        whole, group = [], []
+        n_groups, codes, after = len(at[0]), [], []
         for side in (0, 1):
             before, last = len(self.open[side]), int(at[side][-1]) + 1
-            whole.append(np.concatenate([self.open[side], ids[side][:last]]).astype(np.int64))
-            group.append(np.searchsorted(at[side] + before, np.arange(before + last)))
+            whole = 3 * np.concatenate([self.open[side], ids[side][:last]]).astype(np.int64)
+            ends_after = at[side] + before + 1  # tokens of this side up to the end of each group
+            whole[np.concatenate([[0], ends_after[:-1]])] += 2 - side  # mark 2 begins a group, 1 its B side
+            codes.append(whole)
+            after.append(ends_after)
             self.open[side] = ids[side][last:]
-        # mark 2 begins a group, 1 its B side; the sides' tokens are brought group by group
-        marks = [np.where(np.diff(g, prepend=-1) > 0, mark, 0) for g, mark in zip(group, (2, 1), strict=True)]
-        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
-        codes = np.concatenate([3 * w + m for w, m in zip(whole, marks, strict=True)])[order]
-        text = "".join([self.digits[i] for i in codes.tolist()])
-        self.hash.update((text if self.begun else text[1:]).encode())
+        # group by group, A's tokens before B's: each token moves by the other side's tokens before it
+        order = np.empty(len(codes[0]) + len(codes[1]), np.int64)
+        sizes = [np.diff(x, prepend=0) for x in after]
+        order[np.arange(len(codes[0])) + np.repeat(after[1] - sizes[1], sizes[0])] = codes[0]
+        order[np.arange(len(codes[1])) + np.repeat(after[0], sizes[1])] = codes[1]
+        text = self.digits[order].tobytes().translate(None, b"\0")
+        self.hash.update(text if self.begun else text[1:])
         self.begun = True
-        self.groups += len(joint)
+        self.groups += n_groups
         pairs, times = np.unique((linked[0].astype(np.uint64) << np.uint64(32)) | linked[1], return_counts=True)
         return pairs, times.astype(np.uint32)
 
@@ -213,10 +268,10 @@ class Machine:
 
 def sweep(ended: DataFrame, n_ids: int) -> DataFrame:
     """Groups and links of every document from its events; one row a document, and one more for each further window."""
-    job = scratch_path(ended.sparkSession, "sweep")
+    job = new_id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digits = kept(job, lambda: _Digits(n_ids))
+        digits = kept(job, lambda: _digits(n_ids))
         none = np.empty(0, np.uint32)
         machine, window, now, out, links = None, None, [(none, none), (none, none)], [], (none.astype(np.uint64), none)
 
@@ -236,7 +291,7 @@ def sweep(ended: DataFrame, n_ids: int) -> DataFrame:
                     window = at
                 if n:
                     both = _unpacked(data, 2 * n, "<u4")
-                    now[side] = both[:n], both[n:]
+                    now[side] = both[:n], both[n:].cumsum()
                 if len(out) >= OUT_ROWS:
                     yield _batch(out, ALIGNED)
                     out.clear()
@@ -244,7 +299,7 @@ def sweep(ended: DataFrame, n_ids: int) -> DataFrame:
         if out:
             yield _batch(out, ALIGNED)
 
-    return ended.repartition("row").sortWithinPartitions("row", "at", "side").mapInArrow(tidy(run), ALIGNED)
+    return ended.repartition("row").sortWithinPartitions("row", "at", "side").mapInArrow(run, ALIGNED)
 
 
 def _links_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -261,9 +316,8 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
             pairs, place = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            sums = np.zeros(len(pairs), np.int64)
-            np.add.at(sums, place, np.concatenate([x[1] for x in held]))
-            return pairs, sums
+            # whole numbers below 2**53 are exact in floating point
+            return pairs, np.bincount(place, np.concatenate([x[1] for x in held])).astype(np.int64)
 
         def rows(x: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["pair", "n"])
