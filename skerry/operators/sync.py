@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.errors import EngineError
+from skerry.operators import files
+
 
 def freshness(stored: DataFrame, files: DataFrame, key: str = "path", stamp: str = "mtime") -> DataFrame:
     """(key, state): new, changed, unchanged or removed, by comparing stamps."""
@@ -51,10 +54,49 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def removed_since(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Rows of a snapshot that a later one lacks: what a restore brings back."""
+    """Rows of a snapshot that a later one lacks."""
     return before.join(after, key, "left_anti")
 
 
+#: Fixed value: what a restore never touches.
+PROTECTED = [".git", ".skerry"]
+
+
+def as_of(versions: DataFrame, at: Column | None = None) -> DataFrame:
+    """(path, content) as it was: of versions(path, at, seq, content), where a null content is a deletion, each path's last at or before a time."""
+    rows = versions if at is None else versions.where(F.col("at") <= at)
+    last = rows.groupBy("path").agg(F.max_by(F.struct("content"), F.struct("at", "seq")).alias("v"))
+    return last.select("path", "v.content").where("content IS NOT NULL")
+
+
+def restore_plan(versions: DataFrame, at: Column, scope: str | None = None, protected: list[str] | None = None) -> DataFrame:
+    """(path, action, content) that bring the paths of a scope back to a time: write those that differ, delete those that weren't there yet."""
+    def within(path: Column) -> Column:
+        out = F.lit(True) if scope is None else (path == scope) | path.startswith(scope.rstrip("/") + "/")
+        for p in PROTECTED if protected is None else protected:
+            out = out & ~((path == p) | path.startswith(p + "/"))
+        return out
+
+    own = versions.where(within(F.col("path")))
+    both = as_of(own).withColumnRenamed("content", "_now").join(as_of(own, at), "path", "full_outer").where(~F.col("_now").eqNullSafe(F.col("content")))
+    return both.select("path", F.when(F.col("content").isNull(), "delete").otherwise("write").alias("action"), "content", F.col("_now").alias("current"))
+
+
+def restore(versions: DataFrame, at: Column, stamp: Column, scope: str | None = None, protected: list[str] | None = None, destructive: bool = False) -> DataFrame:
+    """The versions after a restore, its own ones stamped and behind all others; deletions only where they are allowed."""
+    plan = restore_plan(versions, at, scope, protected)
+    if not destructive and not plan.where("action = 'delete'").isEmpty():
+        raise EngineError("git/restore", "the restore deletes files, which is not allowed")
+    last = versions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))  # one row
+    return versions.unionByName(plan.crossJoin(F.broadcast(last)).select("path", stamp.alias("at"), (F.col("_last") + 1).alias("seq"), "content"))
+
+
+def restore_diff(versions: DataFrame, at: Column, scope: str | None = None, protected: list[str] | None = None) -> DataFrame:
+    """A dry run: (path, status, patch, truncated) of what a restore would change."""
+    plan = restore_plan(versions, at, scope, protected)
+    return files.diff(plan.where("current IS NOT NULL").select("path", F.col("current").alias("text")), plan.where("content IS NOT NULL").select("path", F.col("content").alias("text")))
+
+
 def commit_log(log: DataFrame, prefix: str | None, limit: int = 20) -> DataFrame:
     """Newest commits first; with a prefix only those that touch files under it. files_changed is sorted, without repetition."""
     rows = log.withColumn("files_changed", F.array_sort(F.array_distinct("files_changed")))
