@@ -762,3 +762,6 @@ def transform_callouts(spark, d):
 def transform_block(spark, d):
     text = F.concat(F.lit("first\n\n"), F.col("c_name"), F.lit("\nsecond ^b-"), F.col("c_custkey"), F.lit("\n\nlast ^other"))
     return read(spark, d, "customer").select("c_custkey", transforms.block(text, F.concat(F.lit("b-"), F.col("c_custkey").cast("string"))).alias("block"))
+
+
+from skerry.plans import upkeep_catalogue  # noqa: E402, F401  its queries are added to these
