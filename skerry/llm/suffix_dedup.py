@@ -9,7 +9,7 @@ brought into the order of their hashes, in which equal ones are neighbours, by a
 Among the suffixes of a key, those with equal surroundings (all passages of min_words words that have this anchor) are a
 class, and all but its earliest one repeat whole. The earliest suffixes of a key's classes are compared passage by passage:
 each passage of min_words words is put in order with the others of the key, and repeats where any earlier place has it, not
-only the key's first. So a word is in a repeat if and only if it is in a passage of min_words words that stands unbroken in
+only the key's first; of a key with very many classes by an aggregation in place of an order. So a word is in a repeat if and only if it is in a passage of min_words words that stands unbroken in
 one earlier place. Overlapping passages of a document are joined to one repeat, whose source is the earliest place of its
 first min_words words; what follows them may have another source.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skerry.llm.common import BROADCAST_KEYS, materialize, new_id, small_lookup, table
+from skerry.llm.common import BROADCAST_KEYS, BROADCAST_ROWS, materialize, new_id, small_lookup, table
 from skerry.llm.hashing import mix, powers, shingles, words
 from skerry.llm.workers import tidy
 
@@ -42,7 +42,7 @@ class Settings:
     min_words: int = 50
     k: int = 8
     window: int = 25
-    #: Classes of one key that meet in one place, the passages of more being dealt out by their hash; and places of a class in one list.
+    #: Classes of one key that meet in one place, the passages of more going by an aggregation; and places of a class in one list.
     classes: int = 1000
 
     @property
@@ -103,8 +103,8 @@ def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _passages(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """slot, doc, txt, at (lists of places) and gram (hashes of their min_words words), for wanted rows (doc, txt, at, key, before, places, parts)."""
-    lists = wanted.groupBy("doc", "txt").agg(F.collect_list(F.struct("at", "key", "before", "places", "parts")).alias("ends"))
+    """slot (the key), doc, txt, at (lists of places) and gram (hashes of their min_words words), for wanted rows (doc, txt, at, key, before, places)."""
+    lists = wanted.groupBy("doc", "txt").agg(F.collect_list(F.struct("at", "key", "before", "places")).alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,13 +113,9 @@ def _passages(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
                 stretch, slots, places, grams = Stretches(ids), [], [], []
                 for r in rows:
                     at = np.arange(r["at"] - r["before"], r["at"] - r["before"] + r["places"])
-                    gram, parts = stretch(at, at + s.min_words), r["parts"]
-                    part = gram % np.uint64(parts)
-                    for p in [0] if parts == 1 else np.unique(part).tolist():
-                        own = part == p
-                        slots.append(r["key"] if parts == 1 else int(mix(np.array([r["key"]]).view(np.uint64) + np.uint64(p)).view(np.int64)[0]))
-                        places.append(at[own])
-                        grams.append(gram[own].view(np.int64))
+                    slots.append(r["key"])
+                    places.append(at)
+                    grams.append(stretch(at, at + s.min_words).view(np.int64))
                 n = len(slots)
                 yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([txt] * n, pa.int64()), _lists(places, np.int32), _lists(grams, np.int64)], ["slot", "doc", "txt", "at", "gram"])
 
@@ -128,6 +124,21 @@ def _passages(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     return texts.mapInArrow(tidy(run), "slot long, doc long, txt long, at array<int>, gram array<long>")
 
 
+def _repeated(passages: DataFrame, s: Settings) -> DataFrame:
+    """SPAN rows of passages that have an earlier place, for keys with any number of classes.
+
+    A passage's earliest place is a minimum, which is taken before rows are shuffled, so one that very many classes share
+    is no task's burden. Minima of such passages, of which there are few, are broadcast up to a checked number."""
+    zipped = passages.select("slot", "doc", "txt", F.explode(F.arrays_zip("at", "gram")).alias("x"))
+    rows = materialize(zipped.select("slot", "x.gram", F.struct("doc", "txt", "x.at").alias("place")), "passages")
+    # repeated rows of one document are the same place
+    first = materialize(rows.groupBy("slot", "gram").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low < high"), "first")
+    often = small_lookup(rows, first.where(F.col("n") > s.classes).select("slot", "gram", "low"), ["slot", "gram"], "inner", BROADCAST_ROWS)
+    rest = rows.join(first.where(F.col("n") <= s.classes).select("slot", "gram", "low"), ["slot", "gram"])
+    later = often.unionByName(rest).where("place <> low")
+    return later.select("place.doc", "place.txt", F.col("place.at").alias("first"), (F.col("place.at") + s.min_words).cast("int").alias("end"), F.col("low.doc").alias("source"), F.col("low.txt").alias("source_txt"), F.col("low.at").alias("source_at"))
+
+
 SPAN = "doc long, txt long, first int, end int, source long, source_txt long, source_at int"
 
 
@@ -185,9 +196,15 @@ def find_spans(docs: DataFrame, s: Settings) -> DataFrame:
     copied = copies.select("x.doc", "x.txt", first.alias("first"), (first + F.col("places") + F.lit(s.min_words - 1)).alias("end"), F.col("original.doc").alias("source"), F.col("original.txt").alias("source_txt"), (F.col("original.at") - F.col("before")).alias("source_at"))
     # of keys with several classes, the first of each class may share passages with an earlier one
     mixed = classes.where("mixed")
-    large = materialize(mixed.groupBy("key").count().where(F.col("count") > s.classes).select("key", F.ceil(F.col("count") / s.classes).cast("int").alias("parts")), "large")
-    wanted = small_lookup(mixed.select("original.*", "key", "before", "places"), large, ["key"]).withColumn("parts", F.coalesce("parts", F.lit(1)))
-    spans = materialize(copied.union(_compared(_passages(docs, wanted, s), s)), "spans")
+    large = materialize(mixed.groupBy("key").count().where(F.col("count") > s.classes).select("key", F.lit(True).alias("large")), "large")
+    wanted = materialize(small_lookup(mixed.select("original.*", "key", "before", "places"), large, ["key"]), "wanted")
+    found = [copied, _compared(_passages(docs, wanted.where("large IS NULL"), s), s)]
+    if not large.isEmpty():
+        found.append(_repeated(_passages(docs, wanted.where("large"), s), s))
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.union(more)
+    spans = materialize(spans, "spans")
     # overlapping passages are one stretch; a window holds the spans of one document
     by_doc = Window.partitionBy("doc", "txt").orderBy("first", "end")
     ended = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

@@ -158,10 +158,25 @@ def test_suffix_repeats_equal_every_earlier_place(spark):
     got = _reported(spark, texts)
     assert got == _covered(texts, 50)
     assert len(got[2]) == 70 and not got[5]
-    small = suffix_dedup.find_repeats(h.table(spark, texts), suffix_dedup.Settings(classes=2))  # passages dealt out by hash
+    small = suffix_dedup.find_repeats(h.table(spark, texts), suffix_dedup.Settings(classes=2))  # passages by an aggregation
     assert sorted((r["doc_id"], r["first_word"], r["n_words"]) for r in h.rows(small)) == sorted((r["doc_id"], r["first_word"], r["n_words"]) for r in h.rows(suffix_dedup.find_repeats(h.table(spark, texts))))
 
 
+def test_a_passage_of_all_documents_is_no_tasks_burden(spark, monkeypatch):
+    """Unlike texts that share 55 words: none of the tasks that compare passages side by side gets more than its bound of classes."""
+    passage, seen, compared = h.prose(1, 55), [], suffix_dedup._compared
+    texts = [f"{h.prose(100 + k, 20)} {passage} {h.prose(600 + k, 15)}" for k in range(250)] + [passage, h.prose(3, 90), h.prose(3, 90)]
+    s = suffix_dedup.Settings(classes=20)
+    monkeypatch.setattr(suffix_dedup, "_compared", lambda passages, s: seen.append(passages) or compared(passages, s))
+    found = h.rows(suffix_dedup.find_repeats(h.table(spark, texts), s))
+    got = {r["doc_id"]: set(range(r["first_word"], r["first_word"] + r["n_words"])) for r in found}
+    assert [got.get(i, set()) for i in range(len(texts))] == _covered(texts, 50)
+    # but where the word before or after is the same by chance, the first document is the source
+    assert sum((r["source_id"], r["source_word"]) == (0, 20) for r in found) > 200
+    sizes = [r["count"] for p in seen for r in p.groupBy("slot").count().collect()]
+    assert len(seen) == 1 and max(sizes, default=0) <= s.classes
+
+
 def test_cuts_go_by_row_not_by_id(spark):
     passage = h.prose(1, 60)
     for own in (None, 7):
