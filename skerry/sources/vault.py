@@ -4,7 +4,7 @@
     notes = spark.read.format("vault").load("/vaults/home")
 
 Spark's own file sources skip names that begin with _ or ., and replace invalid UTF-8 instead of skipping the file, so
-the listing is done here: the driver lists paths, tasks read and parse their share of them. The option folder narrows the
+the listing is done here: the driver lists the upper level, tasks list the folders below it, read and parse. The option folder narrows the
 listing. Filters aren't pushed down: Spark keeps one reader for a DataFrame, so those of one query would narrow the others
 on it. The folder must be reachable under one path by driver and executors; for
 other stores load raw texts with Spark and use parse_notes().
@@ -18,7 +18,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -26,6 +26,8 @@ from skerry.errors import EngineError
 from skerry.sources import markdown
 
 EXCLUDED = [".git", ".skerry"]
+#: What searches and managed indexes leave out unless they are told otherwise.
+INDEX_EXCLUDED = [".skerry", ".git", ".obsidian", "memory/log", "memory/sessions"]
 SCHEMA = (
     "path string, name string, basename string, ext string, folder string, size bigint, ctime string, mtime string, modified timestamp, raw string, body string, "
     "frontmatter_json string, fm_error string, tags array<string>, links array<string>, embeds array<string>, title string, headings array<string>, content_hash string"
@@ -39,6 +41,14 @@ def excluded(path: str, prefixes: list[str]) -> bool:
     return any(path == p or path.startswith(p + "/") for p in prefixes)
 
 
+def indexed(path: Column, prefixes: list[str] | None = None) -> Column:
+    """Whether searches and managed indexes take a path: it is none of the excluded ones, nor below one."""
+    out = F.lit(True)
+    for p in INDEX_EXCLUDED if prefixes is None else prefixes:
+        out = out & (path != p) & ~path.startswith(p + "/")
+    return out
+
+
 def parse_note(path: str, content: bytes, created: float | None = None, changed: float | None = None) -> dict | None:
     """A note's row; None if it isn't UTF-8. Bad frontmatter is an empty mapping with fm_error; bad links are no links."""
     try:
@@ -83,7 +93,8 @@ def register(spark: SparkSession) -> None:
 
 
 class VaultSource(DataSource):
-    """Options: path (the root), folder (below it, to read no other), exclude (comma-separated prefixes, besides those always excluded), batch (files a task, 500)."""
+    """Options: path (the root), folder (below it, to read no other), exclude (comma-separated prefixes, besides those always excluded), batch (files of the upper levels a task, 500),
+    levels (folders so many levels below are each listed and read by a task of their own, 1)."""
 
     @classmethod
     def name(cls) -> str:
@@ -101,23 +112,37 @@ class VaultReader(DataSourceReader):
         self.root = options["path"]
         self.exclude = [*EXCLUDED, *(p for p in options.get("exclude", "").split(",") if p)]
         self.batch = int(options.get("batch", 500))
+        self.levels = max(1, int(options.get("levels", 1)))
         self.folder = options.get("folder", "").strip("/")
         if ".." in self.folder.split("/"):
             raise EngineError("path/outside-root", self.folder)
 
     def partitions(self) -> list[InputPartition]:
-        found = []
-        for folder, inner, names in os.walk(os.path.join(self.root, self.folder)):
+        """Folders `levels` below the root are each walked by a task; the driver lists what lies above them."""
+        files, folders = [], []
+        for own, inner, names in self._walk(self.folder):
+            files += names
+            if own.count("/") + 1 >= self.levels + self.folder.count("/") + bool(self.folder):
+                folders += [own + d for d in inner]
+                inner.clear()
+        files.sort()
+        parts = [InputPartition((files[i : i + self.batch], None)) for i in range(0, len(files), self.batch)]
+        return parts + [InputPartition(([], f)) for f in sorted(folders)] or [InputPartition(([], None))]
+
+    def _walk(self, top: str) -> Iterator[tuple[str, list[str], list[str]]]:
+        """Prefix, subfolders and notes of every folder from top on, without what is excluded."""
+        for folder, inner, names in os.walk(os.path.join(self.root, top)):
             own = os.path.relpath(folder, self.root).replace(os.sep, "/")
             own = "" if own == "." else own + "/"
             inner[:] = sorted(d for d in inner if not excluded(own + d, self.exclude))
-            found += [own + n for n in names if n.lower().endswith(".md") and not excluded(own + n, self.exclude)]
-        found.sort()
-        return [InputPartition(found[i : i + self.batch]) for i in range(0, len(found), self.batch)] or [InputPartition([])]
+            yield own, inner, [own + n for n in sorted(names) if n.lower().endswith(".md") and not excluded(own + n, self.exclude)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        files, folder = partition.value
+        if folder is not None:
+            files = (path for _, _, names in self._walk(folder) for path in names)
         found = []
-        for path in partition.value:
+        for path in files:
             full = os.path.join(self.root, path)
             try:
                 with open(full, "rb") as f:

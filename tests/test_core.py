@@ -155,6 +155,21 @@ def test_chunks_cover_their_sections(spark):
     assert chunks.word_ranges([]) == [] and chunks.word_ranges([9000]) == [(0, 1)] and chunks.word_ranges([9000, 3]) == [(0, 2)]
 
 
+def test_vault_folders_are_listed_by_tasks(spark, tmp_path):
+    for path in ("r.md", "a/1.md", "a/b/2.md", "a/b/c/3.md", "d/4.md", "d/.git/5.md", "memory/log/6.md", "d/x.txt"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    whole = {"r.md", "a/1.md", "a/b/2.md", "a/b/c/3.md", "d/4.md", "d/.git/5.md", "memory/log/6.md"}
+    vault.register(spark)
+    for options, parts in (({}, 4), ({"levels": 2}, 3 + 1), ({"levels": 9, "batch": 2}, 4), ({"folder": "a"}, 2), ({"folder": "a/b"}, 2), ({"folder": "none"}, 1)):
+        df = spark.read.format("vault").options(**options).load(str(tmp_path))
+        want = {p for p in whole if p.startswith(options.get("folder", "") + "/" if "folder" in options else "")}
+        assert {r["path"] for r in rows(df)} == want, options
+        assert len(vault.VaultReader({"path": str(tmp_path)} | {k: str(v) for k, v in options.items()}).partitions()) == parts, options
+    kept = {r["path"] for r in rows(df.sparkSession.read.format("vault").load(str(tmp_path)).where(vault.indexed(F.col("path"))))}
+    assert kept == whole - {"memory/log/6.md"}
+
+
 def test_vault_source(spark, tmp_path):
     for path, text in {"a.md": NOTE, "b/c.md": "see [[a]]", "b/_d.md": "x", ".git/e.md": "no", "b/bad.md": None, "b/f.txt": "no", "g.md": "---\nopen"}.items():
         full = tmp_path / path
