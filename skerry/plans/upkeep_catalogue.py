@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry import store
+from skerry.functions import astro
 from skerry.operators import graph, paths, semantic, sync
 from skerry.operators.graph_store import GraphStore
 from skerry.plans import catalogue as c
@@ -231,3 +232,34 @@ def sql_table_functions(spark, d):
     c._trade_graph(spark, d).createOrReplaceTempView("graph_edges")
     registry.install(spark, "note_backlinks", "notes_under")
     return spark.sql("SELECT x.note, f.source, f.kind, f.n FROM (SELECT DISTINCT `to` AS note FROM graph_edges WHERE startswith(`to`, 'n')) x, LATERAL note_backlinks(x.note) AS f")
+
+
+# --- the moon -----------------------------------------------------------------------------------------------------------------
+
+
+def _phase_sql(quarter: float) -> str:
+    """Dynamical Julian day of a phase near lunation n - quarter, from a row with n."""
+    sin, cos = (lambda x, f=f: f"{f}(radians({x}))" for f in ("sin", "cos"))
+    m, mp, f = "(2.5534 + 29.10535670 * n)", "(201.5643 + 385.81693528 * n + 0.0107582 * t * t)", "(160.7108 + 390.67050284 * n - 0.0016118 * t * t)"
+    e = "(1 - 0.002516 * t - 0.0000074 * t * t)"
+    mean = "2451550.09766 + 29.530588861 * n + 0.00015437 * t * t"
+    if quarter in (0, 0.5):
+        a, b, c_, d = (-0.40720, 0.17241, 0.01608, 0.01039) if quarter == 0 else (-0.40614, 0.17302, 0.01614, 0.01043)
+        return f"{mean} + {a} * {sin(mp)} + {b} * {e} * {sin(m)} + {c_} * {sin('2 * ' + mp)} + {d} * {sin('2 * ' + f)} + 0.0074 * {e} * {sin(mp + ' - ' + m)} - 0.00514 * {e} * {sin(mp + ' + ' + m)} + 0.00208 * {e} * {e} * {sin('2 * ' + m)}"
+    w = f"(0.00306 - 0.00038 * {e} * {cos(m)} + 0.00026 * {cos(mp)})"
+    rest = f"-0.62801 * {sin(mp)} + 0.17172 * {e} * {sin(m)} - 0.01183 * {e} * {sin(mp + ' + ' + m)} + 0.00862 * {sin('2 * ' + mp)} + 0.00804 * {sin('2 * ' + f)} + 0.00454 * {e} * {sin(mp + ' - ' + m)} + 0.00204 * {e} * {e} * {sin('2 * ' + m)}"
+    return f"{mean} + {rest} {'+' if quarter == 0.25 else '-'} {w}"
+
+
+_QUARTERS = {0: "near_new", 0.25: "near_first_quarter", 0.5: "near_full", 0.75: "near_last_quarter"}
+_LUNATIONS = " UNION ALL ".join(f"SELECT day, jd, {q} AS q, {_phase_sql(q)} AS phase FROM (SELECT *, n / 1236.85 AS t FROM (SELECT *, k + i + {q} AS n FROM mean, (SELECT unnest([-1, 0, 1]) AS i)))" for q in _QUARTERS)
+
+
+@c.query(f"""WITH mean AS (SELECT day, jd, floor((jd - 2451550.09766) / {astro.SYNODIC}) AS k FROM (SELECT day, date_diff('day', DATE '1970-01-01', day) + 2440587.5 AS jd FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders))),
+  lunations AS ({_LUNATIONS}),
+  flags AS (SELECT day, any_value(jd) AS jd, max(phase) FILTER (q = 0 AND phase <= jd) AS new, {', '.join(f"min(abs(phase - jd)) FILTER (q = {q}) * 24 <= 12 AS {n}" for q, n in _QUARTERS.items())} FROM lunations GROUP BY day)
+SELECT day, list_extract({list(astro.PHASES)}, 1 + CAST(floor((jd - new) / {astro.SYNODIC} * 8 + 0.5) AS INT) % 8) AS name, round(jd - new, 6) AS days_into_cycle, {', '.join(_QUARTERS.values())} FROM flags""")
+def astro_moon_flags(spark, d):
+    """The name of the moon's phase on days of orders, the days since the new moon, and which phases are within half a day."""
+    days = c.read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return days.select("day", astro.moon_phase(F.col("day")).alias("p")).select("day", "p.name", F.round("p.days_into_cycle", 6).alias("days_into_cycle"), *(f"p.{n}" for n in _QUARTERS.values()))
