@@ -14,15 +14,12 @@ Defined results: a null or an empty text, and one that either side can't give ba
 an empty digest. Rows are documents of their own, also with equal or null ids. Texts of more than `piece` characters are
 encoded in pieces, cut at a single space between ASCII letters, where neither side has a token across. Other columns are
 ignored; an empty table gives none.
-
-Tokens never go on from a letter or mark over a space. So the ids of the parts between spaces are kept, in a cache of a bounded
-number of bytes, and the library is asked for the parts of a text that aren't known, all together. The bytes of a part's
-tokens are compared with the part's when it is learned.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -41,10 +38,7 @@ EVENTS = "row long, at long, side int, doc_id long, n int, data binary"
 ALIGNED = "row long, last boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, size int, pairs binary, times binary"
 #: Rows of one output batch; pairs that a task sums up before it hands them on.
 OUT_ROWS, SUM_PAIRS = 2000, 4_000_000
-#: What a side's cache of parts may hold in bytes, of which an entry takes so many besides its text and ids.
-CACHE_BYTES, ENTRY_BYTES = 64_000_000, 160
 _CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
-_WIDE = re.compile(r"\s\s|^\s|\s\Z")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -62,57 +56,23 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Side(dict):
-    """One tokenizer in a worker: the bytes of every id, and part -> its ids, as far as they are known."""
+class Side:
+    """One tokenizer in a worker: the ids of a text, and the bytes of every id."""
 
-    #: Where a text may be cut into parts: at a space that the pattern matches; a part's tokens begin with it.
-    cut = re.compile("(?<=\\S) (?=\\S)")
+    bytes: list[bytes]
 
     def __init__(self, file: bytes) -> None:
         raise NotImplementedError
 
     def ids(self, text: str) -> list[int]:
-        """The ids of a space and the text, from the library."""
+        """The ids of a space and the text."""
         raise NotImplementedError
 
-    def sized(self) -> None:
-        self.lengths, self.taken, self.changed = np.array([len(x) for x in self.bytes], np.int64), 0, set()
-
-    def same(self, ids: np.ndarray, part: str) -> bool:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == b" " + part.encode()
-
-    def _learn(self, parts: list[str]) -> None:
-        """The ids of parts, told apart by where their bytes end in their joint text."""
-        ids = np.array(self.ids(" ".join(parts)), np.uint32)
-        ends, edges = self.lengths[ids].cumsum(), np.cumsum([1 + len(p.encode()) for p in parts])
-        last = np.searchsorted(ends, edges)
-        apart = last[-1] < len(ends) and np.array_equal(ends[last], edges)
-        bounds = zip([0, *(last[:-1] + 1).tolist()], (last + 1).tolist(), strict=True)
-        for part, (low, high) in zip(parts, bounds, strict=True):
-            own = ids[low:high] if apart else np.array(self.ids(part), np.uint32)  # else the library changes a text
-            if not self.same(own, part):
-                self.changed.add(part)
-            self.taken += ENTRY_BYTES + 2 * len(part) + own.nbytes
-            self[part] = own.tobytes()
-
     def encode(self, text: str, piece: int) -> np.ndarray | None:
         """The ids of a text, None if their bytes aren't those of a space and the text."""
-        if "\u180e" in text:  # a space to some
-            ids = np.array(self.ids(text), np.uint32)
-            return ids if self.same(ids, text) else None
-        if self.taken > CACHE_BYTES:
-            self.clear()
-            self.sized()
-        out = []
-        for whole in pieces(text, piece):
-            # a space between two others than white space, the faster way where all spaces are such
-            parts = self.cut.split(whole) if _WIDE.search(whole) else whole.split(" ")
-            if unknown := list({p for p in parts if p not in self}):
-                self._learn(unknown)
-            if self.changed and not self.changed.isdisjoint(parts):
-                return None
-            out += map(self.__getitem__, parts)
-        return np.frombuffer(b"".join(out), np.uint32)
+        ids = [np.array(self.ids(x), np.uint32) for x in pieces(text, piece)]
+        ids = ids[0] if len(ids) == 1 else np.concatenate(ids)
+        return ids if b"".join(map(self.bytes.__getitem__, ids.tolist())) == b" " + text.encode() else None
 
 
 def pieces(text: str, size: int) -> Iterator[str]:
@@ -127,8 +87,17 @@ def pieces(text: str, size: int) -> Iterator[str]:
     yield text[start:]
 
 
+# Fixed value: how byte-level vocabularies split a text before they merge bytes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of characters whose kind no version of Unicode has changed; others are left to the library of the file.
+_PLAIN = re.compile("[\t\n\r -~\u00a1-\u00ac\u00ae-\u024f]*")
+
+
 class ByteLevel(Side):
-    """A tokenizer of the tokenizers library with byte-level pieces; a space is put before every text."""
+    """A tokenizer of the tokenizers library with byte-level pieces; a space is put before every text.
+
+    Where the file's merges are in the order of their ids and its split is the usual one, plain texts go through the faster
+    tiktoken with the file's own vocabulary, which gives the same ids."""
 
     def __init__(self, file: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -140,9 +109,24 @@ class ByteLevel(Side):
         self.bytes = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        self.sized()
+        self.fast = self._faster(json.loads(file), byte, vocabulary)
+
+    def _faster(self, parts: dict, byte: dict[str, int], vocabulary: dict[str, int]):
+        special = {t["content"] for t in parts.get("added_tokens", [])}
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in parts["model"].get("merges", [])]
+        in_order = [vocabulary[m] for m in merged] == list(range(len(byte), len(byte) + len(merged)))
+        pre = parts.get("pre_tokenizer") or {}
+        usual = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True)) == ("ByteLevel", False, True)
+        if not (in_order and usual and parts.get("normalizer") is None and parts["model"].get("dropout") is None):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes[i]: i for token, i in vocabulary.items() if token not in special}
+        return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
+        if self.fast is not None and _PLAIN.fullmatch(text):
+            return self.fast.encode_ordinary(" " + text)
         return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
 
@@ -155,7 +139,6 @@ class Pieces(Side):
         self.model = SentencePieceProcessor(model_proto=file)
         tokens = [self.model.id_to_piece(i) for i in range(len(self.model))]
         self.bytes = [bytes([int(_BYTE.fullmatch(t)[1], 16)]) if self.model.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(tokens)]
-        self.sized()
 
     def ids(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
@@ -179,6 +162,7 @@ def events(docs: DataFrame, a: tuple[type[Side], bytes], b: tuple[type[Side], by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = kept(job, lambda: [kind(file) for kind, file in zip((a[0], b[0]), files.value, strict=True)])
+        lengths = [np.array([len(x) for x in side.bytes], np.int64) for side in sides]
         row, out = TaskContext.get().partitionId() << 40, []
 
         def add(doc_id: int | None, text: str | None) -> None:
@@ -187,7 +171,7 @@ def events(docs: DataFrame, a: tuple[type[Side], bytes], b: tuple[type[Side], by
                 out.append((row, 0, 0, doc_id, 0, b""))
                 return
             for side, ids in enumerate(both):
-                ends = sides[side].lengths[ids].cumsum()
+                ends = lengths[side][ids].cumsum()
                 window = ends // s.window
                 edges = np.flatnonzero(np.diff(window, prepend=-1, append=-1))
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):

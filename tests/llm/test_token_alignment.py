@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -82,3 +83,16 @@ def test_cuts_lose_nothing():
     text = h.prose(1, 2000) + "\n" + "y" * 500 + " é " + "abc def " * 100
     cut = list(ta.pieces(text, 70))
     assert " ".join(cut) == text and len(cut) > 5 and list(ta.pieces("", 5)) == [""]
+
+
+def test_both_libraries_give_the_same_ids(sides):
+    """Of every two neighbouring kinds of plain characters, and of words with marks; the other kinds take the file's own library."""
+    a = sides[0][0](sides[0][1])
+    own = lambda text: a.tokenizer.encode(" " + text, add_special_tokens=False).ids
+    assert a.fast is not None
+    plain = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250)] if c != 0xAD]
+    draw = random.Random(3)
+    texts = ["".join(plain), "".join(x + y for x in plain[::7] for y in plain[::5]), *("".join(draw.choice(plain) for _ in range(60)) for _ in range(400)), *("".join(draw.choice("a's1 \n\t.é") for _ in range(40)) for _ in range(400)), h.prose(4, 300), "<|endoftext|>"]
+    for text in texts:
+        assert ta._PLAIN.fullmatch(text) and a.ids(text) == own(text)
+    assert not any(ta._PLAIN.fullmatch(x) for x in ("漢", "\u00a0", "\x1c", "\u180e", "\u2028", "\x85", "\u00ad"))
