@@ -85,10 +85,26 @@ class _Words(dict):
         self.tokenizer, self.kind, self.taken = Tokenizer.from_str(tokenizer), kind, 0
         parts = json.loads(tokenizer)
         self.by_words = all(parts.get(k) == v for k, v in BY_WORDS.items())
+        suffix, vocabulary = parts["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Which ids end a run of letters or of marks.
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
     def ids(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _runs(self, words: list[str]) -> None:
+        """The ids of words that are one run of letters or marks each, told apart by the ids that end one."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            self._encoded(words)
+            return
+        raw, width, low = ids.tobytes(), ids.itemsize, 0
+        for word, high in zip(words, (ends * width).tolist(), strict=True):
+            self._put(word, raw[low:high])
+            low = high
+
     def _encoded(self, words: list[str]) -> None:
         """The ids of words, told apart by where in their joint text they come from."""
         got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
@@ -102,8 +118,8 @@ class _Words(dict):
         self.taken += ENTRY_BYTES + 2 * len(word) + len(ids)
         self[word] = ids
 
-    def _learn(self, words: list[str]) -> None:
-        new, made = set(), []
+    def _learn(self, words: set[str]) -> None:
+        runs, new, made = set(), set(), []
         for word in words:
             core = word.rstrip(_MARKS)
             if core == word and word.isascii():
@@ -111,10 +127,14 @@ class _Words(dict):
             if core != word and _letters(core):  # letters and marks after them are tokenised apart
                 parts = (core, word[len(core) :]) if len(core) < len(word) else (core,)
                 made.append((word, parts))
-                new.update(x for x in parts if x not in self)
+                runs.update(x for x in parts if x not in self)
+            elif _letters(word):
+                runs.add(word)
             else:
                 new.add(word)
-        if new:
+        if runs:
+            self._runs(list(runs))
+        if new := {w for w in new if w not in self}:
             self._encoded(list(new))
         for word, parts in made:
             self._put(word, b"".join(map(self.__getitem__, parts)))
@@ -126,7 +146,7 @@ class _Words(dict):
             self.clear()
             self.taken = 0
         words = text.split()
-        if unknown := list({w for w in words if w not in self}):
+        if unknown := {w for w in set(words) if w not in self}:
             self._learn(unknown)
         return b"".join(map(self.__getitem__, words))
 
