@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skerry.llm import common, decontamination, jaccard_join, quality_classifier, sentencepiece_codec, suffix_dedup
 
 SCOPE = "corpus_pipeline"
+#: The codec's cache in a worker: smaller than its own, as an executor's heap has grown in the stages before.
+CACHE_BYTES = 24_000_000
 
 
 @contextlib.contextmanager
@@ -60,7 +62,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: every text becomes the ids of its subword pieces, a null one an empty list."""
     with _fresh(spark):
-        return sentencepiece_codec.encode(docs, sentencepiece_codec.default_model())
+        return sentencepiece_codec.encode(docs, sentencepiece_codec.default_model(), CACHE_BYTES)
 
 
 STAGES = [

@@ -38,7 +38,7 @@ CACHE_BYTES = 64_000_000
 ENTRY_BYTES = 200
 CACHE_PAIRS = 200_000
 BEGINNING, BEGINNINGS = 4, 12_000
-OUT_IDS = 2_000_000
+OUT_IDS = 500_000
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -314,9 +314,9 @@ class _Closed(dict):
 class Encoder:
     """Encodes whole texts; add_dummy_prefix as in the vocabulary's normaliser, which otherwise leaves texts as they are."""
 
-    def __init__(self, pieces: Pieces) -> None:
+    def __init__(self, pieces: Pieces, cache_bytes: int = CACHE_BYTES) -> None:
         self.pieces = pieces
-        self.after_mark, self.bare = _Closed(pieces, MARK, CACHE_BYTES), _Closed(pieces, "", CACHE_BYTES // 8)
+        self.after_mark, self.bare = _Closed(pieces, MARK, cache_bytes), _Closed(pieces, "", cache_bytes // 8)
         self.lines_closed = "\n" not in pieces.alphabet
         self.newline = np.array([pieces.byte_ids[10]], np.int32).tobytes() if pieces.byte_ids else b""
 
@@ -344,12 +344,12 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_ids, ids and round_trip (the ids decode to the text) of every row; one pass, no shuffle."""
+def encode(docs: DataFrame, model_path: str, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """doc_id, n_ids, ids and round_trip (the ids decode to the text) of every row; one pass, no shuffle. A smaller cache takes more time."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Pieces.load(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Encoder(vocabulary.value)
+        codec = Encoder(vocabulary.value, cache_bytes)
         for b in batches:
             keys, texts = b.column("doc_id"), b.column("text")
             start, held, size = 0, [], 0
