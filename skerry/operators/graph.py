@@ -94,24 +94,29 @@ def neighbours(edges: DataFrame, start: str, depth: int = 1, direction: str = "b
 def shortest_path(edges: DataFrame, start: str, goal: str, direction: str = "out", nodes: DataFrame | None = None) -> DataFrame:
     """(hop, path) from start to goal, of equal ones the one that visits lexicographically smaller notes first; empty if there is none.
 
-    A round for each hop, as many as the path has. Each node of the frontier carries its trail, and as arrays compare
-    element by element, the smallest trail is the one to keep. The loop asks for one row a round."""
+    A round for each hop, from the goal back until the start is found, stores how far every note is from the goal. Then the
+    way is walked forward: of the notes one step on that are one hop nearer, the smallest is next, one row a hop."""
     require(edges, start, nodes)
     require(edges, goal, nodes)
     spark, steps = edges.sparkSession, _reach(edges, direction)
-    path, hop, found = store.new_path(spark, "trails"), 0, []
-    seen = store.added(spark.createDataFrame([(start, [start], 0)], "path string, trail array<string>, hop int"), path)
+    path, hop = store.new_path(spark, "hops"), 0
+    seen = store.added(spark.createDataFrame([(goal, 0)], "path string, hop int"), path)
+    trail = [start]
     while True:
         front = seen.where(F.col("hop") == hop)
-        if front.isEmpty():
+        if not front.where(F.col("path") == start).isEmpty():
             break
-        if found := front.where(F.col("path") == goal).select("trail").collect():  # one row
-            break
-        new = front.join(steps, front["path"] == steps["a"]).select(F.col("b").alias("path"), "trail").join(seen.select("path"), "path", "left_anti")
+        new = front.join(steps, front["path"] == steps["b"]).select(F.col("a").alias("path")).distinct().join(seen.select("path"), "path", "left_anti")
         hop += 1
-        seen = store.added(new.groupBy("path").agg(F.min("trail").alias("trail")).select("path", F.concat("trail", F.array("path")).alias("trail"), F.lit(hop).alias("hop")), path)
+        seen = store.added(new.select("path", F.lit(hop).alias("hop")), path)
+        if seen.where(F.col("hop") == hop).isEmpty():
+            trail = []
+            break
+    for left in range(hop - 1, -1, -1) if trail else []:
+        nearer = seen.where(F.col("hop") == left)
+        trail.append(steps.where(F.col("a") == trail[-1]).join(nearer, F.col("b") == nearer["path"]).agg(F.min("b")).first()[0])
     store.remove(spark, path)
-    return spark.createDataFrame(list(enumerate(found[0]["trail"])) if found else [], "hop int, path string")
+    return spark.createDataFrame(list(enumerate(trail)), "hop int, path string")
 
 
 def upsert(nodes: DataFrame, edges: DataFrame, notes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
