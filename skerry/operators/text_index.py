@@ -108,9 +108,10 @@ class TextIndex:
         changed = stamped.join(stored, known & F.col("_stamp").eqNullSafe(F.col("_old")), "left_anti")
         gone = stored.join(rows.select(self.key), known, "left_anti").select(F.col("_key").alias(self.key))
         if self.version():
-            gone = self.spark.read.schema(gone.schema).parquet(self._scratch(gone))
+            path = self._scratch(gone)
             self.upsert(changed, F.col("_stamp"))
-            self.remove(gone)
+            self.remove(self.spark.read.schema(gone.schema).parquet(path))
+            store.remove(self.spark, path)
         else:
             self.upsert(changed, F.col("_stamp"))
 
