@@ -4,7 +4,8 @@
                                   rows also has negative counts for the terms of the old ones, so that sums are those of live rows
     postings/segment=S/write=W/bucket=B   (field, term, level, key, tf, n, at): a term's rows by falling level, the impact of a posting
                                   in sixteen steps; n is the row's length in the field, so no query reads all rows' lengths
-    rows/segment=S/write=W            (key, stamp, n_<field>, terms): what an update needs to know of a row that it replaces
+    rows/segment=S/write=W            (key, stamp, n_<field>, terms): each row's terms with their places. Postings are made from it, by one
+                                  shuffle of a row for each term of a text, and updates count down the terms of rows that they replace
     dead/segment=S/write=W            (key): rows of earlier segments that this one replaces or removes
     manifest/V                    (segment, n_rows, sums): the live segments, written last; a reader takes the newest whole version
 
@@ -27,7 +28,11 @@ import json
 import math
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +44,10 @@ from skerry.operators import search
 LEVELS = 16
 #: Rows of a batch for which the postings of one term are sorted by one task.
 SLICE_ROWS = 2_000_000
+#: Rows whose words are grouped at a time.
+BATCH_ROWS = 1000
+#: Keys up to which a list of rows is broadcast, so that texts and terms aren't shuffled.
+BROADCAST_KEYS = 200_000
 
 
 class TextIndex:
@@ -64,20 +73,20 @@ class TextIndex:
         lines = self.spark.createDataFrame([(json.dumps(s),) for s in segments], "value string")
         lines.coalesce(1).write.mode("error").text(f"{self.folder}/manifest/{version:08d}")
 
-    def _schema(self, part: str) -> T.StructType:
+    def _schema(self, part: str, places: bool = False) -> T.StructType:
         kind = self.spark.read.schema("key string").json(f"{self.folder}/key").first()["key"]
         terms = "field string, term string"
         return T.StructType.fromDDL(
             {
                 "terms": f"{terms}, df long, levels array<struct<level:int,n:long,max_tf:int,min_n:int>>, segment int, write string, bucket int",
                 "postings": f"{terms}, level int, key {kind}, tf int, n int, at array<int>, segment int, write string, bucket int",
-                "rows": f"key {kind}, stamp string, {', '.join(f'n_{i} int' for i in range(len(self.fields)))}, terms array<struct<field:string,term:string>>, segment int, write string",
+                "rows": f"key {kind}, stamp string, {', '.join(f'n_{i} int' for i in range(len(self.fields)))}, terms array<struct<field:string,term:string{',at:array<int>' if places else ''}>>, segment int, write string",
                 "dead": f"key {kind}, segment int, write string",
             }[part]
         )
 
-    def _read(self, part: str, segments: list[dict]) -> DataFrame:
-        schema = self._schema(part)
+    def _read(self, part: str, segments: list[dict], places: bool = False) -> DataFrame:
+        schema = self._schema(part, places)
         paths = [f"{self.folder}/{part}/{s['name']}" for s in segments if part in s["parts"]]
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -85,16 +94,27 @@ class TextIndex:
 
     def _live(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
         """Rows with key and segment, without those that a later segment replaces or removes."""
-        dead = self._read("dead", segments).select("key", F.col("segment").alias("_by"))
+        dead = self._few(self._read("dead", segments).select("key", F.col("segment").alias("_by")))
         return rows.join(dead, (rows["key"] == dead["key"]) & (F.col("_by") > F.col("segment")), "left_anti")
 
+    def _few(self, keys: DataFrame) -> DataFrame:
+        """Stored keys, to be broadcast while there are few."""
+        return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
     # --- updates
 
     def upsert(self, rows: DataFrame, stamp: Column) -> None:
         """Index rows that are new or whose texts have changed."""
         taken = rows.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("key"), stamp.cast("string").alias("stamp"), *(F.col(f).alias(f"f_{i}") for i, f in enumerate(self.fields)))
-        rest = F.struct("stamp", *(f"f_{i}" for i in range(len(self.fields))))
-        self._write(taken.groupBy("key").agg(F.max_by(rest, F.coalesce("stamp", F.lit(""))).alias("r")).select("key", "r.*"), None)
+        # texts are shuffled only where several rows have one key
+        many = self._scratch(taken.groupBy("key").count().where("count > 1").select("key"))
+        keys = self.spark.read.schema(T.StructType([taken.schema["key"]])).parquet(many)
+        if not keys.isEmpty():
+            rest, keys = F.struct("stamp", *(f"f_{i}" for i in range(len(self.fields)))), self._few(keys)
+            best = taken.join(keys, "key", "left_semi").groupBy("key").agg(F.max_by(rest, F.coalesce("stamp", F.lit(""))).alias("r")).select("key", "r.*")
+            taken = taken.join(keys, "key", "left_anti").unionByName(best)
+        self._write(taken, None)
+        store.remove(self.spark, many)
 
     def remove(self, keys: DataFrame) -> None:
         """Remove the rows with these keys; unknown ones change nothing."""
@@ -134,73 +154,96 @@ class TextIndex:
         if not segments and rows is None:
             return
         number, own = max((s["segment"] for s in segments), default=0) + 1, uuid.uuid4().hex
-        name, parts = f"segment={number}/write={own}", ["terms"]
-        step = None
+        segment = {"segment": number, "name": f"segment={number}/write={own}", "parts": ["terms"], "n_rows": 0, "sums": [0] * len(self.fields)}
+        found = terms = None
         if rows is not None:
-            step = self._scratch(rows)
-            rows = self.spark.read.schema(rows.schema).parquet(step)
-            gone = rows.select("key")
-        sums = [0] * len(self.fields)
-        n_rows, terms = 0, None
+            self._analysed(rows).write.parquet(f"{self.folder}/rows/{segment['name']}")
+            segment["parts"].append("rows")
+            gone = self._read("rows", [segment]).select("key")
+        used = []
         if segments:
             # the live rows that this segment replaces: their terms are counted down
-            old = self._live(self._read("rows", segments).join(gone, "key", "left_semi"), segments)
-            old_path = self._scratch(old)
-            old = self.spark.read.schema(old.schema).parquet(old_path)
-            n_rows, sums = self._counted(old, -1)
-            terms = old.select(F.explode("terms").alias("t")).select("t.*", F.lit(-1).alias("one"))
-            old.select("key").repartition(self._shares(-n_rows)).write.parquet(f"{self.folder}/dead/{name}")
-            parts.append("dead")
-        found = None
+            stored = self._read("rows", segments)
+            used.append(self._scratch(self._live(stored.select("key", "segment").join(gone, "key", "left_semi"), segments)))
+            keys = self.spark.read.schema(T.StructType([stored.schema["key"], stored.schema["segment"]])).parquet(used[0])
+            if not keys.isEmpty():
+                used.append(self._scratch(stored.join(self._few(keys), ["key", "segment"], "left_semi").select(stored.columns)))
+                old = self.spark.read.schema(stored.schema).parquet(used[1])
+                self._add(segment, *self._counted(old, -1))
+                terms = old.select(F.explode("terms").alias("t")).select("t.field", "t.term", F.lit(-1).alias("one"))
+                old.select("key").repartition(self._shares(-segment["n_rows"])).write.parquet(f"{self.folder}/dead/{segment['name']}")
+                segment["parts"].append("dead")
         if rows is not None:
-            n, more = self._counted(self._lengths(rows), 1)
-            n_rows, sums = n_rows + n, [a + b for a, b in zip(sums, more, strict=True)]
-            found = self._postings(rows, n, [(a / n if n else 0.0) for a in more])
-            path = f"{self.folder}/postings/{name}"
-            found.write.partitionBy("bucket").parquet(path)
-            found = self.spark.read.schema(T.StructType([*found.schema.fields])).parquet(path)
-            own_terms = found.groupBy("key").agg(F.collect_list(F.struct("field", "term")).alias("terms"))
-            self._lengths(rows).join(own_terms, "key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<field:string,term:string>>"))).repartition(self._shares(n), "key").write.parquet(f"{self.folder}/rows/{name}")
-            parts += ["postings", "rows"]
-        self._write_terms(found, terms, name)
-        self._publish(version + 1, [*segments, {"segment": number, "name": name, "parts": parts, "n_rows": n_rows, "sums": sums}])
-        for path in (step, *([old_path] if segments else [])):
-            if path:
-                store.remove(self.spark, path)
+            found = self._post(segment)
+        if found is not None or terms is not None:
+            self._write_terms(found, terms, segment["name"])
+            self._publish(version + 1, [*segments, segment])
+        for path in used:
+            store.remove(self.spark, path)
+
+    def _add(self, segment: dict, n: int, sums: list[int]) -> None:
+        segment["n_rows"] += n
+        segment["sums"] = [a + b for a, b in zip(segment["sums"], sums, strict=True)]
 
     def _shares(self, n: int) -> int:
         return max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000 + 1))
 
-    def _lengths(self, rows: DataFrame) -> DataFrame:
-        return rows.select("key", "stamp", *(F.size(search.tokens(F.col(f"f_{i}"))).alias(f"n_{i}") for i in range(len(self.fields))))
+    def _analysed(self, rows: DataFrame) -> DataFrame:
+        """key, stamp, n_<field> and terms: the distinct words of each field with their places, found within a batch of rows, without a shuffle."""
+        fields, n = self.fields, len(self.fields)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, BATCH_ROWS):
+                    b = batch.slice(low, BATCH_ROWS)
+                    found = [_runs(b.column(2 + i)) for i in range(n)]
+                    row = np.concatenate([f[0] for f in found])
+                    order = pa.array(np.argsort(row, kind="stable"))
+                    field = pa.array(fields).take(pa.array(np.repeat(np.arange(n), [len(f[0]) for f in found])))
+                    runs = [field, *(pa.concat_arrays([f[i] for f in found]) for i in (1, 2))]
+                    terms = pa.StructArray.from_arrays([x.take(order) for x in runs], ["field", "term", "at"])
+                    edges = pa.array(np.append(0, np.bincount(row, minlength=b.num_rows).cumsum()), pa.int32())
+                    lengths = [pc.list_value_length(b.column(2 + i)).cast(pa.int32()) for i in range(n)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lengths, pa.ListArray.from_arrays(edges, terms)], ["key", "stamp", *(f"n_{i}" for i in range(n)), "terms"])
+
+        whole = [x for x in self._schema("rows", places=True).fields if x.name not in ("segment", "write")]
+        return rows.select("key", "stamp", *(search.tokens(F.col(f"f_{i}")) for i in range(n))).mapInArrow(run, T.StructType(whole))
 
     def _counted(self, rows: DataFrame, sign: int) -> tuple[int, list[int]]:
         row = rows.agg(F.count("*").alias("n"), *(F.sum(f"n_{i}").alias(f"s_{i}") for i in range(len(self.fields)))).first()  # one row
         return sign * row["n"], [sign * (row[f"s_{i}"] or 0) for i in range(len(self.fields))]
 
-    def _postings(self, rows: DataFrame, n: int, averages: list[float]) -> DataFrame:
-        """Postings of rows, dealt out by bucket, and those of one bucket by key in slices, by one shuffle."""
-        texts = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(averages[i] or 1.0).alias("avg"), search.tokens(F.col(f"f_{i}")).alias("words")) for i, f in enumerate(self.fields)))
-        words = rows.select("key", F.explode(texts).alias("t")).select("key", "t.field", "t.avg", F.size("t.words").alias("n"), F.posexplode("t.words").alias("at", "term"))
+    def _post(self, segment: dict) -> DataFrame:
+        """Write the postings of a segment's stored rows, dealt out by bucket, and those of one bucket by key in slices; its rows and lengths are counted in."""
+        rows = self._read("rows", [segment], places=True)
+        n, sums = self._counted(rows, 1)
+        self._add(segment, n, sums)
+        segment["parts"].append("postings")
+        rows = rows.select("key", *(f"n_{i}" for i in range(len(self.fields))), F.explode("terms").alias("t"))
+        length = F.coalesce(*(F.when(F.col("t.field") == f, F.col(f"n_{i}")) for i, f in enumerate(self.fields)))
+        words = rows.select("key", "t.field", "t.term", "t.at", length.alias("n"))
         bucket, slice_ = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"), F.pmod(F.xxhash64("key"), F.lit(n // SLICE_ROWS + 1)).cast("int")
-        dealt = words.withColumns({"bucket": bucket, "slice": slice_}).repartition("bucket", "slice")
-        one = dealt.groupBy("bucket", "slice", "field", "term", "key", "n", "avg").agg(F.array_sort(F.collect_list("at")).alias("at"))
-        tf = F.size("at")
-        impact = tf / (tf + search.K1 * (1 - search.B + search.B * F.col("n") / F.col("avg")))
+        tf, avg = F.size("at"), F.coalesce(*(F.when(F.col("field") == f, F.lit((sums[i] / n if n else 0.0) or 1.0)) for i, f in enumerate(self.fields)))
+        impact = tf / (tf + search.K1 * (1 - search.B + search.B * F.col("n") / avg))
         level = F.least(F.floor(impact * LEVELS), F.lit(LEVELS - 1)).cast("int")
-        return one.select("field", "term", level.alias("level"), "key", tf.alias("tf"), "n", "at", "bucket").sortWithinPartitions("bucket", "term", "field", F.desc("level"), "key")
+        found = words.repartition(bucket, slice_).select("field", "term", level.alias("level"), "key", tf.alias("tf"), "n", "at", bucket.alias("bucket"))
+        found.sortWithinPartitions("bucket", "term", "field", F.desc("level"), "key").write.partitionBy("bucket").parquet(f"{self.folder}/postings/{segment['name']}")
+        return self._read("postings", [segment])
 
     def _write_terms(self, found: DataFrame | None, gone: DataFrame | None, name: str) -> None:
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         rows = []
         if found is not None:
-            levels = found.groupBy("field", "term", "level").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("n").alias("min_n"))
-            rows.append(levels.groupBy("field", "term").agg(F.sum("n").alias("df"), F.collect_list(F.struct("level", "n", "max_tf", "min_n")).alias("levels")))
+            # postings lie in the order of their terms, so those of a batch are summed before the only shuffle
+            summed = found.select("bucket", "field", "term", "level", "tf", "n").mapInArrow(_summed, "bucket int, field string, term string, level int, n long, max_tf int, min_n int")
+            levels = summed.repartition("bucket").groupBy("bucket", "field", "term", "level").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_n").alias("min_n"))
+            rows.append(levels.groupBy("bucket", "field", "term").agg(F.sum("n").alias("df"), F.collect_list(F.struct("level", "n", "max_tf", "min_n")).alias("levels")))
         if gone is not None:
             empty = F.array().cast("array<struct<level:int,n:bigint,max_tf:int,min_n:int>>")
-            rows.append(gone.groupBy("field", "term").agg(F.sum("one").cast("long").alias("df"), empty.alias("levels")))
-        rows = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
-        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "term", "field")
-        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/terms/{name}")
+            rows.append(gone.groupBy("field", "term").agg(F.sum("one").cast("long").alias("df"), empty.alias("levels")).withColumn("bucket", bucket).repartition("bucket"))
+        for part in rows:
+            dealt = part.select("field", "term", "df", "levels", "bucket").sortWithinPartitions("bucket", "term", "field")
+            dealt.write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/terms/{name}")
 
     def compact(self, keep: int = 0) -> None:
         """Join all segments after the first `keep` into one, without what is dead; texts aren't read again."""
@@ -209,22 +252,21 @@ class TextIndex:
         if len(joined) < 2:
             return
         number, own = max(s["segment"] for s in segments), uuid.uuid4().hex
-        name, parts = f"segment={number}/write={own}", ["terms", "postings", "rows"]
-        postings = self._live(self._read("postings", joined), joined).drop("segment", "write")
-        postings.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(sum(s["n_rows"] for s in segments) // SLICE_ROWS + 1))).sortWithinPartitions("bucket", "term", "field", F.desc("level"), "key").write.partitionBy("bucket").parquet(f"{self.folder}/postings/{name}")
-        self._live(self._read("rows", joined), joined).drop("segment", "write").write.parquet(f"{self.folder}/rows/{name}")
-        found = self.spark.read.schema(postings.schema).parquet(f"{self.folder}/postings/{name}")
+        segment = {"segment": number, "name": f"segment={number}/write={own}", "parts": ["terms", "rows"], "n_rows": 0, "sums": [0] * len(self.fields)}
+        self._live(self._read("rows", joined, places=True), joined).drop("segment", "write").write.parquet(f"{self.folder}/rows/{segment['name']}")
+        found = self._post(segment)
         gone = None
         if before:  # what the joined segments replace or remove of those before is still dead there
-            self._read("dead", joined).select("key").distinct().write.parquet(f"{self.folder}/dead/{name}")
-            parts.append("dead")
+            self._read("dead", joined).select("key").distinct().write.parquet(f"{self.folder}/dead/{segment['name']}")
+            segment["parts"].append("dead")
             counted = self._read("terms", joined).groupBy("field", "term").agg(F.sum("df").alias("df"))
             own_df = found.groupBy("field", "term").agg(F.count("*").alias("own"))
             less = counted.join(own_df, ["field", "term"], "left").select("field", "term", (F.col("df") - F.coalesce("own", F.lit(0))).alias("one"))
             gone = less.where("one <> 0")
-        self._write_terms(found, gone, name)
-        sums = [sum(s["sums"][i] for s in joined) for i in range(len(self.fields))]
-        self._publish(version + 1, [*before, {"segment": number, "name": name, "parts": parts, "n_rows": sum(s["n_rows"] for s in joined), "sums": sums}])
+        self._write_terms(found, gone, segment["name"])
+        # with what they replace or remove of the segments before
+        segment |= {"n_rows": sum(s["n_rows"] for s in joined), "sums": [sum(s["sums"][i] for s in joined) for i in range(len(self.fields))]}
+        self._publish(version + 1, [*before, segment])
 
     def vacuum(self) -> None:
         """Delete the files of segments and versions that the newest version doesn't name; no reader of an older one may be left."""
@@ -336,6 +378,28 @@ class TextIndex:
         return _among([key for key, (b, _) in bounds.items() if b + sum(x for other, x in most.items() if other != key[1:3]) >= least])
 
 
+def _runs(words: pa.ListArray) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
+    """Row, term and places of each distinct word of each row."""
+    lengths = pc.list_value_length(words).to_numpy()
+    row, coded = np.repeat(np.arange(len(words)), lengths), words.flatten().dictionary_encode()
+    at = np.arange(len(row)) - np.repeat(lengths.cumsum() - lengths, lengths)
+    code = coded.indices.to_numpy()
+    both = row * max(1, len(coded.dictionary)) + code
+    order = np.argsort(both, kind="stable")
+    low = np.flatnonzero(np.diff(both[order], prepend=-1))
+    places = pa.ListArray.from_arrays(pa.array(np.append(low, len(order)), pa.int32()), pa.array(at[order], pa.int32()))
+    return row[order[low]], coded.dictionary.take(pa.array(code[order[low]])), places
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number, largest count and smallest length of the postings of each term and level of a batch."""
+    for b in batches:
+        keys = ["bucket", "field", "term", "level"]
+        got = pa.Table.from_batches([b]).group_by(keys, use_threads=False).aggregate([("tf", "count"), ("tf", "max"), ("n", "min")])
+        got = got.select([*keys, "tf_count", "tf_max", "n_min"]).rename_columns([*keys, "n", "max_tf", "min_n"])
+        yield from got.combine_chunks().to_batches()
+
+
 def _less(places: Column, n: int) -> Column:
     return F.transform(places, lambda x: x - n)
 

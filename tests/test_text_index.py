@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from skerry import store
@@ -121,3 +122,19 @@ def test_empty_tables_and_texts(spark, tmp_path):
     assert [r["id"] for r in index.query("apple", 3, BOOSTS).collect()] == [2]
     index.refresh(table(spark).limit(0), stamp())
     assert index.query("apple", 3, BOOSTS).count() == 0 and index.entries().count() == 0
+
+
+def test_an_index_is_built_by_one_shuffle_of_texts_terms(spark, tmp_path, monkeypatch):
+    """A text goes into no shuffle, and of its terms each one goes once, not each of its words."""
+    index = TextIndex(spark, str(tmp_path / "i"), "id", list(BOOSTS), 4)
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **b: plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())) or write(self, path, *a, **b))
+    index.upsert(table(spark), stamp())
+    texts = [plan for path, plan in plans if "/rows/" in path]
+    postings = [plan for path, plan in plans if "/postings/" in path]
+    assert len(texts) == 1 and "Exchange" not in texts[0]
+    assert len(postings) == 1 and postings[0].count("Exchange") == 1 and "Aggregate" not in postings[0]
+    stored = spark.read.parquet(f"{index.folder}/postings")
+    row = stored.where("key = 8 and field = 'body' and term = 'apple'").first()
+    body = table(spark).where("id = 8").select(search.tokens(F.col("body")).alias("w")).first()["w"]
+    assert row["at"] == [i for i, w in enumerate(body) if w == "apple"] and row["tf"] == len(row["at"]) and row["n"] == len(body)
