@@ -29,6 +29,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 from urllib.parse import urlparse
 
 import numpy as np
@@ -80,6 +81,8 @@ class _Words(dict):
     """word -> its ids as bytes, until they take more than a bounded number of bytes."""
 
     def __init__(self, tokenizer: str, kind: str) -> None:
+        # a task has one core; threads of the library's own only cost time
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.taken = Tokenizer.from_str(tokenizer), kind, 0
@@ -95,7 +98,8 @@ class _Words(dict):
 
     def _runs(self, words: list[str]) -> None:
         """The ids of words that are one run of letters or marks each, told apart by the ids that end one."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        # the fast form keeps no offsets
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
             self._encoded(words)
@@ -146,7 +150,7 @@ class _Words(dict):
             self.clear()
             self.taken = 0
         words = text.split()
-        if unknown := {w for w in set(words) if w not in self}:
+        if unknown := set(filterfalse(self.__contains__, set(words))):
             self._learn(unknown)
         return b"".join(map(self.__getitem__, words))
 

@@ -239,3 +239,26 @@ def test_training_reads_features_up_to_a_bound_of_bytes(spark):
     few = quality_classifier.fit(docs, labels, quality_classifier.Settings(sample_bytes=40_000))
     none = quality_classifier.fit(docs, labels, quality_classifier.Settings(sample_bytes=10))
     assert few[0].any() and not none[0].any() and not np.array_equal(few[0], quality_classifier.fit(docs, labels)[0])
+
+
+def test_words_of_one_run_are_encoded_without_offsets():
+    """Only words that are several runs need offsets."""
+    from skerry.llm.token_files import _Words, default_tokenizer
+
+    words = _Words(default_tokenizer(), "H")
+    library, text = words.tokenizer, "Some plain words, and (again) some more plain words."
+
+    class Counted:
+        asked = 0
+
+        def encode(self, *a, **b):
+            Counted.asked += 1
+            return library.encode(*a, **b)
+
+        def encode_batch_fast(self, *a, **b):
+            return library.encode_batch_fast(*a, **b)
+
+    words.tokenizer = Counted()
+    plain = "several plain words"
+    assert np.frombuffer(words.encode(plain), "<u2").tolist() == library.encode(plain, add_special_tokens=False).ids and not Counted.asked
+    assert np.frombuffer(words.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
