@@ -103,25 +103,26 @@ def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _passages(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """slot (the key), doc, txt, at (lists of places) and gram (hashes of their min_words words), for wanted rows (doc, txt, at, key, before, places)."""
-    lists = wanted.groupBy("doc", "txt").agg(F.collect_list(F.struct("at", "key", "before", "places")).alias("ends"))
+    """slot (the key), doc, txt, at (lists of places), gram (hashes of their min_words words) and large, for wanted rows (doc, txt, at, key, before, places, large)."""
+    lists = wanted.groupBy("doc", "txt").agg(F.collect_list(F.struct("at", "key", "before", "places", "large")).alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, txt, text, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 ids = words(text or b"")[0]
-                stretch, slots, places, grams = Stretches(ids), [], [], []
+                stretch, slots, places, grams, large = Stretches(ids), [], [], [], []
                 for r in rows:
                     at = np.arange(r["at"] - r["before"], r["at"] - r["before"] + r["places"])
                     slots.append(r["key"])
                     places.append(at)
                     grams.append(stretch(at, at + s.min_words).view(np.int64))
+                    large.append(r["large"])
                 n = len(slots)
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([txt] * n, pa.int64()), _lists(places, np.int32), _lists(grams, np.int64)], ["slot", "doc", "txt", "at", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([txt] * n, pa.int64()), _lists(places, np.int32), _lists(grams, np.int64), pa.array(large, pa.bool_())], ["slot", "doc", "txt", "at", "gram", "large"])
 
     # the lists grow with the input, so they are never broadcast
     texts = docs.select(*_doc(), "text").join(lists.hint("merge"), ["doc", "txt"]).select("doc", "txt", "text", "ends")
-    return texts.mapInArrow(tidy(run), "slot long, doc long, txt long, at array<int>, gram array<long>")
+    return texts.mapInArrow(tidy(run), "slot long, doc long, txt long, at array<int>, gram array<long>, large boolean")
 
 
 def _repeated(passages: DataFrame, s: Settings) -> DataFrame:
@@ -130,7 +131,7 @@ def _repeated(passages: DataFrame, s: Settings) -> DataFrame:
     A passage's earliest place is a minimum, which is taken before rows are shuffled, so one that very many classes share
     is no task's burden. Minima of such passages, of which there are few, are broadcast up to a checked number."""
     zipped = passages.select("slot", "doc", "txt", F.explode(F.arrays_zip("at", "gram")).alias("x"))
-    rows = materialize(zipped.select("slot", "x.gram", F.struct("doc", "txt", "x.at").alias("place")), "passages")
+    rows = materialize(zipped.select("slot", "x.gram", F.struct("doc", "txt", "x.at").alias("place")), "places")
     # repeated rows of one document are the same place
     first = materialize(rows.groupBy("slot", "gram").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low < high"), "first")
     often = small_lookup(rows, first.where(F.col("n") > s.classes).select("slot", "gram", "low"), ["slot", "gram"], "inner", BROADCAST_ROWS)
@@ -179,40 +180,63 @@ def _compared(passages: DataFrame, s: Settings) -> DataFrame:
     return passages.repartition(parts, "slot").sortWithinPartitions("slot", "doc", "txt", F.col("at")[0]).mapInArrow(tidy(run), SPAN)
 
 
+def _stretches(spans: DataFrame, by: list[str], start: list[str]) -> DataFrame:
+    """by, start and end of spans (first, end) that overlap, as one row with the `start` of the first of them; a window holds the spans of one `by`."""
+    within = Window.partitionBy(*by).orderBy("first", "end")
+    ended = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    steps = spans.withColumn("_new", F.coalesce((F.col("first") >= ended).cast("int"), F.lit(1)))
+    steps = steps.withColumn("_stretch", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = steps.groupBy(*by, "_stretch").agg(F.min(F.struct(*start)).alias("low"), F.max("end").alias("end"))
+    return joined.select(*by, "low.*", "end")
+
+
+def _copied(lists: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """SPAN rows of all places of a class but its earliest one.
+
+    Overlapping classes with the same documents at the same distances from their earliest places, as the suffixes of one
+    longer passage have them, are joined first, so that a copy of the passage is one row and not one for each suffix."""
+    whole = lists.where("lanes = 1 AND size(list) > 1").withColumn("original", F.col("low")).withColumn("n", F.size("list").cast("long"))
+    parts = lists.where("lanes > 1").join(classes.where("lanes > 1 AND n > 1").select("key", "whole", "original", "n"), ["key", "whole"])
+    held = whole.unionByName(parts)
+    # distinct places, so no two cancel each other out
+    distances = F.aggregate("list", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(F.xxhash64(y["doc"], y["txt"], y["at"] - F.col("original.at"))))
+    first = F.col("original.at") - F.col("before")
+    own = held.select("key", "whole", "n", F.col("original.doc").alias("source"), F.col("original.txt").alias("source_txt"), first.alias("first"), (first + F.col("places") + F.lit(s.min_words - 1)).alias("end"), distances.alias("part"))
+    own = own.groupBy("key", "whole", "n", "source", "source_txt", "first", "end").agg(F.bit_xor("part").alias("distances"))
+    joined = _stretches(own, ["source", "source_txt", "n", "distances"], ["first", "key", "whole"])
+    joined = materialize(joined.select("key", "whole", "source", "source_txt", "first", "end"), "joined")
+    copies = held.join(joined, ["key", "whole"]).select("original", "source", "source_txt", "first", "end", F.explode("list").alias("x")).where(F.col("x") != F.col("original"))
+    distance = F.col("x.at") - F.col("original.at")
+    return copies.select("x.doc", "x.txt", (F.col("first") + distance).alias("first"), (F.col("end") + distance).alias("end"), "source", "source_txt", F.col("first").alias("source_at"))
+
+
 def find_spans(docs: DataFrame, s: Settings) -> DataFrame:
     """doc, txt, first, end and source, source_txt, source_at of every repeat."""
     rows = suffixes(docs, s)
     runs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
     runs = materialize(runs.select("key", (F.col("low") < F.col("high")).alias("mixed"), F.ceil(F.col("n") / s.classes).cast("int").alias("lanes")), "runs")
-    # places of a class stand in lists, of a frequent one in several, so that joins are of classes and not of places
+    # places of a class stand in lists, of a frequent one in several, so that joins are of classes and not of places; repeated rows of one document are the same place
     place, none = F.struct("doc", "txt", "at"), F.lit(0)
     lane = F.when(F.col("lanes") > 1, F.pmod(F.xxhash64("doc", "txt", "at"), F.col("lanes"))).otherwise(none)
-    lists = rows.join(runs, "key").groupBy("key", "whole", "before", "places", "mixed", lane.alias("lane")).agg(F.collect_list(place).alias("list"), F.min(place).alias("low"))
+    lists = rows.join(runs, "key").groupBy("key", "whole", "before", "places", "mixed", "lanes", lane.alias("lane")).agg(F.collect_set(place).alias("list"), F.min(place).alias("low"))
     lists = materialize(lists, "equal")
-    classes = lists.groupBy("key", "whole").agg(F.min("low").alias("original"), F.sum(F.size("list")).alias("n"), F.first("before").alias("before"), F.first("places").alias("places"), F.first("mixed").alias("mixed"))
+    classes = lists.groupBy("key", "whole").agg(F.min("low").alias("original"), F.sum(F.size("list")).alias("n"), *(F.first(c).alias(c) for c in ("before", "places", "mixed", "lanes")))
     classes = materialize(classes, "classes")
-    copies = lists.join(classes.where("n > 1").select("key", "whole", "original"), ["key", "whole"]).select("before", "places", "original", F.explode("list").alias("x")).where(F.col("x") != F.col("original"))
-    first = F.col("x.at") - F.col("before")
-    copied = copies.select("x.doc", "x.txt", first.alias("first"), (first + F.col("places") + F.lit(s.min_words - 1)).alias("end"), F.col("original.doc").alias("source"), F.col("original.txt").alias("source_txt"), (F.col("original.at") - F.col("before")).alias("source_at"))
     # of keys with several classes, the first of each class may share passages with an earlier one
     mixed = classes.where("mixed")
     large = materialize(mixed.groupBy("key").count().where(F.col("count") > s.classes).select("key", F.lit(True).alias("large")), "large")
-    wanted = materialize(small_lookup(mixed.select("original.*", "key", "before", "places"), large, ["key"]), "wanted")
-    found = [copied, _compared(_passages(docs, wanted.where("large IS NULL"), s), s)]
-    if not large.isEmpty():
-        found.append(_repeated(_passages(docs, wanted.where("large"), s), s))
-    spans = found[0]
-    for more in found[1:]:
+    wanted = small_lookup(mixed.select("original.*", "key", "before", "places"), large, ["key"]).withColumn("large", F.coalesce("large", F.lit(False)))
+    # texts are shuffled once, for small and for large keys
+    passages = _passages(docs, materialize(wanted, "wanted"), s)
+    if large.isEmpty():
+        found = [_compared(passages, s)]
+    else:
+        passages = materialize(passages, "passages")
+        found = [_compared(passages.where("NOT large"), s), _repeated(passages.where("large"), s)]
+    spans = _copied(lists, classes, s)
+    for more in found:
         spans = spans.union(more)
-    spans = materialize(spans, "spans")
-    # overlapping passages are one stretch; a window holds the spans of one document
-    by_doc = Window.partitionBy("doc", "txt").orderBy("first", "end")
-    ended = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    steps = spans.withColumn("_new", F.coalesce((F.col("first") >= ended).cast("int"), F.lit(1)))
-    steps = steps.withColumn("_stretch", F.sum("_new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.struct("first", "source", "source_txt", "source_at")
-    joined = steps.groupBy("doc", "txt", "_stretch").agg(F.min(start).alias("low"), F.max("end").alias("end"))
-    return joined.select("doc", "txt", "low.*", "end")
+    return _stretches(materialize(spans, "spans"), ["doc", "txt"], ["first", "source", "source_txt", "source_at"])
 
 
 def find_repeats(docs: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -177,6 +177,25 @@ def test_a_passage_of_all_documents_is_no_tasks_burden(spark, monkeypatch):
     assert len(seen) == 1 and max(sizes, default=0) <= s.classes
 
 
+def test_texts_are_shuffled_once_and_a_copied_passage_is_one_row(spark, monkeypatch):
+    """A long passage of many unlike texts: one row of each copy, not one for each of its suffixes, and one reading of texts for keys of any size."""
+    passage, calls, stored = h.prose(1, 300), [], {}
+    texts = [f"{h.prose(100 + k, 20)} {passage} {h.prose(600 + k, 15)}" for k in range(40)] + [passage, *(" ".join(passage.split()[:200]) for _ in range(2))]
+    read, keep = suffix_dedup._passages, suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "_passages", lambda *a: calls.append(a) or read(*a))
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: stored.setdefault(name, keep(df, name)))
+    for s in (suffix_dedup.Settings(), suffix_dedup.Settings(classes=10)):  # one list of each class, then several
+        stored.clear()
+        calls.clear()
+        rows = h.rows(suffix_dedup.find_repeats(h.table(spark, texts), s))
+        got = {r["doc_id"]: set(range(r["first_word"], r["first_word"] + r["n_words"])) for r in rows}
+        assert [got.get(i, set()) for i in range(len(texts))] == _covered(texts, 50) and len(rows) == len(texts) - 1
+        assert len(calls) == 1
+        assert stored["suffixes"].selectExpr("sum(size(at)) AS n").first()["n"] > 15 * len(texts) and stored["joined"].count() <= 4
+        # the ends of the passage, whose surroundings differ, come in further rows, those of large keys one by one
+        assert s.classes < 1000 or stored["spans"].count() < 6 * len(texts)
+
+
 def test_cuts_go_by_row_not_by_id(spark):
     passage = h.prose(1, 60)
     for own in (None, 7):
