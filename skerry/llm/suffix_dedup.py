@@ -83,7 +83,9 @@ def _lists(values: list[np.ndarray], kind: type) -> pa.Array:
 
 
 def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc, txt and, of every retained suffix, at, key, whole (hash of its surroundings), before (words from their start) and places, stored one row a document."""
+    """doc, txt and, of every retained suffix, at, key, whole (hash of its surroundings), before (words from their start), places and more, stored one row a document.
+
+    Neighbours with equal surroundings, as a periodic text has them, are two rows: the first, and the second with the words that all others add to it (more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,13 +95,17 @@ def suffixes(docs: DataFrame, s: Settings) -> DataFrame:
                 at, first, count = anchors(ids, s)
                 stretch = Stretches(ids)
                 whole = mix(stretch(first, first + count - 1 + s.min_words) + (at - first).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64))
-                found.append((at, stretch(at, at + s.depth).view(np.int64), whole.view(np.int64), at - first, count))
-            lists = [_lists([f[i] for f in found], t) for i, t in enumerate((np.int32, np.int64, np.int64, np.int8, np.int8))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc", "txt", "at", "key", "whole", "before", "places"])
-
-    schema = "doc long, txt long, at array<int>, key array<long>, whole array<long>, before array<byte>, places array<byte>"
+                begins = np.append(True, whole[1:] != whole[:-1]).nonzero()[0] if len(at) else at
+                length = np.diff(np.append(begins, len(at)))
+                within, length = np.arange(len(at)) - np.repeat(begins, length), np.repeat(length, length)
+                rows = (at, stretch(at, at + s.depth).view(np.int64), whole.view(np.int64), at - first, count, np.where(within == 1, (length - 2) * count, 0))
+                found.append([x[within < 2] for x in rows])
+            lists = [_lists([f[i] for f in found], t) for i, t in enumerate((np.int32, np.int64, np.int64, np.int8, np.int8, np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc", "txt", "at", "key", "whole", "before", "places", "more"])
+
+    schema = "doc long, txt long, at array<int>, key array<long>, whole array<long>, before array<byte>, places array<byte>, more array<int>"
     stored = materialize(docs.select(*_doc(), "text").mapInArrow(tidy(run), schema), "suffixes")
-    return stored.select("doc", "txt", F.explode(F.arrays_zip("at", "key", "whole", "before", "places")).alias("x")).select("doc", "txt", "x.*")
+    return stored.select("doc", "txt", F.explode(F.arrays_zip("at", "key", "whole", "before", "places", "more")).alias("x")).select("doc", "txt", "x.*")
 
 
 def _passages(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -199,7 +205,7 @@ def _copied(lists: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     parts = lists.where("lanes > 1").join(classes.where("lanes > 1 AND n > 1").select("key", "whole", "original", "n"), ["key", "whole"])
     held = whole.unionByName(parts)
     # distinct places, so no two cancel each other out
-    distances = F.aggregate("list", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(F.xxhash64(y["doc"], y["txt"], y["at"] - F.col("original.at"))))
+    distances = F.aggregate("list", F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(F.xxhash64(y["doc"], y["txt"], y["at"] - F.col("original.at"), y["more"])))
     first = F.col("original.at") - F.col("before")
     own = held.select("key", "whole", "n", F.col("original.doc").alias("source"), F.col("original.txt").alias("source_txt"), first.alias("first"), (first + F.col("places") + F.lit(s.min_words - 1)).alias("end"), distances.alias("part"))
     own = own.groupBy("key", "whole", "n", "source", "source_txt", "first", "end").agg(F.bit_xor("part").alias("distances"))
@@ -207,7 +213,7 @@ def _copied(lists: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     joined = materialize(joined.select("key", "whole", "source", "source_txt", "first", "end"), "joined")
     copies = held.join(joined, ["key", "whole"]).select("original", "source", "source_txt", "first", "end", F.explode("list").alias("x")).where(F.col("x") != F.col("original"))
     distance = F.col("x.at") - F.col("original.at")
-    return copies.select("x.doc", "x.txt", (F.col("first") + distance).alias("first"), (F.col("end") + distance).alias("end"), "source", "source_txt", F.col("first").alias("source_at"))
+    return copies.select("x.doc", "x.txt", (F.col("first") + distance).alias("first"), (F.col("end") + distance + F.col("x.more")).alias("end"), "source", "source_txt", F.col("first").alias("source_at"))
 
 
 def find_spans(docs: DataFrame, s: Settings) -> DataFrame:
@@ -216,7 +222,7 @@ def find_spans(docs: DataFrame, s: Settings) -> DataFrame:
     runs = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
     runs = materialize(runs.select("key", (F.col("low") < F.col("high")).alias("mixed"), F.ceil(F.col("n") / s.classes).cast("int").alias("lanes")), "runs")
     # places of a class stand in lists, of a frequent one in several, so that joins are of classes and not of places; repeated rows of one document are the same place
-    place, none = F.struct("doc", "txt", "at"), F.lit(0)
+    place, none = F.struct("doc", "txt", "at", "more"), F.lit(0)
     lane = F.when(F.col("lanes") > 1, F.pmod(F.xxhash64("doc", "txt", "at"), F.col("lanes"))).otherwise(none)
     lists = rows.join(runs, "key").groupBy("key", "whole", "before", "places", "mixed", "lanes", lane.alias("lane")).agg(F.collect_set(place).alias("list"), F.min(place).alias("low"))
     lists = materialize(lists, "equal")

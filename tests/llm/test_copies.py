@@ -196,6 +196,12 @@ def test_texts_are_shuffled_once_and_a_copied_passage_is_one_row(spark, monkeypa
         assert s.classes < 1000 or stored["spans"].count() < 6 * len(texts)
 
 
+def test_a_periodic_text_is_no_list_of_its_periods(spark):
+    text = "tick tock " * 400
+    assert suffix_dedup.suffixes(h.table(spark, [text, "x " + text]), suffix_dedup.Settings()).count() < 20
+    assert _reported(spark, [text, "x " + text, "tick " * 200, "tick tock " * 30]) == _covered([text, "x " + text, "tick " * 200, "tick tock " * 30], 50)
+
+
 def test_cuts_go_by_row_not_by_id(spark):
     passage = h.prose(1, 60)
     for own in (None, 7):
